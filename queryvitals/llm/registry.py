@@ -1,11 +1,13 @@
 """Queries and SQL of this subpackage, for the driver's entry file."""
 
-from queryvitals.llm import decontaminate
+from queryvitals.llm import decontaminate, substring
 
 QUERIES = {
+    "op4_substring_dedup": substring.op4_substring_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
 }
 
 ORACLES = {
+    "op4_substring_dedup": substring.OP4_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
 }
