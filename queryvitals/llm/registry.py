@@ -1,13 +1,15 @@
 """Queries and SQL of this subpackage, for the driver's entry file."""
 
-from queryvitals.llm import decontaminate, substring
+from queryvitals.llm import decontaminate, minhash, substring
 
 QUERIES = {
+    "op5_near_dedup": minhash.op5_near_dedup,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
 }
 
 ORACLES = {
+    "op5_near_dedup": minhash.OP5_SQL,
     "op4_substring_dedup": substring.OP4_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
 }
