@@ -1,8 +1,10 @@
 """Queries and SQL of this subpackage, for the driver's entry file."""
 
-from queryvitals.llm import decontaminate, minhash, substring
+from queryvitals.llm import classifier, decontaminate, language, minhash, substring
 
 QUERIES = {
+    "op2_language_id": language.op2_language_id,
+    "op10_quality_classifier": classifier.op10_quality_classifier,
     "op5_near_dedup": minhash.op5_near_dedup,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
