@@ -8,7 +8,7 @@ place inside them. Three steps follow:
 
 1. anchors: each chunk of text sends its distinct anchor hashes, packed by hash bucket; a bucket tells which anchors
    occur twice or more in the corpus;
-2. extension: only windows around such anchors are hashed whole (128 bits) and sent, packed, to the bucket that
+2. extension: only windows around such anchors are hashed whole (96 bits) and sent, packed, to the bucket that
    finds the earliest start of each; all later ones are repeats;
 3. the words of repeats are cut from the texts.
 
@@ -42,90 +42,119 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _packed(bucket: np.ndarray, buckets: int, fields: list[np.ndarray]):
-    """Rows (bucket, fields as binary), entries of a bucket together."""
-    order = np.argsort(bucket, kind="stable")
-    ordered = bucket[order]
-    present, first = np.unique(ordered, return_index=True)
-    ends = np.append(first[1:], len(ordered))
-    columns = [f[order] for f in fields]
-    for b, lo, hi in zip(present.tolist(), first.tolist(), ends.tolist(), strict=True):
-        yield b, [np.ascontiguousarray(c[lo:hi]).tobytes() for c in columns]
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, byte by byte over all values: near-constant bytes then compress away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize)[:, :width].T).tobytes()
+
+
+def _values(blob: bytes, width: int, kind) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = raw.T
+    return out.view(kind).ravel()
+
+
+#: Bytes kept of each hash. Anchors: 6, where a chance match only adds a candidate; windows: 8 and 4, which decide.
+_ANCHOR, _WINDOW = (6,), (8, 4)
+_PACK = "bucket int, settled boolean, docs binary, counts binary, pos binary, h1 binary, h2 binary"
+_TYPES = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+_NAMES = [f.split()[0] for f in _PACK.split(", ")]
+_PLACES = "k bigint, parts array<struct<th:bigint,at:binary>>"
 
 
-_PACK = "bucket int, settled boolean, docs binary, h1 binary, h2 binary, doc binary, pos binary"
-_PLACES = "k bigint, th bigint, at binary"
+def _rows(rows: list) -> list:
+    return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(_NAMES), _TYPES, strict=True)]
+
+
+def _bucket_rows(bucket: np.ndarray, keys: np.ndarray, pos: np.ndarray, hashes: list, widths: tuple, flag: bool) -> list:
+    """One row for each bucket: documents, entries of each, positions, hashes. Entries come in order of document and position."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, keys, pos, hashes = bucket[order], keys[order], pos[order].astype(np.uint32), [h[order] for h in hashes]
+    first = np.flatnonzero(_groups(bucket))
+    rows = []
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+        own = keys[lo:hi]
+        new = np.flatnonzero(_groups(own[:, 0], own[:, 1]))
+        counts = np.diff(np.append(new, hi - lo)).astype(np.uint32)
+        packed = [_planes(h[lo:hi], w) for h, w in zip(hashes, widths, strict=False)]
+        rows.append((int(bucket[lo]), flag, _planes(np.ascontiguousarray(own[new]).ravel(), 8), _planes(counts, 4), _planes(pos[lo:hi], 4), *[*packed, None, None][:2]))
+    return rows
 
 
-def _row_batch(rows: list) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _PACK.split(", ")])
+def _home(k: np.ndarray, buckets: int) -> np.ndarray:
+    return (K.mix(k.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
 
-def _chunk_rows(keys: np.ndarray, hashes: list[np.ndarray], doc: np.ndarray, pos: np.ndarray, buckets: int, settle) -> list:
+def _chunk_rows(keys: np.ndarray, hashes: list[np.ndarray], doc: np.ndarray, pos: np.ndarray, buckets: int, widths: tuple, settle) -> list:
     """What one chunk sends. ``keys``: (rows, 2) id and text hash; ``settle`` says, from entries sorted by hash and
     place, which are settled already and which leave the chunk."""
     k, th = keys[doc, 0], keys[doc, 1]
     order = np.lexsort((pos, th, k, *hashes[::-1]))
-    doc, pos, k, th = doc[order], pos[order], k[order], th[order]
-    hashes = [h[order] for h in hashes]
-    settled, sent = settle(hashes, k, th, pos)
+    settled, sent = settle([h[order] for h in hashes], k[order], th[order], pos[order])
     rows = []
-    for kept, flag in ((sent, False), (settled, True)):
-        if not kept.any():
-            continue
-        used, local = np.unique(doc[kept], return_inverse=True)
-        hs = [h[kept] for h in hashes]
-        bucket = (hs[0] % np.uint64(buckets)).astype(np.int32) if not flag else (K.mix(th[kept].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        fields = [local.astype(np.uint32), pos[kept].astype(np.uint32)]
-        if flag:
-            hs = []
-        for b, blobs in _packed(bucket, buckets, [*fields, *hs]):
-            docs, again = np.unique(np.frombuffer(blobs[0], np.uint32), return_inverse=True)
-            packed = np.ascontiguousarray(keys[used[docs]]).tobytes()
-            h = [*blobs[2:], None, None][:2]
-            rows.append((b, flag, packed, *h, again.astype(np.uint32).tobytes(), blobs[1]))
+    at = np.sort(order[sent])
+    if len(at):
+        rows += _bucket_rows((hashes[0][at] % np.uint64(buckets)).astype(np.int32), keys[doc[at]], pos[at], [h[at] for h in hashes], widths, False)
+    at = np.sort(order[settled])
+    if len(at):
+        rows += _bucket_rows(_home(k[at], buckets), keys[doc[at]], pos[at], [], (), True)
     return rows
 
 
-def _unpack(table: pa.Table, settled: bool, hashes: int):
-    """Entries of a bucket: ids, text hashes, positions and hashes, joined over its chunks."""
-    out = [[] for _ in range(3 + hashes)]
-    flags = table.column("settled").to_pylist()
-    for i, flag in enumerate(flags):
+def _unpack(table: pa.Table, settled: bool, widths: tuple) -> list[np.ndarray]:
+    """Entries of a bucket: ids, text hashes, positions and hashes, joined over its rows."""
+    out = [[] for _ in range(3 + len(widths))]
+    blobs = {n: table.column(n).to_pylist() for n in ("docs", "counts", "pos", "h1", "h2")}
+    for i, flag in enumerate(table.column("settled").to_pylist()):
         if flag != settled:
             continue
-        keys = np.frombuffer(table.column("docs")[i].as_py(), np.int64).reshape(-1, 2)
-        doc = np.frombuffer(table.column("doc")[i].as_py(), np.uint32)
-        out[0].append(keys[doc, 0])
-        out[1].append(keys[doc, 1])
-        out[2].append(np.frombuffer(table.column("pos")[i].as_py(), np.uint32))
-        for h in range(hashes):
-            out[3 + h].append(np.frombuffer(table.column(f"h{h + 1}")[i].as_py(), np.uint64))
-    empty = [np.int64, np.int64, np.uint32, np.uint64, np.uint64]
-    return [np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, empty, strict=False)]
-
-
-def _places(k: np.ndarray, th: np.ndarray, pos: np.ndarray) -> pa.Table:
-    """Positions by document."""
+        keys = np.repeat(_values(blobs["docs"][i], 8, np.int64).reshape(-1, 2), _values(blobs["counts"][i], 4, np.uint32), axis=0)
+        out[0].append(keys[:, 0])
+        out[1].append(keys[:, 1])
+        out[2].append(_values(blobs["pos"][i], 4, np.uint32))
+        for n, w in enumerate(widths):
+            out[3 + n].append(_values(blobs[f"h{n + 1}"][i], w, np.uint64))
+    return [np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, [np.int64, np.int64, np.uint32, np.uint64, np.uint64], strict=False)]
+
+
+def _sent_home(k: np.ndarray, th: np.ndarray, pos: np.ndarray, buckets: int) -> pa.Table:
+    """Positions packed by the home bucket of their documents."""
+    order = np.lexsort((pos, th, k))
+    rows = _bucket_rows(_home(k[order], buckets), np.stack([k[order], th[order]], axis=1), pos[order], [], (), True) if len(k) else []
+    return pa.Table.from_arrays(_rows(rows), names=_NAMES)
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """(k, parts) of a home bucket: sorted positions for each text of each document."""
+    k, th, pos = _unpack(table, True, ())
     order = np.lexsort((pos, th, k))
     k, th, pos = k[order], th[order], pos[order].astype(np.uint32)
     first = np.flatnonzero(_groups(k, th)) if len(k) else np.zeros(0, np.int64)
     ends = np.append(first[1:], len(k)) if len(k) else first
-    return pa.table({"k": pa.array(k[first], pa.int64()), "th": pa.array(th[first], pa.int64()), "at": pa.array([pos[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())})
+    heads = np.flatnonzero(_groups(k[first])) if len(first) else first
+    parts = pa.StructArray.from_arrays([pa.array(th[first], pa.int64()), pa.array([pos[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["th", "at"])
+    return pa.Table.from_arrays([pa.array(k[first[heads]], pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(heads, len(first)), pa.int32()), parts)], names=["k", "parts"])
 
 
 def _keys(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
 
 
-def _positions(column: pa.Array) -> list[np.ndarray]:
-    """A list of binary position lists per row, as sorted arrays."""
-    return [np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in row])).astype(np.int64) if row else np.zeros(0, np.int64) for row in column.to_pylist()]
+def _positions(column: pa.Array, keys: np.ndarray) -> list[np.ndarray]:
+    """The positions found for each row: those of its own text."""
+    out = []
+    for parts, (_, th) in zip(column.to_pylist(), keys.tolist(), strict=True):
+        own = [np.frombuffer(p["at"], np.uint32) for p in parts or () if p["th"] == th]
+        out.append(own[0].astype(np.int64) if own else np.zeros(0, np.int64))
+    return out
 
 
 def repeated_places(texts: DataFrame, window: int, period: int, buckets: int) -> DataFrame:
-    """``texts`` (k, th, text) -> (k, parts of (th, positions)): starts of repeated windows, by document."""
+    """``texts`` (k, th, text) -> (k, parts of (th, positions)): starts of repeated windows, by document.
+
+    A bucket of hashes answers to the home buckets of the documents, packed again, so that a document's positions are
+    one row in the end and not one for each bucket of hashes.
+    """
     cover = K.difference_cover(period)
     length = window - period + 1
     at_cover = np.zeros(period, bool)
@@ -149,23 +178,25 @@ def repeated_places(texts: DataFrame, window: int, period: int, buckets: int) ->
             pos = starts - w.first[doc]
             ok = at_cover[pos % period]
             starts, doc, pos = starts[ok], doc[ok], pos[ok]
-            rows = _chunk_rows(_keys(part), [w.windows(starts, length)], doc, pos, buckets, settle)
+            rows = _chunk_rows(_keys(part), [w.windows(starts, length)], doc, pos, buckets, _ANCHOR, settle)
             if rows:
-                yield _row_batch(rows)
+                yield pa.RecordBatch.from_arrays(_rows(rows), names=_NAMES)
 
     def repeated(table: pa.Table) -> pa.Table:
-        k, th, pos, h = _unpack(table, False, 1)
+        k, th, pos, h = _unpack(table, False, _ANCHOR)
         order = np.argsort(h, kind="stable")
         new = _groups(h[order]) if len(h) else np.zeros(0, bool)
         many = ~new
         many[:-1] |= ~new[1:]
         many = order[many]
-        sk, sth, spos = _unpack(table, True, 0)
-        return _places(np.concatenate([k[many], sk]), np.concatenate([th[many], sth]), np.concatenate([pos[many], spos]))
+        sk, sth, spos = _unpack(table, True, ())
+        return _sent_home(np.concatenate([k[many], sk]), np.concatenate([th[many], sth]), np.concatenate([pos[many], spos]), buckets)
+
+    def gathered(sent, judge):
+        return sent.groupBy("bucket").applyInArrow(judge, _PACK).groupBy("bucket").applyInArrow(_by_document, _PLACES)
 
-    found = texts.mapInArrow(anchors, _PACK).groupBy("bucket").applyInArrow(repeated, _PLACES)
-    found = found.groupBy("k").agg(F.collect_list("at").alias("at"))
-    near = texts.join(found, "k", "left").select("k", "th", "text", "at")
+    found = gathered(texts.mapInArrow(anchors, _PACK), repeated)
+    near = texts.join(found, "k", "left").select("k", "th", "text", "parts")
 
     def windows(batches):
         def settle(hashes, k, th, pos):
@@ -176,7 +207,7 @@ def repeated_places(texts: DataFrame, window: int, period: int, buckets: int) ->
             return later & ~same, ~later & ~same
 
         for part in K.chunks(batches, "text"):
-            at = _positions(part.column(3))
+            at = _positions(part.column(3), _keys(part))
             some = np.flatnonzero([len(a) > 0 for a in at])
             if not len(some):
                 continue
@@ -192,23 +223,22 @@ def repeated_places(texts: DataFrame, window: int, period: int, buckets: int) ->
             if not len(starts):
                 continue
             doc = np.searchsorted(w.first, starts, side="right") - 1
-            rows = _chunk_rows(_keys(picked), [w.windows(starts, window), w.windows(starts, window, second=True)], doc, starts - w.first[doc], buckets, settle)
+            rows = _chunk_rows(_keys(picked), [w.windows(starts, window), w.windows(starts, window, second=True) & np.uint64(0xFFFFFFFF)], doc, starts - w.first[doc], buckets, _WINDOW, settle)
             if rows:
-                yield _row_batch(rows)
+                yield pa.RecordBatch.from_arrays(_rows(rows), names=_NAMES)
 
     def later(table: pa.Table) -> pa.Table:
-        k, th, pos, h1, h2 = _unpack(table, False, 2)
+        k, th, pos, h1, h2 = _unpack(table, False, _WINDOW)
         order = np.lexsort((pos, k, h2, h1))
         k, th, pos, h1, h2 = (x[order] for x in (k, th, pos, h1, h2))
         if len(k):
             first = np.maximum.accumulate(np.where(_groups(h1, h2), np.arange(len(k)), 0))
             dup = (k > k[first]) | (pos > pos[first])
             k, th, pos = k[dup], th[dup], pos[dup]
-        sk, sth, spos = _unpack(table, True, 0)
-        return _places(np.concatenate([k, sk]), np.concatenate([th, sth]), np.concatenate([pos, spos]))
+        sk, sth, spos = _unpack(table, True, ())
+        return _sent_home(np.concatenate([k, sk]), np.concatenate([th, sth]), np.concatenate([pos, spos]), buckets)
 
-    dups = near.mapInArrow(windows, _PACK).groupBy("bucket").applyInArrow(later, _PLACES)
-    return dups.groupBy("k").agg(F.collect_list(F.struct("th", "at")).alias("parts"))
+    return gathered(near.mapInArrow(windows, _PACK), later)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, period: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,15 +253,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, period: int = 13, id_col:
         for part in K.chunks(batches, "text"):
             keys = _keys(part)
             texts_in = part.column(2).to_pylist()
-            dropped = part.column(3).to_pylist()
+            dropped = _positions(part.column(3), keys)
             out = ([], [], [])
-            for i, (text, parts) in enumerate(zip(texts_in, dropped, strict=True)):
+            for text, starts in zip(texts_in, dropped, strict=True):
                 words = (text or "").encode().split()
-                at = [np.frombuffer(p["at"], np.uint32) for p in parts or () if p["th"] == keys[i, 1]]
                 removed = 0
-                if at:
+                if len(starts):
                     edge = np.zeros(len(words) + window + 1, np.int64)
-                    starts = np.unique(np.concatenate(at)).astype(np.int64)
                     edge[starts] += 1
                     edge[starts + window] -= 1
                     gone = np.cumsum(edge)[: len(words)] > 0
