@@ -1,8 +1,11 @@
 """Queries and SQL of this subpackage, for the driver's entry file."""
 
-from queryvitals.llm import classifier, decontaminate, language, minhash, substring
+from queryvitals.llm import classifier, decontaminate, language, minhash, mixing, quality_rules, sharding, substring
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_shard": sharding.op3_shard,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op2_language_id": language.op2_language_id,
     "op10_quality_classifier": classifier.op10_quality_classifier,
     "op5_near_dedup": minhash.op5_near_dedup,
@@ -11,6 +14,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_mix_sources": mixing.OP1_SQL,
+    "op9_quality_rules": quality_rules.OP9_SQL,
     "op5_near_dedup": minhash.OP5_SQL,
     "op4_substring_dedup": substring.OP4_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
