@@ -1,8 +1,9 @@
 """Queries and SQL of this subpackage, for the driver's entry file."""
 
-from queryvitals.llm import classifier, decontaminate, language, minhash, mixing, quality_rules, sharding, substring
+from queryvitals.llm import classifier, decontaminate, language, lines, minhash, mixing, quality_rules, sharding, substring
 
 QUERIES = {
+    "op7_line_dedup": lines.op7_line_dedup,
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_shard": sharding.op3_shard,
     "op9_quality_rules": quality_rules.op9_quality_rules,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_line_dedup": lines.OP7_SQL,
     "op1_mix_sources": mixing.OP1_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
     "op5_near_dedup": minhash.OP5_SQL,
