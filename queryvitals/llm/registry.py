@@ -1,8 +1,9 @@
 """Queries and SQL of this subpackage, for the driver's entry file."""
 
-from queryvitals.llm import classifier, decontaminate, language, lines, minhash, mixing, quality_rules, sharding, substring
+from queryvitals.llm import classifier, decontaminate, language, lines, minhash, mixing, quality_rules, secrets, sharding, substring
 
 QUERIES = {
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_line_dedup": lines.op7_line_dedup,
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_shard": sharding.op3_shard,
