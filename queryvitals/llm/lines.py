@@ -29,6 +29,10 @@ _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
 _OTHER = np.uint64(0xE7037ED1A0B428DB)
 BITMAP_BITS = 1 << 24
+_CLASS_BIT = np.uint64(1) << (np.arange(256, dtype=np.uint64) % np.uint64(40))
+#: Bytes kept of segment keys, line hashes and parities. Shorter hashes only add pairs for the exact check to reject.
+_KEY, _LINE_HASH, _PARITY = 6, 6, 5
+_LINE_MASK = np.uint64((1 << 8 * _LINE_HASH) - 1)
 PAIR_BLOCK = 1 << 20
 
 
@@ -57,9 +61,9 @@ class _Lines:
         return K.mix((self.sums[last] - self.sums[first]) * self.down[first] + (last - first).astype(np.uint64))
 
     def parity(self, which: np.ndarray) -> np.ndarray:
-        """One bit for each of 64 byte classes: whether the line has an odd number of them. An edit changes two at most."""
+        """One bit for each of 40 byte classes: whether the line has an odd number of them. An edit changes two at most."""
         seen = np.zeros(len(self.words.data) + 1, np.uint64)
-        bits = np.uint64(1) << (self.words.data.astype(np.uint64) & np.uint64(63))
+        bits = _CLASS_BIT[self.words.data]
         np.bitwise_xor.accumulate(bits, out=seen[1:])
         return seen[self.start[which] + self.size[which]] ^ seen[self.start[which]]
 
@@ -70,7 +74,7 @@ def _key(length: np.ndarray, part: int, piece: np.ndarray) -> np.ndarray:
 
 
 def posts_and_probes(lines: _Lines, which: np.ndarray, threshold: int) -> list[tuple[bool, np.ndarray, np.ndarray]]:
-    """(is probe, keys, line numbers) of the lines ``which``."""
+    """(is probe, keys, line numbers) of the lines ``which``. A probe at the place of the line's own segment is its post, and is not sent again."""
     parts = threshold + 1
     start, length = lines.start[which], lines.size[which]
     out = []
@@ -84,6 +88,8 @@ def posts_and_probes(lines: _Lines, which: np.ndarray, threshold: int) -> list[t
             low = max(-i, shorter - (threshold - i))
             high = min(i, shorter + (threshold - i))
             for shift in range(low, high + 1):
+                if shorter == shift == 0:
+                    continue
                 at = first[:, i] + shift
                 ok = (at >= 0) & (at + size[:, i] <= length)
                 s = start[ok] + at[ok]
@@ -144,7 +150,7 @@ _PACK = "bucket int, probe boolean, keys binary, lines binary, parity binary"
 
 
 def candidate_pairs(texts: DataFrame, threshold: int, min_bytes: int, buckets: int) -> DataFrame:
-    """(a, b): first hashes of different long lines that share a segment where it can count, and whose parities allow a match."""
+    """(a, b): short hashes of different long lines that share a segment where it can count, and whose parities allow a match."""
 
     def send(batches):
         for part in K.chunks(batches, "text"):
@@ -163,7 +169,7 @@ def candidate_pairs(texts: DataFrame, threshold: int, min_bytes: int, buckets: i
                 bucket, keys, owner = bucket[order], keys[order], owner[order]
                 first = np.flatnonzero(_groups(bucket))
                 for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
-                    rows.append((int(bucket[lo]), probe, _planes(keys[lo:hi], 6), _planes(lines.h1[owner[lo:hi]], 8), _planes(parity[owner[lo:hi]], 8)))
+                    rows.append((int(bucket[lo]), probe, _planes(keys[lo:hi], _KEY), _planes(lines.h1[owner[lo:hi]], _LINE_HASH), _planes(parity[owner[lo:hi]], _PARITY)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.bool_(), *[pa.binary()] * 3], strict=True)], names=["bucket", "probe", "keys", "lines", "parity"])
 
     def meet(table: pa.Table) -> pa.Table:
@@ -171,7 +177,9 @@ def candidate_pairs(texts: DataFrame, threshold: int, min_bytes: int, buckets: i
         for probe in (False, True):
             own = [i for i, p in enumerate(table.column("probe").to_pylist()) if p == probe]
             column = lambda name, width: np.concatenate([_values(table.column(name)[i].as_py(), width, np.uint64) for i in own]) if own else np.zeros(0, np.uint64)
-            keys, line, parity = column("keys", 6), column("lines", 8), column("parity", 8)
+            keys, line, parity = column("keys", _KEY), column("lines", _LINE_HASH), column("parity", _PARITY)
+            if probe:
+                keys, line, parity = (np.concatenate(x) for x in zip(sides[0], (keys, line, parity), strict=True))
             order = np.lexsort((line, keys))
             keys, line, parity = keys[order], line[order], parity[order]
             new = _groups(keys, line) if len(keys) else np.zeros(0, bool)
@@ -202,8 +210,8 @@ def candidate_pairs(texts: DataFrame, threshold: int, min_bytes: int, buckets: i
 
 
 def line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, h2, line) of the lines whose first hash is in ``wanted`` (column h1); a fixed-size bitmap spares the shuffle of most others."""
-    key = F.pmod(F.col("h1"), F.lit(BITMAP_BITS))
+    """(s, h1, h2, line) of the lines whose short hash is in ``wanted`` (column s); a fixed-size bitmap spares the shuffle of most others."""
+    key = F.pmod(F.col("s"), F.lit(BITMAP_BITS))
     words = wanted.select(key.alias("k")).select(F.floor(F.col("k") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(k % 64 AS int))").alias("m"))
     words = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
@@ -213,23 +221,24 @@ def line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def pick(batches):
         for part in K.chunks(batches, "text"):
             lines = _Lines(part.column(0))
-            k = np.mod(lines.h1.view(np.int64), BITMAP_BITS)
+            short = (lines.h1 & _LINE_MASK).view(np.int64)
+            k = short % BITMAP_BITS
             ok = np.flatnonzero((sent.value[k >> 6] >> (k & 63).astype(np.uint64)) & np.uint64(1))
             _, unique = np.unique(np.stack([lines.h1[ok], lines.h2[ok]]), axis=1, return_index=True)
             ok = ok[unique]
             body = lines.words.data
             out = [body[s : s + n].tobytes() for s, n in zip(lines.start[ok].tolist(), lines.size[ok].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.h1[ok].view(np.int64)), pa.array(lines.h2[ok].view(np.int64)), pa.array(out, pa.binary())], names=["h1", "h2", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(short[ok]), pa.array(lines.h1[ok].view(np.int64)), pa.array(lines.h2[ok].view(np.int64)), pa.array(out, pa.binary())], names=["s", "h1", "h2", "line"])
 
-    found = texts.select("text").mapInArrow(pick, "h1 bigint, h2 bigint, line binary")
-    return found.join(wanted, "h1", "left_semi").dropDuplicates(["h1", "h2"])
+    found = texts.select("text").mapInArrow(pick, "s bigint, h1 bigint, h2 bigint, line binary")
+    return found.join(wanted, "s", "left_semi").dropDuplicates(["s", "h1", "h2"])
 
 
 def near_lines(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(a1, a2, b1, b2): hashes of lines within the threshold."""
-    lines = K.checkpoint(line_texts(texts, pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()))
-    left = pairs.join(lines.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("x")), "a")
-    both = left.join(lines.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("y")), "b").select("a", "a2", "b", "b2", "x", "y")
+    lines = K.checkpoint(line_texts(texts, pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()))
+    left = pairs.join(lines.select(F.col("s").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("x")), "a")
+    both = left.join(lines.select(F.col("s").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("y")), "b").select("a1", "a2", "b1", "b2", "x", "y")
 
     def verify(batches):
         for part in K.chunks(batches, "x"):

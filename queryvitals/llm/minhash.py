@@ -4,15 +4,15 @@ A document is the set of its distinct word shingles. Equal sets are one class, s
 branched recursively: a tree's node is split by a minwise token that the path selects, so that classes of similarity s
 stay together with probability s at each chosen token; independent trees repeat this. In each node:
 
-* every class is first compared with one hub of the node (any member, another one in each tree), and the components of
+* every class is first compared with one hub of the node, and the components of
   the links found that way are taken; a group of near copies collapses here without its pairs being listed;
 * nodes that still hold several components are compared exhaustively across components if that is at most ``spread``
   pairs a member, and are branched further by ``branches`` chosen tokens otherwise; after ``depth`` levels whatever is
   left is compared exhaustively. Nothing is capped.
 
 Pairs must pass two tests before full sets are fetched: set sizes that allow the similarity (exact), and 128 sketch
-bits (four bits of each of 32 minwise tokens) of which at most 56 differ; a pair at similarity 0.8 fails that with
-probability below 1e-12, and one at 0.8 is missed by all of the ``trees`` first splits with probability 0.2**trees
+bits (four bits of each of 32 minwise tokens) of which at most 48 differ; a pair at similarity 0.8 fails that with
+probability of 3e-8, and one at 0.8 is missed by all of the ``trees`` first splits with probability 0.2**trees
 (1e-7 for ten). Every link is confirmed on the full sets.
 
 Defined cases: null, empty and wordless texts have an empty set, are linked with nothing and are their own component;
@@ -32,7 +32,8 @@ from queryvitals.llm import kernel as K
 from queryvitals.llm.components import components
 
 MINS = 32
-SKETCH_BITS = 56
+SKETCH_BITS = 48
+BITMAP_BITS = 1 << 24
 _SEEDS = np.random.default_rng(7_919).integers(1, 2**63, (MINS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -54,6 +55,16 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(row, np.arange(w.rows + 1))
 
 
+def _set_hash(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One hash for each whole set; 0 for empty sets."""
+    n = np.diff(at)
+    some = np.flatnonzero(n)
+    s = np.zeros(len(n), np.uint64)
+    if len(some):
+        s[some] = K.mix(np.add.reduceat(K.mix(hashes.copy()), at[:-1][some]) + n[some].astype(np.uint64))
+    return s
+
+
 def signatures(docs: DataFrame, size: int, trees: int) -> DataFrame:
     """(id, th, n, s, mins, x1, x2): set size, set hash, minwise tokens and sketch bits of every row."""
 
@@ -63,11 +74,10 @@ def signatures(docs: DataFrame, size: int, trees: int) -> DataFrame:
             n = np.diff(at)
             some = np.flatnonzero(n)
             heads = at[:-1][some]
-            s = np.zeros(part.num_rows, np.uint64)
+            s = _set_hash(hashes, at)
             mins = np.zeros((part.num_rows, MINS), np.uint64)
             bits = np.zeros((part.num_rows, 2), np.uint64)
             if len(some):
-                s[some] = K.mix(np.add.reduceat(K.mix(hashes.copy()), heads) + n[some].astype(np.uint64))
                 for j in range(MINS):
                     # A bijection of the hash, ordered by its high bits.
                     x = hashes ^ (hashes >> np.uint64(29))
@@ -87,15 +97,28 @@ def signatures(docs: DataFrame, size: int, trees: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(s, grams) for the classes ``wanted`` (s, id, th): the whole set of each, from one row of the class."""
+    """(s, grams) for the classes ``wanted`` (s, id, th): the whole set of each, from one row of the class.
+
+    Only rows that a fixed-size bitmap of the wanted (id, th) lets through leave the scan; what it lets through by
+    chance is dropped by the exact join, so the bitmap saves shuffle and decides nothing.
+    """
+    key = F.pmod(F.xxhash64("id", "th"), F.lit(BITMAP_BITS))
+    words = wanted.select(key.alias("k")).select(F.floor(F.col("k") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(k % 64 AS int))").alias("m"))
+    words = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
+    bitmap[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def gather(batches):
-        for part in K.chunks(batches, "text"):
-            hashes, at = shingles(part.column(1), size)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))], names=["s", "grams"])
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array((sent.value[k >> 6] >> (k & 63).astype(np.uint64)) & np.uint64(1) != 0))
+            for part in K.chunks([batch], "text"):
+                hashes, at = shingles(part.column(1), size)
+                yield pa.RecordBatch.from_arrays([pa.array(_set_hash(hashes, at).view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))], names=["s", "grams"])
 
-    same = docs.id.eqNullSafe(wanted.id) & (docs.th == wanted.th)
-    return docs.join(wanted, same).select("s", "text").mapInArrow(gather, "s bigint, grams array<bigint>").dropDuplicates(["s"])
+    sets = docs.select(key.alias("k"), "text").mapInArrow(gather, "s bigint, grams array<bigint>")
+    return sets.join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"])
 
 
 def _possible(percent: int):
@@ -112,34 +135,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = 10, spread: int = 64, branches: int = 3, depth: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id."""
+    """One row per document: id, th (xxhash64 of the text), n_shingles, component_id, and keeper: whether its (id, th)
+    is the first of its component, identified documents before others; every document with an empty set is one."""
+    if trees + depth * branches > MINS:
+        raise ValueError(f"trees + depth * branches may not exceed {MINS}")
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     signed = K.checkpoint(signatures(source, size, trees))
     # One class for each distinct set; its row with the smallest id stands for it.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
     classes = signed.where("n > 0").groupBy("s").agg(first.alias("r"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("x1").alias("x1"), F.first("x2").alias("x2"))
     classes = K.checkpoint(classes.select("s", "r.id", "r.th", "n", "mins", "x1", "x2"))
-    roots = classes.select("s", "n", "x1", "x2", "mins", F.posexplode(F.slice("mins", 1, trees)).alias("tree", "m")).select("s", "n", "x1", "x2", F.xxhash64("tree", "m").alias("path"))
-    # The hub of a node: another member in each node, the same on every run.
-    rank = F.struct(F.xxhash64("s", "path").alias("o"), "s", "n", "x1", "x2")
-    hubs = roots.groupBy("path").agg(F.min(rank).alias("h"), F.count("*").alias("k")).where("k > 1").drop("k")
-    edges = roots.join(hubs, "path").where("s <> h.s").select(
-        *(F.when(F.col("s") < F.col("h.s"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("s", "h.s", "a"), ("n", "h.n", "na"), ("x1", "h.x1", "xa1"), ("x2", "h.x2", "xa2"))),
-        *(F.when(F.col("s") < F.col("h.s"), F.col(y)).otherwise(F.col(x)).alias(z) for x, y, z in (("s", "h.s", "b"), ("n", "h.n", "nb"), ("x1", "h.x1", "xb1"), ("x2", "h.x2", "xb2"))),
+    roots = classes.select("s", "n", "x1", "x2", F.posexplode(F.slice("mins", 1, trees)).alias("tree", "m")).select("s", "n", "x1", "x2", "tree", F.xxhash64("tree", "m").alias("path"))
+    # The hub of a node is its smallest class in every second tree and its largest in the others.
+    hubs = roots.groupBy("path").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi")
+    shared_nodes = K.checkpoint(roots.join(hubs, "path").select("path", "s", "n", "x1", "x2", F.when(F.col("tree") % 2 == 0, F.col("lo")).otherwise(F.col("hi")).alias("hub")))
+    hub = classes.select(F.col("s").alias("hub"), F.col("n").alias("hn"), F.col("x1").alias("h1"), F.col("x2").alias("h2"))
+    spokes = shared_nodes.where("s <> hub").select("s", "n", "x1", "x2", "hub").distinct().join(hub, "hub")
+    edges = spokes.select(
+        F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b"), F.col("n").alias("na"), F.col("hn").alias("nb"), F.col("x1").alias("xa1"), F.col("h1").alias("xb1"), F.col("x2").alias("xa2"), F.col("h2").alias("xb2")
     )
     tried = K.checkpoint(edges.where(_possible(percent)).select("a", "b").distinct())
     ids = classes.select("s", "id", "th")
 
     def sets_of(pairs):
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(ids, "s")
-        return K.checkpoint(full_sets(source, wanted, size))
+        return full_sets(source, wanted, size)
 
     found = K.checkpoint(confirmed(tried, sets_of(tried), percent))
     # Rows that share an id are one vertex.
     shared = signed.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("a", "b")
     linked = found.union(_same_id(signed, shared))
     labels = components(linked)
-    nodes = roots.join(labels.select(F.col("v").alias("s"), "label"), "s", "left").select("s", "n", "x1", "x2", "path", F.coalesce("label", "s").alias("label"))
+    turn = F.pmod("path", F.lit(MINS - trees)).cast("int").alias("turn")
+    nodes = shared_nodes.join(labels.select(F.col("v").alias("s"), "label"), "s", "left").select("s", "n", "x1", "x2", "path", F.coalesce("label", "s").alias("label"), turn)
     pairs = None
     for level in range(depth + 1):
         open_nodes = _unsettled(nodes, spread, last=level == depth)
@@ -148,19 +176,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
         pairs = across if pairs is None else pairs.union(across)
         if level == depth or open_nodes.where("NOT small").isEmpty():
             break
-        chosen = F.transform(F.sequence(F.lit(1), F.lit(branches)), lambda i: F.pmod(F.xxhash64("path", i, F.lit(level)), F.lit(MINS)).cast("int"))
-        split = here.where("NOT small").select("s", "n", "x1", "x2", "label", "path", F.explode(F.array_distinct(chosen)).alias("c"))
-        split = split.join(classes.select("s", "mins"), "s").select("s", "n", "x1", "x2", "label", F.xxhash64("path", "c", F.element_at("mins", F.col("c") + 1)).alias("path"))
+        # Tokens that no step of the path has used: a used one would not split the node.
+        chosen = F.array(*[trees + (F.col("turn") + level * branches + i) % (MINS - trees) for i in range(branches)])
+        split = here.where("NOT small").select("s", "n", "x1", "x2", "label", "path", "turn", F.explode(chosen).alias("c"))
+        split = split.join(classes.select("s", "mins"), "s").select("s", "n", "x1", "x2", "label", "turn", F.xxhash64("path", "c", F.element_at("mins", F.col("c") + 1)).alias("path"))
         nodes = K.checkpoint(split)
     rest = K.checkpoint(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = confirmed(rest, sets_of(rest), percent)
         labels = components(linked.union(more))
     by_class = ids.select("s").join(labels.select(F.col("v").alias("s"), "label"), "s", "left").select("s", F.coalesce("label", "s").alias("label"))
-    rows = signed.select("id", "n", "s").join(by_class, "s", "left")
-    lowest = rows.where("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
+    rows = signed.select("id", "th", "n", "s").join(by_class, "s", "left")
+    place = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "th")
+    lowest = rows.where("n > 0").groupBy("label").agg(F.min("id").alias("component_id"), F.min(place).alias("first"))
     lone = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return rows.join(lowest, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), lone.alias("component_id"))
+    keeper = (F.col("n") == 0) | (place == F.col("first"))
+    return rows.join(lowest, "label", "left").select(F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), lone.alias("component_id"), keeper.alias("keeper"))
 
 
 def _same_id(signed: DataFrame, shared: DataFrame) -> DataFrame:
