@@ -213,4 +213,4 @@ def digest(events: DataFrame, shop, queue: DataFrame, days: int = 7, end: str |
 
 def upsert_digest(old: DataFrame, new: DataFrame) -> DataFrame:
     """Digests with the new ones replacing those of the same period."""
-    return old.join(new, ["period_start", "period_end"], "left_anti").unionByName(new)
+    return old.join(new, ["period_start", "period_end"], "left_anti").select(*old.columns).unionByName(new)
