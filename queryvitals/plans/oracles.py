@@ -96,7 +96,7 @@ def compose(select: str, recursive: str = "", **values: str) -> str:
         return re.sub(r"\{(\w+)\}", lambda m: values.get(m[1], m[1] if m[1] in BASE else f"q_{m[1]}"), text)
 
     def plain(text: str, fill=plain) -> str:
-        return _twice_rounded(fill(text))
+        return _half_even(fill(text))
 
     parts = [f"q_{n} AS MATERIALIZED ({plain(STEPS[n])})" for n in order]
     if recursive:
@@ -105,8 +105,9 @@ def compose(select: str, recursive: str = "", **values: str) -> str:
     return head + plain(select)
 
 
-def _twice_rounded(text: str) -> str:
-    """round_even(x, d) as round_even(round_even(x, 9), d): what the order of addition leaves is gone before the tie."""
+def _half_even(text: str) -> str:
+    """round_even(x, d) by whole billionths: half-even on the decimal value, as Spark's bround is, and what the order
+    of addition leaves beyond nine digits is gone first."""
     out, at = [], 0
     while (start := text.find("round_even(", at)) >= 0:
         begin = start + len("round_even(")
@@ -114,8 +115,9 @@ def _twice_rounded(text: str) -> str:
         while depth:
             depth += {"(": 1, ")": -1}.get(text[end], 0)
             end += 1
-        inside = text[begin : end - 1]
-        value, digits = inside.rsplit(",", 1)
-        out += [text[at:start], "round_even(round_even(", _twice_rounded(value), ", 9),", digits, ")"]
+        value, digits = text[begin : end - 1].rsplit(",", 1)
+        unit, scale = 10 ** (9 - int(digits)), 10 ** int(digits)
+        up = f"CASE WHEN 2 * (n % {unit}) > {unit} OR (2 * (n % {unit}) = {unit} AND (n // {unit}) % 2 = 1) THEN 1 ELSE 0 END"
+        out += [text[at:start], f"list_transform([CAST(round(({_half_even(value)}) * 1e9) AS BIGINT)], lambda n: CAST(n // {unit} + {up} AS DOUBLE) / {scale})[1]"]
         at = end
     return "".join([*out, text[at:]])
