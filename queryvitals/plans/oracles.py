@@ -76,6 +76,34 @@ STEPS |= {
     "syn0": "SELECT source_term, target_term, string_agg(DISTINCT signal, '|' ORDER BY signal) AS signals, count(DISTINCT signal) AS n, max(CASE signal WHEN 'reworded_by_shopper' THEN 0.40::DOUBLE WHEN 'shared_translation' THEN 0.62::DOUBLE WHEN 'result_overlap' THEN 0.60::DOUBLE ELSE 0.58::DOUBLE END) AS base, arg_min(lang, (o, lang)) AS lang, CAST(sum(observations) AS BIGINT) AS observations, max(shared_products) AS shared_products, max(overlap) AS overlap, max(alignment) AS alignment, max(translation) AS translation FROM {signals} GROUP BY 1, 2",
     "syn": "SELECT source_term, target_term, lang, round_even(least(0.99::DOUBLE, base + 0.12::DOUBLE * (n - 1)), 3) AS confidence, signals, observations, shared_products, overlap, alignment, translation FROM {syn0} WHERE source_term <> target_term AND damerau_levenshtein(source_term, target_term) > 2 AND NOT starts_with(target_term, source_term) AND NOT starts_with(source_term, target_term) AND round_even(least(0.99::DOUBLE, base + 0.12::DOUBLE * (n - 1)), 3) >= 0.45",
 }
+
+
+def _variant(suffix: str, events: str, edits: dict[str, tuple[str, str]]) -> None:
+    """Every step that depends on the log, again over another log: a period of it, or one cut by days."""
+    refs = {n: set(re.findall(r"\{(\w+)\}", t)) for n, t in STEPS.items() if not n.endswith(("_a", "_b", "_day"))}
+    own = {"ev"}
+    while more := {n for n, r in refs.items() if r & own} - own:
+        own |= more
+    for n in own:
+        text = STEPS[n]
+        for a, b in edits.get(n, ()):
+            text = text.replace(a, b)
+        text = re.sub(r"\{(\w+)\}", lambda m: f"{{{m[1]}_{suffix}}}" if m[1] in own else m[0], text)
+        STEPS[f"{n}_{suffix}"] = events if n == "ev" else text
+
+
+_STAMP = "strftime(occurred_at, '%Y-%m-%d %H:%M:%S')"
+for _name, _since, _until in (("a", "2024-01-01", "2024-01-15"), ("b", "2024-01-15", "2024-01-31")):
+    _variant(_name, f"SELECT * FROM {{ev}} WHERE {_STAMP} >= '{_since}' AND {_STAMP} <= '{_until}'", {})
+_variant(
+    "day",
+    "SELECT *, strftime(occurred_at, '%Y-%m-%d') AS day FROM {ev}",
+    {
+        "nxt": [("PARTITION BY session_id", "PARTITION BY day, session_id")],
+        "rolled": [("SELECT norm_query,", "SELECT day, norm_query,"), ("GROUP BY norm_query", "GROUP BY day, norm_query")],
+        "scored": [("OVER ()", "OVER (PARTITION BY day)")],
+    },
+)
 BASE = {"part", "events", "documents", "conversations", "orders", "customer", "lineitem"}
 
 
@@ -117,7 +145,7 @@ def _half_even(text: str) -> str:
             end += 1
         value, digits = text[begin : end - 1].rsplit(",", 1)
         unit, scale = 10 ** (9 - int(digits)), 10 ** int(digits)
-        up = f"CASE WHEN 2 * (n % {unit}) > {unit} OR (2 * (n % {unit}) = {unit} AND (n // {unit}) % 2 = 1) THEN 1 ELSE 0 END"
-        out += [text[at:start], f"list_transform([CAST(round(({_half_even(value)}) * 1e9) AS BIGINT)], lambda n: CAST(n // {unit} + {up} AS DOUBLE) / {scale})[1]"]
+        up = f"CASE WHEN 2 * (abs(n) % {unit}) > {unit} OR (2 * (abs(n) % {unit}) = {unit} AND (abs(n) // {unit}) % 2 = 1) THEN 1 ELSE 0 END"
+        out += [text[at:start], f"list_transform([CAST(round(({_half_even(value)}) * 1e9) AS BIGINT)], lambda n: CAST(sign(n) * (abs(n) // {unit} + {up}) AS DOUBLE) / {scale})[1]"]
         at = end
     return "".join([*out, text[at:]])

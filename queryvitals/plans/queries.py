@@ -299,12 +299,20 @@ def period_filter(s: Surrogate) -> DataFrame:
     return M.in_period(s.events(), "2024-01-08", "2024-01-20").select("id", "session_id")
 
 
-@query("daily_health")
+@query("daily_health", f"SELECT day, {_OVERVIEW} FROM {{qq_day}} GROUP BY day")
 def daily_health(s: Surrogate) -> DataFrame:
-    return M.daily_health(s.events(), s.shop()).drop("notes")
+    return M.daily_health(s.events(), s.shop()).drop("notes", "engagement_source").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query("compare_periods")
+_METRICS = ["health_score", "total_searches", "lexical_miss_rate", "dissatisfaction_rate", "zero_result_rate"]
+
+
+@query(
+    "compare_periods",
+    "SELECT metric, before, after, round_even(after - before, 3) AS delta FROM ("
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST(a.{m} AS DOUBLE) AS before, CAST(b.{m} AS DOUBLE) AS after FROM (SELECT {_OVERVIEW} FROM {{qq_a}}) a, (SELECT {_OVERVIEW} FROM {{qq_b}}) b" for m in _METRICS)
+    + ")",
+)
 def compare_periods(s: Surrogate) -> DataFrame:
     events, shop = s.events(), s.shop()
     half = lambda a, b: M.overview(M.query_quality(M.in_period(events, a, b), shop))
