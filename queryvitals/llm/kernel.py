@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 # The byte classes of the three word definitions.
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -168,6 +168,13 @@ def bucket_count(df, bucket_bytes: int = 16 << 20) -> int:
     return int(min(max(parts, plan_bytes(df) // bucket_bytes + 1), 1 << 20))
 
 
+def small_batches(spark, rows: int = 500) -> None:
+    """Hold Arrow batches of whole texts to ``rows``: the default of ten thousand is tens of MB on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def checkpoint(df):
     """A reliable checkpoint in the folder of spark.checkpoint.dir; only where none is set, a folder of our own."""
     context = df.sparkSession.sparkContext

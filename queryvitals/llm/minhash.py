@@ -7,8 +7,9 @@ stay together with probability s at each chosen token; independent trees repeat
 * every class is first compared with one hub of the node, and the components of
   the links found that way are taken; a group of near copies collapses here without its pairs being listed;
 * nodes that still hold several components are compared exhaustively across components if that is at most ``spread``
-  pairs a member, and are branched further by ``branches`` chosen tokens otherwise; after ``depth`` levels whatever is
-  left is compared exhaustively. Nothing is capped.
+  pairs a member; crowds of similar sets, which further tokens would not part, are compared exhaustively in blocks of
+  bounded size; other nodes are branched by ``branches`` chosen tokens. After ``depth`` levels whatever is left is
+  compared in blocks. Nothing is capped.
 
 Pairs must pass two tests before full sets are fetched: set sizes that allow the similarity (exact), and 128 sketch
 bits (four bits of each of 32 minwise tokens) of which at most 48 differ; a pair at similarity 0.8 fails that with
@@ -23,6 +24,8 @@ and keeps its rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +37,8 @@ from queryvitals.llm.components import components
 MINS = 32
 SKETCH_BITS = 48
 BITMAP_BITS = 1 << 24
+BLOCK_TOKENS = 1 << 19
+FEW_LEFT = 10_000
 _SEEDS = np.random.default_rng(7_919).integers(1, 2**63, (MINS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -134,11 +139,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = 10, spread: int = 64, branches: int = 3, depth: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = 10, spread: int = 8, branches: int = 2, depth: int = 5, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, th (xxhash64 of the text), n_shingles, component_id, and keeper: whether its (id, th)
     is the first of its component, identified documents before others; every document with an empty set is one."""
     if trees + depth * branches > MINS:
         raise ValueError(f"trees + depth * branches may not exceed {MINS}")
+    K.small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     signed = K.checkpoint(signatures(source, size, trees))
     # One class for each distinct set; its row with the smallest id stands for it.
@@ -168,22 +174,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     labels = components(linked)
     turn = F.pmod("path", F.lit(MINS - trees)).cast("int").alias("turn")
     nodes = shared_nodes.join(labels.select(F.col("v").alias("s"), "label"), "s", "left").select("s", "n", "x1", "x2", "path", F.coalesce("label", "s").alias("label"), turn)
-    pairs = None
+    pairs, dense = [], []
     for level in range(depth + 1):
-        open_nodes = _unsettled(nodes, spread, last=level == depth)
-        here = nodes.join(open_nodes, "path")
-        across = _across(here.where("small"), percent)
-        pairs = across if pairs is None else pairs.union(across)
-        if level == depth or open_nodes.where("NOT small").isEmpty():
+        here = K.checkpoint(nodes.join(_unsettled(nodes, spread, last=level == depth), "path"))
+        pairs.append(_across(here.where("way = 'pairs'"), percent))
+        dense.append(here.where("way = 'blocks'").select("path", "s", "label", "members", "tokens"))
+        rest = here.where("way = 'branch'")
+        if level == depth or rest.count() <= FEW_LEFT:
+            # So few that comparing them in blocks, which misses nothing, costs less than another level.
+            dense.append(rest.select("path", "s", "label", "members", "tokens"))
             break
         # Tokens that no step of the path has used: a used one would not split the node.
         chosen = F.array(*[trees + (F.col("turn") + level * branches + i) % (MINS - trees) for i in range(branches)])
-        split = here.where("NOT small").select("s", "n", "x1", "x2", "label", "path", "turn", F.explode(chosen).alias("c"))
-        split = split.join(classes.select("s", "mins"), "s").select("s", "n", "x1", "x2", "label", "turn", F.xxhash64("path", "c", F.element_at("mins", F.col("c") + 1)).alias("path"))
-        nodes = K.checkpoint(split)
-    rest = K.checkpoint(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = confirmed(rest, sets_of(rest), percent)
+        split = rest.select("s", "n", "x1", "x2", "label", "path", "turn", F.explode(chosen).alias("c"))
+        nodes = split.join(classes.select("s", "mins"), "s").select("s", "n", "x1", "x2", "label", "turn", F.xxhash64("path", "c", F.element_at("mins", F.col("c") + 1)).alias("path"))
+    rest = K.checkpoint(reduce(DataFrame.union, pairs).distinct().join(tried, ["a", "b"], "left_anti"))
+    crowd = K.checkpoint(reduce(DataFrame.union, dense))
+    wanted = rest.select(F.explode(F.array("a", "b")).alias("s")).union(crowd.select("s")).distinct().join(ids, "s")
+    sets = full_sets(source, K.checkpoint(wanted), size)
+    more = K.checkpoint(confirmed(rest, sets, percent).union(_linked_in_blocks(crowd, sets, percent, block)))
+    if not more.isEmpty():
         labels = components(linked.union(more))
     by_class = ids.select("s").join(labels.select(F.col("v").alias("s"), "label"), "s", "left").select("s", F.coalesce("label", "s").alias("label"))
     rows = signed.select("id", "th", "n", "s").join(by_class, "s", "left")
@@ -201,11 +211,73 @@ def _same_id(signed: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def _unsettled(nodes: DataFrame, spread: int, last: bool) -> DataFrame:
-    """Nodes with several labels: (path, small). Counts of labels are partial aggregates."""
-    by_label = nodes.groupBy("path", "label").agg(F.count("*").alias("k"))
-    node = by_label.groupBy("path").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("labels"))
-    few = F.lit(True) if last else (F.col("n") * F.col("n") - F.col("same")) / 2 <= spread * F.col("n")
-    return node.where("labels > 1").select("path", few.alias("small"))
+    """Nodes with several labels, and the way to settle each: (path, members, tokens, way).
+
+    ``pairs``: few enough to compare across labels. ``blocks``: most members resemble the node's first one, so further
+    tokens would not part them (or the depth is used up). ``branch``: all others. All counts are partial aggregates.
+    """
+    by_label = nodes.groupBy("path", "label").agg(F.count("*").alias("k"), F.sum("n").alias("t"), F.min(F.struct("s", "x1", "x2")).alias("h"))
+    node = by_label.groupBy("path").agg(F.sum("k").alias("members"), F.sum("t").alias("tokens"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("labels"), F.min("h").alias("h")).where("labels > 1")
+    like = F.expr(f"bit_count(x1 ^ h.x1) + bit_count(x2 ^ h.x2) <= {SKETCH_BITS}")
+    alike = nodes.join(node.select("path", "h"), "path").groupBy("path").agg(F.avg(like.cast("int")).alias("alike"))
+    few = (F.col("members") * F.col("members") - F.col("same")) / 2 <= spread * F.col("members")
+    way = F.when(few, "pairs").when(F.lit(last) | (F.col("alike") >= 0.5), "blocks").otherwise("branch")
+    return node.join(alike, "path").select("path", "members", "tokens", way.alias("way"))
+
+
+def _linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) across labels inside crowded nodes, compared exhaustively on full sets.
+
+    A node's members are dealt into blocks of about ``block``, or fewer where sets are large; each pair of blocks is one task's work, of bounded size
+    whatever the node's. A task returns links that span what it found connected, not every linked pair.
+    """
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    dealt = crowd.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64("s", "path"), F.col("_n")).cast("int"))
+    dealt = dealt.select("path", "s", "label", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j"))
+    dealt = dealt.select("path", "s", "label", F.least("_b", "_j").alias("i"), F.greatest("_b", "_j").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        s, label = table.column("s").to_numpy(), table.column("label").to_numpy()
+        grams = table.column("grams").combine_chunks()
+        flat, n = grams.flatten().to_numpy(), np.diff(grams.offsets.to_numpy())
+        a, b = _linked(flat, n, label, percent)
+        return pa.table({"a": pa.array(np.minimum(s[a], s[b]), pa.int64()), "b": pa.array(np.maximum(s[a], s[b]), pa.int64())})
+
+    return dealt.join(sets, "s").groupBy("path", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _linked(flat: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members linked across labels: a spanning forest of the links. Shared sizes come from a product of the incidence
+    matrix, in slices of its columns; tokens of a single member have no column."""
+    m = len(n)
+    row = np.repeat(np.arange(m), n)
+    _, column, uses = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.where(uses[column] > 1, np.cumsum(uses > 1)[column] - 1, -1)
+    width, shared = 4096, np.zeros((m, m), np.float32)
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        x = np.zeros((m, width), np.float32)
+        begin, end = np.searchsorted(column, [lo, lo + width])
+        x[row[begin:end], column[begin:end] - lo] = 1
+        shared += x @ x.T
+    ok = (100 * shared >= percent * (n[:, None] + n[None, :] - shared)) & (label[:, None] != label[None, :])
+    a, b = np.nonzero(np.triu(ok, 1))
+    parent = {}
+
+    def top(v: int) -> int:
+        while parent.get(v, v) != v:
+            parent[v] = v = parent.get(parent[v], parent[v])
+        return v
+
+    keep = []
+    for k, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[x] = y
+            keep.append(k)
+    return a[keep], b[keep]
 
 
 def _across(nodes: DataFrame, percent: int) -> DataFrame:

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from tests.llm import fixtures as X
 
 from queryvitals.llm import decontaminate, kernel, lines, minhash, quality_rules, substring
+from queryvitals.llm.components import components
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -137,6 +138,14 @@ def test_near_duplicates_in_a_crowd(spark):
         assert near_rows(minhash.near_duplicates(X.frame(spark, rows), size=4, spread=spread, block=block)) == want
 
 
+def test_components_by_one_task_and_by_joins(spark):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    one, many = (sorted(map(tuple, components(df, one_task=n).collect())) for n in (1_000_000, 0))
+    assert one == many and dict(one)[1040] == 1000
+
+
 def test_full_set_links_match_products():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(40)]
