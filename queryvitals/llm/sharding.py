@@ -10,7 +10,7 @@ row number; among equal rows it does not matter which goes where. The number of
 
 Defined cases: null ids and texts are records like all others; repeated rows are separate records; fewer records than
 shards leave the last shards empty; an empty table gives no rows; other columns travel along, and columns named
-``shard`` or ``slot`` are replaced.
+``shard`` or ``slot`` are replaced; names that start with two underscores are the operator's own.
 """
 
 from __future__ import annotations
@@ -29,40 +29,40 @@ BUCKET_BYTES = 16 << 20
 def shard(docs: DataFrame, shards: int = 16, seed: int = 0, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with shard (int) and slot (long), shuffled."""
     names = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__h"), F.monotonically_increasing_id().alias("__row"))
     buckets = K.bucket_count(docs, bucket_bytes)
-    rows = rows.withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
+    rows = rows.withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
     # Sizes of the buckets; the few that are far too large get sub-buckets by row number.
     weight = F.coalesce(F.octet_length(text_col), F.lit(0)) + 64
-    sizes = K.checkpoint(rows.groupBy("_bucket").agg(F.count("*").alias("n"), F.sum(weight).alias("bytes")))
-    large = {r["_bucket"]: int(r["bytes"] // (8 * bucket_bytes)) + 1 for r in sizes.where(F.col("bytes") > 8 * bucket_bytes).collect()}
+    sizes = K.checkpoint(rows.groupBy("__bucket").agg(F.count("*").alias("__n"), F.sum(weight).alias("__bytes")))
+    large = {r["__bucket"]: int(r["__bytes"] // (8 * bucket_bytes)) + 1 for r in sizes.where(F.col("__bytes") > 8 * bucket_bytes).collect()}
     if large:
-        parts = F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("_bucket")], F.lit(1))
-        rows = rows.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(seed)), parts).cast("int"))
-        sizes = rows.groupBy("_bucket", "_part").agg(F.count("*").alias("n"))
+        parts = F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("__bucket")], F.lit(1))
+        rows = rows.withColumn("__part", F.pmod(F.xxhash64("__row", F.lit(seed)), parts).cast("int"))
+        sizes = rows.groupBy("__bucket", "__part").agg(F.count("*").alias("__n"))
     else:
-        rows = rows.withColumn("_part", F.lit(0))
-        sizes = sizes.select("_bucket", F.lit(0).alias("_part"), "n")
+        rows = rows.withColumn("__part", F.lit(0))
+        sizes = sizes.select("__bucket", F.lit(0).alias("__part"), "__n")
     # One row per bucket: 64 runs of buckets are summed first, so no task orders more than its share of them.
-    run = F.floor(F.col("_bucket") / max(1, buckets // 64))
-    runs = sizes.groupBy(run.alias("_run")).agg(F.sum("n").alias("n"))
-    runs = runs.select("_run", (F.sum("n").over(Window.orderBy("_run")) - F.col("n")).alias("_base"))
-    inside = Window.partitionBy(run).orderBy("_bucket", "_part")
-    starts = sizes.withColumn("_run", run).withColumn("_in", F.sum("n").over(inside) - F.col("n"))
-    starts = K.checkpoint(starts.join(runs, "_run").select("_bucket", "_part", (F.col("_base") + F.col("_in")).alias("_start")))
+    run = F.floor(F.col("__bucket") / max(1, buckets // 64))
+    runs = sizes.groupBy(run.alias("__run")).agg(F.sum("__n").alias("__n"))
+    runs = runs.select("__run", (F.sum("__n").over(Window.orderBy("__run")) - F.col("__n")).alias("__base"))
+    inside = Window.partitionBy(run).orderBy("__bucket", "__part")
+    starts = sizes.withColumn("__run", run).withColumn("__in", F.sum("__n").over(inside) - F.col("__n"))
+    starts = K.checkpoint(starts.join(runs, "__run").select("__bucket", "__part", (F.col("__base") + F.col("__in")).alias("__start")))
     schema = rows.select(*names).schema
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
 
     def permute(table: pa.Table) -> pa.Table:
-        bucket, part, start = (table.column(c)[0].as_py() for c in ("_bucket", "_part", "_start"))
-        order = pc.sort_indices(table, sort_keys=[("_h", "ascending"), ("_row", "ascending")]).to_numpy()
+        bucket, part, start = (table.column(c)[0].as_py() for c in ("__bucket", "__part", "__start"))
+        order = pc.sort_indices(table, sort_keys=[("__h", "ascending"), ("__row", "ascending")]).to_numpy()
         order = np.random.default_rng([seed, bucket, part]).permutation(order)  # Fisher-Yates
         place = start + np.arange(len(order))
         out = table.select(names).take(pa.array(order))
         return out.append_column("shard", pa.array((place % shards).astype(np.int32))).append_column("slot", pa.array(place // shards))
 
-    joined = rows.join(F.broadcast(starts), ["_bucket", "_part"]) if buckets <= 1 << 16 else rows.join(starts, ["_bucket", "_part"])
-    return joined.groupBy("_bucket", "_part").applyInArrow(permute, f"{fields}, shard int, slot bigint")
+    joined = rows.join(F.broadcast(starts), ["__bucket", "__part"]) if buckets <= 1 << 16 else rows.join(starts, ["__bucket", "__part"])
+    return joined.groupBy("__bucket", "__part").applyInArrow(permute, f"{fields}, shard int, slot bigint")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
