@@ -21,8 +21,8 @@ SHARDS = 16
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = language.fit(docs.where(language.fold_of() != 0))
-    judged = language.predict(docs, filters)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    judged = language.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), filters)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     # The whole row travels as the index's document id, so nothing is joined back.
     whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = decontaminate.search(decontaminate.build_index(whole, id_col="row"), items)
+    found = decontaminate.index_and_search(whole, items, id_col="row")
     return found.where(F.size("items") == 0).select("id.*")
 
 

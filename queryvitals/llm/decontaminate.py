@@ -20,36 +20,36 @@ from pyspark.sql import functions as F
 
 from queryvitals.llm import kernel as K
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 
 
 def _pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def _index(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Word counts, sorted terms, starts of their posting lists, and the lists, of one segment."""
+    w = K.Words(column, K.ALNUM, lower=True)
+    order = np.argsort(w.hash, kind="stable").astype(np.uint32)
+    ordered = w.hash[order]
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    starts = np.append(np.flatnonzero(new), len(ordered)).astype(np.uint32)
+    return w.count.astype(np.uint32), ordered[new], starts, order
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Rows (ids, words, terms, starts, postings): one for each segment. ``words`` are the documents' word counts."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def build(batches):
         for part in K.chunks(batches, "text", segment_bytes):
-            w = K.Words(part.column(1), K.ALNUM, lower=True)
-            order = np.argsort(w.hash, kind="stable").astype(np.uint32)
-            ordered = w.hash[order]
-            new = np.ones(len(ordered), bool)
-            new[1:] = ordered[1:] != ordered[:-1]
-            starts = np.append(np.flatnonzero(new), len(ordered)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0)),
-                    pa.array([_pack(w.count.astype(np.uint32))], pa.binary()),
-                    pa.array([_pack(ordered[new])], pa.binary()),
-                    pa.array([_pack(starts)], pa.binary()),
-                    pa.array([_pack(order)], pa.binary()),
-                ],
+                [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0)), *[pa.array([_pack(x)], pa.binary()) for x in _index(part.column(1))]],
                 names=["ids", "words", "terms", "starts", "postings"],
             )
 
+    K.small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(build, f"ids array<{id_type}>, words binary, terms binary, starts binary, postings binary")
 
@@ -167,7 +167,29 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
     A block of items is the only thing sent to all executors; its size is bounded by ``block_bytes``, and a larger
     benchmark takes several passes whose results are merged by document.
     """
-    id_type = index.schema["ids"].dataType.elementType.simpleString()
+
+    def opened(batches):
+        for batch in batches:
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for r in range(batch.num_rows):
+                yield columns["ids"][r].values, Segment(*(columns[n][r].as_py() for n in ("words", "terms", "starts", "postings")))
+
+    return _search(index, index.schema["ids"].dataType.elementType.simpleString(), opened, items, item_id, item_text, window, block_bytes, slop)
+
+
+def index_and_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20, slop: int | None = None) -> DataFrame:
+    """``search(build_index(docs), items)`` in one pass: each segment is searched by the worker that has built it."""
+    K.small_batches(docs.sparkSession)
+
+    def opened(batches):
+        for part in K.chunks(batches, "text", SEGMENT_BYTES):
+            yield part.column(0), Segment(*map(_pack, _index(part.column(1))))
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _search(source, docs.schema[id_col].dataType.simpleString(), opened, items, item_id, item_text, window, block_bytes, slop)
+
+
+def _search(index: DataFrame, id_type: str, opened, items: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int, slop: int | None) -> DataFrame:
     schema = f"id {id_type}, n_words bigint, spans array<struct<from:bigint,to:bigint>>, items array<string>, near array<string>, place bigint"
     context = index.sparkSession.sparkContext
 
@@ -176,11 +198,8 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
 
         def run(batches):
             names, by_length, bags = sent.value
-            for batch in batches:
-                columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-                for r in range(batch.num_rows):
-                    segment = Segment(*(columns[n][r].as_py() for n in ("words", "terms", "starts", "postings")))
-                    yield _answer(segment, columns["ids"][r].values, names, by_length, bags, slop)
+            for found, segment in opened(batches):
+                yield _answer(segment, found, names, by_length, bags, slop)
 
         return run
 
@@ -227,7 +246,6 @@ def _answer(segment: Segment, ids: pa.Array, names: list, by_length: list, bags:
             pairs.append(np.array([d * len(names) + o for o in owners[x]], np.int64))
     found = np.unique(np.concatenate(pairs))
     hit = np.cumsum(edge[:-1]) > 0
-    inside = np.zeros(segment.size, np.int64)
     # Ranges of hit words, cut at document borders.
     before = np.zeros_like(hit)
     before[1:] = hit[:-1]
@@ -237,7 +255,6 @@ def _answer(segment: Segment, ids: pa.Array, names: list, by_length: list, bags:
     after[segment.first[1:][segment.first[1:] > 0] - 1] = False
     begin, end = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after) + 1
     owner = np.searchsorted(segment.first, begin, side="right") - 1
-    del inside
     span_at = np.searchsorted(owner, np.arange(docs + 1)).astype(np.int32)
     spans = pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), pa.StructArray.from_arrays([pa.array(begin - segment.first[owner], pa.int64()), pa.array(end - segment.first[owner], pa.int64())], names=["from", "to"]))
 
@@ -260,7 +277,7 @@ def _answer(segment: Segment, ids: pa.Array, names: list, by_length: list, bags:
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """Index the documents and search them: see ``search``."""
-    return search(build_index(docs), items, window=window)
+    return index_and_search(docs, items, window=window)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
