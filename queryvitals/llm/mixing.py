@@ -24,6 +24,8 @@ from queryvitals.llm import kernel as K
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
+#: Sources up to which the table of one row per source is broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -59,9 +61,10 @@ def _rank(seed: str, odds: Column) -> Column:
     return (u / (1.0 - u)) / odds
 
 
-def _with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows with the columns of their source's row (key ``__s``), a null source being a source."""
-    return rows.join(table, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
+def _with_source(rows: DataFrame, table: DataFrame, few: bool = False) -> DataFrame:
+    """Rows with the columns of their source's row (key ``__s``), a null source being a source. ``few``: the table has
+    been counted and may be sent to every executor; otherwise the join shuffles, and AQE splits a hot source."""
+    return rows.join(F.broadcast(table) if few else table, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
 
 
 def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weight_col: str | None = None) -> DataFrame:
@@ -71,14 +74,16 @@ def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", i
     far as the limit of ``most`` copies allows.
     """
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "copies")],
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row_of"),  # as one column, so that no name can clash
         F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.xxhash64(text_col).alias("__th"), F.monotonically_increasing_id().alias("__row"), word_count(text_col).alias("__size"), weight.alias("__weight"),
     )
     narrow = K.checkpoint(rows.select("__id", "__source", "__th", "__row", "__size", "__weight"))
     sums = narrow.groupBy("__source").agg(F.sum("__size").alias("__all"), F.sum(F.col("__size") * F.col("__weight")).alias("__weighted"))
     filled = water_fill(sums.select(F.col("__source").alias("source"), F.col("__all").alias("source_size")), weights, most)
     table = K.checkpoint(_with_source(sums, filled.select(F.col("source").alias("__s"), F.col("target").alias("__target"))).withColumnRenamed("__source", "__s"))
+    few = table.count() <= BROADCAST_SOURCES
 
     def expected(rows: DataFrame, table: DataFrame) -> DataFrame:
         """Rows with whole copies, the inclusion probability of one more, and the rank (null where that is 0)."""
@@ -86,7 +91,7 @@ def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", i
             share = F.try_divide(F.col("__target"), F.col("__all").cast("double"))
         else:
             share = F.try_divide(F.col("__target") * F.col("__weight"), F.col("__weighted"))
-        joined = _with_source(rows, table).withColumn("__share", F.least(F.coalesce(share, F.lit(0.0)), F.lit(float(most))))
+        joined = _with_source(rows, table, few).withColumn("__share", F.least(F.coalesce(share, F.lit(0.0)), F.lit(float(most))))
         joined = joined.withColumn("__whole", F.floor("__share")).withColumn("__p", F.col("__share") - F.floor("__share"))
         joined = joined.withColumn("__q", F.when(F.col("__p") > 0, _rank(seed, F.col("__p") / (1.0 - F.col("__p")))))
         cell = F.col("__q") / (1.0 + F.col("__q"))
@@ -97,9 +102,9 @@ def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", i
     table = K.checkpoint(table.withColumn("__want", F.col("__target") - F.col("__given")).drop("__given").withColumnRenamed("__source", "__s"))
     ranked = expected(narrow.where("__size > 0"), table).where("__q IS NOT NULL").withColumn("__before", F.lit(0).cast("bigint"))
     first = K.checkpoint(_cut_cell(ranked, "__c1"))
-    inside = _with_source(ranked.drop("__before"), first).where("__c1 = __cut").drop("__cut")
+    inside = _with_source(ranked.drop("__before"), first, few).where("__c1 = __cut").drop("__cut")
     second = K.checkpoint(_cut_cell(inside, "__c2"))
-    inside = _with_source(inside.drop("__before"), second).where("__c2 = __cut").drop("__cut")
+    inside = _with_source(inside.drop("__before"), second, few).where("__c2 = __cut").drop("__cut")
     rank = F.struct("__q", "__id", "__th", "__row")
     order = Window.partitionBy("__source").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("__mid", F.col("__before") + F.sum("__size").over(order) - F.col("__size") / 2.0)
@@ -117,8 +122,7 @@ def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", i
     )
     more = F.when(F.col("__q").isNotNull() & drawn, 1).otherwise(0)
     copies = F.when(F.col("__size") > 0, F.col("__whole") + more).otherwise(0)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    return final.select(*kept, F.col("__size").alias("size"), F.col("__all").alias("source_size"), F.col("__target").alias("target"), copies.cast("bigint").alias("copies"))
+    return final.select(*[F.col("__row_of").getField(c).alias(c) for c in kept], F.col("__size").alias("size"), F.col("__all").alias("source_size"), F.col("__target").alias("target"), copies.cast("bigint").alias("copies"))
 
 
 def _cut_cell(ranked: DataFrame, cell: str) -> DataFrame:
