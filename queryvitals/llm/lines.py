@@ -253,6 +253,7 @@ def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, id_co
     """One row per document: id, n_lines (non-empty), n_removed, kept_text (the other lines, as they were)."""
     if min_bytes < threshold + 1:
         raise ValueError("min_bytes must exceed threshold")
+    K.small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("k"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
@@ -261,9 +262,16 @@ def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, id_co
             lines = _Lines(part.column(2))
             row = lines.words.row_of()
             number = np.arange(len(row)) - lines.words.first[row]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(lines.h1.view(np.int64)), pa.array(lines.h2.view(np.int64))], names=["k", "th", "no", "h1", "h2"])
-
-    occurrences = K.checkpoint(texts.mapInArrow(occur, "k bigint, th bigint, no int, h1 bigint, h2 bigint"))
+            k = part.column(0).to_numpy()[row]
+            # What repeats an earlier line of its own chunk is known to go and needs no join: a hot line stays one row a chunk.
+            order = np.lexsort((number, k, lines.h2, lines.h1))
+            head = np.maximum.accumulate(np.where(_groups(lines.h1[order], lines.h2[order]), np.arange(len(order)), 0)) if len(order) else order
+            again = np.zeros(len(order), bool)
+            again[order] = (k[order] > k[order][head]) | (number[order] > number[order][head])
+            yield pa.RecordBatch.from_arrays([pa.array(k), part.column(1).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(lines.h1.view(np.int64)), pa.array(lines.h2.view(np.int64)), pa.array(again)], names=["k", "th", "no", "h1", "h2", "again"])
+
+    every = K.checkpoint(texts.mapInArrow(occur, "k bigint, th bigint, no int, h1 bigint, h2 bigint, again boolean"))
+    occurrences = every.where("NOT again")
     firsts = K.checkpoint(occurrences.groupBy("h1", "h2").agg(F.min(F.struct("k", "no")).alias("f")))
     pairs = K.checkpoint(candidate_pairs(texts, threshold, min_bytes, K.bucket_count(texts)))
     near = near_lines(pairs, texts, threshold)
@@ -274,7 +282,7 @@ def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, id_co
     judged = firsts.join(later.withColumn("late", F.lit(True)), ["h1", "h2"], "left")
     # Only contents that lose an occurrence: those near an earlier one, or with several occurrences.
     again = occurrences.join(judged, ["h1", "h2"]).where(F.col("late") | (F.struct("k", "no") != F.col("f")))
-    removed = again.groupBy("k").agg(F.collect_list(F.struct("th", "no")).alias("gone"))
+    removed = again.select("k", "th", "no").union(every.where("again").select("k", "th", "no")).groupBy("k").agg(F.collect_list(F.struct("th", "no")).alias("gone"))
 
     def cut(batches):
         for part in K.chunks(batches, "text"):
