@@ -8,13 +8,16 @@ stay together with probability s at each chosen token; independent trees repeat
   the links found that way are taken; a group of near copies collapses here without its pairs being listed;
 * nodes that still hold several components are compared exhaustively across components if that is at most ``spread``
   pairs a member; crowds of similar sets, which further tokens would not part, are compared exhaustively in blocks of
-  bounded size; other nodes are branched by ``branches`` chosen tokens. After ``depth`` levels whatever is left is
-  compared in blocks. Nothing is capped.
+  bounded size; other nodes are branched by ``branches`` tokens that a hash of their path chooses among those the path
+  has not used. Once at most ``few_left`` entries, or after ``depth`` levels, whatever is left is compared in blocks.
+  Nothing is capped.
 
 Pairs must pass two tests before full sets are fetched: set sizes that allow the similarity (exact), and 128 sketch
 bits (four bits of each of 32 minwise tokens) of which at most 48 differ; a pair at similarity 0.8 fails that with
-probability of 3e-8, and one at 0.8 is missed by all of the ``trees`` first splits with probability 0.2**trees
-(1e-7 for ten). Every link is confirmed on the full sets.
+probability of 3e-8. A pair at 0.8 is parted by all of the ``trees`` first splits with probability 0.2**trees (2e-8 for
+eleven), and by those or a later level, if its nodes branch to the full depth in every tree, with one of 4e-8 (at 0.85:
+1e-9), so a direct link is missed with about 7e-8 in all. The figures of the levels are those of a model that
+``test_near_duplicates_branching_keeps_links`` holds against the code. Every link is confirmed on the full sets.
 
 Defined cases: null, empty and wordless texts have an empty set, are linked with nothing and are their own component;
 texts shorter than the shingle are one shingle of all their words; rows that share an id are one vertex (linked with
@@ -34,11 +37,12 @@ from pyspark.sql import functions as F
 from queryvitals.llm import kernel as K
 from queryvitals.llm.components import components
 
-MINS = 32
+MINS = 64
+#: The first tokens, of which the sketch has four bits each.
+SKETCHED = 32
 SKETCH_BITS = 48
 BITMAP_BITS = 1 << 24
 BLOCK_TOKENS = 1 << 19
-FEW_LEFT = 10_000
 _SEEDS = np.random.default_rng(7_919).integers(1, 2**63, (MINS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -90,8 +94,8 @@ def signatures(docs: DataFrame, size: int, trees: int) -> DataFrame:
                     x ^= x >> np.uint64(32)
                     x *= _SEEDS[(j + 1) % MINS, 0]
                     mins[some, j] = np.minimum.reduceat(x, heads)
-                low = K.mix(mins[some].ravel().copy()).reshape(-1, MINS) & np.uint64(15)
-                for j in range(MINS):
+                low = K.mix(mins[some, :SKETCHED].ravel()).reshape(-1, SKETCHED) & np.uint64(15)
+                for j in range(SKETCHED):
                     bits[some, j // 16] |= low[:, j] << np.uint64(4 * (j % 16))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(s.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(mins.view(np.int64).ravel()), MINS).cast(pa.list_(pa.int64())), pa.array(bits[:, 0].view(np.int64)), pa.array(bits[:, 1].view(np.int64))],
@@ -139,11 +143,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = 10, spread: int = 8, branches: int = 2, depth: int = 5, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = 11, spread: int = 8, branches: int = 3, depth: int = 5, block: int = 1024, few_left: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, th (xxhash64 of the text), n_shingles, component_id, and keeper: whether its (id, th)
     is the first of its component, identified documents before others; every document with an empty set is one."""
-    if trees + depth * branches > MINS:
-        raise ValueError(f"trees + depth * branches may not exceed {MINS}")
+    if depth + branches > _pool(trees):
+        raise ValueError(f"depth + branches may not exceed the {_pool(trees)} tokens that {trees} trees leave")
     K.small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     signed = K.checkpoint(signatures(source, size, trees))
@@ -172,22 +176,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     shared = signed.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("a", "b")
     linked = found.union(_same_id(signed, shared))
     labels = components(linked)
-    turn = F.pmod("path", F.lit(MINS - trees)).cast("int").alias("turn")
-    nodes = shared_nodes.join(labels.select(F.col("v").alias("s"), "label"), "s", "left").select("s", "n", "x1", "x2", "path", F.coalesce("label", "s").alias("label"), turn)
+    nodes = shared_nodes.join(labels.select(F.col("v").alias("s"), "label"), "s", "left").select("s", "n", "x1", "x2", "path", F.coalesce("label", "s").alias("label"), F.lit(0).cast("bigint").alias("used"))
     pairs, dense = [], []
     for level in range(depth + 1):
         here = K.checkpoint(nodes.join(_unsettled(nodes, spread, last=level == depth), "path"))
         pairs.append(_across(here.where("way = 'pairs'"), percent))
         dense.append(here.where("way = 'blocks'").select("path", "s", "label", "members", "tokens"))
         rest = here.where("way = 'branch'")
-        if level == depth or rest.count() <= FEW_LEFT:
+        if level == depth or rest.count() <= few_left:
             # So few that comparing them in blocks, which misses nothing, costs less than another level.
             dense.append(rest.select("path", "s", "label", "members", "tokens"))
             break
-        # Tokens that no step of the path has used: a used one would not split the node.
-        chosen = F.array(*[trees + (F.col("turn") + level * branches + i) % (MINS - trees) for i in range(branches)])
-        split = rest.select("s", "n", "x1", "x2", "label", "path", "turn", F.explode(chosen).alias("c"))
-        nodes = split.join(classes.select("s", "mins"), "s").select("s", "n", "x1", "x2", "label", "turn", F.xxhash64("path", "c", F.element_at("mins", F.col("c") + 1)).alias("path"))
+        nodes = _branched(rest, classes, level, branches, trees)
     rest = K.checkpoint(reduce(DataFrame.union, pairs).distinct().join(tried, ["a", "b"], "left_anti"))
     crowd = K.checkpoint(reduce(DataFrame.union, dense))
     wanted = rest.select(F.explode(F.array("a", "b")).alias("s")).union(crowd.select("s")).distinct().join(ids, "s")
@@ -204,6 +204,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     return rows.join(lowest, "label", "left").select(F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), lone.alias("component_id"), keeper.alias("keeper"))
 
 
+def _pool(trees: int) -> int:
+    """Tokens kept for branching: a prime number, so that every stride visits all of them, and few enough for a bit mask."""
+    return max((n for n in range(2, min(MINS - trees, 63) + 1) if all(n % d for d in range(2, n))), default=0)
+
+
+def _branched(nodes: DataFrame, classes: DataFrame, level: int, branches: int, trees: int) -> DataFrame:
+    """The next level of ``nodes``, each split by ``branches`` tokens. A hash of the path, hence of tree, tokens and level,
+    chooses them, so that trees and sibling nodes are parted by different ones; a used token would not split the node."""
+    pool = _pool(trees)
+    drawn = f"transform(sequence(0, {branches + level - 1}), i -> cast((pmod(path, {pool}) + i * (1 + pmod(xxhash64(path), {pool - 1}))) % {pool} AS int))"
+    chosen = F.expr(f"slice(filter({drawn}, c -> (shiftright(used, c) & 1) = 0), 1, {branches})")
+    split = nodes.select("s", "n", "x1", "x2", "label", "path", "used", F.explode(chosen).alias("c"))
+    token = F.element_at("mins", F.col("c") + trees + 1)
+    return split.join(classes.select("s", "mins"), "s").select("s", "n", "x1", "x2", "label", F.expr("used | shiftleft(1L, c)").alias("used"), F.xxhash64("path", "c", token).alias("path"))
+
+
 def _same_id(signed: DataFrame, shared: DataFrame) -> DataFrame:
     """Links among all classes of an id that has several; ``shared`` is empty where ids are unique."""
     several = signed.where("n > 0 AND id IS NOT NULL").groupBy("id", "s").count().select("id", "s")
