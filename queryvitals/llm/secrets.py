@@ -1,7 +1,8 @@
 """Secret scans: candidates from byte patterns, false positives removed by a random forest.
 
 Candidates are the values after a credential word and ``=`` or ``:``, long runs of token characters that hold a digit,
-and private-key blocks. Each is described by its length, character transitions (how often neighbouring characters change class, and how
+letters of both cases or a known prefix, and private-key blocks. Values and blocks run to their real end, whatever their
+length. Each is described by its length, character transitions (how often neighbouring characters change class, and how
 likely they are in ordinary words), the share of its letters that dictionary words cover, its path, and its neighbouring words. A forest
 trained from labelled findings gives the share of trees that call it a secret.
 
@@ -35,26 +36,48 @@ _PATH = ["test", "example", "sample", "doc", "fixture", "mock", "lock", "vendor"
 _DICTIONARY = ["example", "sample", "test", "dummy", "change", "your", "password", "secret", "token", "here", "user", "name", "admin", "default", "place", "holder", "config", "data", "value", "string", "true", "false", "null", "none", "http", "https", "www", "file", "path", "version", "license", "the", "and", "for", "with", "from", "index", "main", "class", "function", "return", "import", "module", "package", "server", "client", "image", "style", "script", "public", "private", "home", "local", "temp", "build", "dist", "lib", "bin", "src", "chapter", "section", "page", "title", "table", "number", "first", "last", "next", "start", "end", "open", "close", "time", "date", "year", "month", "week", "order", "price", "total"]
 
 _TOKEN = K._byte_mask(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")
-_DIGIT = K._byte_mask(b"0123456789")
+_DIGIT, _UPPER, _LOWER = (K._byte_mask(x) for x in (b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+_PREFIXES = (b"AKIA", b"ghp_", b"xoxb", b"xoxp", b"sk_l", b"glpa", b"AIza", b"eyJh")
+_PREFIX = re.compile(rb"(?<![A-Za-z0-9])(?:" + b"|".join(_PREFIXES) + rb")")
 _CREDENTIAL = re.compile(rb"(?:" + b"|".join(re.escape(w.encode()) for w in _ANNOUNCE) + rb")[\"'\]]?[ \t]{0,4}$", re.IGNORECASE)
-_VALUE = re.compile(rb"[=:>]?[ \t]{0,4}(?:[\"'`])?([^\s\"'`,;]{8,512})")
-_KEY_BLOCK = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]{0,8192}?-----END [A-Z ]{0,40}PRIVATE KEY-----")
+_VALUE = re.compile(rb"[=:>]?[ \t]{0,4}(?:[\"'`])?([^\s\"'`,;]{8})")
+_VALUE_END = re.compile(rb"[\s\"'`,;]")
+_KEY_BEGIN = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+_KEY_END = re.compile(rb"-----END [A-Z ]{0,40}PRIVATE KEY-----")
 _KINDS = ["assigned", "run", "block"]
 _WORD = re.compile(r"[a-z0-9_-]+")
 FEATURES = 22
 
 
+def key_blocks(text: bytes) -> list[tuple[int, int, int]]:
+    """Private-key blocks of any length: each BEGIN line outside the last block, with the next END line."""
+    out = []
+    for begin in _KEY_BEGIN.finditer(text):
+        if out and begin.start() < out[-1][1]:
+            continue
+        end = _KEY_END.search(text, begin.end())
+        if not end:
+            break
+        out.append((begin.start(), end.end(), 2))
+    return out
+
+
 def candidates(text: bytes, runs: list[tuple[int, int]], marks: list[int]) -> list[tuple[int, int, int]]:
     """(start, end, kind) of one text: ``runs`` are its long token runs, ``marks`` its ``=`` and ``:``."""
     found = []
+    stop = -1
     for at in marks:
         if _CREDENTIAL.search(text[max(0, at - 28) : at]):
             m = _VALUE.match(text, at + 1)
             if m:
-                found.append((m.start(1), m.end(1), 0))
+                # A value that starts inside the last one ends where that does: each byte is looked at once.
+                if m.start(1) > stop:
+                    end = _VALUE_END.search(text, m.end(1))
+                    stop = end.start() if end else len(text)
+                found.append((m.start(1), stop, 0))
     found += [(a, b, 1) for a, b in runs]
     if b"-----BEGIN " in text:
-        found += [(m.start(), m.end(), 2) for m in _KEY_BLOCK.finditer(text)]
+        found += key_blocks(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, int]] = []
     for one in found:
@@ -73,8 +96,13 @@ def scan_bytes(column: pa.Array) -> list[tuple[bytes, list[tuple[int, int, int]]
     """Every text with its candidates."""
     data, offsets = K.column_bytes(column)
     w = K.Words(column, _TOKEN)
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    long = np.flatnonzero((w.end - w.start >= MIN_RUN) & (digits[w.end] > digits[w.start]))
+    long = np.flatnonzero(w.end - w.start >= MIN_RUN)
+    digit, upper, lower = (np.concatenate([[0], np.cumsum(mask[data], dtype=np.int32)]) for mask in (_DIGIT, _UPPER, _LOWER))
+    digit, upper, lower = (n[w.end[long]] > n[w.start[long]] for n in (digit, upper, lower))
+    likely = digit | (upper & lower)
+    for i in np.flatnonzero(~likely).tolist():
+        likely[i] = _PREFIX.search(data[w.start[long[i]] : w.end[long[i]]].tobytes()) is not None
+    long = long[likely]
     run_row = np.searchsorted(offsets, w.start[long], side="right") - 1
     marks = np.flatnonzero((data == 0x3D) | (data == 0x3A))
     mark_row = np.searchsorted(offsets, marks, side="right") - 1
@@ -153,7 +181,7 @@ def features(value: bytes, before: bytes, after: bytes, path: str, kind: int) ->
         float(any(m in lone for m in _PATH[8:])),
         float(kind == 0),
         float(kind == 2),
-        float(value[:4] in (b"AKIA", b"ghp_", b"xoxb", b"xoxp", b"sk_l", b"glpa", b"AIza", b"eyJh")),
+        float(value[:4] in _PREFIXES),
     ]
 
 

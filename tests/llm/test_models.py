@@ -167,3 +167,25 @@ def test_secrets(spark):
     findings = spark.createDataFrame([(b, v, a, p, y) for b, v, a, p, y in rows[:200]], "before string, value string, after string, path string, label int")
     assert secrets.train(findings).trees
     assert (secrets.train(findings.limit(0)).score(x) == 0).all()
+
+
+def test_secrets_of_any_length(spark):
+    """Values, key blocks and runs without a digit are seen whole, and the forest alone rejects."""
+    rng = np.random.default_rng(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
+    mixed = letters + letters.lower() + "0123456789"
+    body = "\n".join(draw(mixed + "+/", 64) for _ in range(190))
+    hidden = [draw(mixed + "%&!$", 600), f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----", "AKIA" + draw(letters, 16)]
+    texts = [f'set password = "{hidden[0]}" then', f"text before\n{hidden[1]}\ntext after", f"it reads {hidden[2]} there", "the Donaudampfschifffahrtsgesellschaft sails"]
+    rows = [(i, t, None, None, 0, 0, 0, None, None, None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(X.frame(spark, rows), secrets.train()).collect()}
+    for i, h in enumerate(hidden):
+        assert got[i]["redacted"] == texts[i].replace(h, secrets.MASK)
+    assert len(got[3]["findings"]) == 1 and got[3]["redacted"] == texts[3]
+
+
+def test_secret_candidates_of_a_value_full_of_marks():
+    text = b"token=" * 200_000
+    found = secrets.candidates(text, [], [i for i in range(5, len(text), 6)])
+    assert found == [(6, len(text), 0)]
