@@ -2,7 +2,9 @@
 
 Lines are the non-empty runs between line feeds. A line is removed if an equal line starts earlier in the corpus
 (smaller document id, then line number), or if a line within ``threshold`` byte edits first appears earlier than it.
-Edits count for lines of at least ``min_bytes`` bytes; shorter ones are compared for equality only.
+Edits count for lines of at least ``min_bytes`` bytes; shorter ones are compared for equality only, unless
+``short_bytes`` is given: then a line of at least that many is also removed if one within a single edit comes first.
+The law of a pair is that of its shorter line.
 
 A line is cut into threshold + 1 segments; a line within the threshold must contain one of them unchanged, at a place
 that the length difference allows. So each distinct line posts its segments under (length, segment number, segment)
@@ -149,20 +151,26 @@ def edit_distances(a: list[bytes], b: list[bytes], threshold: int) -> np.ndarray
 _PACK = "bucket int, probe boolean, keys binary, lines binary, parity binary"
 
 
-def candidate_pairs(texts: DataFrame, threshold: int, min_bytes: int, buckets: int) -> DataFrame:
-    """(a, b): short hashes of different long lines that share a segment where it can count, and whose parities allow a match."""
+def candidate_pairs(texts: DataFrame, threshold: int, min_bytes: int, buckets: int, short_bytes: int | None = None) -> DataFrame:
+    """(a, b): short hashes of different lines, long enough for edits, that share a segment where it can count, and whose parities allow a match."""
 
     def send(batches):
         for part in K.chunks(batches, "text"):
             lines = _Lines(part.column(2))
             _, unique = np.unique(lines.h1, return_index=True)
-            which = unique[lines.size[unique] >= min_bytes]
-            if not len(which):
+            size = lines.size[unique]
+            tiers = [(unique[size >= min_bytes], threshold)]
+            if short_bytes is not None:
+                # A line of min_bytes may be one edit from a shorter one.
+                tiers.append((unique[(size >= short_bytes) & (size <= min_bytes)], min(1, threshold)))
+            if not any(len(which) for which, _ in tiers):
                 continue
             parity = lines.parity(np.arange(len(lines.h1)))
             rows = []
             for probe in (False, True):
-                chosen = [(k, w) for p, k, w in posts_and_probes(lines, which, threshold) if p == probe]
+                chosen = [(k, w) for which, edits in tiers if len(which) for p, k, w in posts_and_probes(lines, which, edits) if p == probe]
+                if not chosen:
+                    continue
                 keys, owner = np.concatenate([k for k, _ in chosen]), np.concatenate([w for _, w in chosen])
                 bucket = (keys % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
@@ -234,25 +242,28 @@ def line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "s", "left_semi").dropDuplicates(["s", "h1", "h2"])
 
 
-def near_lines(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(a1, a2, b1, b2): hashes of lines within the threshold."""
+def near_lines(pairs: DataFrame, texts: DataFrame, threshold: int, min_bytes: int = 0) -> DataFrame:
+    """(a1, a2, b1, b2): hashes of lines within the threshold, or within one edit if one is shorter than ``min_bytes``."""
     lines = K.checkpoint(line_texts(texts, pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()))
     left = pairs.join(lines.select(F.col("s").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("x")), "a")
     both = left.join(lines.select(F.col("s").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("y")), "b").select("a1", "a2", "b1", "b2", "x", "y")
 
     def verify(batches):
         for part in K.chunks(batches, "x"):
-            d = edit_distances(part.column(4).to_pylist(), part.column(5).to_pylist(), threshold)
-            ok = pa.array(d <= threshold)
+            x, y = part.column(4).to_pylist(), part.column(5).to_pylist()
+            short = np.array([min(len(a), len(b)) < min_bytes for a, b in zip(x, y, strict=True)], bool)
+            ok = pa.array(edit_distances(x, y, threshold) <= np.where(short, min(1, threshold), threshold))
             yield pa.RecordBatch.from_arrays([part.column(i).filter(ok) for i in range(4)], names=["a1", "a2", "b1", "b2"])
 
     return both.mapInArrow(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
-def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, short_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_lines (non-empty), n_removed, kept_text (the other lines, as they were)."""
     if min_bytes < threshold + 1:
         raise ValueError("min_bytes must exceed threshold")
+    if short_bytes is not None and not 2 <= short_bytes <= min_bytes:
+        raise ValueError("short_bytes must lie between 2 and min_bytes")
     K.small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("k"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
@@ -273,8 +284,8 @@ def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, id_co
     every = K.checkpoint(texts.mapInArrow(occur, "k bigint, th bigint, no int, h1 bigint, h2 bigint, again boolean"))
     occurrences = every.where("NOT again")
     firsts = K.checkpoint(occurrences.groupBy("h1", "h2").agg(F.min(F.struct("k", "no")).alias("f")))
-    pairs = K.checkpoint(candidate_pairs(texts, threshold, min_bytes, K.bucket_count(texts)))
-    near = near_lines(pairs, texts, threshold)
+    pairs = K.checkpoint(candidate_pairs(texts, threshold, min_bytes, K.bucket_count(texts), short_bytes))
+    near = near_lines(pairs, texts, threshold, min_bytes)
     fa = firsts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("f").alias("fa"))
     fb = firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("f").alias("fb"))
     later = near.join(fa, ["a1", "a2"]).join(fb, ["b1", "b2"])

@@ -326,3 +326,29 @@ def test_lines(spark):
     got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"]) for r in lines.remove_lines(X.frame(spark, rows)).collect()), key=repr)
     assert got == sorted(((r[0], *want[n]) for n, r in enumerate(rows)), key=repr)
     assert lines.remove_lines(X.empty(spark)).count() == 0
+
+
+def test_short_lines(spark):
+    """One edit counts from ``short_bytes`` on, two from ``min_bytes`` on, also for pairs around either length."""
+    import random
+
+    rng = random.Random(12)
+    texts = ["Thwhesnd esator whshing and hewh.", "Thwhesnd, esator whshing and hewh."]
+    for n in [*range(13, 19), 30, *range(45, 51)]:
+        base = "".join(rng.choice("abcdefgh ") for _ in range(n))
+        for _ in range(6):
+            line = list(base)
+            for _ in range(rng.randint(1, 2)):
+                at = rng.randrange(len(line))
+                line[at : at + 1] = rng.choice([[], ["z"], ["z", line[at]]])
+            texts.append("".join(line))
+    rng.shuffle(texts)
+    rows = [(i, t, None, None, 0, 0, 0, None, None, None, None) for i, t in enumerate(texts)]
+
+    def late(i, j):
+        n = min(len(texts[i]), len(texts[j]))
+        return edit(texts[i], texts[j]) <= (2 if n >= 48 else 1 if n >= 16 else 0)
+
+    want = [(i, any(late(i, j) for j in range(i))) for i in range(len(texts))]
+    got = sorted((r["doc_id"], r["n_removed"] == 1) for r in lines.remove_lines(X.frame(spark, rows), short_bytes=16).collect())
+    assert got == want
