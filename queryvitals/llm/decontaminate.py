@@ -13,6 +13,8 @@ ids count once; an empty corpus or benchmark gives no hits. Other columns of ``d
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from queryvitals.llm import kernel as K
 
 SEGMENT_BYTES = 1 << 20
+#: Segments that meet a block of items each time it is opened, if there are several blocks.
+SEGMENTS = 16
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -164,8 +168,8 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
     """Per document: id, n_words, spans (hit word ranges [from, to)), items (ids with an occurring window, as strings).
 
     With ``slop``, a further column ``near`` lists the items of which all words lie within (words + slop) words.
-    A block of items is the only thing sent to all executors; its size is bounded by ``block_bytes``, and a larger
-    benchmark takes several passes whose results are merged by document.
+    Items are sent to all executors in blocks bounded by ``block_bytes``; every segment is searched for all blocks in one
+    pass and gives one row for each of its documents, so rows are never matched by a key. A worker holds ``SEGMENTS`` segments and one open block at a time.
     """
 
     def opened(batches):
@@ -190,62 +194,58 @@ def index_and_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
 
 def _search(index: DataFrame, id_type: str, opened, items: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int, slop: int | None) -> DataFrame:
-    schema = f"id {id_type}, n_words bigint, spans array<struct<from:bigint,to:bigint>>, items array<string>, near array<string>, place bigint"
+    schema = f"id {id_type}, n_words bigint, spans array<struct<from:bigint,to:bigint>>, items array<string>, near array<string>"
     context = index.sparkSession.sparkContext
-
-    def searcher(ids, texts):
-        sent = context.broadcast((ids, item_windows(ids, texts, window), [np.unique(K.Words(pa.array([t], pa.string()), K.ALNUM, lower=True).hash) for t in texts] if slop is not None else None))
-
-        def run(batches):
-            names, by_length, bags = sent.value
-            for found, segment in opened(batches):
-                yield _answer(segment, found, names, by_length, bags, slop)
-
-        return run
-
-    parts = [index.mapInArrow(searcher(ids, texts), schema) for ids, texts in item_blocks(items, item_id, item_text, block_bytes)]
-    if not parts:
-        parts = [index.mapInArrow(searcher([], []), schema)]
-    if len(parts) == 1:
-        return parts[0].select("id", "n_words", "spans", "items", *(["near"] if slop is not None else []))
-    # The same row of the index answers every block: rows meet again by id, place in the segment and word count.
-    everything = parts[0]
-    for p in parts[1:]:
-        everything = everything.unionByName(p)
-    hit = everything.where((F.size("items") > 0) | (F.size("near") > 0))
-    merged = hit.groupBy("id", "n_words", "place").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    base = parts[0].select("id", "n_words", "place")
-    same = base.id.eqNullSafe(merged.id) & (base.n_words == merged.n_words) & (base.place == merged.place)
-    empty = F.array().cast("array<string>")
-    joined = base.join(merged, same, "left").select(base.id, base.n_words, _merge_spans(F.coalesce(merged.spans, F.array().cast("array<struct<from:bigint,to:bigint>>"))).alias("spans"), F.coalesce(merged["items"], empty).alias("items"), F.coalesce(merged.near, empty).alias("near"))
-    return joined if slop is not None else joined.drop("near")
-
-
-def _merge_spans(spans):
-    """Union of word ranges, sorted."""
-    zero = F.array().cast("array<struct<from:bigint,to:bigint>>")
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["from"].alias("from"), F.greatest(last["to"], x["to"]).alias("to"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["to"] >= x["from"]), grown).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), zero, step)
-
-
-def _answer(segment: Segment, ids: pa.Array, names: list, by_length: list, bags: list | None, slop: int | None) -> pa.RecordBatch:
+    blocks = []
+    for ids, texts in item_blocks(items, item_id, item_text, block_bytes):
+        bags = [np.unique(K.Words(pa.array([t], pa.string()), K.ALNUM, lower=True).hash) for t in texts] if slop is not None else None
+        blocks.append(context.broadcast((ids, item_windows(ids, texts, window), bags)))
+
+    def run(batches):
+        segments = opened(batches)
+        while some := list(islice(segments, SEGMENTS if len(blocks) > 1 else 1)):
+            hits = [_Hits(segment) for _, segment in some]
+            for block in blocks:
+                value = block.value
+                if len(blocks) > 1:
+                    # The worker would keep every block that it has opened; it can be read again.
+                    vars(block).pop("_value", None)
+                for h in hits:
+                    h.find(*value, slop)
+                del value
+            for (ids, segment), h in zip(some, hits, strict=True):
+                yield _answer(segment, ids, h)
+
+    return index.mapInArrow(run, schema).select("id", "n_words", "spans", "items", *(["near"] if slop is not None else []))
+
+
+class _Hits:
+    """What the blocks of items have found in one segment."""
+
+    def __init__(self, segment: Segment):
+        self.segment = segment
+        self.edge = np.zeros(segment.size + 1, np.int64)
+        self.items: dict[int, set] = {}
+        self.near: dict[int, set] = {}
+
+    def find(self, names: list, by_length: list, bags: list | None, slop: int | None) -> None:
+        for windows, owners in by_length:
+            which, start = self.segment.phrases(windows)
+            np.add.at(self.edge, start, 1)
+            np.add.at(self.edge, start + windows.shape[1], -1)
+            doc = np.searchsorted(self.segment.first, start, side="right") - 1
+            for d, x in {(int(d), int(x)) for d, x in zip(doc, which, strict=True)}:
+                self.items.setdefault(d, set()).update(names[o] for o in owners[x])
+        for item, bag in enumerate(bags or []):
+            if len(bag):
+                for d in self.segment.near(bag, len(bag) + slop).tolist():
+                    self.near.setdefault(d, set()).add(names[item])
+
+
+def _answer(segment: Segment, ids: pa.Array, hits: _Hits) -> pa.RecordBatch:
+    """One row for each document of the segment."""
     docs = len(segment.count)
-    edge = np.zeros(segment.size + 1, np.int64)
-    pairs = [np.zeros(0, np.int64)]
-    for windows, owners in by_length:
-        which, start = segment.phrases(windows)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + windows.shape[1], -1)
-        doc = np.searchsorted(segment.first, start, side="right") - 1
-        for d, x in {(int(d), int(x)) for d, x in zip(doc, which, strict=True)}:
-            pairs.append(np.array([d * len(names) + o for o in owners[x]], np.int64))
-    found = np.unique(np.concatenate(pairs))
-    hit = np.cumsum(edge[:-1]) > 0
+    hit = np.cumsum(hits.edge[:-1]) > 0
     # Ranges of hit words, cut at document borders.
     before = np.zeros_like(hit)
     before[1:] = hit[:-1]
@@ -258,21 +258,14 @@ def _answer(segment: Segment, ids: pa.Array, names: list, by_length: list, bags:
     span_at = np.searchsorted(owner, np.arange(docs + 1)).astype(np.int32)
     spans = pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), pa.StructArray.from_arrays([pa.array(begin - segment.first[owner], pa.int64()), pa.array(end - segment.first[owner], pa.int64())], names=["from", "to"]))
 
-    def named(found_pairs):
+    def named(groups):
         values, at = [], [0]
-        groups: dict[int, set] = {}
-        for x in found_pairs.tolist():
-            groups.setdefault(x // len(names), set()).add(names[x % len(names)])
         for d in range(docs):
             values += sorted(groups.get(d, ()), key=lambda v: (v is None, v or ""))
             at.append(len(values))
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.string()))
 
-    near = [np.zeros(0, np.int64)]
-    for item, bag in enumerate(bags or []):
-        if len(bag):
-            near.append(segment.near(bag, len(bag) + slop) * len(names) + item)
-    return pa.RecordBatch.from_arrays([ids, pa.array(segment.count, pa.int64()), spans, named(found), named(np.concatenate(near)), pa.array(np.arange(docs), pa.int64())], names=["id", "n_words", "spans", "items", "near", "place"])
+    return pa.RecordBatch.from_arrays([ids, pa.array(segment.count, pa.int64()), spans, named(hits.items), named(hits.near)], names=["id", "n_words", "spans", "items", "near"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:

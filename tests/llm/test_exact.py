@@ -352,3 +352,16 @@ def test_short_lines(spark):
     want = [(i, any(late(i, j) for j in range(i))) for i in range(len(texts))]
     got = sorted((r["doc_id"], r["n_removed"] == 1) for r in lines.remove_lines(X.frame(spark, rows), short_bytes=16).collect())
     assert got == want
+
+
+def test_decontaminate_in_blocks_of_items_needs_no_row_key(spark):
+    """Documents without id, or with the same one, keep their own hits however many blocks the items fill."""
+    item = X.documents()[20][1].split(" ")[:12]
+    clean = ["other"] * len(item)
+    rows = [(i, " ".join(t), None, None, 0, 0, 0, None, None, None, None) for i in (None, 7) for t in (item, clean, item, clean)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "never found " * 20), (3, " ".join(item[1:]))], "item_id bigint, text string")
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), X.SCHEMA)
+    for size in (8 << 20, 50):
+        found = decontaminate.index_and_search(docs, bench, block_bytes=size).collect()
+        got = [(r["id"], r["n_words"], sum(s["to"] - s["from"] for s in r["spans"]), sorted(r["items"])) for r in found]
+        assert sorted(got, key=repr) == brute_hits(rows, [(r["item_id"], r["text"]) for r in bench.collect()])
