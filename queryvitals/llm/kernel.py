@@ -4,6 +4,9 @@ Everything works on the UTF-8 bytes of an Arrow string column: a 256-entry table
 bytes, word borders come from one comparison of neighbours, and word hashes from one prefix sum, so a batch
 costs a few numpy passes and no Python loop over words. Batches are cut by bytes, never by rows, so that long
 texts do not multiply memory; a single text is never cut.
+
+Words are compared by 64-bit hashes: sums of a random number for each (place in the word, byte), so that no pair of
+words collides by its structure; two given words collide by chance with 2**-64. ``hash2`` is drawn independently.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ CHUNK_BYTES = 1 << 20
 
 # The byte classes of the three word definitions.
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
 _SEQ_1 = np.uint64(0xD6E8FEB86659FD93)
 _SEQ_2 = np.uint64(0xA0761D6478BD642F)
 
@@ -37,6 +40,9 @@ _LOWER[0x41:0x5B] += 32
 
 _rng = np.random.default_rng(20240229)
 _BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Places of a word with a table of their own; beyond, a table's number is mixed with the place.
+_PLACES = 64
+_TABLES = _rng.integers(0, 2**64, (2, _PLACES * 256), dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -130,14 +136,36 @@ class Words:
         #: Words of row r are first[r] to first[r + 1].
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
-        self.hash = _range_hash(_BYTE_VALUE[_LOWER[data] if lower else data], self.start, self.end, _BASE)
+        head = np.zeros(len(data), np.int32)
+        head[self.start] = self.start
+        place = np.arange(len(data), dtype=np.int32) - np.maximum.accumulate(head) if len(data) else head
+        self._far = np.flatnonzero(inside & (place >= _PLACES))
+        self._turn = (place[self._far] // _PLACES).astype(np.uint64) * _LENGTH
+        self._cell = ((place % _PLACES) << 8) | (_LOWER[data] if lower else data)
+        self._hash2 = None
+        self.hash = self._hashes(0)
+
+    def _hashes(self, table: int) -> np.ndarray:
+        values = _TABLES[table][self._cell]
+        if len(self._far):
+            values[self._far] = mix(values[self._far] + self._turn)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values, out=sums[1:])
+        return mix(sums[self.end] - sums[self.start] + (self.end - self.start).astype(np.uint64) * _LENGTH)
+
+    @property
+    def hash2(self) -> np.ndarray:
+        """A second, independent hash of every word."""
+        if self._hash2 is None:
+            self._hash2 = self._hashes(1)
+        return self._hash2
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), self.count)
 
     def windows(self, at: np.ndarray, length: int, second: bool = False) -> np.ndarray:
-        """Hashes of the word sequences that start at the word positions ``at``."""
-        return _range_hash(self.hash, at, at + length, _SEQ_2 if second else _SEQ_1)
+        """Hashes of the word sequences that start at the word positions ``at``; the second ones are independent."""
+        return _range_hash(self.hash2, at, at + length, _SEQ_2) if second else _range_hash(self.hash, at, at + length, _SEQ_1)
 
     def window_starts(self, length: int) -> np.ndarray:
         """Positions of all windows of ``length`` words that lie in one row."""
@@ -168,19 +196,20 @@ def bucket_count(df, bucket_bytes: int = 16 << 20) -> int:
     return int(min(max(parts, plan_bytes(df) // bucket_bytes + 1), 1 << 20))
 
 
-def small_batches(spark, rows: int = 500) -> None:
-    """Hold Arrow batches of whole texts to ``rows``: the default of ten thousand is tens of MB on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark, size: int = 4 << 20) -> None:
+    """Hold Arrow batches of whole texts to about ``size`` bytes: by rows alone they are tens of MB on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def checkpoint(df):
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; only where none is set, a folder of our own."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir. A local session without one gets a folder of its
+    own; on a cluster that is an error, since executors do not share a local folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="queryvitals-checkpoint-")

@@ -293,13 +293,14 @@ def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, short
     judged = firsts.join(later.withColumn("late", F.lit(True)), ["h1", "h2"], "left")
     # Only contents that lose an occurrence: those near an earlier one, or with several occurrences.
     again = occurrences.join(judged, ["h1", "h2"]).where(F.col("late") | (F.struct("k", "no") != F.col("f")))
-    removed = again.select("k", "th", "no").union(every.where("again").select("k", "th", "no")).groupBy("k").agg(F.collect_list(F.struct("th", "no")).alias("gone"))
+    # By document and text, each line number once: rows without an id, and equal rows, are no hot key.
+    removed = again.select("k", "th", "no").union(every.where("again").select("k", "th", "no")).groupBy("k", "th").agg(F.collect_set("no").alias("gone"))
 
     def cut(batches):
         for part in K.chunks(batches, "text"):
             out = ([], [], [])
-            for th, text, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                drop = {g["no"] for g in gone or () if g["th"] == th}
+            for text, gone in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                drop = set(gone or ())
                 kept, number = [], 0
                 for line in (text or "").split("\n"):
                     if not line:
@@ -312,7 +313,7 @@ def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, short
                     o.append(x)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["k", "n_lines", "n_removed", "kept_text"])
 
-    done = texts.join(removed, "k", "left").select("k", "th", "text", "gone").mapInArrow(cut, "k bigint, n_lines bigint, n_removed bigint, kept_text string")
+    done = texts.join(removed, ["k", "th"], "left").select("k", "th", "text", "gone").mapInArrow(cut, "k bigint, n_lines bigint, n_removed bigint, kept_text string")
     return done.select(F.when(F.col("k") != NO_ID, F.col("k")).cast(id_type).alias(id_col), "n_lines", "n_removed", "kept_text")
 
 

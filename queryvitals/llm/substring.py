@@ -16,6 +16,11 @@ A hash that a chunk has many times is resolved in the chunk and leaves it once,
 documents makes one entry a chunk and not one a document. Texts are shuffled once, by document, and that exchange
 serves both joins.
 
+Places travel and are joined by (id, hash of the text), so rows without an id, or with one id, are no hot key; a join
+side that holds very many equal rows can be split, since its other side has one row for them.
+
+Windows count as equal if two hashes of 64 and 32 bits, over independent hashes of their words, agree.
+
 Defined cases: a null or empty text has no words and gives an empty kept text; documents without an id come last in
 order and count as one document; rows that share an id are judged each by their own text, and equal windows at equal
 (id, position) do not remove one another; other columns are ignored.
@@ -59,7 +64,7 @@ _ANCHOR, _WINDOW = (6,), (8, 4)
 _PACK = "bucket int, settled boolean, docs binary, counts binary, pos binary, h1 binary, h2 binary"
 _TYPES = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
 _NAMES = [f.split()[0] for f in _PACK.split(", ")]
-_PLACES = "k bigint, parts array<struct<th:bigint,at:binary>>"
+_PLACES = "k bigint, th bigint, at binary"
 
 
 def _rows(rows: list) -> list:
@@ -81,8 +86,8 @@ def _bucket_rows(bucket: np.ndarray, keys: np.ndarray, pos: np.ndarray, hashes:
     return rows
 
 
-def _home(k: np.ndarray, buckets: int) -> np.ndarray:
-    return (K.mix(k.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+def _home(k: np.ndarray, th: np.ndarray, buckets: int) -> np.ndarray:
+    return (K.mix(K.mix(k.astype(np.uint64)) ^ th.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
 
 def _chunk_rows(keys: np.ndarray, hashes: list[np.ndarray], doc: np.ndarray, pos: np.ndarray, buckets: int, widths: tuple, settle) -> list:
@@ -95,9 +100,12 @@ def _chunk_rows(keys: np.ndarray, hashes: list[np.ndarray], doc: np.ndarray, pos
     at = np.sort(order[sent])
     if len(at):
         rows += _bucket_rows((hashes[0][at] % np.uint64(buckets)).astype(np.int32), keys[doc[at]], pos[at], [h[at] for h in hashes], widths, False)
-    at = np.sort(order[settled])
+    at = order[settled]
+    at = at[np.lexsort((pos[at], th[at], k[at]))]
+    # Equal rows have equal places: one entry stands for all.
+    at = at[_groups(k[at], th[at], pos[at])] if len(at) else at
     if len(at):
-        rows += _bucket_rows(_home(k[at], buckets), keys[doc[at]], pos[at], [], (), True)
+        rows += _bucket_rows(_home(k[at], th[at], buckets), keys[doc[at]], pos[at], [], (), True)
     return rows
 
 
@@ -120,37 +128,34 @@ def _unpack(table: pa.Table, settled: bool, widths: tuple) -> list[np.ndarray]:
 def _sent_home(k: np.ndarray, th: np.ndarray, pos: np.ndarray, buckets: int) -> pa.Table:
     """Positions packed by the home bucket of their documents."""
     order = np.lexsort((pos, th, k))
-    rows = _bucket_rows(_home(k[order], buckets), np.stack([k[order], th[order]], axis=1), pos[order], [], (), True) if len(k) else []
+    rows = _bucket_rows(_home(k[order], th[order], buckets), np.stack([k[order], th[order]], axis=1), pos[order], [], (), True) if len(k) else []
     return pa.Table.from_arrays(_rows(rows), names=_NAMES)
 
 
 def _by_document(table: pa.Table) -> pa.Table:
-    """(k, parts) of a home bucket: sorted positions for each text of each document."""
+    """(k, th, at) of a home bucket: the sorted positions of each text of each document."""
     k, th, pos = _unpack(table, True, ())
     order = np.lexsort((pos, th, k))
+    if len(k):
+        order = order[_groups(k[order], th[order], pos[order])]
     k, th, pos = k[order], th[order], pos[order].astype(np.uint32)
     first = np.flatnonzero(_groups(k, th)) if len(k) else np.zeros(0, np.int64)
     ends = np.append(first[1:], len(k)) if len(k) else first
-    heads = np.flatnonzero(_groups(k[first])) if len(first) else first
-    parts = pa.StructArray.from_arrays([pa.array(th[first], pa.int64()), pa.array([pos[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["th", "at"])
-    return pa.Table.from_arrays([pa.array(k[first[heads]], pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(heads, len(first)), pa.int32()), parts)], names=["k", "parts"])
+    at = [pos[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+    return pa.Table.from_arrays([pa.array(k[first], pa.int64()), pa.array(th[first], pa.int64()), pa.array(at, pa.binary())], names=["k", "th", "at"])
 
 
 def _keys(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
 
 
-def _positions(column: pa.Array, keys: np.ndarray) -> list[np.ndarray]:
-    """The positions found for each row: those of its own text."""
-    out = []
-    for parts, (_, th) in zip(column.to_pylist(), keys.tolist(), strict=True):
-        own = [np.frombuffer(p["at"], np.uint32) for p in parts or () if p["th"] == th]
-        out.append(own[0].astype(np.int64) if own else np.zeros(0, np.int64))
-    return out
+def _positions(column: pa.Array) -> list[np.ndarray]:
+    """The positions found for each row."""
+    return [np.frombuffer(at or b"", np.uint32).astype(np.int64) for at in column.to_pylist()]
 
 
 def repeated_places(texts: DataFrame, window: int, period: int, buckets: int) -> DataFrame:
-    """``texts`` (k, th, text) -> (k, parts of (th, positions)): starts of repeated windows, by document.
+    """``texts`` (k, th, text) -> (k, th, at): starts of repeated windows, by document and text.
 
     A bucket of hashes answers to the home buckets of the documents, packed again, so that a document's positions are
     one row in the end and not one for each bucket of hashes.
@@ -196,7 +201,7 @@ def repeated_places(texts: DataFrame, window: int, period: int, buckets: int) ->
         return sent.groupBy("bucket").applyInArrow(judge, _PACK).groupBy("bucket").applyInArrow(_by_document, _PLACES)
 
     found = gathered(texts.mapInArrow(anchors, _PACK), repeated)
-    near = texts.join(found, "k", "left").select("k", "th", "text", "parts")
+    near = texts.join(found, ["k", "th"], "left").select("k", "th", "text", "at")
 
     def windows(batches):
         def settle(hashes, k, th, pos):
@@ -207,7 +212,7 @@ def repeated_places(texts: DataFrame, window: int, period: int, buckets: int) ->
             return later & ~same, ~later & ~same
 
         for part in K.chunks(batches, "text"):
-            at = _positions(part.column(3), _keys(part))
+            at = _positions(part.column(3))
             some = np.flatnonzero([len(a) > 0 for a in at])
             if not len(some):
                 continue
@@ -252,9 +257,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, period: int = 13, id_col:
 
     def cut(batches):
         for part in K.chunks(batches, "text"):
-            keys = _keys(part)
             texts_in = part.column(2).to_pylist()
-            dropped = _positions(part.column(3), keys)
+            dropped = _positions(part.column(3))
             out = ([], [], [])
             for text, starts in zip(texts_in, dropped, strict=True):
                 words = (text or "").encode().split()
@@ -272,7 +276,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, period: int = 13, id_col:
                     o.append(x)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["k", "n_words", "n_removed", "kept_text"])
 
-    done = texts.join(places, "k", "left").select("k", "th", "text", "parts").mapInArrow(cut, "k bigint, n_words bigint, n_removed bigint, kept_text string")
+    done = texts.join(places, ["k", "th"], "left").select("k", "th", "text", "at").mapInArrow(cut, "k bigint, n_words bigint, n_removed bigint, kept_text string")
     return done.select(F.when(F.col("k") != NO_ID, F.col("k")).cast(id_type).alias(id_col), "n_words", "n_removed", "kept_text")
 
 
