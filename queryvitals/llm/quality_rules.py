@@ -7,17 +7,18 @@ of log(target / raw) over its n-grams, divided by their number; it is kept if th
 are held as whole millionths, so a score is an exact sum and the verdict the same whatever the order of addition.
 
 Counts of a text never leave its row; the only shuffle is that of the bucket counts, at most one row for each bucket
-and task. The ratios are as many as buckets (a parameter), and are the only thing the driver handles.
+and task. The ratios are one row with as many numbers as buckets (a parameter), which becomes an array literal of
+the scoring plan; the driver handles nothing else.
+
+Repeated windows are compared word by word: their hashes only tell which texts need the comparison.
 
 Defined cases: null and empty texts have no words, zero counts, and fail the base rules; a text with one word has one
-n-gram; repeated rows and repeated ids are separate texts; an empty corpus has no ratios; without any trusted text the
-ratio is that of smoothing alone; columns of any other name travel through ``judged`` unharmed.
+n-gram; repeated rows and repeated ids are separate texts; an empty corpus has ratios of 0; without any trusted text the
+ratio is that of smoothing alone; columns of any name travel through ``judged``, and those of the result win a clash.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,55 +28,54 @@ BUCKETS = 1 << 14
 MICRO = 1_000_000
 #: Whole multiplier that makes the code of a pair from the codes of its words.
 PAIR = 1_000_003
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\f\r"
-
-
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+SYMBOLS = "[#*$%&|<>]"
+WINDOW = 5
+RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "llr_sum", "base_failed", "kept")
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with codes (crc32 of each word), n_words, word_chars, n_symbols, n_dup_lines and n_capitals."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    out = docs.withColumn("codes", F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.crc32(w)))
-    out = out.withColumn("n_words", F.size("codes").cast("bigint"))
-    out = out.withColumn("word_chars", F.length(_without(text, BLANKS)).cast("bigint"))
-    out = out.withColumn("n_symbols", (F.length(text) - F.length(_without(text, SYMBOLS))).cast("bigint"))
-    out = out.withColumn("lines_with_words", lines)
-    out = out.withColumn("n_dup_lines", (F.size("lines_with_words") - F.size(F.array_distinct("lines_with_words"))).cast("bigint")).drop("lines_with_words")
-    return out.withColumn("n_capitals", F.length(text) - F.length(_without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
+    """The row (``__row_of``), its words and their crc32 codes, and n_words, word_chars, n_symbols, n_dup_lines and n_capitals."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row_of"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    count = lambda pattern: F.regexp_count("__text", F.lit(pattern)).cast("bigint")
+    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(WORD))
+    out = packed.select("__row_of", F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)).alias("__words"), lines.alias("__lines"), count(SYMBOLS).alias("n_symbols"), count("[A-Z]").alias("n_capitals"))
+    out = out.withColumn("__codes", F.transform("__words", lambda w: F.crc32(w))).withColumn("n_words", F.size("__words").cast("bigint"))
+    out = out.withColumn("word_chars", F.length(F.array_join("__words", "")).cast("bigint"))
+    return out.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint")).drop("__lines")
 
 
 def _shifted(a: str, by: int) -> Column:
     return F.slice(F.col(a), by + 1, F.greatest(F.size(a) - by, F.lit(0)))
 
 
-def repeated_words(docs: DataFrame, window: int = 5) -> DataFrame:
-    """``docs`` (with codes) with n_repeat_words: words inside windows of five that the text has twice or more.
+def _in_twos(docs: DataFrame, keyed: Column, out: str) -> DataFrame:
+    """``docs`` with ``out``: places i of the entries (h, i) of ``keyed`` whose h another entry has too."""
+    ordered = docs.withColumn("__sorted", F.sort_array(keyed))
+    same = ordered.withColumn("__same", F.zip_with("__sorted", _shifted("__sorted", 1), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))))
+    either = F.zip_with("__same", F.concat(F.array(F.lit(False)), F.col("__same")), lambda a, b: F.coalesce(a, F.lit(False)) | b)
+    flagged = same.withColumn("__flag", F.zip_with("__sorted", either, lambda s, f: F.when(f & s.isNotNull(), s["i"])))
+    return flagged.withColumn(out, F.array_compact("__flag")).drop("__sorted", "__same", "__flag")
+
+
+def repeated_words(counted: DataFrame) -> DataFrame:
+    """``counted`` with n_repeat_words: words inside windows of five that the text has twice or more.
 
-    Window hashes are built by pairwise zips and compared after one sort of the row's own array, and only in texts
-    that have any repeated window at all.
+    A text without two equal window hashes has none. In others, the windows that share a hash are sorted by their
+    words and count only if these are equal.
     """
-    if window != 5:
-        raise ValueError("windows have five words")
-    two = docs.withColumn("_two", F.zip_with("codes", _shifted("codes", 1), lambda a, b: F.xxhash64(a, b)))
-    four = two.withColumn("_four", F.zip_with("_two", _shifted("_two", 2), lambda a, b: F.xxhash64(a, b)))
-    five = four.withColumn("_five", F.when(F.size("codes") >= 5, F.slice(F.zip_with("_four", _shifted("codes", 4), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size("codes") - 4, F.lit(1)))).otherwise(F.array().cast("array<bigint>")))
-    five = five.withColumn("_some", F.size(F.array_distinct("_five")) < F.size("_five"))
-    at = F.transform("_five", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    ordered = five.withColumn("_sorted", F.when(F.col("_some"), F.array_sort(at)))
-    same = ordered.withColumn("_same", F.zip_with("_sorted", _shifted("_sorted", 1), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))))
-    either = F.zip_with("_same", F.concat(F.array(F.lit(False)), F.col("_same")), lambda a, b: F.coalesce(a, F.lit(False)) | b)
-    flagged = same.withColumn("_flag", F.zip_with("_sorted", either, lambda s, f: F.when(f & s.isNotNull(), s["i"])))
-    places = flagged.withColumn("_at", F.array_sort(F.array_compact("_flag")))
-    covered = F.aggregate(F.zip_with("_at", _shifted("_at", 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(5)), F.lit(5))), F.lit(0), lambda s, x: s + x)
-    done = places.withColumn("n_repeat_words", F.when(F.col("_some"), F.coalesce(covered, F.lit(0))).otherwise(F.lit(0)).cast("bigint"))
-    return done.drop("_two", "_four", "_five", "_some", "_sorted", "_same", "_flag", "_at")
-
-
-def grams(codes: str = "codes") -> Column:
+    hashes = F.transform(_shifted("__codes", WINDOW - 1), lambda last, i: F.xxhash64(*[F.get("__codes", i + k) for k in range(WINDOW - 1)], last))
+    hashed = counted.withColumn("__five", hashes)
+    hashed = hashed.withColumn("__some", F.size(F.array_distinct("__five")) < F.size("__five"))
+    alike = _in_twos(hashed, F.when(F.col("__some"), F.transform("__five", lambda h, i: F.struct(h.alias("h"), i.alias("i")))), "__alike")
+    equal = _in_twos(alike, F.transform("__alike", lambda i: F.struct(F.slice("__words", i + 1, WINDOW).alias("h"), i.alias("i"))), "__equal")
+    places = equal.withColumn("__at", F.sort_array("__equal"))
+    steps = F.zip_with("__at", _shifted("__at", 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x)
+    done = places.withColumn("n_repeat_words", F.when(F.col("__some"), F.coalesce(covered, F.lit(0))).otherwise(F.lit(0)).cast("bigint"))
+    return done.drop("__five", "__some", "__alike", "__equal", "__at")
+
+
+def grams(codes: str = "__codes") -> Column:
     """Bucket numbers of all words and all pairs."""
     pairs = F.slice(F.zip_with(F.col(codes), _shifted(codes, 1), lambda a, b: F.pmod(a * PAIR + b, F.lit(BUCKETS))), 1, F.greatest(F.size(codes) - 1, F.lit(0)))
     return F.concat(F.transform(F.col(codes), lambda c: F.pmod(c, F.lit(BUCKETS))), pairs)
@@ -87,29 +87,31 @@ def trusted() -> Column:
 
 
 def log_ratios(docs: DataFrame, is_trusted: Column | None = None, text_col: str = "text") -> list[int]:
-    """Millionths of log(target / raw) of every bucket, add-one smoothed, from all texts."""
+    """Millionths of log(target / raw) of every bucket, add-one smoothed, from all texts: one row of fixed size."""
     counted = base_counts(docs.select(F.col(text_col).alias("text")))
     is_trusted = trusted() if is_trusted is None else is_trusted
-    each = counted.select(is_trusted.alias("t"), F.explode(grams()).alias("g"))
-    sums = each.groupBy("g").agg(F.count("*").alias("raw"), F.count_if("t").alias("target")).toArrow().to_pydict()
-    raw, target = [1] * BUCKETS, [1] * BUCKETS
-    for g, r, t in zip(sums["g"], sums["raw"], sums["target"], strict=True):
-        raw[g] += r
-        target[g] += t
-    n, m = sum(raw), sum(target)
-    return [math.floor(math.log((t * n) / (r * m)) * MICRO + 0.5) for r, t in zip(raw, target, strict=True)]
+    judged_once = counted.select(F.coalesce(is_trusted, F.lit(False)).alias("t"), grams().alias("a"))
+    # Not ``explode``: its inferred filter on the array would make the optimizer compute the array twice.
+    each = judged_once.select("t", F.explode_outer("a").alias("g")).groupBy("g", "t").agg(F.count("*").alias("n"))
+    sums = each.groupBy("g").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("t"), F.col("n"))).alias("target"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("g")).join(sums, "g", "left")
+    smoothed = every.select("g", (F.coalesce("raw", F.lit(0)) + 1).alias("raw"), (F.coalesce("target", F.lit(0)) + 1).alias("target"))
+    one = smoothed.agg(F.array_sort(F.collect_list(F.struct("g", "raw", "target"))).alias("b"), F.sum("raw").cast("double").alias("n"), F.sum("target").cast("double").alias("m"))
+    ratio = lambda x: F.floor(F.log((x["target"].cast("double") * F.col("n")) / (x["raw"].cast("double") * F.col("m"))) * MICRO + 0.5).cast("bigint")
+    return one.select(F.transform("b", ratio).alias("ratios")).first()["ratios"]
 
 
 def judged(docs: DataFrame, ratios: list[int], threshold: float = -0.15, text_col: str = "text") -> DataFrame:
-    """``docs`` with the base counts, base_failed, llr_sum (millionths), n_grams and kept."""
+    """``docs`` with the base counts, base_failed, llr_sum (millionths), n_grams and kept. ``ratios``: see ``log_ratios``."""
     out = repeated_words(base_counts(docs, text_col))
     # A foldable expression: the optimizer makes it one array literal.
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<bigint>")
     out = out.withColumn("n_grams", F.greatest(2 * F.col("n_words") - 1, F.lit(0)).cast("bigint"))
-    out = out.withColumn("llr_sum", F.aggregate(grams(), F.lit(0).cast("bigint"), lambda s, g: s + table[g]))
+    out = out.withColumn("llr_sum", F.aggregate(grams(), F.lit(0).cast("bigint"), lambda s, g: s + F.get(table, g.cast("int"))))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~failed & (F.col("llr_sum") >= int(threshold * MICRO) * F.col("n_grams"))).drop("codes", "n_capitals")
+    out = out.withColumn("kept", ~failed & (F.col("llr_sum") >= int(threshold * MICRO) * F.col("n_grams")))
+    return out.select(*[F.col("__row_of").getField(c).alias(c) for c in docs.columns if c not in RESULT], *RESULT)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -276,6 +276,34 @@ def test_quality_rules(spark):
     assert set(none) == {0} and quality_rules.judged(X.empty(spark), none).count() == 0
 
 
+def test_quality_ratios_are_those_of_the_two_multinomials(spark):
+    import math
+    import zlib
+
+    rows = X.documents()
+    got = quality_rules.log_ratios(X.frame(spark, rows))
+    raw, target = [1] * quality_rules.BUCKETS, [1] * quality_rules.BUCKETS
+    for r in rows:
+        text = r[1] or ""
+        n, chars, symbols, lines_again, _ = brute_rules(text)
+        good = n >= 10 and not symbols and not lines_again and 10 * sum("A" <= c <= "Z" for c in text) <= 3 * chars
+        codes = [zlib.crc32(w.encode()) for w in WORD.findall(text)]
+        for g in [c % quality_rules.BUCKETS for c in codes] + [(a * quality_rules.PAIR + b) % quality_rules.BUCKETS for a, b in zip(codes, codes[1:], strict=False)]:
+            raw[g] += 1
+            target[g] += good
+    n, m = sum(raw), sum(target)
+    assert got == [math.floor(math.log(t * n / (r * m)) * 1_000_000 + 0.5) for r, t in zip(raw, target, strict=True)]
+
+
+def test_quality_windows_are_compared_by_their_words(spark):
+    """plumless and buckeroo have one crc32; columns that bear the operator's own names travel or give way."""
+    texts = ["a b plumless c d x1 x2 x3 x4 x5 x6 a b buckeroo c d", "a b plumless c d x1 x2 x3 x4 x5 x6 a b plumless c d", "q q q q q q q", None]
+    docs = spark.createDataFrame([(i, t, "v", 5) for i, t in enumerate(texts)], "doc_id bigint, text string, __words string, n_words int")
+    got = sorted(quality_rules.judged(docs, quality_rules.log_ratios(docs)).collect(), key=lambda r: r["doc_id"])
+    assert [r["n_repeat_words"] for r in got] == [0, 10, 7, 0] and [r["n_words"] for r in got] == [16, 16, 7, 0]
+    assert {r["__words"] for r in got} == {"v"}
+
+
 def edit(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
