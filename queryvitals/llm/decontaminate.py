@@ -1,14 +1,18 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-``build_index`` turns the corpus into index segments, one row for each few MB of text: sorted term hashes, their
-posting lists (word positions), and the documents of the segment. Segments are independent, so the index grows with
-the corpus, is built without a shuffle, and may be written and searched later. ``search`` takes the benchmark items
-in blocks of a checked size to every segment: each window of an item picks its rarest term in the segment, shifts
-that posting list to the window's start, and intersects it with the lists of the other terms, rarest first.
+``build_index`` turns the corpus into index segments, one row for each MB of text: sorted term hashes, their posting
+lists (word positions), and the documents of the segment. Segments are independent, so the index grows with the
+corpus and is built without a shuffle; ``decontaminate`` writes it to the shared folder and searches the written table.
+
+Executors cut the benchmark items into windows and pack them in blocks of a checked size; the driver only passes each
+block on to the broadcast. ``search`` goes through the segments once, whatever the number of blocks. Each window takes
+the posting list of its rarest term in the segment, shifted to the window's start, and intersects it with the lists of
+its other terms, shifted alike, rarest first; what is left are the exact occurrences.
 
 Defined cases: a null or empty text has no words and is never hit; an item without words has no window; an item
 shorter than the window is one window of its own length; repeated rows each get their own result; repeated item
-ids count once; an empty corpus or benchmark gives no hits. Other columns of ``docs`` are not looked at.
+ids count once; an empty corpus or benchmark gives no hits. Other columns of ``docs`` are not looked at. Words are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -68,7 +72,7 @@ class Segment:
         self.starts = np.frombuffer(starts, np.uint32).astype(np.int64)
         self.postings = np.frombuffer(postings, np.uint32)
         self.size = int(self.first[-1])
-        self._term_at = None
+        self._keys = None
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and posting-list lengths; unknown terms have length 0."""
@@ -78,44 +82,52 @@ class Segment:
         known = self.terms[at] == hashes
         return at, np.where(known, self.starts[at + 1] - self.starts[at], 0)
 
-    def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
-        """Whether each position is in the posting list of its term."""
-        if self._term_at is None:
-            self._term_at = np.empty(self.size, np.int32)
-            self._term_at[self.postings] = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
-        return self._term_at[position] == term
-
-    def phrases(self, windows: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-        """Exact occurrences of word sequences, rows of term hashes: (window number, word position)."""
-        length = windows.shape[1]
-        term, df = self.lookup(windows.ravel())
-        term, df = term.reshape(windows.shape), df.reshape(windows.shape)
-        alive = np.flatnonzero(df.min(axis=1) > 0)
-        rare_first = np.argsort(df[alive], axis=1, kind="stable")
-        lists = df[alive, rare_first[:, 0]]
-        found = []
-        at = 0
-        ends = np.cumsum(lists)
-        while at < len(alive):
-            end = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")), at + 1)
-            rows, n = alive[at:end], lists[at:end]
-            offset = rare_first[at:end, 0]
-            head = self.starts[term[rows, offset]]
-            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            who = np.repeat(np.arange(len(rows)), n)
-            start = self.postings[head[who] + inner].astype(np.int64) - offset[who]
-            ok = (start >= 0) & (start + length <= self.size)
-            who, start = who[ok], start[ok]
-            for k in range(1, length):
-                shift = rare_first[at:end, k][who]
-                ok = self.has(term[rows[who], shift], start + shift)
+    @property
+    def keys(self) -> np.ndarray:
+        """All posting lists as one sorted array of (term number, position)."""
+        if self._keys is None:
+            term = np.repeat(np.arange(len(self.terms), dtype=np.int64), np.diff(self.starts))
+            self._keys = (term << 32) | self.postings
+        return self._keys
+
+    def listed(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether each position is in the posting list of its term, by binary search in the list."""
+        wanted = (term << 32) | position
+        at = np.searchsorted(self.keys, wanted)
+        return self.keys[np.minimum(at, len(self.keys) - 1)] == wanted
+
+    def phrases(self, words: np.ndarray, starts: np.ndarray, length: int, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """Exact occurrences of the sequences of ``length`` term hashes that begin at ``starts`` in ``words``: (sequence number, word position)."""
+        term, df = self.lookup(words)
+        unknown = np.concatenate([[0], np.cumsum(df == 0)])
+        alive = np.flatnonzero(unknown[starts + length] == unknown[starts])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for part in np.array_split(alive, len(alive) // 4096 + 1):
+            if not len(part):
+                continue
+            place = starts[part][:, None] + np.arange(length)
+            terms, sizes = term[place], df[place]
+            rare_first = np.argsort(sizes, axis=1, kind="stable")
+            lists = np.take_along_axis(sizes, rare_first[:, :1], axis=1)[:, 0]
+            ends = np.cumsum(lists)
+            at = 0
+            while at < len(part):
+                end = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")), at + 1)
+                n = lists[at:end]
+                who = np.repeat(np.arange(at, end), n)
+                inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                offset = rare_first[who, 0]
+                start = self.postings[self.starts[terms[who, offset]] + inner].astype(np.int64) - offset
+                ok = (start >= 0) & (start + length <= self.size)
                 who, start = who[ok], start[ok]
-            doc = np.searchsorted(self.first, start, side="right") - 1
-            ok = start + length <= self.first[doc + 1]
-            found.append((rows[who[ok]], start[ok]))
-            at = end
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for k in range(1, length):
+                    shift = rare_first[who, k]
+                    ok = self.listed(terms[who, shift], start + shift)
+                    who, start = who[ok], start[ok]
+                doc = np.searchsorted(self.first, start, side="right") - 1
+                ok = start + length <= self.first[doc + 1]
+                found.append((part[who[ok]], start[ok]))
+                at = end
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def near(self, terms: np.ndarray, within: int) -> np.ndarray:
@@ -135,36 +147,47 @@ class Segment:
         return np.unique(doc[ok])
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """Items as (ids, texts) lists of at most ``block_bytes`` of text each, streamed to the driver."""
-    ids, texts, held = [], [], 0
-    for row in items.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
-        size = len((row[1] or "").encode())
-        if ids and held + size > block_bytes:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-        ids.append(row[0])
-        texts.append(row[1] or "")
-        held += size
-    if ids:
-        yield ids, texts
-
-
-def item_windows(ids: list, texts: list, window: int) -> list[tuple[np.ndarray, list[list[int]]]]:
-    """Distinct windows by length: (hash rows, numbers of the items that have each)."""
-    w = K.Words(pa.array(texts, pa.string()), K.ALNUM, lower=True)
-    by_length: dict[int, dict[tuple, list[int]]] = {}
-    for item in range(len(ids)):
-        h = w.hash[w.first[item] : w.first[item + 1]]
-        length = min(window, len(h))
-        for i in range(len(h) - length + 1 if length else 0):
-            owners = by_length.setdefault(length, {}).setdefault(tuple(h[i : i + length].tolist()), [])
-            if not owners or owners[-1] != item:
-                owners.append(item)
-    return [(np.array(list(found), np.uint64), list(found.values())) for found in by_length.values()]
-
-
-def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20, slop: int | None = None) -> DataFrame:
+def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """The items' windows, packed by the executors: one row (names, words, first, windows) for each block of at most
+    ``block_bytes`` of text. ``words`` are term hashes, ``first`` the items' borders in them, and ``windows`` holds, by
+    length, the starts of the distinct windows and the items of each."""
+
+    def pack(batches):
+        for part in K.chunks(batches, "text", block_bytes):
+            w = K.Words(part.column(1), K.ALNUM, lower=True)
+            by_length = []
+            lengths = np.minimum(w.count, window)
+            for m in np.unique(lengths[lengths > 0]).tolist():
+                own = np.flatnonzero(lengths == m)
+                many = w.count[own] - m + 1
+                item = np.repeat(own, many)
+                start = np.repeat(w.first[own], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                order = np.lexsort((item, w.windows(start, m)))
+                start, item = start[order], item[order]
+                new = np.ones(len(start), bool)
+                # Neighbours with one hash are one window only if all their terms agree.
+                for lo in range(1, len(start), 1 << 16):
+                    hi = min(lo + (1 << 16), len(start))
+                    before, here = (w.hash[at[:, None] + np.arange(m)] for at in (start[lo - 1 : hi - 1], start[lo:hi]))
+                    new[lo:hi] = (before != here).any(axis=1)
+                heads = np.flatnonzero(new)
+                by_length.append({"length": m, "starts": _pack(start[heads].astype(np.int64)), "heads": _pack(np.append(heads, len(start)).astype(np.int64)), "owners": _pack(item.astype(np.int64))})
+            kind = pa.list_(pa.struct([("length", pa.int32()), ("starts", pa.binary()), ("heads", pa.binary()), ("owners", pa.binary())]))
+            names = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+            yield pa.RecordBatch.from_arrays([names, pa.array([_pack(w.hash)], pa.binary()), pa.array([_pack(w.first.astype(np.int64))], pa.binary()), pa.array([by_length], kind)], names=["names", "words", "first", "windows"])
+
+    source = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    source = source.repartition(K.text_bytes(items, text_col) // block_bytes + 1)
+    return source.mapInArrow(pack, "names array<string>, words binary, first binary, windows array<struct<length:int,starts:binary,heads:binary,owners:binary>>")
+
+
+def _opened_block(row) -> tuple:
+    numbers = lambda b: np.frombuffer(b, np.int64)
+    windows = [(x["length"], numbers(x["starts"]), numbers(x["heads"]), numbers(x["owners"])) for x in row["windows"]]
+    return list(row["names"]), np.frombuffer(row["words"], np.uint64), numbers(row["first"]), windows
+
+
+def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4 << 20, slop: int | None = None) -> DataFrame:
     """Per document: id, n_words, spans (hit word ranges [from, to)), items (ids with an occurring window, as strings).
 
     With ``slop``, a further column ``near`` lists the items of which all words lie within (words + slop) words.
@@ -181,7 +204,7 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
     return _search(index, index.schema["ids"].dataType.elementType.simpleString(), opened, items, item_id, item_text, window, block_bytes, slop)
 
 
-def index_and_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20, slop: int | None = None) -> DataFrame:
+def index_and_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4 << 20, slop: int | None = None) -> DataFrame:
     """``search(build_index(docs), items)`` in one pass: each segment is searched by the worker that has built it."""
     K.small_batches(docs.sparkSession)
 
@@ -196,10 +219,8 @@ def index_and_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 def _search(index: DataFrame, id_type: str, opened, items: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int, slop: int | None) -> DataFrame:
     schema = f"id {id_type}, n_words bigint, spans array<struct<from:bigint,to:bigint>>, items array<string>, near array<string>"
     context = index.sparkSession.sparkContext
-    blocks = []
-    for ids, texts in item_blocks(items, item_id, item_text, block_bytes):
-        bags = [np.unique(K.Words(pa.array([t], pa.string()), K.ALNUM, lower=True).hash) for t in texts] if slop is not None else None
-        blocks.append(context.broadcast((ids, item_windows(ids, texts, window), bags)))
+    # One block at a time passes through the driver; its size is bounded by block_bytes of text.
+    blocks = [context.broadcast(_opened_block(row)) for row in item_blocks(items, item_id, item_text, window, block_bytes).toLocalIterator()]
 
     def run(batches):
         segments = opened(batches)
@@ -228,18 +249,23 @@ class _Hits:
         self.items: dict[int, set] = {}
         self.near: dict[int, set] = {}
 
-    def find(self, names: list, by_length: list, bags: list | None, slop: int | None) -> None:
-        for windows, owners in by_length:
-            which, start = self.segment.phrases(windows)
+    def find(self, names: list, words: np.ndarray, first: np.ndarray, windows: list, slop: int | None) -> None:
+        for length, starts, heads, owners in windows:
+            which, start = self.segment.phrases(words, starts, length)
             np.add.at(self.edge, start, 1)
-            np.add.at(self.edge, start + windows.shape[1], -1)
+            np.add.at(self.edge, start + length, -1)
             doc = np.searchsorted(self.segment.first, start, side="right") - 1
-            for d, x in {(int(d), int(x)) for d, x in zip(doc, which, strict=True)}:
-                self.items.setdefault(d, set()).update(names[o] for o in owners[x])
-        for item, bag in enumerate(bags or []):
-            if len(bag):
-                for d in self.segment.near(bag, len(bag) + slop).tolist():
-                    self.near.setdefault(d, set()).add(names[item])
+            for pair in np.unique(doc * len(starts) + which).tolist():
+                d, x = divmod(pair, len(starts))
+                self.items.setdefault(d, set()).update(names[o] for o in owners[heads[x] : heads[x + 1]].tolist())
+        if slop is None:
+            return
+        _, df = self.segment.lookup(words)
+        unknown = np.concatenate([[0], np.cumsum(df == 0)])
+        for item in np.flatnonzero((unknown[first[1:]] == unknown[first[:-1]]) & (first[1:] > first[:-1])).tolist():
+            bag = np.unique(words[first[item] : first[item + 1]])
+            for d in self.segment.near(bag, len(bag) + slop).tolist():
+                self.near.setdefault(d, set()).add(names[item])
 
 
 def _answer(segment: Segment, ids: pa.Array, hits: _Hits) -> pa.RecordBatch:
@@ -268,9 +294,9 @@ def _answer(segment: Segment, ids: pa.Array, hits: _Hits) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(segment.count, pa.int64()), spans, named(hits.items), named(hits.near)], names=["id", "n_words", "spans", "items", "near"])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Index the documents and search them: see ``search``."""
-    return index_and_search(docs, items, window=window)
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", slop: int | None = None) -> DataFrame:
+    """Index the documents, write the index to the shared folder, and search it: see ``search``."""
+    return search(K.checkpoint(build_index(docs, id_col)), items, window=window, slop=slop)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

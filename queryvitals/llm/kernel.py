@@ -185,15 +185,17 @@ def difference_cover(period: int) -> list[int]:
     return [0]
 
 
-def plan_bytes(df) -> int:
-    """Catalyst's size estimate of a DataFrame; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df, text_col: str = "text") -> int:
+    """UTF-8 bytes of a text column, summed by one scan of it: an optimizer's estimate may be off by any factor."""
+    from pyspark.sql import functions as F
 
+    return int(df.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0)
 
-def bucket_count(df, bucket_bytes: int = 16 << 20) -> int:
+
+def bucket_count(df, bucket_bytes: int = 16 << 20, text_col: str = "text") -> int:
     """Groups for a packed shuffle: never fewer than the session's shuffle partitions, and growing with the input."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(max(parts, plan_bytes(df) // bucket_bytes + 1), 1 << 20))
+    return int(min(max(parts, text_bytes(df, text_col) // bucket_bytes + 1), 1 << 24))
 
 
 def small_batches(spark, size: int = 4 << 20) -> None:

@@ -30,7 +30,7 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0, bucket_bytes: int =
     """All columns of ``docs`` with shard (int) and slot (long), shuffled."""
     names = [c for c in docs.columns if c not in ("shard", "slot")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__h"), F.monotonically_increasing_id().alias("__row"))
-    buckets = K.bucket_count(docs, bucket_bytes)
+    buckets = K.bucket_count(docs, bucket_bytes, text_col)
     rows = rows.withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
     # Sizes of the buckets; the few that are far too large get sub-buckets by row number.
     weight = F.coalesce(F.octet_length(text_col), F.lit(0)) + 64
