@@ -155,10 +155,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
     classes = signed.where("n > 0").groupBy("s").agg(first.alias("r"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("x1").alias("x1"), F.first("x2").alias("x2"))
     classes = K.checkpoint(classes.select("s", "r.id", "r.th", "n", "mins", "x1", "x2"))
+    total = classes.count() * trees
     roots = classes.select("s", "n", "x1", "x2", F.posexplode(F.slice("mins", 1, trees)).alias("tree", "m")).select("s", "n", "x1", "x2", "tree", F.xxhash64("tree", "m").alias("path"))
     # The hub of a node is its smallest class in every second tree and its largest in the others.
-    hubs = roots.groupBy("path").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi")
-    shared_nodes = K.checkpoint(roots.join(hubs, "path").select("path", "s", "n", "x1", "x2", F.when(F.col("tree") % 2 == 0, F.col("lo")).otherwise(F.col("hi")).alias("hub")))
+    hubs = K.checkpoint(roots.groupBy("path").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("members")).where("lo <> hi"))
+    shared_nodes = K.checkpoint(_with_node(roots, hubs, total).select("path", "s", "n", "x1", "x2", F.when(F.col("tree") % 2 == 0, F.col("lo")).otherwise(F.col("hi")).alias("hub")))
     hub = classes.select(F.col("s").alias("hub"), F.col("n").alias("hn"), F.col("x1").alias("h1"), F.col("x2").alias("h2"))
     spokes = shared_nodes.where("s <> hub").select("s", "n", "x1", "x2", "hub").distinct().join(hub, "hub")
     edges = spokes.select(
@@ -179,7 +180,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     nodes = shared_nodes.join(labels.select(F.col("v").alias("s"), "label"), "s", "left").select("s", "n", "x1", "x2", "path", F.coalesce("label", "s").alias("label"), F.lit(0).cast("bigint").alias("used"))
     pairs, dense = [], []
     for level in range(depth + 1):
-        here = K.checkpoint(nodes.join(_unsettled(nodes, spread, last=level == depth), "path"))
+        nodes = K.checkpoint(nodes)
+        total = nodes.count()
+        here = K.checkpoint(_with_node(nodes, _unsettled(nodes, total, spread, last=level == depth), total))
         pairs.append(_across(here.where("way = 'pairs'"), percent))
         dense.append(here.where("way = 'blocks'").select("path", "s", "label", "members", "tokens"))
         rest = here.where("way = 'branch'")
@@ -226,19 +229,35 @@ def _same_id(signed: DataFrame, shared: DataFrame) -> DataFrame:
     return several.join(several.groupBy("id").agg(F.min("s").alias("a"), F.count("*").alias("k")).where("k > 1"), "id").where("s <> a").select("a", F.col("s").alias("b"))
 
 
-def _unsettled(nodes: DataFrame, spread: int, last: bool) -> DataFrame:
-    """Nodes with several labels, and the way to settle each: (path, members, tokens, way).
+def _with_node(rows: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """``rows`` with the columns of their path's row in ``nodes``, which tells its number of members.
+
+    Nodes with more than a quarter of a task's share of the ``total`` rows are at most four for each shuffle partition,
+    whatever the input; these are sent to all executors and their members stay where they are. All others meet by path.
+    """
+    share = max(total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 256)
+    heavy = F.broadcast(nodes.where(F.col("members") > share))
+    light = rows.join(F.broadcast(nodes.where(F.col("members") > share).select("path")), "path", "left_anti").join(nodes.where(F.col("members") <= share), "path")
+    return rows.join(heavy, "path").unionByName(light)
+
+
+def _unsettled(nodes: DataFrame, total: int, spread: int, last: bool) -> DataFrame:
+    """Nodes with several labels, and the way to settle each: (path, members, tokens, main, way). ``main`` is the label
+    with the most members.
 
     ``pairs``: few enough to compare across labels. ``blocks``: most members resemble the node's first one, so further
     tokens would not part them (or the depth is used up). ``branch``: all others. All counts are partial aggregates.
     """
     by_label = nodes.groupBy("path", "label").agg(F.count("*").alias("k"), F.sum("n").alias("t"), F.min(F.struct("s", "x1", "x2")).alias("h"))
-    node = by_label.groupBy("path").agg(F.sum("k").alias("members"), F.sum("t").alias("tokens"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("labels"), F.min("h").alias("h")).where("labels > 1")
+    node = by_label.groupBy("path").agg(
+        F.sum("k").alias("members"), F.sum("t").alias("tokens"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("labels"), F.min("h").alias("h"), F.max(F.struct("k", "label")).alias("main")
+    )
+    node = K.checkpoint(node.where("labels > 1").withColumn("main", F.col("main.label")))
     like = F.expr(f"bit_count(x1 ^ h.x1) + bit_count(x2 ^ h.x2) <= {SKETCH_BITS}")
-    alike = nodes.join(node.select("path", "h"), "path").groupBy("path").agg(F.avg(like.cast("int")).alias("alike"))
+    alike = _with_node(nodes.select("path", "x1", "x2"), node.select("path", "h", "members"), total).groupBy("path").agg(F.avg(like.cast("int")).alias("alike"))
     few = (F.col("members") * F.col("members") - F.col("same")) / 2 <= spread * F.col("members")
     way = F.when(few, "pairs").when(F.lit(last) | (F.col("alike") >= 0.5), "blocks").otherwise("branch")
-    return node.join(alike, "path").select("path", "members", "tokens", way.alias("way"))
+    return K.checkpoint(node.join(alike, "path").select("path", "members", "tokens", "main", way.alias("way")))
 
 
 def _linked_in_blocks(crowd: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
@@ -297,10 +316,12 @@ def _linked(flat: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int) ->
 
 
 def _across(nodes: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs of one node with different labels."""
-    a = nodes.select("path", F.col("s").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("x1").alias("xa1"), F.col("x2").alias("xa2"))
+    """Possible pairs of one node with different labels: members outside the node's main label meet all others of
+    their node, so members of the main label are never compared with one another."""
+    a = nodes.where("label <> main").select("path", F.col("s").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("x1").alias("xa1"), F.col("x2").alias("xa2"))
     b = nodes.select("path", F.col("s").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("x1").alias("xb1"), F.col("x2").alias("xb2"))
-    return a.join(b, "path").where(F.expr("a < b AND la <> lb") & _possible(percent)).select("a", "b")
+    met = a.join(b, "path").where(F.expr("la <> lb") & _possible(percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
