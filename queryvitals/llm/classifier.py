@@ -10,7 +10,8 @@ bound, which also bounds the label rows that are broadcast). Every text is score
 
 Defined cases: null and empty texts have statistics of zero words and get the score that the model gives these; no
 usable label gives 0.5 for all; one label value only gives its smoothed rate; an id with several labels counts with
-the smallest; null labels and labels without a document are not used.
+the smallest, and one with several texts with the smallest of these; null labels and labels without a document are not
+used.
 """
 
 from __future__ import annotations
@@ -132,11 +133,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id",
     """A model from labelled documents of the folds 1 to 4: 1 to 3 fit the ridge, 4 calibrates."""
     K.small_batches(docs.sparkSession)
     usable = labels.where(F.col(label).isNotNull() & (fold_of(id_col) != 0)).select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y"))
-    n = usable.count()
+    n = usable.select("id").distinct().count()
     chosen = usable.where(F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 30)) <= int(min(1.0, train_rows / max(n, 1)) * (1 << 30)))
     chosen = chosen.groupBy("id").agg(F.min("y").alias("y")).withColumn("fold", F.crc32(F.col("id").cast("string")) % 5)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = source.join(F.broadcast(chosen), "id").select("y", "fold", "text")
+    rows = source.join(F.broadcast(chosen), "id").groupBy("id", "y", "fold").agg(F.min("text").alias("text")).select("y", "fold", "text")
 
     def measure(batches):
         for part in K.chunks(batches, "text", 1 << 20):

@@ -10,7 +10,8 @@ word borders count. A language contains an n-gram if its rate there is at least
 language and it was seen twice; rates and not counts, so that a language with many documents does not take all bits.
 
 The classifier is fitted on at most about ``train_rows`` labelled rows of each language, chosen by a hash of the id
-(a documented bound; whole texts). Prediction reads nothing but the text, and whole texts.
+(a documented bound; whole texts), and learns the ``most_languages`` most frequent labels, since a filter of fixed size
+is kept for each. Prediction reads nothing but the text, and whole texts.
 
 Defined cases: text null or without a letter gives ``und`` and score 0; a text with letters but without any known
 n-gram gets the language with the most training rows and score 0; ties go to the language with more training rows, then the
@@ -101,19 +102,20 @@ class Filters:
         return out, n
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 5_000, size: int = 1 << 20, hashes: int = 3, share: float = 0.25) -> Filters:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 5_000, size: int = 1 << 20, hashes: int = 3, share: float = 0.25, most_languages: int = 1_000) -> Filters:
     """Filters from the labelled rows of ``docs``, at most about ``train_rows`` of each language."""
     K.small_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    labelled = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    inventory = sorted(((r["n"], r["lang"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()), key=lambda x: (-x[0], x[1]))
-    languages = [x[1] for x in inventory]
+    labelled = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    inventory = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    languages = [r["lang"] for r in inventory]
     if not languages:
         return Filters([], np.zeros((1, size), np.uint64), hashes)
-    limit = F.create_map(*[c for n, lang in inventory for c in (F.lit(lang), F.lit(int(min(1.0, train_rows / n) * (1 << 30))))])
-    number = F.create_map(*[c for i, lang in enumerate(languages) for c in (F.lit(lang), F.lit(i))])
-    sample = labelled.where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) <= limit[F.col("lang")])
-    sample = sample.select(number[F.col("lang")].alias("lang"), "text")
+    # At most most_languages rows.
+    known = [(lang, i, int(min(1.0, train_rows / r["n"]) * (1 << 30))) for i, (lang, r) in enumerate(zip(languages, inventory, strict=True))]
+    known = F.broadcast(docs.sparkSession.createDataFrame(known, "lang string, number int, upto long"))
+    sample = labelled.join(known, "lang").where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) <= F.col("upto"))
+    sample = sample.select(F.col("number").alias("lang"), "text")
 
     def count(batches):
         pending, held = [], 0
@@ -132,9 +134,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.RecordBatch.from_arrays([pa.array((k >> 32).astype(np.int32)), pa.array(k & 0xFFFFFFFF), pa.array(n[i : i + (1 << 16)].astype(np.int64))], names=["lang", "gram", "n"])
 
     counted = K.checkpoint(sample.mapInArrow(count, "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    total = F.create_map(*[c for i, n in totals.items() for c in (F.lit(i), F.lit(float(n)))]) if totals else F.create_map(F.lit(0), F.lit(1.0))
-    rated = counted.withColumn("rate", F.col("n") / total[F.col("lang")])
+    totals = F.broadcast(counted.groupBy("lang").agg(F.sum("n").cast("double").alias("total")))
+    rated = counted.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total")).select("lang", "gram", "n", "rate")
     by_gram = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("has"))
     owned = by_gram.select("gram", F.explode("has").alias("o"), "top").where((F.col("o.n") >= 2) & (F.col("o.rate") >= share * F.col("top")))
     masks = owned.groupBy("gram", F.floor(F.col("o.lang") / PLANE).cast("int").alias("plane")).agg(F.bit_or(F.expr(f"shiftleft(1L, o.lang % {PLANE})")).alias("mask"))
@@ -156,10 +157,11 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and letters (false for null or letterless texts), rows and other columns kept."""
+    """``docs`` with lang_pred and score; rows and other columns are kept, and those of the result win a clash."""
     K.small_batches(docs.sparkSession)
     # Plain values only: a broadcast is not pickled together with this package.
     sent = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table, filters.hashes))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
     place = docs.columns.index(text_col)
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 

@@ -10,6 +10,9 @@ The cut of a source is found by two passes over sums of 4096 rank cells each and
 so no task orders a whole source, however large; every row then compares its own rank with its source's cut. The
 random number is a hash of the id (of the text where the id is null), so reruns agree.
 
+The table of one row for each source is ordered in one task: sources may be thousands, not hosts by the hundred million
+(``mix`` refuses more than ``MOST_SOURCES``).
+
 Defined cases: null and empty texts have size 0 and are never taken; a null source is a source, last in order; a table
 without words has targets 0; repeated rows rank together, each counts, and a cut may fall between them; columns of
 ``docs`` of any name are kept, and those of the result win a clash.
@@ -26,6 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
 #: Sources up to which the table of one row per source is broadcast.
 BROADCAST_SOURCES = 100_000
+#: Sources whose targets one task may order (some 100 bytes each).
+MOST_SOURCES = 10_000_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -67,23 +72,28 @@ def _with_source(rows: DataFrame, table: DataFrame, few: bool = False) -> DataFr
     return rows.join(F.broadcast(table) if few else table, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
 
 
-def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weight_col: str | None = None) -> DataFrame:
-    """``docs`` with size, source_size, target and copies (how often the mix takes the document).
+def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weight_col: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or the ``columns`` of it) with size, source_size, target and copies (how often the mix takes the document).
 
     With ``weight_col``, expected copies within a source are in proportion to that column (nulls and negatives: 0) as
     far as the limit of ``most`` copies allows.
     """
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in ("size", "source_size", "target", "copies")]
+    # Written once: row ids, which part equal rows, must be the same for the cuts and for the answer.
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row_of"),  # as one column, so that no name can clash
         F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.xxhash64(text_col).alias("__th"), F.monotonically_increasing_id().alias("__row"), word_count(text_col).alias("__size"), weight.alias("__weight"),
     )
+    rows = K.checkpoint(rows)
     narrow = K.checkpoint(rows.select("__id", "__source", "__th", "__row", "__size", "__weight"))
-    sums = narrow.groupBy("__source").agg(F.sum("__size").alias("__all"), F.sum(F.col("__size") * F.col("__weight")).alias("__weighted"))
+    sums = K.checkpoint(narrow.groupBy("__source").agg(F.sum("__size").alias("__all"), F.sum(F.col("__size") * F.col("__weight")).alias("__weighted")))
+    sources = sums.count()
+    if sources > MOST_SOURCES:
+        raise ValueError(f"{sources} sources: targets are set for at most {MOST_SOURCES}")
     filled = water_fill(sums.select(F.col("__source").alias("source"), F.col("__all").alias("source_size")), weights, most)
     table = K.checkpoint(_with_source(sums, filled.select(F.col("source").alias("__s"), F.col("target").alias("__target"))).withColumnRenamed("__source", "__s"))
-    few = table.count() <= BROADCAST_SOURCES
+    few = sources <= BROADCAST_SOURCES
 
     def expected(rows: DataFrame, table: DataFrame) -> DataFrame:
         """Rows with whole copies, the inclusion probability of one more, and the rank (null where that is 0)."""
@@ -141,7 +151,7 @@ def repeated(mixed: DataFrame) -> DataFrame:
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
-    mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), [5, 2, 1])
+    mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), [5, 2, 1], columns=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -37,6 +37,8 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0, bucket_bytes: int =
     sizes = K.checkpoint(rows.groupBy("__bucket").agg(F.count("*").alias("__n"), F.sum(weight).alias("__bytes")))
     large = {r["__bucket"]: int(r["__bytes"] // (8 * bucket_bytes)) + 1 for r in sizes.where(F.col("__bytes") > 8 * bucket_bytes).collect()}
     if large:
+        # Written once: the row numbers that split a bucket must be those that are counted.
+        rows = K.checkpoint(rows)
         parts = F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("__bucket")], F.lit(1))
         rows = rows.withColumn("__part", F.pmod(F.xxhash64("__row", F.lit(seed)), parts).cast("int"))
         sizes = rows.groupBy("__bucket", "__part").agg(F.count("*").alias("__n"))
