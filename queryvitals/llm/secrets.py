@@ -6,9 +6,10 @@ length. Each is described by its length, character transitions (how often neighb
 likely they are in ordinary words), the share of its letters that dictionary words cover, its path, and its neighbouring words. A forest
 trained from labelled findings gives the share of trees that call it a secret.
 
-The forest is trained on at most ``train_rows`` labelled findings (a documented bound); without a findings table it
-is trained on ``example_findings``, a seeded set of planted credentials and of look-alikes (digests, ids, paths,
-placeholders, long words). Every text is scanned whole; a finding never leaves its row, and nothing is shuffled.
+The dictionary is counted over the whole corpus: its ``most`` frequent words (a documented bound). The forest is
+trained on at most ``train_rows`` labelled findings (a documented bound); without a findings table it is trained on the
+seeded set of the module ``findings``. Every text is scanned whole; a finding never leaves its row, and only word counts
+are shuffled.
 
 Defined cases: null and empty texts have no findings; repeated rows each get their own; a null path counts as an
 empty one; positions are bytes of the UTF-8 text; overlapping candidates become the longer one; other columns stay.
@@ -24,28 +25,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queryvitals.llm import kernel as K
+from queryvitals.llm.findings import ANNOUNCE, example_findings
 
 MASK = "[SECRET]"
 MIN_RUN, MIN_VALUE, CONTEXT = 16, 8, 48
 
-# Words that announce a credential, words that announce something else, path marks, and a dictionary
-# of words and word parts that appear in look-alikes.
-_ANNOUNCE = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "private", "bearer"]
+# Words that announce something else, path marks, and words that placeholders are made of, which count
+# as dictionary words whatever the corpus.
 _DENY = ["sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "etag", "revision", "build", "version", "example", "sample", "dummy", "id", "isbn", "url", "see", "integrity"]
 _PATH = ["test", "example", "sample", "doc", "fixture", "mock", "lock", "vendor", "env", "config", "settings", "deploy"]
-_DICTIONARY = ["example", "sample", "test", "dummy", "change", "your", "password", "secret", "token", "here", "user", "name", "admin", "default", "place", "holder", "config", "data", "value", "string", "true", "false", "null", "none", "http", "https", "www", "file", "path", "version", "license", "the", "and", "for", "with", "from", "index", "main", "class", "function", "return", "import", "module", "package", "server", "client", "image", "style", "script", "public", "private", "home", "local", "temp", "build", "dist", "lib", "bin", "src", "chapter", "section", "page", "title", "table", "number", "first", "last", "next", "start", "end", "open", "close", "time", "date", "year", "month", "week", "order", "price", "total"]
+_PLACEHOLDER = ["example", "sample", "test", "dummy", "change", "your", "password", "secret", "token", "here", "user", "name", "admin", "default", "place", "holder", "config", "data", "value", "string", "true", "false", "null", "none", "http", "https", "www", "file", "path", "version", "license", "the", "and", "for", "with", "from", "index", "main", "class", "function", "return", "import", "module", "package", "server", "client", "image", "style", "script", "public", "private", "home", "local", "temp", "build", "dist", "lib", "bin", "src", "chapter", "section", "page", "title", "table", "number", "first", "last", "next", "start", "end", "open", "close", "time", "date", "year", "month", "week", "order", "price", "total"]
 
 _TOKEN = K._byte_mask(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")
 _DIGIT, _UPPER, _LOWER = (K._byte_mask(x) for x in (b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _PREFIXES = (b"AKIA", b"ghp_", b"xoxb", b"xoxp", b"sk_l", b"glpa", b"AIza", b"eyJh")
 _PREFIX = re.compile(rb"(?<![A-Za-z0-9])(?:" + b"|".join(_PREFIXES) + rb")")
-_CREDENTIAL = re.compile(rb"(?:" + b"|".join(re.escape(w.encode()) for w in _ANNOUNCE) + rb")[\"'\]]?[ \t]{0,4}$", re.IGNORECASE)
+_CREDENTIAL = re.compile(rb"(?:" + b"|".join(re.escape(w.encode()) for w in ANNOUNCE) + rb")[\"'\]]?[ \t]{0,4}$", re.IGNORECASE)
 _VALUE = re.compile(rb"[=:>]?[ \t]{0,4}(?:[\"'`])?([^\s\"'`,;]{8})")
 _VALUE_END = re.compile(rb"[\s\"'`,;]")
-_KEY_BEGIN = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
-_KEY_END = re.compile(rb"-----END [A-Z ]{0,40}PRIVATE KEY-----")
+_KEY_BEGIN = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+_KEY_END = re.compile(rb"-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
 _KINDS = ["assigned", "run", "block"]
 _WORD = re.compile(r"[a-z0-9_-]+")
+_LETTERS = re.compile(r"[a-z]{4,}")
 FEATURES = 22
 
 
@@ -67,6 +69,7 @@ def candidates(text: bytes, runs: list[tuple[int, int]], marks: list[int]) -> li
     found = []
     stop = -1
     for at in marks:
+        # The longest credential word with its quote and blanks has fewer bytes.
         if _CREDENTIAL.search(text[max(0, at - 28) : at]):
             m = _VALUE.match(text, at + 1)
             if m:
@@ -133,12 +136,35 @@ def _classes(value: bytes) -> np.ndarray:
     return kind
 
 
-# Pairs of letters that are usual in words: all vowel-consonant and consonant-vowel pairs and the doubled or joined ones.
-_VOWELS = b"aeiouy"
-_USUAL = {bytes([a, b]) for a in range(0x61, 0x7B) for b in range(0x61, 0x7B) if (a in _VOWELS) != (b in _VOWELS)} | {w.encode()[i : i + 2] for w in _DICTIONARY for i in range(len(w) - 1)}
+SHORTEST, LONGEST = 4, 16
 
 
-def features(value: bytes, before: bytes, after: bytes, path: str, kind: int) -> list[float]:
+class Dictionary:
+    """Words by which a candidate's letters are judged, and the pairs of letters that are usual in them."""
+
+    def __init__(self, words):
+        self.words = {w for w in {*words, *_PLACEHOLDER} if SHORTEST <= len(w) <= LONGEST}
+        self.pairs = {w.encode()[i : i + 2] for w in self.words for i in range(len(w) - 1)}
+
+    def covered(self, low: bytes) -> np.ndarray:
+        """Which bytes of a value in lower case belong to a word."""
+        text, out = low.decode("latin-1"), np.zeros(len(low), bool)
+        for run in _LETTERS.finditer(text):
+            for at in range(run.start(), run.end() - SHORTEST + 1):
+                for end in range(min(at + LONGEST, run.end()), at + SHORTEST - 1, -1):
+                    if text[at:end] in self.words:
+                        out[at:end] = True
+                        break
+        return out
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 20_000) -> list[str]:
+    """The ``most`` frequent words of four to sixteen letters a to z, counted over all texts; a list of bounded size."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(rf"(?<![a-z0-9])[a-z]{{{SHORTEST},{LONGEST}}}(?![a-z0-9])"), F.lit(0))).alias("w"))
+    return [r["w"] for r in words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()]
+
+
+def features(value: bytes, before: bytes, after: bytes, path: str, kind: int, dictionary: Dictionary) -> list[float]:
     b = np.frombuffer(value, np.uint8)
     n = len(b)
     kinds = _classes(value)
@@ -147,13 +173,7 @@ def features(value: bytes, before: bytes, after: bytes, path: str, kind: int) ->
     p = counts[counts > 0] / n
     low = value.lower()
     pairs = [low[i : i + 2] for i in range(n - 1) if 0x61 <= low[i] <= 0x7A and 0x61 <= low[i + 1] <= 0x7A]
-    covered = np.zeros(n, bool)
-    for word in _DICTIONARY:
-        if len(word) >= 4:
-            at = low.find(word.encode())
-            while at >= 0:
-                covered[at : at + len(word)] = True
-                at = low.find(word.encode(), at + 1)
+    covered = dictionary.covered(low)
     letters = kinds < 2
     left = _WORD.findall(before.decode("utf-8", "ignore").lower())[-3:]
     right = _WORD.findall(after.decode("utf-8", "ignore").lower())[:2]
@@ -167,13 +187,13 @@ def features(value: bytes, before: bytes, after: bytes, path: str, kind: int) ->
         *share.tolist(),
         float(-(p * np.log2(p)).sum()),
         float((kinds[1:] != kinds[:-1]).mean()) if n > 1 else 0.0,
-        sum(x in _USUAL for x in pairs) / len(pairs) if pairs else 0.5,
+        sum(x in dictionary.pairs for x in pairs) / len(pairs) if pairs else 0.5,
         float((covered & letters).sum() / max(letters.sum(), 1)),
         float(hexa),
         runs / n,
         len(p) / n,
         float(value.count(b"/") + value.count(b".")) / n,
-        float(any(a.replace("_", "").replace("-", "") in w for w in near[-2:] for a in _ANNOUNCE)),
+        float(any(a.replace("_", "").replace("-", "") in w for w in near[-2:] for a in ANNOUNCE)),
         float(any(w in _DENY or w.rstrip("0123456789") in _DENY for w in left + right)),
         float(tail in (b"=", b":")),
         float(before[-1:] in (b'"', b"'", b"`")),
@@ -186,10 +206,10 @@ def features(value: bytes, before: bytes, after: bytes, path: str, kind: int) ->
 
 
 class Forest:
-    """Bootstrap-aggregated Gini trees, as flat arrays."""
+    """Bootstrap-aggregated Gini trees, as flat arrays, and the dictionary that their features use."""
 
-    def __init__(self, trees: list[tuple[np.ndarray, ...]]):
-        self.trees = trees
+    def __init__(self, trees: list[tuple[np.ndarray, ...]], dictionary: Dictionary | None = None):
+        self.trees, self.dictionary = trees, dictionary or Dictionary([])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
@@ -247,65 +267,25 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 48, depth: int = 9, seed: in
     return Forest(out)
 
 
-def example_findings(n: int = 3_000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
-    """Labelled findings (before, value, after, path, label), planted by rule."""
-    rng = np.random.default_rng(seed)
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    draw = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
-    hexes, lower = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
-    mixed = lower + lower.upper() + "0123456789"
-    syllables = ["ba", "co", "den", "er", "fi", "ging", "ho", "ing", "ka", "lo", "ment", "no", "or", "per", "qui", "re", "sh", "tion", "un", "ver"]
-    prose = lambda k: " ".join("".join(pick(syllables) for _ in range(int(rng.integers(1, 4)))) for _ in range(k))
-    paths = ["", "src0", "app/settings.py", "deploy/config.yml", ".env", "lib/auth.js", "tests/test_login.py", "docs/readme.md", "package-lock.json", "vendor/x.sum"]
-    out = []
-    for i in range(n):
-        before, after, path = prose(4), prose(4), pick(paths)
-        if i % 2:
-            value = pick([lambda: draw(hexes, 40), lambda: draw(hexes, 32), lambda: "AKIA" + draw(mixed.upper(), 16), lambda: "ghp_" + draw(mixed, 36), lambda: draw(mixed + "!@#%", int(rng.integers(10, 24))), lambda: draw(mixed + "+/", 40), lambda: "xoxb-" + draw("0123456789", 12) + "-" + draw(mixed, 24)])()
-            sign = pick([' = "', " = ", "=", ": ", ": '"])
-            word = pick(_ANNOUNCE)
-            if value[:4] in ("AKIA", "ghp_", "xoxb") and rng.random() < 0.3:
-                word, sign = prose(1), " "
-            out.append((f"{before} {pick([word, word.upper(), 'my_' + word])}{sign}", value, pick(['" ', "' ", "\n", " "]) + after, path, 1))
-        else:
-            case = int(rng.integers(8))
-            if case == 0:
-                out.append((f"{before} {pick(['commit', 'sha1', 'md5', 'checksum', 'etag', 'revision'])}{pick([' ', ': ', '='])}", draw(hexes, int(pick([32, 40, 64]))), " " + after, path, 0))
-            elif case == 1:
-                v = draw(hexes, 32)
-                out.append((f"{before} {pick(['id', 'uuid', 'request'])} ", "-".join([v[:8], v[8:12], v[12:16], v[16:20], v[20:]]), " " + after, path, 0))
-            elif case == 2:
-                out.append((f"{before} {pick(_ANNOUNCE)}{pick([' = ', ': '])}", pick(["changeme123", "your-password-here", "example_token_value", "xxxxxxxxxxxxxxxx", "<your-secret>", "${SECRET_NAME}", "placeholder-value-1", "default_password"]), " " + after, path, 0))
-            elif case == 3:
-                out.append((before + " ", "/".join(prose(1) for _ in range(4)) + f"/{pick(['index', 'main', 'page'])}{int(rng.integers(100))}.html", " " + after, path, 0))
-            elif case == 4:
-                out.append((before + " ", draw("0123456789", int(rng.integers(16, 24))), " " + after, path, 0))
-            elif case == 5:
-                out.append((before + " ", "".join(pick(syllables) for _ in range(8)) + str(int(rng.integers(10))), " " + after, path, 0))
-            elif case == 6:
-                out.append((f"{before} {pick(_ANNOUNCE)}: ", prose(1) + prose(1) + "ing", " " + after, path, 0))
-            else:
-                out.append((before + " ", f"{prose(1)}.{int(rng.integers(100))}@{pick(['mail', 'web'])}{int(rng.integers(9))}.example.com".replace("@", "-at-"), " " + after, path, 0))
-    return out
-
-
-def train(findings: DataFrame | None = None, train_rows: int = 20_000) -> Forest:
-    """A forest from a table of labelled findings (before, value, after, path, label), at most about ``train_rows`` of them."""
+def train(findings: DataFrame | None = None, words: list[str] | None = None, train_rows: int = 20_000) -> Forest:
+    """A forest from a table of labelled findings (before, value, after, path, label), at most about ``train_rows`` of
+    them, and a dictionary of ``words`` (see ``corpus_words``)."""
+    dictionary = Dictionary(words or [])
     if findings is None:
-        rows = example_findings()
+        rows = example_findings(sorted(dictionary.words))
     else:
         usable = findings.where("value IS NOT NULL AND value <> '' AND label IS NOT NULL")
         share = min(1.0, train_rows / max(usable.count(), 1))
         usable = usable.where(F.pmod(F.xxhash64("before", "value", "after", "path"), F.lit(1 << 30)) <= int(share * (1 << 30)))
         rows = [(r["before"] or "", r["value"], r["after"] or "", r["path"] or "", int(r["label"])) for r in usable.select("before", "value", "after", "path", "label").collect()]
     if not rows:
-        return Forest([])
+        return Forest([], dictionary)
     x, y = [], []
     for before, value, after, path, label in rows:
         b = before.encode()[-CONTEXT:]
-        x.append(features(value.encode(), b, after.encode()[:CONTEXT], path, _kind(b, value.encode())))
+        x.append(features(value.encode(), b, after.encode()[:CONTEXT], path, _kind(b, value.encode()), dictionary))
         y.append(float(label))
-    return grow(np.array(x), np.array(y))
+    return Forest(grow(np.array(x), np.array(y)).trees, dictionary)
 
 
 def _kind(before: bytes, value: bytes) -> int:
@@ -328,7 +308,7 @@ def find_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_c
         for part in K.chunks(batches, "__text"):
             column, paths = part.column(part.num_columns - 2), part.column(part.num_columns - 1).to_pylist()
             scanned = scan_bytes(column)
-            x = [features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], paths[r], k) for r, (text, found) in enumerate(scanned) for a, b, k in found]
+            x = [features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], paths[r], k, forest.dictionary) for r, (text, found) in enumerate(scanned) for a, b, k in found]
             score = iter(forest.score(np.array(x)).tolist() if x else [])
             findings, redacted = [], []
             plain = column.to_pylist()
@@ -353,7 +333,7 @@ def find_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_c
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Per document: its candidates, its secrets, the places of the secrets, and a digest of the redacted text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    found = find_secrets(docs, train(), path_col="source")
+    found = find_secrets(docs, train(words=corpus_words(docs)), path_col="source")
     secret = F.filter("findings", lambda f: f["secret"])
     places = F.array_join(F.transform(secret, lambda f: F.concat_ws("-", f["start"].cast("string"), f["end"].cast("string"))), ",")
     return found.select("doc_id", F.size("findings").cast("bigint").alias("n_candidates"), F.size(secret).cast("bigint").alias("n_secrets"), places.alias("places"), F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"))
