@@ -1,7 +1,8 @@
 """Text folding and string similarity as native columns.
 
-``normalize`` stays in whole-stage codegen. The only thing it cannot do is compatibility composition (NFKC); rows that
-need it are found by a pattern, and ``normalize_exact`` sends just their distinct strings through an Arrow function.
+``normalize`` stays in the JVM. Compatibility composition (NFKC) and full case folding, which no built-in function
+gives, are translations by tables that are made by rule from the Unicode data; only strings that hold a letter which
+they change are sent through them.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ FOLDED_TO = "اااايهويكي01234567890123456789"
 PREFIXES = ["وبال", "فبال", "وال", "بال", "كال", "فال", "لل", "ال"]
 STEM_LEFT = 3
 FIRST_ISOLATE, LAST_ISOLATE = "\u2068", "\u2069"
-#: Characters that only compatibility composition folds.
-COMPATIBILITY = "[\u00a0\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u0132\u0133\u013f\u0140\u0149\u017f\u2000-\u200a\u2024-\u2026\u202f\u2070-\u209c\u2100-\u218b\u2460-\u24ff\u3000\u3300-\u33ff\ufb00-\ufdff\ufe30-\ufeff\uff00-\uffef\u0300-\u036f]"
 LINE_BREAK = "\\R|[\\x1c-\\x1e]"
 ARABIC = "[\u0600-\u06ff\u0750-\u077f]"
 
@@ -29,20 +28,73 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def normalize(text: Column | str) -> Column:
-    """Folded text: marks dropped, letter forms and digits unified, lower case, punctuation to blanks; null is ''."""
-    t = F.regexp_replace(F.coalesce(_col(text), F.lit("")), DROPPED, "")
-    t = F.translate(t, FOLDED_FROM, FOLDED_TO)
-    t = F.replace(F.lower(t), F.lit("ß"), F.lit("ss"))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+#: Code points that are looked at: the basic plane, and the blocks of mathematical, enclosed and compatibility letters.
+_BLOCKS = [(0x80, 0xD800), (0xE000, 0x10000), (0x1D400, 0x1D800), (0x1EE00, 0x1EF00), (0x1F100, 0x1F300), (0x2F800, 0x2FA20)]
+
+
+def _fold_tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Letters that become one letter, letters that become several, and pairs of letter and mark that become one, under
+    compatibility composition and full case folding."""
+    one, many, pairs = {}, {}, {}
+    for low, high in _BLOCKS:
+        for c in map(chr, range(low, high)):
+            composed = unicodedata.normalize("NFKC", c)
+            folded = composed if composed.lower() == composed.casefold() else composed.casefold()
+            if folded != c:
+                (one if len(folded) == 1 else many)[c] = folded
+            parts = unicodedata.decomposition(c).split()
+            if len(parts) == 2 and composed == c and unicodedata.combining(chr(int(parts[1], 16))):
+                pairs["".join(chr(int(x, 16)) for x in parts)] = folded
+    return one, many, pairs
+
+
+def _pattern(letters) -> str:
+    """A regular expression class of the letters, in ranges."""
+    out, codes = [], sorted(ord(c) for c in letters)
+    for x in codes:
+        if out and out[-1][1] == x - 1:
+            out[-1][1] = x
+        else:
+            out.append([x, x])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+_ONE, _MANY, _PAIRS = _fold_tables()
+_MARK = _pattern({k[1] for k in _PAIRS})
+_MANY_PATTERN, _ODD = _pattern(_MANY), _pattern({*_ONE, *_MANY, *(k[1] for k in _PAIRS)})
+
+
+def _literal_map(table: dict[str, str]) -> Column:
+    return F.str_to_map(F.lit("\u0002".join(f"{k}\u0003{v}" for k, v in table.items())), F.lit("\u0002"), F.lit("\u0003"))
+
 
+def compose(text: Column | str) -> Column:
+    """Compatibility composition and case folding of the letters that ``lower`` alone does not fold."""
+    t = F.translate(_col(text), "".join(_ONE), "".join(_ONE.values()))
+    letters = lambda x: F.split(x, "")
+    spread = F.array_join(F.transform(letters(t), lambda c: F.coalesce(_literal_map(_MANY)[c], c)), "")
+    t = F.when(t.rlike(_MANY_PATTERN), spread).otherwise(t)
 
-def needs_composition(text: Column | str) -> Column:
-    return F.coalesce(_col(text).rlike(COMPATIBILITY), F.lit(False))
+    def joined(done, c):
+        last = F.right(done, F.lit(1))
+        pair = _literal_map(_PAIRS)[F.concat(last, c)]
+        return F.when(pair.isNotNull(), F.concat(F.substr(done, F.lit(1), F.length(done) - 1), pair)).otherwise(F.concat(done, c))
+
+    return F.when(t.rlike(_MARK), F.aggregate(letters(t), F.lit(""), joined)).otherwise(t)
+
+
+def normalize(text: Column | str) -> Column:
+    """Folded text: compatibility forms composed, marks dropped, letter forms and digits unified, lower case,
+    punctuation to blanks; null is ''."""
+    t = F.coalesce(_col(text), F.lit(""))
+    t = F.when(t.rlike(_ODD), compose(t)).otherwise(t)
+    t = F.regexp_replace(t, DROPPED, "")
+    t = F.translate(t, FOLDED_FROM, FOLDED_TO)
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
 def fold_string(text: str | None) -> str:
-    """The same folding for one string on the driver, with composition and full case folding."""
+    """The same folding for one string on the driver."""
     import re
 
     t = unicodedata.normalize("NFKC", text or "")
@@ -50,18 +102,6 @@ def fold_string(text: str | None) -> str:
     return " ".join(re.sub(r"[^\w\s]", " ", t).split())
 
 
-def normalize_exact(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with ``out``: native folding, and composition first where a string needs it (distinct strings only)."""
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    @pandas_udf("string")
-    def composed(s):
-        return s.map(fold_string)
-
-    odd = df.where(needs_composition(text)).select(F.col(text).alias("_odd")).distinct().withColumn("_folded", composed("_odd"))
-    return df.join(odd, F.col(text) == F.col("_odd"), "left").withColumn(out, F.coalesce("_folded", normalize(text))).drop("_odd", "_folded")
-
-
 def raw_tokens(norm: Column | str) -> Column:
     return F.filter(F.split(_col(norm), " "), lambda t: F.length(t) > 0)
 

@@ -11,8 +11,6 @@ CATEGORY_SHARE = 0.10
 CORRECTION_SUPPORT = 3
 COMPLETION_PREFIX = 3
 MOST_EDITS = 2
-#: Rows of a vocabulary that may be sent to every executor; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def name_terms(product_name: DataFrame) -> DataFrame:
@@ -62,6 +60,15 @@ def query_coverage(queries: DataFrame, vocab: DataFrame) -> DataFrame:
     return words.join(covered, "term", "left").groupBy("norm_query").agg(F.coalesce(F.max("coverage"), F.lit(0)).alias("coverage"))
 
 
+def within_edits(left: DataFrame, right: DataFrame, a: str, b: str, most: int = MOST_EDITS) -> DataFrame:
+    """(a, b, distance) of the distinct strings within ``most`` edits: two such strings share a string that both reach
+    by at most ``most`` deletions, so the sides are joined on their deletions and no others are ever compared."""
+    x = left.select(a, F.explode(T.deletions(a, most)).alias("_k"))
+    y = right.select(b, F.explode(T.deletions(b, most)).alias("_k"))
+    met = x.join(y, "_k").where(F.abs(F.length(a) - F.length(b)) <= most).select(a, b).distinct()
+    return met.where(F.levenshtein(a, b) <= 2 * most).withColumn("distance", T.osa_distance(a, b)).where(F.col("distance") <= most)
+
+
 def nearest_terms(terms: DataFrame, vocab: DataFrame, term: str = "term") -> DataFrame:
     """(term, match, match_lang, distance, support) of the terms that have a vocabulary term in reach.
 
@@ -95,10 +102,14 @@ def query_matches(queries: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def completions(terms: DataFrame, vocab: DataFrame, term: str = "term") -> DataFrame:
-    """(term, completion, completion_lang, completion_support): the best stocked longer term that starts with it."""
+    """(term, completion, completion_lang, completion_support): the best stocked longer term that starts with it.
+
+    The best completion of every prefix of the vocabulary is a partial aggregate, so a prefix that begins very many
+    terms is one row when it meets the terms.
+    """
     short = terms.select(F.col(term).alias("term")).distinct().where(F.length("term") >= COMPLETION_PREFIX)
-    words = vocab.select(F.col("term").alias("completion"), F.col("lang").alias("completion_lang"), F.col("product_count").alias("completion_support"))
-    head = lambda c: F.substring(c, 1, COMPLETION_PREFIX)
-    pairs = short.withColumn("_h", head("term")).join(words.withColumn("_h", head("completion")), "_h").where(T.is_prefix_of("term", "completion"))
+    words = vocab.where(F.length("term") > COMPLETION_PREFIX)
+    prefixes = F.transform(F.sequence(F.lit(COMPLETION_PREFIX), F.length("term") - 1), lambda n: F.substring("term", F.lit(1), n))
+    each = words.select(F.explode(prefixes).alias("_p"), F.col("term").alias("completion"), F.col("lang").alias("completion_lang"), F.col("product_count").alias("completion_support"))
     best = F.min_by(F.struct("completion", "completion_lang", "completion_support"), F.struct(-F.col("completion_support"), "completion", "completion_lang"))
-    return pairs.groupBy("term").agg(best.alias("m")).select("term", "m.*")
+    return short.join(each.groupBy(F.col("_p").alias("term")).agg(best.alias("m")), "term").select("term", "m.*")

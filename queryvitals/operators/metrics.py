@@ -60,7 +60,7 @@ def roll_up(scored: DataFrame, cap: int = E.RESULT_CAP, by: tuple[str, ...] = ()
         F.avg("result_count").alias("x_mean_results"),
         F.min("result_count").alias("min_results"),
         F.avg(F.col("zero_results").cast("int")).alias("x_zero_result_rate"),
-        F.avg(F.greatest(F.lit(0.0), (cap - F.col("result_count")) / F.lit(float(cap)))).alias("x_under_fill"),
+        (F.sum(F.greatest(F.lit(0), cap - F.col("result_count"))) / (cap * F.count("*"))).alias("x_under_fill"),
         F.avg(F.col("lexical_miss").cast("int")).alias("x_lexical_miss_rate"),
         (1 - F.avg("coherence")).alias("x_incoherence"),
         F.count_distinct("result_signature").alias("_signatures"),

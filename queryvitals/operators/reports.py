@@ -128,15 +128,18 @@ def tables(events: DataFrame, shop, queue: DataFrame, days: int = 90) -> dict[st
 
 
 def write_csv(df: DataFrame, path: str) -> int:
-    """One CSV file with a byte-order mark and CRLF, streamed row by row; an empty table keeps a header."""
+    """One CSV file with a byte-order mark and CRLF, streamed row by row; a table without rows is the header ``(empty)``."""
     import csv
 
     n = 0
     with open(path, "w", encoding="utf-8-sig", newline="") as f:
         w = csv.writer(f, dialect="excel")
-        w.writerow(df.columns)
         for n, row in enumerate(df.toLocalIterator(), 1):
+            if n == 1:
+                w.writerow(df.columns)
             w.writerow(["" if v is None else v for v in row])
+        if not n:
+            w.writerow(["(empty)"])
     return n
 
 
@@ -155,12 +158,15 @@ def export_tables(found: dict[str, DataFrame], folder: str, base_url: str = "")
     return counts
 
 
-def export_json(documents: dict[str, DataFrame], folder: str, limit: int = 10_000) -> None:
-    """Small result tables as JSON arrays, at most ``limit`` rows each."""
+def export_json(documents: dict[str, DataFrame], folder: str) -> None:
+    """Result tables as JSON arrays, whole, streamed row by row."""
     os.makedirs(folder, exist_ok=True)
     for name, df in documents.items():
         with open(os.path.join(folder, f"{name}.json"), "w", encoding="utf-8") as f:
-            f.write("[" + ",\n".join(df.limit(limit).toJSON().collect()) + "]")
+            f.write("[")
+            for n, row in enumerate(df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
+                f.write((",\n" if n else "") + row["j"])
+            f.write("]")
 
 
 def delta_label(name: str, before, after) -> str:

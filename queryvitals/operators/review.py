@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryvitals.plans.stage import stage
+from queryvitals.plans.stage import numbered, stage
 
 QUEUE = "id bigint, kind string, source_term string, target_term string, lang string, confidence double, rationale string, evidence string, status string, created_at string, updated_at string, reviewer string, review_note string"
 DECISIONS = {"approve": "approved", "reject": "rejected", "reopen": "pending"}
 KEY = ["kind", "source_term", "target_term"]
-EXPORT_LIMIT = 10_000
 
 
 def refresh(queue: DataFrame, candidates: DataFrame, now: str) -> DataFrame:
     """The queue after a mining run, with ``action``: inserted, rescored, kept (decided), or withdrawn (pending and no
     longer supported; these rows are to be dropped). One full outer join on the key."""
     c = candidates.select(*KEY, *[F.col(x).alias(f"_{x}") for x in ("lang", "confidence", "rationale", "evidence")], F.lit(True).alias("_new"))
+    queue, c = stage(queue), stage(c)
     both = queue.withColumn("_old", F.lit(True)).join(c, KEY, "full_outer")
     action = F.when(F.col("_old").isNull(), "inserted").when(F.col("status") != "pending", "kept").when(F.col("_new").isNull(), "withdrawn").otherwise("rescored")
     both = both.withColumn("action", action)
     last = queue.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
     fresh = both.where("action = 'inserted'")
-    # New ids follow the order in which a reviewer meets the rows; a run inserts few rows against the log's size.
-    order = Window.orderBy(F.desc("_confidence"), *KEY)
-    fresh = fresh.withColumn("_n", F.row_number().over(order)).join(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("_n")).drop("_n", "_last")
+    # New ids follow the order in which a reviewer meets the rows.
+    fresh = numbered(fresh, [F.desc("_confidence"), *KEY], "_n").join(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("_n")).drop("_n", "_last")
     rest = both.where("action <> 'inserted'")
     out = rest.unionByName(fresh)
     changed = F.col("action").isin("inserted", "rescored")
@@ -83,31 +82,32 @@ def rules(queue: DataFrame) -> DataFrame:
     return ok.groupBy("kind", "source_term").agg(F.min_by("target_term", F.struct("confidence", -F.col("id"))).alias("target_term"))
 
 
-def synonym_groups(queue: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(term, group_term) of approved synonyms: the smallest term each can reach, by label passing with checkpoints."""
+def synonym_groups(queue: DataFrame) -> DataFrame:
+    """(term, group_term) of approved synonyms: the smallest term each can reach, by label passing with checkpoints
+    until nothing changes."""
     pairs = queue.where("status = 'approved' AND kind = 'synonym'").select(F.col("source_term").alias("a"), F.col("target_term").alias("b"))
     both = stage(pairs.union(pairs.select("b", "a")).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("term"), F.least("a", "m").alias("group_term"))
-    for _ in range(most_rounds):
-        labels = stage(labels)
+    labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("term"), F.least("a", "m").alias("group_term")))
+    while True:
         passed = both.join(labels.withColumnRenamed("term", "b"), "b").groupBy(F.col("a").alias("term")).agg(F.min("group_term").alias("m"))
         # Each round also jumps to the label's own label, so chains shorten by half.
         jump = labels.select(F.col("term").alias("group_term"), F.col("group_term").alias("j"))
-        new = labels.join(passed, "term", "left").join(jump, "group_term", "left").select("term", F.least("group_term", "m", "j").alias("group_term"))
-        if new.join(labels.withColumnRenamed("group_term", "old"), "term").where("group_term <> old").isEmpty():
-            break
-        labels = new
-    return labels
+        least = F.least("group_term", "m", "j")
+        new = stage(labels.join(passed, "term", "left").join(jump, "group_term", "left").select("term", least.alias("group_term"), (least != F.col("group_term")).alias("_moved")))
+        labels = new.drop("_moved")
+        if new.where("_moved").isEmpty():
+            return labels
 
 
-def export(queue: DataFrame, limit: int = EXPORT_LIMIT) -> dict:
-    """Approved rules as plain data for the search engine; bounded by ``limit``."""
-    chosen = rules(queue).limit(limit).collect()
+def export(queue: DataFrame) -> dict:
+    """All approved rules, whole groups among them, as plain data for the search engine, streamed to the driver: these
+    are decisions that people made one by one."""
+    chosen = sorted((r["kind"], r["source_term"], r["target_term"]) for r in rules(queue).toLocalIterator())
     groups: dict[str, list[str]] = {}
-    for r in synonym_groups(queue).limit(limit).collect():
+    for r in synonym_groups(queue).toLocalIterator():
         groups.setdefault(r["group_term"], []).append(r["term"])
     return {
-        "spelling": {r["source_term"]: r["target_term"] for r in sorted(chosen) if r["kind"] == "misspelling"},
-        "completions": {r["source_term"]: r["target_term"] for r in sorted(chosen) if r["kind"] == "partial_query"},
+        "spelling": {source: target for kind, source, target in chosen if kind == "misspelling"},
+        "completions": {source: target for kind, source, target in chosen if kind == "partial_query"},
         "synonyms": sorted(sorted(v) for v in groups.values()),
     }

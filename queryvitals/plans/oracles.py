@@ -44,7 +44,7 @@ STEPS |= {
     "coh": "SELECT t.id, CAST(t.k AS DOUBLE) / n.n AS coherence, coalesce(l.label, 'category ' || CAST(t.category_id AS VARCHAR)) AS dominant_category FROM (SELECT * FROM {tally} QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC, category_id) = 1) t JOIN (SELECT id, count(*) AS n FROM {reso} WHERE product_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2) n USING (id) LEFT JOIN {labels} l USING (category_id)",
     "evq": "SELECT b.*, coalesce(x.lexical_hit_rate, 0) AS lexical_hit_rate, c.coherence, c.dominant_category, q.coverage, m.intended_term, m.correction_distance, coalesce(m.intended_coverage, 0) AS intended_coverage, b.result_count < 5 AS under_filled, b.result_count = 0 AS zero_results, b.result_count > 0 AND coalesce(x.lexical_hit_rate, 0) = 0 AS lexical_miss FROM {kind} b LEFT JOIN {lex} x USING (id) LEFT JOIN {coh} c USING (id) LEFT JOIN {qcov} q USING (norm_query) LEFT JOIN {qmatch} m USING (norm_query)",
     "evg": "SELECT *, intended_coverage > 0 AND (lexical_miss OR zero_results) AS retrieval_gap FROM {evq}",
-    "rolled": "SELECT norm_query, arg_min(raw_query, (occurred_at, id)) AS display_query, count(*) AS searches, count(DISTINCT session_id) AS sessions, min(occurred_at) AS first_seen, max(occurred_at) AS last_seen, avg(result_count) AS xmean, min(result_count) AS min_results, avg(CAST(zero_results AS INTEGER)) AS xzero, avg(greatest(0.0, CAST(5 - result_count AS DOUBLE) / 5.0)) AS xunder, avg(CAST(lexical_miss AS INTEGER)) AS xlex, 1 - avg(coherence) AS xinc, CASE WHEN count(*) > 1 THEN CAST(count(DISTINCT result_signature) - 1 AS DOUBLE) / (count(*) - 1) ELSE 0.0 END AS xinst, count(*) FILTER (follow_up <> 'none' AND NOT rapid_repeat) AS scored, count(*) FILTER (dissatisfied) AS dissatisfied, avg(CAST(rapid_repeat AS INTEGER)) AS xrapid, count(clicked_rank) AS clicked, max(coverage) AS coverage, bool_or(retrieval_gap) AS retrieval_gap, any_value(intended_term) AS intended_term, max(intended_coverage) AS intended_coverage, max(correction_distance) AS correction_distance, arg_min(dominant_category, (occurred_at, id)) FILTER (dominant_category IS NOT NULL) AS dominant_category, count(*) FILTER (zero_results) AS zeros, count(*) FILTER (under_filled) AS unders, count(*) FILTER (rapid_repeat) AS rapids FROM {evg} GROUP BY norm_query",
+    "rolled": "SELECT norm_query, arg_min(raw_query, (occurred_at, id)) AS display_query, count(*) AS searches, count(DISTINCT session_id) AS sessions, min(occurred_at) AS first_seen, max(occurred_at) AS last_seen, avg(result_count) AS xmean, min(result_count) AS min_results, avg(CAST(zero_results AS INTEGER)) AS xzero, CAST(sum(greatest(0, 5 - result_count)) AS DOUBLE) / CAST(5 * count(*) AS DOUBLE) AS xunder, avg(CAST(lexical_miss AS INTEGER)) AS xlex, 1 - avg(coherence) AS xinc, CASE WHEN count(*) > 1 THEN CAST(count(DISTINCT result_signature) - 1 AS DOUBLE) / (count(*) - 1) ELSE 0.0 END AS xinst, count(*) FILTER (follow_up <> 'none' AND NOT rapid_repeat) AS scored, count(*) FILTER (dissatisfied) AS dissatisfied, avg(CAST(rapid_repeat AS INTEGER)) AS xrapid, count(clicked_rank) AS clicked, max(coverage) AS coverage, bool_or(retrieval_gap) AS retrieval_gap, any_value(intended_term) AS intended_term, max(intended_coverage) AS intended_coverage, max(correction_distance) AS correction_distance, arg_min(dominant_category, (occurred_at, id)) FILTER (dominant_category IS NOT NULL) AS dominant_category, count(*) FILTER (zero_results) AS zeros, count(*) FILTER (under_filled) AS unders, count(*) FILTER (rapid_repeat) AS rapids FROM {evg} GROUP BY norm_query",
     "scored": "SELECT *, CASE WHEN scored > 0 THEN CAST(dissatisfied AS DOUBLE) / scored END AS xdis, CASE WHEN clicked > 0 THEN CAST(clicked AS DOUBLE) / searches END AS xeng, coalesce(correction_distance > 0, false) AS misspelled, sum(searches) OVER () AS total FROM {rolled}",
     "sev": "SELECT *, (xlex * 0.30 + coalesce(xdis * 0.25, 0) + coalesce(xinc * 0.20, 0) + xunder * 0.15 + xinst * 0.10) / (0.30 + CASE WHEN xdis IS NOT NULL THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN xinc IS NOT NULL THEN 0.20::DOUBLE ELSE 0.0::DOUBLE END + 0.15 + 0.10) AS xsev FROM {scored}",
     "qq": "SELECT *, round_even(xsev, 3) AS severity, round_even(xsev * searches / total, 4) AS impact, round_even(xsev, 3) >= 0.30 AS is_problem, round_even(xlex, 3) AS lexical_miss_rate, round_even(xdis, 3) AS dissatisfaction_rate, round_even(xinc, 3) AS incoherence, round_even(xunder, 3) AS under_fill, round_even(xinst, 3) AS instability, round_even(xzero, 3) AS zero_result_rate, round_even(xrapid, 3) AS rapid_repeat_rate, round_even(xeng, 3) AS engagement_rate, round_even(xmean, 2) AS mean_results FROM {sev}",
@@ -55,7 +55,7 @@ STEPS |= {
     "drvc": "SELECT d.*, CAST(coalesce((SELECT max(product_count) FROM {vocab} v WHERE v.term = d.term), 0) AS BIGINT) AS coverage, c.completion FROM {drv} d LEFT JOIN {compl} c USING (term)",
     "drivers": "SELECT *, CASE WHEN coverage = 0 AND completion IS NOT NULL THEN 'partial query' WHEN coverage = 0 THEN 'assortment gap' WHEN wrong > 0 AND has_gap THEN 'spelling' WHEN has_gap THEN 'retrieval gap' WHEN failing_searches > 0 THEN 'relevance' ELSE 'healthy' END AS verdict FROM {drvc}",
     # Discovery.
-    "counter": "SELECT raw_query AS norm_query, count(*) * 2 AS count FROM {search} WHERE k % 7 = 0 GROUP BY 1",
+    "counter": "SELECT raw_query AS norm_query, CASE WHEN length(raw_query) % 2 = 0 THEN count(*) * 2 ELSE 1 END AS count FROM {search} GROUP BY 1",
     "freq": "SELECT coalesce(a.norm_query, b.norm_query) AS norm_query, greatest(coalesce(a.n, 0), coalesce(b.count, 0)) AS searches FROM (SELECT norm_query, count(*) AS n FROM {ev} GROUP BY 1) a FULL JOIN {counter} b ON a.norm_query = b.norm_query",
     "corr": "SELECT norm_query AS source, next_norm_query AS target, count(*) AS observations FROM {kind} WHERE reformulation IN ('typo_fix', 'refinement') AND norm_query <> '' AND next_norm_query <> '' GROUP BY 1, 2",
     "rew": "SELECT norm_query AS source, next_norm_query AS target, count(*) AS observations FROM {kind} WHERE reformulation = 'switch' AND norm_query <> '' AND next_norm_query <> '' GROUP BY 1, 2",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -76,6 +77,13 @@ def normalize_documents(s: Surrogate) -> DataFrame:
     return s.table("documents").select("doc_id", T.normalize("text").alias("norm"))
 
 
+@query("compatibility_forms", "SELECT p_partkey, concat(lower(p_name), ' fi لا 12 ', lower(p_type)) AS norm FROM part")
+def compatibility_forms(s: Surrogate) -> DataFrame:
+    """Part names in full-width letters, a ligature, an Arabic presentation form and superscripts fold to the plain ones."""
+    wide = F.translate("p_name", "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + i) for i in range(26)))
+    return s.table("part").select("p_partkey", T.normalize(F.concat(wide, F.lit(" \ufb01 \ufefb \u00b9\u00b2 "), "p_type")).alias("norm"))
+
+
 @query("token_counts", f"SELECT term, count(*) AS uses FROM (SELECT unnest(string_split({_NORM}, ' ')) AS term FROM conversations) WHERE length(term) >= 2 GROUP BY 1")
 def token_counts(s: Surrogate) -> DataFrame:
     return s.table("conversations").select(F.explode(T.tokenize(T.normalize("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("uses"))
@@ -95,11 +103,9 @@ def stem_variants(s: Surrogate) -> DataFrame:
     return plain.union(plain.select(F.concat(F.lit("بال"), "term"))).distinct().select("term", T.light_stem("term").alias("stem"))
 
 
-@query("edit_distance", "SELECT a.term AS a, b.term AS b, CAST(least(damerau_levenshtein(a.term, b.term), 3) AS INTEGER) AS distance FROM {words} a JOIN (SELECT DISTINCT term FROM {vocab}) b ON true")
+@query("edit_distance", "SELECT a.term AS a, b.term AS b, CAST(damerau_levenshtein(a.term, b.term) AS INTEGER) AS distance FROM {words} a JOIN (SELECT DISTINCT term FROM {vocab}) b ON abs(length(a.term) - length(b.term)) <= 2 AND damerau_levenshtein(a.term, b.term) <= 2")
 def edit_distance(s: Surrogate) -> DataFrame:
-    a = _words(s).select(F.col("term").alias("a"))
-    b = s.shop().vocabulary.select(F.col("term").alias("b")).distinct()
-    return a.join(F.broadcast(b)).select("a", "b", F.least(T.osa_distance("a", "b"), F.lit(3)).alias("distance"))
+    return C.within_edits(_words(s).select(F.col("term").alias("a")), s.shop().vocabulary.select(F.col("term").alias("b")).distinct(), "a", "b", 2)
 
 
 def _words(s: Surrogate) -> DataFrame:
@@ -236,7 +242,7 @@ def event_quality(s: Surrogate) -> DataFrame:
 
 @query("under_fill", "SELECT norm_query, floor(xunder * 1e6 + 0.5) / 1e6 AS under_fill FROM {rolled}")
 def under_fill(s: Surrogate) -> DataFrame:
-    rate = F.avg(F.greatest(F.lit(0.0), (5 - F.col("result_count")) / F.lit(5.0)))
+    rate = F.sum(F.greatest(F.lit(0), 5 - F.col("result_count"))) / (5 * F.count("*"))
     return s.log().groupBy("norm_query").agg((F.floor(rate * 1e6 + 0.5) / 1e6).alias("under_fill"))
 
 
@@ -281,17 +287,21 @@ def problem_queries(s: Surrogate) -> DataFrame:
     return M.problem_queries(_quality(s)).select("norm_query", "searches", "severity", "impact")
 
 
-_OVERVIEW = "CAST(coalesce(sum(searches), 0) AS BIGINT) AS total_searches, count(*) AS distinct_queries, count(*) FILTER (is_problem) AS problem_queries, round_even(sum(zeros) / CAST(sum(searches) AS DOUBLE), 3) AS zero_result_rate, round_even(sum(unders) / CAST(sum(searches) AS DOUBLE), 3) AS under_filled_rate, round_even(sum(lexical_miss_rate * searches) / sum(searches), 3) AS lexical_miss_rate, round_even(sum(dissatisfaction_rate * searches) / sum(searches) FILTER (dissatisfaction_rate IS NOT NULL), 3) AS dissatisfaction_rate, round_even(100 * (1 - sum(severity * searches) / sum(searches)), 1) AS health_score, round_even(sum(rapids) / CAST(sum(searches) AS DOUBLE), 3) AS automated_rate"
+_OVERVIEW = "CAST(coalesce(sum(searches), 0) AS BIGINT) AS total_searches, count(*) AS distinct_queries, count(*) FILTER (is_problem) AS problem_queries, round_even(sum(zeros) / CAST(sum(searches) AS DOUBLE), 3) AS zero_result_rate, round_even(sum(unders) / CAST(sum(searches) AS DOUBLE), 3) AS under_filled_rate, round_even(sum(lexical_miss_rate * searches) / sum(searches), 3) AS lexical_miss_rate, round_even(sum(dissatisfaction_rate * searches) / sum(searches) FILTER (dissatisfaction_rate IS NOT NULL), 3) AS dissatisfaction_rate, round_even(100 * (1 - sum(severity * searches) / sum(searches)), 1) AS health_score, round_even(sum(rapids) / CAST(sum(searches) AS DOUBLE), 3) AS automated_rate, CASE WHEN count(*) = 0 THEN 'no data' WHEN bool_or(engagement_rate IS NOT NULL) THEN 'measured' ELSE 'proxy' END AS engagement_source, concat_ws('|', CASE WHEN NOT bool_or(engagement_rate IS NOT NULL) THEN 'Dissatisfaction is inferred from what shoppers did next; no clicks are recorded.' END, CASE WHEN round_even(sum(rapids) / CAST(sum(searches) AS DOUBLE), 3) > 0.02 THEN 'Some searches repeat at machine speed and are left out of the engagement figures.' END, CASE WHEN round_even(sum(zeros) / CAST(sum(searches) AS DOUBLE), 3) = 0 THEN 'No search came back empty: failures show as wrong results.' END) AS notes"
 
 
 @query("overview", f"SELECT {_OVERVIEW} FROM {{qq}}")
 def overview(s: Surrogate) -> DataFrame:
-    return M.overview(_quality(s)).drop("engagement_source", "notes")
+    return _noted(M.overview(_quality(s)))
+
 
+def _noted(df: DataFrame) -> DataFrame:
+    return df.withColumn("notes", F.array_join("notes", "|"))
 
-@query("overview_empty_period")
+
+@query("overview_empty_period", "SELECT CAST(0 AS BIGINT) AS total_searches, CAST(0 AS BIGINT) AS distinct_queries, CAST(0 AS BIGINT) AS problem_queries, 0.0::DOUBLE AS zero_result_rate, 0.0::DOUBLE AS under_filled_rate, 0.0::DOUBLE AS lexical_miss_rate, CAST(NULL AS DOUBLE) AS dissatisfaction_rate, 100.0::DOUBLE AS health_score, 0.0::DOUBLE AS automated_rate, 'no data' AS engagement_source, 'No searches in this period.' AS notes FROM (SELECT count(*) AS n FROM {ev} WHERE strftime(occurred_at, '%Y-%m-%d') >= '2031-01-01') WHERE n = 0")
 def overview_empty_period(s: Surrogate) -> DataFrame:
-    return M.overview(M.query_quality(M.in_period(s.events(), "2031-01-01"), s.shop())).drop("notes")
+    return M.overview(M.query_quality(M.in_period(s.events(), "2031-01-01"), s.shop())).transform(_noted)
 
 
 @query("period_filter", "SELECT id, session_id FROM {ev} WHERE strftime(occurred_at, '%Y-%m-%d %H:%M:%S') >= '2024-01-08' AND strftime(occurred_at, '%Y-%m-%d %H:%M:%S') <= '2024-01-20'")
@@ -301,7 +311,7 @@ def period_filter(s: Surrogate) -> DataFrame:
 
 @query("daily_health", f"SELECT day, {_OVERVIEW} FROM {{qq_day}} GROUP BY day")
 def daily_health(s: Surrogate) -> DataFrame:
-    return M.daily_health(s.events(), s.shop()).drop("notes", "engagement_source").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return _noted(M.daily_health(s.events(), s.shop())).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 _METRICS = ["health_score", "total_searches", "lexical_miss_rate", "dissatisfaction_rate", "zero_result_rate"]
@@ -349,9 +359,12 @@ def recent_searches(s: Surrogate) -> DataFrame:
     return R.recent_searches(s.events(), 20).select("id", "raw_query", "session_id")
 
 
-@query("latest_results", "SELECT norm_query, arg_max(n, (occurred_at, id)) AS titles FROM (SELECT l.norm_query, l.occurred_at, l.id, (SELECT count(*) FROM {titles} t WHERE t.id = l.id) AS n FROM {log} l) GROUP BY 1")
+@query(
+    "latest_results",
+    "SELECT norm_query, coalesce(string_agg(title_en, '|' ORDER BY t.pos), '') AS results_en, coalesce(string_agg(nullif(title_ar, ''), '|' ORDER BY t.pos), '') AS results_ar FROM (SELECT norm_query, arg_max(id, (occurred_at, id)) AS id FROM {log} GROUP BY 1) l LEFT JOIN (SELECT id, pos, title_en, title_ar FROM {titles}) t USING (id) GROUP BY 1",
+)
 def latest_results(s: Surrogate) -> DataFrame:
-    return I.latest_results(s.log()).select("norm_query", F.size("results_en").cast("bigint").alias("titles"))
+    return I.latest_results(s.log()).select("norm_query", F.array_join("results_en", "|").alias("results_en"), F.array_join("results_ar", "|").alias("results_ar"))
 
 
 # Terms and discovery.
@@ -429,11 +442,11 @@ def _old_queue(s: Surrogate) -> DataFrame:
 
 
 _OLD = f"SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'misspelling' ELSE 'synonym' END AS kind, 't' || CAST(c_custkey % 700 AS VARCHAR) AS source_term, 't' || CAST(c_custkey AS VARCHAR) AS target_term, CAST(c_custkey % 50 AS DOUBLE) / 100 + 0.45::DOUBLE AS confidence, {_STATUS} AS status FROM customer"
-_NEW = "SELECT 'synonym' AS kind, 't' || CAST(o_custkey % 700 AS VARCHAR) AS source_term, 't' || CAST(o_custkey AS VARCHAR) AS target_term, max(CAST(o_orderkey % 40 AS DOUBLE)) / 100 + 0.5::DOUBLE AS confidence FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey"
+_NEW = "SELECT 'synonym' AS kind, 't' || CAST(o_custkey % 700 AS VARCHAR) AS source_term, 't' || CAST(o_custkey AS VARCHAR) AS target_term, max(CAST(o_orderkey % 40 AS DOUBLE)) / 100 + 0.5::DOUBLE AS confidence FROM orders GROUP BY o_custkey"
 
 
 def _new_candidates(s: Surrogate) -> DataFrame:
-    o = s.table("orders").where("o_orderkey % 3 = 0").groupBy("o_custkey").agg((F.max((F.col("o_orderkey") % 40).cast("double")) / 100 + 0.5).alias("confidence"))
+    o = s.table("orders").groupBy("o_custkey").agg((F.max((F.col("o_orderkey") % 40).cast("double")) / 100 + 0.5).alias("confidence"))
     return o.select(F.lit("synonym").alias("kind"), F.concat(F.lit("t"), (F.col("o_custkey") % 700).cast("string")).alias("source_term"), F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("target_term"), F.lit("ar").alias("lang"), "confidence", F.lit("new").alias("rationale"), F.lit("{}").alias("evidence"))
 
 
@@ -478,9 +491,9 @@ def fact_search(s: Surrogate) -> DataFrame:
     return R.fact_search(events, M.query_quality(events, s.shop())).select("id", "norm_query", "date", "hour", "result_count", "is_zero", "is_problem", "severity")
 
 
-@query("dim_query", f"SELECT norm_query, searches, severity, impact, CAST(is_problem AS INTEGER) AS is_problem, CAST(retrieval_gap AS INTEGER) AS retrieval_gap, len(string_split(concat_ws('|', 'x', {_REASONS}), '|')) - 1 AS reason_count FROM {{qq}}")
+@query("dim_query", f"SELECT norm_query, searches, severity, impact, CAST(is_problem AS INTEGER) AS is_problem, CAST(retrieval_gap AS INTEGER) AS retrieval_gap, len(string_split(concat_ws('|', 'x', {_REASONS}), '|')) - 1 AS reason_count, display_query, sessions, coverage, intended_term, mean_results, zero_result_rate, lexical_miss_rate, dissatisfaction_rate FROM {{qq}}")
 def dim_query(s: Surrogate) -> DataFrame:
-    return R.dim_query(_quality(s)).select("norm_query", "searches", "severity", "impact", "is_problem", "retrieval_gap", F.col("reason_count").cast("bigint").alias("reason_count"))
+    return R.dim_query(_quality(s)).select("norm_query", "searches", "severity", "impact", "is_problem", "retrieval_gap", F.col("reason_count").cast("bigint").alias("reason_count"), "display_query", "sessions", "coverage", "intended_term", "mean_results", "zero_result_rate", "lexical_miss_rate", "dissatisfaction_rate")
 
 
 @query("dim_term", "SELECT term, searches, failing_searches, spellings, verdict FROM (SELECT *, replace(spellings, '|', ' | ') AS sp FROM {drivers}) ORDER BY total_impact DESC, failing_searches DESC, term LIMIT 200")
@@ -506,21 +519,18 @@ def digest_markdown(s: Surrogate) -> DataFrame:
     return spark.createDataFrame([(d["period_start"], d["period_end"], d["body_md"])], "period_start string, period_end string, body_md string")
 
 
-@query("dump_scan_roundtrip")
+@query("dump_scan_roundtrip", "SELECT 'catalog_product' AS \"table\", p_partkey AS id, concat('it''s ', p_name, chr(10), 'INSERT INTO x; \\ ', p_type) AS name, CAST(NULL AS VARCHAR) AS nothing FROM part")
 def dump_scan_roundtrip(s: Surrogate) -> DataFrame:
-    """Parts written as dump statements and parsed again by the dump grammar, as rows of executors."""
-    from queryvitals.sources.dump import rows as parse
-
-    text = F.concat(F.lit("INSERT INTO `catalog_product` VALUES ("), F.col("p_partkey").cast("string"), F.lit(",'x','"), F.replace(F.replace("p_name", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("',NULL);\n"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            found = list(parse(iter(b.column(0).to_pylist()), None))
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([c for _, c in found], pa.list_(pa.string()))], names=["table", "cols"])
-
-    return s.table("part").select(text.alias("line")).mapInArrow(run, "table string, cols array<string>").select("table", F.col("cols")[0].cast("bigint").alias("id"), F.col("cols")[2].alias("name"))
+    """Parts written as a dump, in statements of two rows over several lines, and read back by the dump source."""
+    from queryvitals.plans.stage import shared_folder
+    from queryvitals.sources.dump import read_dump
+
+    said = F.concat(F.lit("it\\'s "), "p_name", F.lit("\nINSERT INTO x; \\\\ "), "p_type")
+    row = F.concat(F.lit("("), F.col("p_partkey").cast("string"), F.lit(",'x','"), said, F.lit("',NULL)"))
+    text = F.concat(F.lit("INSERT INTO `catalog_product` VALUES "), row, F.lit(",\n"), F.replace(row, F.concat(F.lit("("), F.col("p_partkey").cast("string")), F.lit("(-")), F.lit(";\nCREATE TABLE `z`;\nINSERT INTO `skipped` VALUES (1,'a;b');"))
+    folder = f"{shared_folder(s.spark)}/dump-{uuid.uuid4().hex}"
+    s.table("part").select(text.alias("value")).write.text(folder)
+    return read_dump(s.spark, f"{folder}/*.txt", ["catalog_product"]).where("cols[0] <> '-'").select("table", F.col("cols")[0].cast("bigint").alias("id"), F.col("cols")[2].alias("name"), F.col("cols")[3].alias("nothing"))
 
 
 @query("ask_planner")

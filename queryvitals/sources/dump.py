@@ -141,7 +141,12 @@ class DumpSource(DataSource):
 
 
 def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -> DataFrame:
-    """Rows of a dump that every executor can open at ``path``; a missing file is a FileNotFoundError."""
+    """Rows of a dump that every executor can open at ``path``; a missing file is a FileNotFoundError. Paths of other
+    file systems than the local one are read by Spark, as ``read_dump_text`` does."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    elif "://" in path:
+        return read_dump_text(spark, path, tables)
     if not glob.has_magic(path) and not os.path.exists(path):
         raise FileNotFoundError(path)
     spark.dataSource.register(DumpSource)

@@ -1,11 +1,14 @@
-"""The store: one Parquet folder per table, replaced as a whole by moving a pointer file.
+"""The store: one Parquet folder for each version of a table, and a manifest that names the current ones.
 
-Writers make a new snapshot folder and then rewrite ``CURRENT``; readers see the old or the new snapshot, never a
-mixture. A reload carries the review queue and the digests over unchanged.
+A writer writes only the tables that change, then a new manifest (table, folder) under the next number. A manifest is
+written elsewhere and renamed into its place, which fails if another writer has taken the number: that writer's changes
+are then read and the manifest made anew, so none is lost. Readers open the manifest with the highest number and see the
+old tables or the new ones, never a mixture. ``collect`` removes what the last manifests no longer name.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,46 +21,85 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _current(self) -> str | None:
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = path(self.root)
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _manifests(self) -> list[int]:
+        fs, path = self._fs()
+        folder = path(f"{self.root}/manifests")
+        if not fs.exists(folder):
+            return []
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit())
+
+    def _manifest(self, number: int) -> dict[str, str]:
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.root}/manifests/{number:012d}"))
         try:
-            rows = self.spark.read.text(f"{self.root}/CURRENT").collect()
-        except Exception as e:  # the path does not exist yet
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return rows[0][0] if rows else None
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def version(self) -> int:
+        """The number of the current manifest; 0 for an empty store."""
+        return max(self._manifests(), default=0)
 
     def exists(self) -> bool:
-        return self._current() is not None
+        return self.version() > 0
 
     def read(self, table: str) -> DataFrame:
-        """A table of the current snapshot; empty with its schema where it was never written."""
-        current = self._current()
-        if current is not None:
-            try:
-                return self.spark.read.parquet(f"{self.root}/{current}/{table}")
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        return self.spark.createDataFrame([], TABLES[table])
-
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        """A new snapshot of ``tables`` with every other table carried over."""
-        current, name = self._current(), f"snapshot-{uuid.uuid4().hex}"
-        for table in TABLES:
-            df = tables.get(table)
-            if df is None:
-                if current is None:
-                    continue
-                df = self.read(table)
-            writer = df.write.mode("overwrite")
+        """The current version of a table; empty with its schema where it was never written."""
+        number = self.version()
+        folder = self._manifest(number).get(table) if number else None
+        if folder is None:
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.parquet(f"{self.root}/{folder}")
+
+    def write(self, tables: dict[str, DataFrame]) -> int:
+        """New versions of ``tables``; all others stay what and where they are. The number of the new manifest."""
+        made = {}
+        for table, df in tables.items():
+            made[table] = f"{table}/{uuid.uuid4().hex}"
+            writer = df.write
             if table == "search_event":
-                writer = df.withColumn("day", F.to_date("occurred_at")).write.mode("overwrite").partitionBy("day")
-            writer.parquet(f"{self.root}/{name}/{table}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/CURRENT")
-        return name
+                writer = df.withColumn("day", F.to_date("occurred_at")).write.partitionBy("day")
+            writer.parquet(f"{self.root}/{made[table]}")
+        return self._publish(made)
+
+    def _publish(self, made: dict[str, str]) -> int:
+        fs, path = self._fs()
+        fs.mkdirs(path(f"{self.root}/manifests"))
+        while True:
+            number = self.version()
+            named = (self._manifest(number) if number else {}) | made
+            draft = path(f"{self.root}/manifests/.draft-{uuid.uuid4().hex}")
+            stream = fs.create(draft, False)
+            stream.write(bytearray(json.dumps(named).encode()))
+            stream.close()
+            target = path(f"{self.root}/manifests/{number + 1:012d}")
+            if not fs.exists(target) and fs.rename(draft, target):
+                return number + 1
+            fs.delete(draft, False)
+
+    def collect(self, keep: int = 2) -> list[str]:
+        """Remove table versions that none of the last ``keep`` manifests names, and older manifests."""
+        fs, path = self._fs()
+        numbers = self._manifests()
+        named = {f for n in numbers[-keep:] for f in self._manifest(n).values()}
+        gone = []
+        for table in TABLES:
+            folder = path(f"{self.root}/{table}")
+            for version in fs.listStatus(folder) if fs.exists(folder) else []:
+                name = f"{table}/{version.getPath().getName()}"
+                if name not in named:
+                    fs.delete(version.getPath(), True)
+                    gone.append(name)
+        for n in numbers[:-keep]:
+            fs.delete(path(f"{self.root}/manifests/{n:012d}"), False)
+        return gone
 
-    def reload(self, tables: dict[str, DataFrame]) -> str:
+    def reload(self, tables: dict[str, DataFrame]) -> int:
         """Replace everything but the queue and the digests."""
         return self.write({k: v for k, v in tables.items() if k not in KEPT})
 

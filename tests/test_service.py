@@ -37,7 +37,7 @@ def quality(service):
 def test_load(service):
     counts = {t: service.store.read(t).count() for t in ("product", "product_name", "category", "search_event")}
     assert counts["product"] == 240 and counts["product_name"] == 480 and counts["category"] == 6 and counts["search_event"] > 48
-    assert service.store.read("catalog_term").where("term = 'milk' AND lang = 'en'").first()["product_count"] == 20
+    assert service.store.read("catalog_term").where("term = 'honey' AND lang = 'en'").first()["product_count"] == 20
     assert service.store.read("search_event").select("session_id").distinct().count() == 48
 
 
@@ -72,17 +72,17 @@ def test_empty_period(service):
 
 def test_verdicts(service):
     found = {r["term"]: r["verdict"] for r in service.terms(100).collect()}
-    assert found.get("quinoa", "assortment gap") == "assortment gap"
-    assert found.get("pas", "partial query") == "partial query"
+    assert found.get("umbrella", "assortment gap") == "assortment gap"
+    assert found.get("len", "partial query") == "partial query"
 
 
 def test_discovery_and_queue(service):
     counts = service.discover()
     assert set(counts) == {"inserted"}
     rows = {(r["kind"], r["source_term"]): r for r in service.queue().collect()}
-    assert rows[("misspelling", "chiken")]["target_term"] == "chicken"
-    assert ("partial_query", "coffe") in rows or not service.events().where("norm_query = 'coffe'").count()
-    assert any(k == "synonym" and {"milk", "حليب"} == {s, r["target_term"]} for (k, s), r in rows.items())
+    assert rows[("misspelling", "hony")]["target_term"] == "honey"
+    assert ("partial_query", "napk") in rows or not service.events().where("norm_query = 'napk'").count()
+    assert any(k == "synonym" and {"honey", "عسل"} == {s, r["target_term"]} for (k, s), r in rows.items())
     first, second = sorted(r["id"] for r in rows.values())[:2]
     service.decide(first, "approve", reviewer="me", note="yes")
     service.decide(second, "reject")
@@ -139,7 +139,7 @@ def test_api(service):
         with pytest.raises(api.HttpError) as e:
             get(path)
         assert e.value.status == status
-    assert get("/api/catalogue/milk")["coverage"] == 20
+    assert get("/api/catalogue/honey")["coverage"] == 20
     with pytest.raises(api.HttpError):
         api.handle(service, "POST", "/api/ask", {"question": " "})
     assert api.handle(service, "POST", "/api/ask", {"question": "How healthy is search?"})["tool"] == "health"
