@@ -8,9 +8,14 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
 from queryvitals.operators import review as V
+from queryvitals.plans.planner import preview
 from queryvitals.service import Service
 
 
+#: Rows of a reporting table that one answer may hold; larger tables are refused, not cut.
+BI_ROWS = 100_000
+
+
 class HttpError(Exception):
     def __init__(self, status: int, detail: str):
         super().__init__(detail)
@@ -40,6 +45,8 @@ def handle(service: Service, method: str, target: str, body: dict | None = None)
     if not service.store.exists():
         raise HttpError(503, "the store is not loaded")
     period = {k: given.get(k) for k in ("since", "until")}
+    if "days" in given and path in ("/api/overview", "/api/queries"):
+        period = dict(zip(period, service.period(_int(given, "days", 28, 1, 3650)), strict=True))
     if method == "GET":
         if path == "/api/overview":
             return _rows(service.overview(**period))[0]
@@ -61,8 +68,10 @@ def handle(service: Service, method: str, target: str, body: dict | None = None)
         if path == "/api/suggestions/export":
             return service.export()
         if path == "/api/agent/tools":
-            return sorted(service.planner().tools)
+            return service.planner().described()
         if path == "/api/digest":
+            if given.get("format", "json") not in ("json", "markdown"):
+                raise HttpError(422, "format must be json or markdown")
             d = service.digest(_int(given, "days", 7, 1, 90), given.get("end"))
             return d["body_md"] if given.get("format") == "markdown" else d
         if path == "/api/bi/tables":
@@ -71,7 +80,9 @@ def handle(service: Service, method: str, target: str, body: dict | None = None)
             found = service.tables(_int(given, "days", 90, 1, 730))
             if m[1] not in found:
                 raise HttpError(404, "no such table")
-            return _rows(found[m[1]], 100_000)
+            if found[m[1]].limit(BI_ROWS + 1).count() > BI_ROWS:
+                raise HttpError(413, f"more than {BI_ROWS} rows: use the export of reporting tables")
+            return _rows(found[m[1]], BI_ROWS)
     if method == "POST":
         if path == "/api/suggestions/refresh":
             return service.discover()
@@ -88,7 +99,7 @@ def handle(service: Service, method: str, target: str, body: dict | None = None)
             if not question.strip():
                 raise HttpError(400, "a question is needed")
             tool, answer = service.planner().ask(question)
-            return {"tool": tool, "answer": json.loads(answer)}
+            return {"tool": tool, "answer": json.loads(answer), "preview": preview(answer)}
     raise HttpError(404, "no such route")
 
 

@@ -7,6 +7,7 @@ import json
 import sys
 
 from queryvitals.functions.text import FIRST_ISOLATE, LAST_ISOLATE
+from queryvitals.operators import ingest as I
 from queryvitals.operators import metrics as M
 from queryvitals.operators import reports as R
 from queryvitals.operators import review as V
@@ -108,7 +109,7 @@ def run(args: argparse.Namespace, spark=None) -> None:
     elif c == "ask":
         say("\n".join(service.planner().ask(args.question)))
     elif c == "tools":
-        say("\n".join(sorted(service.planner().tools)))
+        say("\n".join(f"{t['name']}: {t['description']}" for t in service.planner().described()))
     elif c == "digest":
         say(service.digest(args.days, args.end)["body_md"])
     elif c == "export-bi":
@@ -124,7 +125,7 @@ def run(args: argparse.Namespace, spark=None) -> None:
 
 
 def site(service, folder: str) -> None:
-    """A static snapshot: measures and lists as JSON files."""
+    """A static snapshot: measures and lists as JSON files, whole, and every query's detail."""
     import os
 
     quality = M.reason_texts(service.quality())
@@ -134,8 +135,9 @@ def site(service, folder: str) -> None:
             "overview": M.overview(quality),
             "queries-all": M.ranked(quality),
             "queries-problems": M.ranked(quality.where("is_problem")),
+            "query-details": M.ranked(quality.join(I.latest_results(service.events()), "norm_query", "left")),
             "terms": service.terms(),
-            **{f"suggestions-{s}": V.listed(queue, s, limit=10_000) for s in ("pending", "approved", "rejected")},
+            **{f"suggestions-{s}": V.listed(queue, s, limit=None) for s in ("pending", "approved", "rejected")},
         },
         folder,
     )

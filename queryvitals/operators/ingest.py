@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from queryvitals.functions import text as T
 from queryvitals.operators import catalog as C
 from queryvitals.operators import sessions as S
+from queryvitals.plans.stage import stage
 from queryvitals.schemas import SOURCES, TABLES
 
 LANGUAGES = {"arabic": "ar", "ar": "ar", "english": "en", "en": "en"}
@@ -38,8 +39,12 @@ def _typed(source: DataFrame, name: str) -> DataFrame:
 
 
 def build(source: DataFrame, gap_seconds: int = S.GAP_SECONDS) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Store tables, and the report (table, emitted, skipped) of a load. ``source``: rows (table, cols)."""
-    source = source.withColumn("ordinal", F.monotonically_increasing_id())
+    """Store tables, and the report (table, emitted, skipped, reasons) of a load. ``source``: rows (table, cols).
+
+    The parsed rows are written once: their numbers, by which the last row of a key wins, are then the same for all
+    tables. ``reasons`` counts the skipped rows by what was wrong with them first.
+    """
+    source = stage(source.withColumn("ordinal", F.monotonically_increasing_id()))
     number = lambda c, kind="bigint": F.expr(f"try_cast({c} AS {kind})")
     product = _typed(source, "catalog_product").select("ordinal", number("id").alias("id"), "sku", "url_key", number("price", "double").alias("default_price"), (F.col("price").isNotNull() & number("price", "double").isNull()).alias("_bad"))
     names = _typed(source, "catalog_productname").select("ordinal", number("product_id").alias("product_id"), language_code(F.col("language")).alias("lang"), "name", T.normalize("name").alias("norm_name"))
@@ -49,18 +54,23 @@ def build(source: DataFrame, gap_seconds: int = S.GAP_SECONDS) -> tuple[dict[str
     counter = _typed(source, "recommendations_querycount").select("ordinal", "query", T.normalize("query").alias("norm_query"), number("count").alias("count"))
     searches = _typed(source, "recommendations_searches").select("ordinal", number("id").alias("id"), F.col("query").alias("raw_query"), T.split_lines("ar").alias("results_ar"), T.split_lines("en").alias("results_en"), number("count", "int").alias("result_count"), parse_time(F.col("at")).alias("ts"))
 
+    missing = lambda *cs: [(F.col(c).isNull(), f"no valid {c}") for c in cs]
     good = {
-        "product": (product, F.col("id").isNotNull() & ~F.col("_bad"), ["id"]),
-        "product_name": (names, F.col("product_id").isNotNull() & F.col("lang").isNotNull() & F.col("name").isNotNull(), ["product_id", "lang"]),
-        "category": (category, F.col("id").isNotNull(), ["id"]),
-        "category_name": (labels, F.col("category_id").isNotNull() & F.col("lang").isNotNull() & F.col("name").isNotNull(), ["category_id", "lang"]),
-        "product_category": (member, F.col("product_id").isNotNull() & F.col("category_id").isNotNull(), ["product_id", "category_id"]),
-        "query_count": (counter, F.col("query").isNotNull() & F.col("count").isNotNull(), ["query"]),
-        "search_event": (searches, F.col("id").isNotNull() & F.col("result_count").isNotNull() & F.col("ts").isNotNull(), ["id"]),
+        "product": (product, [*missing("id"), (F.col("_bad"), "malformed price")], ["id"]),
+        "product_name": (names, missing("product_id", "lang", "name"), ["product_id", "lang"]),
+        "category": (category, missing("id"), ["id"]),
+        "category_name": (labels, missing("category_id", "lang", "name"), ["category_id", "lang"]),
+        "product_category": (member, missing("product_id", "category_id"), ["product_id", "category_id"]),
+        "query_count": (counter, missing("query", "count"), ["query"]),
+        "search_event": (searches, missing("id", "result_count", "ts"), ["id"]),
     }
     tables, reports = {}, []
-    for name, (rows, ok, keys) in good.items():
-        reports.append(rows.agg(F.count_if(ok).alias("emitted"), F.count_if(~ok).alias("skipped")).select(F.lit(name).alias("table"), "emitted", "skipped"))
+    for name, (rows, faults, keys) in good.items():
+        reason = F.coalesce(*[F.when(wrong, said) for wrong, said in faults])
+        ok = reason.isNull()
+        counts = F.map_from_arrays(F.array(*[F.lit(said) for _, said in faults]), F.array(*[F.count_if(F.coalesce(reason == said, F.lit(False))) for _, said in faults]))
+        report = rows.agg(F.count_if(ok).alias("emitted"), F.count_if(~ok).alias("skipped"), F.map_filter(counts, lambda _, n: n > 0).alias("reasons"))
+        reports.append(report.select(F.lit(name).alias("table"), "emitted", "skipped", "reasons"))
         tables[name] = last_wins(rows.where(ok).drop("_bad"), keys, "ordinal").drop("ordinal")
     tables = remove_orphans(tables)
     events = S.sessionize(tables["search_event"], "ts", "id", gap_seconds)

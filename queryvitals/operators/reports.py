@@ -186,6 +186,21 @@ def value_label(name: str, value) -> str:
     return f"{100 * value:.1f}%" if name.endswith("_rate") else f"{value:.1f}" if isinstance(value, float) else f"{value:,}"
 
 
+def narrative(before: dict, now: dict, gaps: int) -> str:
+    """What a period amounts to, in sentences made from its figures alone."""
+    if not now["total_searches"]:
+        return "Nothing was searched in this period."
+    said = [f"Shoppers searched {now['total_searches']:,} times; health stands at {now['health_score']:.1f} of 100"]
+    if not before["total_searches"]:
+        said[0] += ", and no earlier period is on record to set it against."
+    else:
+        d = now["health_score"] - before["health_score"]
+        said[0] += f", {abs(d):.1f} points {'above' if d > 0 else 'below'} the period before." if abs(d) >= 0.1 else ", as in the period before."
+    if now["problem_queries"]:
+        said.append(f"{now['problem_queries']} queries need attention; for {gaps} of them the shop has what search did not show.")
+    return " ".join(said)
+
+
 def digest(events: DataFrame, shop, queue: DataFrame, days: int = 7, end: str | None = None) -> dict:
     """A period of ``days`` up to the newest search, against the period before; both own the instant between them.
 
@@ -204,7 +219,8 @@ def digest(events: DataFrame, shop, queue: DataFrame, days: int = 7, end: str |
     a, b = M.overview(old).first(), M.overview(now).first()
     known = old.where("is_problem").select("norm_query", F.lit(True).alias("_known"))
     problems = M.ranked(now.where("is_problem").join(known, "norm_query", "left").withColumn("is_new", F.col("_known").isNull())).limit(DIGEST_ROWS)
-    lines = ["# Search digest", "", f"{start} to {last}", "", "| metric | before | now | change |", "|-|-|-|-|"]
+    gaps = now.where("is_problem AND retrieval_gap").count()
+    lines = ["# Search digest", "", f"{start} to {last}", "", narrative(a.asDict(), b.asDict(), gaps), "", "| metric | before | now | change |", "|-|-|-|-|"]
     for name in BETTER_UP:
         lines.append(f"| {name} | {value_label(name, a[name])} | {value_label(name, b[name])} | {delta_label(name, a[name], b[name])} |")
     lines += ["", "## Problems", ""]

@@ -39,14 +39,15 @@ def kept(refreshed: DataFrame) -> DataFrame:
     return refreshed.where("action <> 'withdrawn'").drop("action")
 
 
-def listed(queue: DataFrame, status: str | None = None, kind: str | None = None, limit: int = 100) -> DataFrame:
-    """Pending first, then by confidence and id."""
+def listed(queue: DataFrame, status: str | None = None, kind: str | None = None, limit: int | None = 100) -> DataFrame:
+    """Pending first, then by confidence and id; all rows without a limit."""
     out = queue
     if status:
         out = out.where(F.col("status") == status)
     if kind:
         out = out.where(F.col("kind") == kind)
-    return out.orderBy((F.col("status") == "pending").desc(), F.desc("confidence"), "id").limit(limit)
+    out = out.orderBy((F.col("status") == "pending").desc(), F.desc("confidence"), "id")
+    return out if limit is None else out.limit(limit)
 
 
 def decide(queue: DataFrame, suggestion_id: int, decision: str, now: str, reviewer: str | None = None, note: str | None = None) -> DataFrame:

@@ -50,6 +50,11 @@ def spelling_candidates(frequencies: DataFrame, corrections: DataFrame, shop, mi
     return out.where(F.col("confidence") >= min_confidence)
 
 
+def ordered(found: DataFrame) -> DataFrame:
+    """The order in which corrections are reported: surest first, then the most searched, then by their terms."""
+    return found.orderBy(F.desc("confidence"), F.desc("searches"), "source_term", "target_term")
+
+
 def as_candidates(found: DataFrame) -> DataFrame:
     """The queue's form: kind, source_term, target_term, lang, confidence, rationale, evidence (JSON)."""
     n = F.format_number("target_product_count", 0)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from queryvitals.functions import text as T
 from queryvitals.operators import catalog as C
 from queryvitals.operators import events as E
+from queryvitals.plans.stage import stage
 
 # Thresholds and what each signal is worth.
 MIN_OVERLAP, MIN_SHARED = 0.30, 2
@@ -33,19 +34,33 @@ def query_products(events: DataFrame, shop) -> DataFrame:
 
 
 def result_overlap(products: DataFrame, min_shared: int = MIN_SHARED, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """(source, target, shared, overlap) of queries whose products coincide. Pairs are met through shared products, so
-    pairs with none are never made."""
-    size = products.groupBy("norm_query").agg(F.count("*").alias("n"))
-    a = products.select("product_id", F.col("norm_query").alias("source"))
-    b = products.select("product_id", F.col("norm_query").alias("target"))
-    shared = a.join(b, "product_id").where("source < target").groupBy("source", "target").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
-    both = shared.join(size.select(F.col("norm_query").alias("source"), F.col("n").alias("_na")), "source").join(size.select(F.col("norm_query").alias("target"), F.col("n").alias("_nb")), "target")
-    return both.withColumn("x_overlap", F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared"))).where(F.col("x_overlap") >= min_overlap).select("source", "target", "shared", T.round_even(F.col("x_overlap"), 3).alias("overlap"))
+    """(source, target, shared, overlap) of queries whose products coincide.
+
+    Two sets of sizes n and m with Jaccard overlap t share one of the rarest n - ceil(t n) + 1 products of the first and
+    of the rarest m - ceil(t m) + 1 of the second, and m >= t n. Only these prefixes meet, so a product that very many
+    queries find joins few of them; the shared products of each pair that met are then counted exactly.
+    """
+    products = stage(products)
+    found_by = products.groupBy("product_id").agg(F.count("*").alias("_df"))
+    ranked = products.join(found_by, "product_id").withColumn("_r", F.row_number().over(Window.partitionBy("norm_query").orderBy("_df", "product_id")))
+    size = products.groupBy("norm_query").agg(F.count("*").alias("_n"))
+    prefix = ranked.join(size, "norm_query").where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * min_overlap - 1e-9) + 1)
+    prefix = stage(prefix.select("product_id", "norm_query", "_n"))
+    a = prefix.select("product_id", F.col("norm_query").alias("source"), F.col("_n").alias("_na"))
+    b = prefix.select("product_id", F.col("norm_query").alias("target"), F.col("_n").alias("_nb"))
+    near = (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * min_overlap - 1e-9) & (F.least("_na", "_nb") >= min_shared)
+    met = a.join(b, "product_id").where((F.col("source") < F.col("target")) & near).select("source", "target", "_na", "_nb").distinct()
+    left = met.join(products.select(F.col("norm_query").alias("source"), "product_id"), "source")
+    both = left.join(products.select(F.col("norm_query").alias("target"), "product_id"), ["target", "product_id"])
+    shared = both.groupBy("source", "target", "_na", "_nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    out = shared.withColumn("x_overlap", F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared"))).where(F.col("x_overlap") >= min_overlap)
+    return out.select("source", "target", "shared", T.round_even(F.col("x_overlap"), 3).alias("overlap"))
 
 
 def dice_alignment(product_name: DataFrame, terms: DataFrame, min_support: int = MIN_SUPPORT, min_dice: float = MIN_ALIGNMENT) -> DataFrame:
-    """(source, target, source_lang, shared, alignment): searched terms and the other language's terms that name the same products."""
-    names = C.name_terms(product_name)
+    """(source, target, source_lang, shared, alignment): searched terms and the other language's terms that name the same
+    products. Terms meet through one product's names, which hold a few words each, so no product makes many pairs."""
+    names = stage(C.name_terms(product_name))
     frequency = names.groupBy(F.col("term").alias("target"), F.col("lang").alias("target_lang")).agg(F.count("*").alias("_df"))
     asked = names.join(terms, "term", "left_semi").select("product_id", F.col("term").alias("source"), F.col("lang").alias("source_lang"))
     totals = asked.groupBy("source", "source_lang").agg(F.count("*").alias("_total"))
@@ -60,7 +75,7 @@ def dice_alignment(product_name: DataFrame, terms: DataFrame, min_support: int =
 
 def shared_translation(aligned: DataFrame) -> DataFrame:
     """(source, target, lang, translation): terms of one language aligned with one word; the word with the best weaker
-    alignment is named."""
+    alignment is named. A word's alignment has a floor and a product's name few words, so few terms align with one word."""
     a = aligned.select(F.col("target").alias("translation"), F.col("source").alias("source"), F.col("source_lang").alias("lang"), F.col("alignment").alias("_a"))
     b = aligned.select(F.col("target").alias("translation"), F.col("source").alias("target"), F.col("source_lang").alias("lang"), F.col("alignment").alias("_b"))
     pairs = a.join(b, ["translation", "lang"]).where("source < target")
@@ -79,6 +94,7 @@ def synonym_candidates(reworded: DataFrame, overlap: DataFrame, aligned: DataFra
     """(source_term, target_term, lang, confidence, signals, observations, shared_products, overlap, alignment, translation).
 
     Pairs are unordered; observations of both directions add up; the language is that of the first signal in order."""
+    aligned = stage(aligned)
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     rows = [
         reworded.select("source", "target", F.lit(0).alias("_o"), F.lit("reworded_by_shopper").alias("signal"), F.lit("ar").alias("lang"), "observations", none("bigint", "shared_products"), none("double", "overlap"), none("double", "alignment"), none("string", "translation")),
@@ -104,6 +120,11 @@ def synonym_candidates(reworded: DataFrame, overlap: DataFrame, aligned: DataFra
     return out.select("source_term", "target_term", "lang", "confidence", "signals", "observations", "shared_products", "overlap", "alignment", "translation")
 
 
+def ordered(found: DataFrame) -> DataFrame:
+    """The order in which pairs are reported: surest first, then by their terms."""
+    return found.orderBy(F.desc("confidence"), "source_term", "target_term")
+
+
 def as_candidates(found: DataFrame) -> DataFrame:
     """The queue's form of the pairs."""
     parts = F.array_compact(

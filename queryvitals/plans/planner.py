@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import re
 from collections.abc import Callable
@@ -30,6 +31,28 @@ _QUOTED = re.compile(r"[\"“'«]([^\"”'»]{1,80})[\"”'»]")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 
 
+_TEXT, _NUMBER = {"type": "string"}, {"type": "integer", "minimum": 1}
+_PERIOD = {"type": "array", "items": {"type": "string", "format": "date"}, "minItems": 2, "maxItems": 2}
+TOOLS = {
+    "health": ("Totals, rates and the health score of the log.", {}),
+    "problems": ("Queries that fail shoppers, the largest impact first.", {"limit": _NUMBER}),
+    "detail": ("One query: its scores, the reasons, and its newest results.", {"query": _TEXT}),
+    "suggestions": ("Rules that wait for review, or have been decided.", {"status": _TEXT, "kind": _TEXT, "limit": _NUMBER}),
+    "coverage": ("Whether the catalogue stocks a word, or one close to it.", {"term": _TEXT}),
+    "compare": ("Two periods of the log, metric by metric.", {"first": _PERIOD, "second": _PERIOD}),
+    "recent": ("The newest searches.", {"limit": _NUMBER}),
+    "profile": ("What the log covers: searches, sessions, times, products.", {}),
+}
+PREVIEW = 400
+#: Rows of one answer; an answer that had more says so.
+MOST_ROWS = 500
+
+
+def preview(text: str, most: int = PREVIEW) -> str:
+    """The text, cut to ``most`` characters with an ellipsis."""
+    return text if len(text) <= most else text[:most] + "…"
+
+
 class Planner:
     """Tools over one scored log. Every answer is a bounded number of rows."""
 
@@ -41,6 +64,15 @@ class Planner:
             "coverage": self.coverage, "compare": self.compare, "recent": self.recent, "profile": self.profile,
         }
 
+    def described(self) -> list[dict]:
+        """Name, description and argument schema of each tool."""
+        out = []
+        for name, tool in sorted(self.tools.items()):
+            about, arguments = TOOLS[name]
+            need = [a for a, p in inspect.signature(tool).parameters.items() if p.default is inspect.Parameter.empty]
+            out.append({"name": name, "description": about, "parameters": {"type": "object", "properties": arguments, "required": need}})
+        return out
+
     @property
     def quality(self) -> DataFrame:
         if self._quality is None:
@@ -113,7 +145,9 @@ class Planner:
         if tool not in self.tools:
             return {"error": f"unknown tool {tool!r}"}
         try:
-            return {"rows": [json.loads(r) for r in self.tools[tool](**arguments).limit(500).toJSON().collect()]}
+            rows = self.tools[tool](**arguments).limit(MOST_ROWS + 1).toJSON().collect()
+            out = {"rows": [json.loads(r) for r in rows[:MOST_ROWS]]}
+            return out | {"truncated": True} if len(rows) > MOST_ROWS else out
         except (TypeError, ValueError, KeyError) as e:
             return {"error": str(e)}
 

@@ -423,6 +423,16 @@ def synonym_candidates(s: Surrogate) -> DataFrame:
     return _synonyms(s).withColumn("signals", F.array_join("signals", "|")).fillna(0, ["observations", "shared_products"])
 
 
+@query("ordered_corrections", "SELECT source_term, target_term, confidence FROM {spell} WHERE confidence >= 0.45 ORDER BY confidence DESC, searches DESC, source_term, target_term LIMIT 25")
+def ordered_corrections(s: Surrogate) -> DataFrame:
+    return P.ordered(_spelling(s)).limit(25).select("source_term", "target_term", "confidence")
+
+
+@query("ordered_synonyms", "SELECT source_term, target_term, confidence FROM {syn} ORDER BY confidence DESC, source_term, target_term LIMIT 25")
+def ordered_synonyms(s: Surrogate) -> DataFrame:
+    return Y.ordered(_synonyms(s)).limit(25).select("source_term", "target_term", "confidence")
+
+
 # The review queue. The old queue is made from customers: every key that the new candidates also have, and others.
 
 _STATUS = "CASE WHEN c_nationkey % 3 = 0 THEN 'pending' WHEN c_nationkey % 3 = 1 THEN 'approved' ELSE 'rejected' END"
@@ -463,6 +473,21 @@ def queue_list(s: Surrogate) -> DataFrame:
     return V.listed(_old_queue(s)).select("id", "kind", "status", "confidence")
 
 
+@query("queue_pending_by_kind", f"SELECT kind, count(*) AS pending FROM ({_OLD}) WHERE status = 'pending' GROUP BY 1")
+def queue_pending_by_kind(s: Surrogate) -> DataFrame:
+    return V.pending_by_kind(_old_queue(s))
+
+
+@query("queue_filters", f"SELECT id, kind, status, confidence FROM ({_OLD}) WHERE status = 'approved' AND kind = 'synonym' ORDER BY confidence DESC, id LIMIT 100")
+def queue_filters(s: Surrogate) -> DataFrame:
+    return V.listed(_old_queue(s), "approved", "synonym").select("id", "kind", "status", "confidence")
+
+
+@query("queue_decision", f"SELECT id, CASE WHEN id = 1 THEN 'rejected' ELSE status END AS status, CASE WHEN id = 1 THEN 'me' END AS reviewer, CASE WHEN id = 1 THEN 'no' END AS review_note FROM ({_OLD})")
+def queue_decision(s: Surrogate) -> DataFrame:
+    return V.decide(_old_queue(s), 1, "reject", "2024-02-02", "me", "no").select("id", "status", "reviewer", "review_note")
+
+
 @query("queue_status_counts", f"SELECT kind, status, count(*) AS suggestions FROM ({_OLD}) GROUP BY 1, 2")
 def queue_status_counts(s: Surrogate) -> DataFrame:
     return V.status_counts(_old_queue(s))
@@ -502,6 +527,81 @@ def dim_term(s: Surrogate) -> DataFrame:
     return d.select("term", "searches", "failing_searches", F.replace("spellings", F.lit(" | "), F.lit("|")).alias("spellings"), "verdict")
 
 
+@query("fact_daily", f"SELECT day, {_OVERVIEW} FROM {{qq_day}} GROUP BY day")
+def fact_daily(s: Surrogate) -> DataFrame:
+    return R.fact_daily(s.events(), s.shop()).withColumn("notes", F.replace("notes", F.lit(" | "), F.lit("|")))
+
+
+@query("dim_overview", f"SELECT {_OVERVIEW} FROM {{qq}}")
+def dim_overview(s: Surrogate) -> DataFrame:
+    return R.dim_overview(_quality(s)).withColumn("notes", F.replace("notes", F.lit(" | "), F.lit("|")))
+
+
+@query("fact_suggestion", f"SELECT id, kind, source_term, target_term, confidence, status FROM ({_OLD})")
+def fact_suggestion(s: Surrogate) -> DataFrame:
+    return R.fact_suggestion(_old_queue(s)).select("id", "kind", "source_term", "target_term", "confidence", "status")
+
+
+@query("zero_result_view", "SELECT norm_query, searches, zero_result_rate FROM {qq} WHERE zero_result_rate > 0")
+def zero_result_view(s: Surrogate) -> DataFrame:
+    return R.zero_result_view(_quality(s)).select("norm_query", "searches", "zero_result_rate")
+
+
+@query("text_filter", "SELECT norm_query, searches FROM {qq} WHERE contains(lower(display_query), 're')")
+def text_filter(s: Surrogate) -> DataFrame:
+    return R.matching(_quality(s), "RE").select("norm_query", "searches")
+
+
+@query("sorted_nulls_last", "SELECT norm_query, dissatisfaction_rate FROM (SELECT norm_query, dissatisfaction_rate FROM {qq} ORDER BY dissatisfaction_rate DESC NULLS LAST, norm_query LIMIT 40)")
+def sorted_nulls_last(s: Surrogate) -> DataFrame:
+    return R.sorted_by(_quality(s), "dissatisfaction_rate").orderBy(F.desc_nulls_last("dissatisfaction_rate"), "norm_query").limit(40).select("norm_query", "dissatisfaction_rate")
+
+
+@query("similarity", "SELECT a.term AS a, b.term AS b, 1 - damerau_levenshtein(a.term, b.term) / CAST(greatest(length(a.term), length(b.term)) AS DOUBLE) AS similarity FROM {words} a JOIN (SELECT DISTINCT term FROM {vocab}) b ON abs(length(a.term) - length(b.term)) <= 2 AND damerau_levenshtein(a.term, b.term) <= 2")
+def similarity(s: Surrogate) -> DataFrame:
+    return edit_distance(s).select("a", "b", T.similarity("a", "b").alias("similarity"))
+
+
+@query("split_lines", "SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e]'), lambda x: trim(x)), lambda x: length(x) > 0)) AS lines FROM documents")
+def split_lines(s: Surrogate) -> DataFrame:
+    return s.table("documents").select("doc_id", F.size(T.split_lines("text")).cast("bigint").alias("lines"))
+
+
+@query("isolated_names", "SELECT p_partkey, concat(chr(8296), p_name, chr(8297)) AS shown, p_name AS plain FROM part")
+def isolated_names(s: Surrogate) -> DataFrame:
+    shown = T.isolate("p_name")
+    return s.table("part").select("p_partkey", shown.alias("shown"), T.strip_isolates(shown).alias("plain"))
+
+
+_LOGGED = "CASE l_returnflag WHEN 'A' THEN strftime(l_shipdate, '%Y-%m-%d') || ' 10:00:00' WHEN 'N' THEN strftime(l_shipdate, '%Y-%m-%d') || ' 10:00:00.5' END"
+
+
+@query("load_report", "SELECT 'product' AS \"table\", count(*) FILTER (p_size <= 45) AS emitted, count(*) FILTER (p_size > 45) AS skipped, CAST(count(*) FILTER (p_size > 48) AS BIGINT) AS no_id, CAST(count(*) FILTER (p_size > 45 AND p_size <= 48) AS BIGINT) AS bad_price FROM part")
+def load_report(s: Surrogate) -> DataFrame:
+    """Parts as dump rows, some without a number for an id and some with a price that is none."""
+    cell = F.when(F.col("p_size") > 48, F.lit("none")).otherwise(F.col("p_partkey").cast("string"))
+    price = F.when(F.col("p_size") > 45, F.lit("dear")).otherwise(F.col("p_retailprice").cast("string"))
+    null = F.lit(None).cast("string")
+    source = s.table("part").select(F.lit("catalog_product").alias("table"), F.array(cell, null, F.lit("sku"), null, null, F.lit("key"), price, null).alias("cols"))
+    report = I.build(source)[1].where("table = 'product'")
+    count = lambda why: F.coalesce(F.try_element_at("reasons", F.lit(why)), F.lit(0).cast("bigint"))
+    return report.select("table", "emitted", "skipped", count("no valid id").alias("no_id"), count("malformed price").alias("bad_price"))
+
+
+@query("language_codes", "SELECT lang, CASE lang WHEN 'en' THEN 'en' WHEN 'ar' THEN 'ar' END AS code, count(*) AS docs FROM documents GROUP BY 1, 2")
+def language_codes(s: Surrogate) -> DataFrame:
+    code = I.language_code(F.concat(F.lit("  "), F.upper("lang"), F.lit(" ")))
+    return s.table("documents").groupBy("lang", code.alias("code")).agg(F.count("*").alias("docs"))
+
+
+@query("parsed_times", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(epoch_us(CAST({_LOGGED} AS TIMESTAMP)) AS BIGINT) AS micros FROM lineitem")
+def parsed_times(s: Surrogate) -> DataFrame:
+    """Times with and without fractions; a bare date is none."""
+    day, flag = F.date_format("l_shipdate", "yyyy-MM-dd"), F.col("l_returnflag")
+    text = F.when(flag == "A", F.concat(day, F.lit(" 10:00:00"))).when(flag == "N", F.concat(day, F.lit(" 10:00:00.5"))).otherwise(day)
+    return s.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_micros(I.parse_time(text).cast("timestamp")).alias("micros"))
+
+
 @query("top_demand", "SELECT norm_query, searches FROM {rolled} ORDER BY searches DESC, norm_query LIMIT 15")
 def top_demand(s: Surrogate) -> DataFrame:
     return R.top_demand(s.log())

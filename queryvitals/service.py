@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,7 @@ class Service:
     def __init__(self, spark: SparkSession, settings: Settings):
         self.spark, self.settings = spark, settings
         self.store = Store(spark, settings.store)
+        self._shop: tuple[tuple, Shop] | None = None
 
     # Loading.
 
@@ -50,8 +51,12 @@ class Service:
     # Reading.
 
     def shop(self) -> Shop:
-        r = self.store.read
-        return Shop(r("product"), r("product_name"), r("product_category"), r("category_name"))
+        """The catalogue with its vocabulary and titles, derived once for each version of its tables."""
+        version = self.store.versions("product", "product_name", "product_category", "category_name")
+        if self._shop is None or self._shop[0] != version:
+            r = self.store.read
+            self._shop = (version, Shop(r("product"), r("product_name"), r("product_category"), r("category_name")).staged())
+        return self._shop[1]
 
     def events(self, since: str | None = None, until: str | None = None) -> DataFrame:
         return M.in_period(self.store.read("search_event"), since, until)
@@ -79,6 +84,11 @@ class Service:
     def queue(self) -> DataFrame:
         return self.store.read("suggestion")
 
+    def period(self, days: int | None) -> tuple[str | None, str | None]:
+        """The last ``days`` of the log, up to its newest search; no bounds for all of it."""
+        last = self.events().agg(F.max("occurred_at").alias("t")).first()["t"] if days else None
+        return (None, None) if last is None else (str(last - timedelta(days=days)), str(last))
+
     def planner(self) -> Planner:
         return Planner(self.events(), self.shop(), self.queue())
 

@@ -145,16 +145,84 @@ def test_api(service):
     assert api.handle(service, "POST", "/api/ask", {"question": "How healthy is search?"})["tool"] == "health"
 
 
+def test_api_says_what_it_refuses_and_describes_its_tools(service):
+    with pytest.raises(api.HttpError) as e:
+        api.handle(service, "GET", "/api/digest?format=pdf")
+    assert e.value.status == 422
+    tools = {t["name"]: t for t in api.handle(service, "GET", "/api/agent/tools")}
+    assert tools["detail"]["parameters"]["required"] == ["query"] and all(t["description"] for t in tools.values())
+    last, start = service.period(3)[1], service.period(3)[0]
+    within = api.handle(service, "GET", "/api/overview?days=3")["total_searches"]
+    assert within == service.events(start, last).count() < service.events().count() and service.period(None) == (None, None)
+
+
+def test_load_report_by_reason(spark):
+    from queryvitals.operators import ingest as I
+
+    rows = [("catalog_product", ["1", None, "s", None, None, "k", "2.5", None]), ("catalog_product", ["x", None, "s", None, None, "k", "2.5", None]), ("catalog_product", ["3", None, "s", None, None, "k", "dear", None]), ("catalog_productname", ["1", "name", "Klingon", "t", "1"])]
+    tables, report = I.build(spark.createDataFrame(rows, "table string, cols array<string>"))
+    found = {r["table"]: r for r in report.collect()}
+    assert (found["product"]["emitted"], found["product"]["skipped"]) == (1, 2)
+    assert found["product"]["reasons"] == {"no valid id": 1, "malformed price": 1} and found["product_name"]["reasons"] == {"no valid lang": 1}
+    assert tables["product"].count() == 1
+
+
+def test_store_keeps_unchanged_tables_and_loses_no_change(spark, tmp_path):
+    from queryvitals.schemas import TABLES
+    from queryvitals.sources.store import Store
+
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    row = lambda i: spark.createDataFrame([(str(i), "v")], TABLES["meta"])
+    a.write({"meta": row(1), "query_count": spark.createDataFrame([("q", "q", 1)], TABLES["query_count"])})
+    kept = a.versions("query_count")
+    b.write({"meta": row(2)})
+    assert a.version() == 2 and a.versions("query_count") == kept and a.meta() == {"2": "v"}
+    # Another writer takes the number between the look and the rename: its table must stay.
+    seen = iter([2, 3])
+    b.version = lambda: next(seen)
+    a.write({"category": spark.createDataFrame([(7, None)], TABLES["category"])})
+    b.write({"meta": row(3)})
+    assert a.version() == 4 and a.read("category").count() == 1 and a.meta() == {"3": "v"}
+    assert len(a.collect(1)) == 2 and a.meta() == {"3": "v"} and a.read("query_count").count() == 1
+
+
+def test_numbers_follow_the_order(spark):
+    from queryvitals.plans.stage import numbered
+
+    rows = numbered(spark.range(1000).repartition(7).selectExpr("id", "id % 10 AS g"), ["g", F.desc("id")], "n").orderBy("n").collect()
+    assert [r["n"] for r in rows] == list(range(1, 1001))
+    assert [(r["g"], r["id"]) for r in rows] == sorted(((i % 10, i) for i in range(1000)), key=lambda x: (x[0], -x[1]))
+
+
+def test_overlap_by_prefixes_finds_every_pair(spark):
+    import random
+
+    from queryvitals.operators import synonyms as Y
+
+    rng = random.Random(4)
+    sets = {f"q{i}": {p for p in range(30) if rng.random() < rng.choice([0.1, 0.3, 0.6])} | {99} for i in range(60)}
+    rows = spark.createDataFrame([(q, p) for q, ps in sets.items() for p in ps], "norm_query string, product_id bigint")
+    want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 2 and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.3}
+    assert {(r["source"], r["target"], r["shared"]) for r in Y.result_overlap(rows).collect()} == want
+
+
 def test_reports(service, tmp_path):
     assert cli.main(["--store", service.settings.store, "export-bi", str(tmp_path / "bi")], service.spark) == 0
     manifest = json.loads((tmp_path / "bi" / "manifest.json").read_text())
     assert {t["name"] for t in manifest["tables"]} == {"fact_search", "dim_query", "dim_term", "fact_daily", "fact_suggestion", "dim_overview"}
     raw = (tmp_path / "bi" / "fact_search.csv").read_bytes()
     assert raw.startswith(b"\xef\xbb\xbf") and b"\r\n" in raw and b"true" not in raw
+    from queryvitals.operators import reports as R
+
+    R.write_csv(service.events().limit(0), str(tmp_path / "none.csv"))
+    assert (tmp_path / "none.csv").read_bytes() == b"\xef\xbb\xbf(empty)\r\n"
     d = service.digest(3)
-    assert "| health_score |" in d["body_md"] and service.store.read("digest").count() == 1
+    assert "health stands at" in d["body_md"] and "| health_score |" in d["body_md"] and service.store.read("digest").count() == 1
     service.digest(3)
     assert service.store.read("digest").count() == 1
+    cli.site(service, str(tmp_path / "site"))
+    details = json.loads((tmp_path / "site" / "query-details.json").read_text(encoding="utf-8"))
+    assert len(details) == service.quality().count() and "results_en" in details[0]
 
 
 def test_cli(service, tmp_path, capsys):
