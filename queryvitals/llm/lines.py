@@ -12,8 +12,14 @@ and probes, for each length it may match, only the substrings at admissible plac
 Posts and probes meet packed, by hash bucket. Pairs whose byte parities differ in more than 2 * threshold classes
 cannot match and go before texts are fetched; the rest are verified with a banded bit-parallel edit distance.
 
-A chunk of text sends each distinct line once, so a line in a third of all documents is one entry a chunk. Pairs of a
-bucket are made in blocks of bounded size. Defined cases: null and empty texts have no lines; rows that share an id
+A chunk of text sends each distinct line once, so a line in a third of all documents is one entry a chunk.
+
+A segment that very many distinct lines share (a template with many fillings) makes no pairs. Its lines are dealt into
+blocks, each pair of blocks is the work of one task of bounded size, and a task verifies its lines itself and returns
+only those that an earlier one is near to, each once. The comparisons of such a segment still grow with the square of
+its distinct lines; parities of bytes and of neighbouring bytes drop most of them before the edit distance.
+
+Defined cases: null and empty texts have no lines; rows that share an id
 are judged each by their own text; documents without an id come last; empty lines stay; other columns are ignored.
 """
 
@@ -36,6 +42,9 @@ _CLASS_BIT = np.uint64(1) << (np.arange(256, dtype=np.uint64) % np.uint64(40))
 _KEY, _LINE_HASH, _PARITY = 6, 6, 5
 _LINE_MASK = np.uint64((1 << 8 * _LINE_HASH) - 1)
 PAIR_BLOCK = 1 << 20
+#: Pairs of lines that one segment may make in its bucket; beyond, its lines are compared in blocks of BLOCK_LINES.
+SEGMENT_PAIRS = 1 << 16
+BLOCK_LINES = 1024
 
 
 def segments(length: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +160,10 @@ def edit_distances(a: list[bytes], b: list[bytes], threshold: int) -> np.ndarray
 _PACK = "bucket int, probe boolean, keys binary, lines binary, parity binary"
 
 
-def candidate_pairs(texts: DataFrame, threshold: int, min_bytes: int, buckets: int, short_bytes: int | None = None) -> DataFrame:
-    """(a, b): short hashes of different lines, long enough for edits, that share a segment where it can count, and whose parities allow a match."""
+def candidate_pairs(texts: DataFrame, threshold: int, min_bytes: int, buckets: int, short_bytes: int | None = None, segment_pairs: int = SEGMENT_PAIRS) -> DataFrame:
+    """(a, b, crowd): short hashes of different lines, long enough for edits, that share a segment where it can count,
+    and whose parities allow a match. A segment with more than ``segment_pairs`` possible pairs gives a row for each of
+    its lines instead: the segment's key as ``a``, the line as ``b``, and ``crowd`` true."""
 
     def send(batches):
         for part in K.chunks(batches, "text"):
@@ -195,6 +206,13 @@ def candidate_pairs(texts: DataFrame, threshold: int, min_bytes: int, buckets: i
         (ik, il, ip), (pk, pl, pp) = sides
         lo, hi = np.searchsorted(ik, pk, "left"), np.searchsorted(ik, pk, "right")
         n = hi - lo
+        # Probes are sorted by key, so the lines of a segment are neighbours among them.
+        heads = np.flatnonzero(_groups(pk)) if len(pk) else np.zeros(0, np.int64)
+        probes = np.diff(np.append(heads, len(pk)))
+        crowded = np.repeat(n[heads] * probes > segment_pairs, probes) if len(pk) else np.zeros(0, bool)
+        bucket = np.uint64(table.column("bucket")[0].as_py())
+        crowd_key, crowd_line = K.mix(pk[crowded] * np.uint64(1 << 16) + bucket), pl[crowded]
+        n = np.where(crowded, 0, n)
         ends = np.cumsum(n)
         a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         at = 0
@@ -212,9 +230,10 @@ def candidate_pairs(texts: DataFrame, threshold: int, min_bytes: int, buckets: i
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = _groups(a, b) if len(a) else np.zeros(0, bool)
-        return pa.table({"a": pa.array(a[new].view(np.int64)), "b": pa.array(b[new].view(np.int64))})
+        a, b = np.concatenate([a[new], crowd_key]), np.concatenate([b[new], crowd_line])
+        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "crowd": pa.array(np.arange(len(a)) >= int(new.sum()))})
 
-    return texts.mapInArrow(send, _PACK).groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+    return texts.mapInArrow(send, _PACK).groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, crowd boolean").distinct()
 
 
 def line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -242,23 +261,85 @@ def line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "s", "left_semi").dropDuplicates(["s", "h1", "h2"])
 
 
-def near_lines(pairs: DataFrame, texts: DataFrame, threshold: int, min_bytes: int = 0) -> DataFrame:
+def near_lines(pairs: DataFrame, lines: DataFrame, threshold: int, min_bytes: int = 0) -> DataFrame:
     """(a1, a2, b1, b2): hashes of lines within the threshold, or within one edit if one is shorter than ``min_bytes``."""
-    lines = K.checkpoint(line_texts(texts, pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()))
     left = pairs.join(lines.select(F.col("s").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("x")), "a")
     both = left.join(lines.select(F.col("s").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("y")), "b").select("a1", "a2", "b1", "b2", "x", "y")
 
     def verify(batches):
         for part in K.chunks(batches, "x"):
             x, y = part.column(4).to_pylist(), part.column(5).to_pylist()
-            short = np.array([min(len(a), len(b)) < min_bytes for a, b in zip(x, y, strict=True)], bool)
-            ok = pa.array(edit_distances(x, y, threshold) <= np.where(short, min(1, threshold), threshold))
+            ok = pa.array(_within(x, y, threshold, min_bytes))
             yield pa.RecordBatch.from_arrays([part.column(i).filter(ok) for i in range(4)], names=["a1", "a2", "b1", "b2"])
 
     return both.mapInArrow(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
-def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, short_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _within(x: list[bytes], y: list[bytes], threshold: int, min_bytes: int) -> np.ndarray:
+    short = np.array([min(len(a), len(b)) < min_bytes for a, b in zip(x, y, strict=True)], bool)
+    return edit_distances(x, y, threshold) <= np.where(short, min(1, threshold), threshold)
+
+
+def _signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of the byte classes and of hashed pairs of neighbouring bytes. An edit changes two bits of the first at
+    most, and four of the second."""
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    ends = np.cumsum([len(x) for x in lines])
+    starts = np.concatenate([[0], ends[:-1]])
+    one = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(_CLASS_BIT[data])])
+    code = data[:-1].astype(np.uint64) << np.uint64(8) | data[1:]
+    two = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(np.uint64(1) << (K.mix(code) % np.uint64(64)))]) if len(data) > 1 else np.zeros(1, np.uint64)
+    last = np.maximum(ends - 1, starts)
+    return one[ends] ^ one[starts], two[last] ^ two[starts]
+
+
+def _late_in_blocks(line: list[bytes], order: np.ndarray, block: np.ndarray, threshold: int, min_bytes: int) -> np.ndarray:
+    """Which lines have an earlier one within the law, across the two blocks (or inside one)."""
+    one, two = _signatures(line)
+    size = np.array([len(x) for x in line])
+    late = np.zeros(len(line), bool)
+    across = len(np.unique(block)) > 1
+    for lo in range(0, len(line), 128):
+        own = np.arange(lo, min(lo + 128, len(line)))
+        ok = (order[None, :] < order[own, None]) & (np.abs(size[None, :] - size[own, None]) <= threshold)
+        if across:
+            ok &= block[None, :] != block[own, None]
+        ok &= np.bitwise_count(one[None, :] ^ one[own, None]) <= 2 * threshold
+        ok &= np.bitwise_count(two[None, :] ^ two[own, None]) <= 4 * threshold
+        who, other = np.nonzero(ok)
+        who = own[who]
+        # A line needs one witness: a few candidates of each line at a time, until it has one or none is left.
+        most = 4
+        while len(who):
+            rank = np.arange(len(who)) - np.repeat(np.flatnonzero(_groups(who)), np.diff(np.append(np.flatnonzero(_groups(who)), len(who))))
+            now = rank < most
+            x, y = [line[i] for i in who[now].tolist()], [line[i] for i in other[now].tolist()]
+            late[who[now][_within(x, y, threshold, min_bytes)]] = True
+            left = ~now & ~late[who]
+            who, other, most = who[left], other[left], most * 4
+    return late
+
+
+def late_in_crowds(crowds: DataFrame, lines: DataFrame, firsts: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
+    """(h1, h2) of lines in a crowd (a: its key, b: the line) that an earlier line of the crowd is near to."""
+    sizes = crowds.groupBy("a").agg(F.count("*").alias("m"))
+    dealt = crowds.join(sizes, "a").withColumn("n", F.ceil(F.col("m") / BLOCK_LINES).cast("int")).withColumn("me", F.pmod(F.xxhash64("b", "a"), F.col("n")).cast("int"))
+    dealt = dealt.select("a", "b", "me", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("you"))
+    dealt = dealt.select("a", "b", "me", F.least("me", "you").alias("i"), F.greatest("me", "you").alias("j"))
+    known = lines.join(firsts, ["h1", "h2"]).select(F.col("s").alias("b"), "h1", "h2", "line", F.col("f.k").alias("fk"), F.col("f.no").alias("fno"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        k, no = table.column("fk").to_numpy(), table.column("fno").to_numpy()
+        order = np.empty(len(k), np.int64)
+        by_place = np.lexsort((no, k))
+        order[by_place] = np.cumsum(_groups(k[by_place], no[by_place]))
+        late = pa.array(_late_in_blocks(table.column("line").to_pylist(), order, table.column("me").to_numpy(), threshold, min_bytes))
+        return pa.table({"h1": table.column("h1").filter(late), "h2": table.column("h2").filter(late)})
+
+    return dealt.join(known, "b").groupBy("a", "i", "j").applyInArrow(compare, "h1 bigint, h2 bigint")
+
+
+def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, short_bytes: int | None = None, segment_pairs: int = SEGMENT_PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_lines (non-empty), n_removed, kept_text (the other lines, as they were)."""
     if min_bytes < threshold + 1:
         raise ValueError("min_bytes must exceed threshold")
@@ -284,12 +365,16 @@ def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, short
     every = K.checkpoint(texts.mapInArrow(occur, "k bigint, th bigint, no int, h1 bigint, h2 bigint, again boolean"))
     occurrences = every.where("NOT again")
     firsts = K.checkpoint(occurrences.groupBy("h1", "h2").agg(F.min(F.struct("k", "no")).alias("f")))
-    pairs = K.checkpoint(candidate_pairs(texts, threshold, min_bytes, K.bucket_count(texts), short_bytes))
-    near = near_lines(pairs, texts, threshold, min_bytes)
+    found = K.checkpoint(candidate_pairs(texts, threshold, min_bytes, K.bucket_count(texts), short_bytes, segment_pairs))
+    pairs, crowds = found.where("NOT crowd").select("a", "b"), found.where("crowd").select("a", "b")
+    wanted = found.select(F.explode(F.when(F.col("crowd"), F.array("b")).otherwise(F.array("a", "b"))).alias("s")).distinct()
+    known = K.checkpoint(line_texts(texts, wanted))
+    near = near_lines(pairs, known, threshold, min_bytes)
     fa = firsts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("f").alias("fa"))
     fb = firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("f").alias("fb"))
     later = near.join(fa, ["a1", "a2"]).join(fb, ["b1", "b2"])
-    later = later.select(F.when(F.col("fa") > F.col("fb"), F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).otherwise(F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).alias("l")).select("l.*").distinct()
+    later = later.select(F.when(F.col("fa") > F.col("fb"), F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).otherwise(F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).alias("l")).select("l.*")
+    later = later.union(late_in_crowds(crowds, known, firsts, threshold, min_bytes)).distinct()
     judged = firsts.join(later.withColumn("late", F.lit(True)), ["h1", "h2"], "left")
     # Only contents that lose an occurrence: those near an earlier one, or with several occurrences.
     again = occurrences.join(judged, ["h1", "h2"]).where(F.col("late") | (F.struct("k", "no") != F.col("f")))
@@ -318,7 +403,7 @@ def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, short
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    kept = remove_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    kept = remove_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), short_bytes=16)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -326,7 +411,7 @@ OP7_SQL = r"""
 WITH raw AS (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS r FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 occ AS (SELECT doc_id, r, l FROM raw WHERE l <> ''),
 fst AS (SELECT l, min((doc_id, r)) AS f, strlen(l) AS n FROM occ GROUP BY l),
-late AS (SELECT DISTINCT b.l FROM fst a JOIN fst b ON a.f < b.f AND a.n >= 48 AND b.n >= 48 AND abs(a.n - b.n) <= 2 AND levenshtein(a.l, b.l) <= 2),
+late AS (SELECT DISTINCT b.l FROM fst a JOIN fst b ON a.f < b.f AND a.n >= 16 AND b.n >= 16 AND abs(a.n - b.n) <= 2 AND levenshtein(a.l, b.l) <= CASE WHEN least(a.n, b.n) >= 48 THEN 2 ELSE 1 END),
 gone AS (SELECT occ.doc_id, occ.r FROM occ JOIN fst ON occ.l = fst.l LEFT JOIN late ON late.l = occ.l WHERE late.l IS NOT NULL OR (occ.doc_id, occ.r) <> fst.f),
 kept AS (SELECT raw.doc_id, string_agg(l, chr(10) ORDER BY raw.r) AS t FROM raw LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.r = raw.r WHERE gone.r IS NULL GROUP BY raw.doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM occ GROUP BY doc_id), g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)

@@ -375,8 +375,40 @@ def test_short_lines(spark):
         return edit(texts[i], texts[j]) <= (2 if n >= 48 else 1 if n >= 16 else 0)
 
     want = [(i, any(late(i, j) for j in range(i))) for i in range(len(texts))]
-    got = sorted((r["doc_id"], r["n_removed"] == 1) for r in lines.remove_lines(X.frame(spark, rows), short_bytes=16).collect())
-    assert got == want
+    for segment_pairs in (lines.SEGMENT_PAIRS, 4):
+        got = sorted((r["doc_id"], r["n_removed"] == 1) for r in lines.remove_lines(X.frame(spark, rows), short_bytes=16, segment_pairs=segment_pairs).collect())
+        assert got == want
+
+
+def test_lines_of_one_template(spark, monkeypatch):
+    """A segment that all lines share makes no pairs; blocks find every line that an earlier one is near to."""
+    import random
+
+    rng = random.Random(31)
+    fillings = [f"{i:03d}" for i in range(150)] + [f"{rng.randrange(10**9):09d}" for _ in range(150)]
+    texts = [f"Licensed to customer {x} under the terms that follow below" for x in dict.fromkeys(fillings)]
+    rng.shuffle(texts)
+    rows = [(i, t, None, None, 0, 0, 0, None, None, None, None) for i, t in enumerate(texts)]
+    want = [any(abs(len(a) - len(b)) <= 2 and edit(a, b) <= 2 for a in texts[:i]) for i, b in enumerate(texts)]
+    assert True in want and False in want
+    monkeypatch.setattr(lines, "BLOCK_LINES", 64)
+    docs = X.frame(spark, rows)
+    pairs = lines.candidate_pairs(docs.select(F.col("doc_id").alias("k"), F.lit(0).cast("bigint").alias("th"), "text"), 2, 48, 4, segment_pairs=200)
+    assert pairs.count() < 20 * len(texts)
+    got = sorted((r["doc_id"], r["n_removed"] == 1) for r in lines.remove_lines(docs, segment_pairs=200).collect())
+    assert [g[1] for g in got] == want
+
+
+def test_many_rows_without_id_cost_what_ids_cost(spark):
+    """Places are keyed by (id, text): rows without an id, and equal rows, are judged as brute force judges them."""
+    rng = __import__("random").Random(17)
+    shared = X.prose(rng, 45)
+    texts = [X.prose(rng, 30) + "\n" + (shared if i % 3 else X.prose(rng, 40)) for i in range(60)]
+    rows = [(None, t, None, None, 0, 0, 0, None, None, None, None) for t in texts + texts[:20]]
+    got = substring.remove_repeats(X.frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in got), key=repr) == brute_substring(rows)
+    plan = substring.remove_repeats(X.frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in plan and ", th" in plan
 
 
 def test_decontaminate_in_blocks_of_items_needs_no_row_key(spark):
