@@ -98,7 +98,8 @@ class Filters:
             for i in range(len(self.languages)):
                 bit = masks.dtype.type(1 << (i % PLANE))
                 hits = np.add.reduceat((masks[i // PLANE] & bit) != 0, heads, dtype=np.int64)
-                out[some, i] = np.maximum(0, (hits - n[some] * self.false_rate[i]) / max(1 - self.false_rate[i], 1e-9))
+                # Rounded, so that what the correction leaves beyond a millionth of an n-gram breaks no tie.
+                out[some, i] = np.round(np.maximum(0, (hits - n[some] * self.false_rate[i]) / max(1 - self.false_rate[i], 1e-9)), 6)
         return out, n
 
 

@@ -411,7 +411,7 @@ OP7_SQL = r"""
 WITH raw AS (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS r FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 occ AS (SELECT doc_id, r, l FROM raw WHERE l <> ''),
 fst AS (SELECT l, min((doc_id, r)) AS f, strlen(l) AS n FROM occ GROUP BY l),
-late AS (SELECT DISTINCT b.l FROM fst a JOIN fst b ON a.f < b.f AND a.n >= 16 AND b.n >= 16 AND abs(a.n - b.n) <= 2 AND levenshtein(a.l, b.l) <= CASE WHEN least(a.n, b.n) >= 48 THEN 2 ELSE 1 END),
+late AS (SELECT DISTINCT b.l FROM (SELECT *, unnest(range(n - 2, n + 3)) AS m FROM fst WHERE n >= 16) a JOIN fst b ON b.n = a.m WHERE a.f < b.f AND b.n >= 16 AND levenshtein(a.l, b.l) <= CASE WHEN least(a.n, b.n) >= 48 THEN 2 ELSE 1 END),
 gone AS (SELECT occ.doc_id, occ.r FROM occ JOIN fst ON occ.l = fst.l LEFT JOIN late ON late.l = occ.l WHERE late.l IS NOT NULL OR (occ.doc_id, occ.r) <> fst.f),
 kept AS (SELECT raw.doc_id, string_agg(l, chr(10) ORDER BY raw.r) AS t FROM raw LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.r = raw.r WHERE gone.r IS NULL GROUP BY raw.doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM occ GROUP BY doc_id), g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)

@@ -268,3 +268,155 @@ def test_secret_candidates_of_a_value_full_of_marks():
     text = b"token=" * 200_000
     found = secrets.candidates(text, [], [i for i in range(5, len(text), 6)])
     assert found == [(6, len(text), 0)]
+
+
+def brute_mix(rows, weights=(5, 2, 1), most=3):
+    """Copies of each (id, source, text) row with distinct ids: targets by filling, then the start of the Pareto order."""
+    import hashlib
+
+    words = [len(WORD.findall(r[2] or "")) for r in rows]
+    total = Counter()
+    for r, n in zip(rows, words, strict=True):
+        total[r[1]] += n
+    names = sorted(total, key=lambda x: (x is None, x or ""))
+    weight = {x: weights[i % len(weights)] for i, x in enumerate(names)}
+    target, open_, left = {}, set(names), sum(words)
+    while open_:
+        share = {x: weight[x] * left / sum(weight[y] for y in open_) for x in open_}
+        full = {x for x in open_ if share[x] >= most * total[x]}
+        for x in full or open_:
+            target[x] = most * total[x] if full else share[x]
+        left -= sum(most * total[x] for x in full)
+        open_ = open_ - full if full else set()
+    copies = [0] * len(rows)
+    for x in names:
+        share = min(target[x] / total[x], most) if total[x] else 0
+        own = [i for i, r in enumerate(rows) if r[1] == x and words[i]]
+        whole, p = int(share), share - int(share)
+        want, order = target[x] - whole * sum(words[i] for i in own), []
+        for i in own:
+            copies[i] = whole
+            if p > 0:
+                u = (int(hashlib.md5(f"mix:{rows[i][0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                order.append(((u / (1 - u)) / (p / (1 - p)), rows[i][0], i))
+        upto = 0
+        for _, _, i in sorted(order):
+            upto += words[i]
+            copies[i] += upto - words[i] / 2 <= want
+    return copies
+
+
+def test_mix_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "source", "text").collect()]
+    got = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, [5, 2, 1]).collect()}
+    assert [got[r[0]] for r in rows] == brute_mix(rows)
+
+
+def test_shard_by_brute_force(spark):
+    """Buckets by the seeded hash, one after the other; in each, hash order and then a seeded Fisher-Yates shuffle."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for size in (sharding.BUCKET_BYTES, 20_000):
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(len((r["text"] or "").encode()) for r in docs.collect()) // size + 1)
+        by = defaultdict(list)
+        for r in docs.select("doc_id", F.xxhash64(F.lit(0), "doc_id", "text").alias("h")).collect():
+            by[r["h"] % buckets].append((r["h"], r["doc_id"]))
+        want, place = {}, 0
+        for b in sorted(by):
+            ordered = sorted(by[b])
+            for i in np.random.default_rng([0, b, 0]).permutation(np.arange(len(ordered))).tolist():
+                want[ordered[i][1]] = (place % 16, place // 16)
+                place += 1
+        got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(docs, 16, bucket_bytes=size).collect()}
+        assert got == want
+
+
+def test_shard_splits_a_bucket_of_equal_rows(spark):
+    rows = [(1, "same " * 60)] * 400 + [(i, "other") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sharding.shard(docs, 16, bucket_bytes=1_000).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert len(got) == len(rows) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
+def test_language_by_brute_force(spark):
+    """Exact sets of n-grams instead of filters, one text at a time."""
+    rows = X.documents()
+    fold = lambda t: re.sub(rb" +", b" ", bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in b" " + (t or "").encode() + b" "))
+    cut = lambda t: [f[i : i + 4] for f in [fold(t)] for i in range(len(f) - 3)]
+    labelled = [r for r in rows if r[0] is not None and r[1] is not None and r[2] is not None]
+    inventory = Counter(r[2] for r in labelled)
+    names = sorted(inventory, key=lambda x: (-inventory[x], x))
+    count = {x: Counter(g for r in labelled if r[2] == x for g in cut(r[1])) for x in names}
+    total = {x: sum(count[x].values()) for x in names}
+    top = {g: max(count[x][g] / total[x] for x in names) for x in names for g in count[x]}
+    has = {x: {g for g, n in count[x].items() if n >= 2 and n / total[x] >= 0.25 * top[g]} for x in names}
+    found = language.predict(X.frame(spark, rows), language.fit(X.frame(spark, rows))).collect()
+    for r in found:
+        grams = cut(r["text"])
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        share = [sum(g in has[x] for g in grams) / max(len(grams), 1) for x in names]
+        # Equal shares may differ by what the correction takes off.
+        assert share[names.index(r["lang_pred"])] >= max(share) - 1e-9 and abs(r["score"] - max(share)) < 1e-3
+
+
+def test_language_labels_beyond_the_bound_are_not_learned_and_names_may_clash(spark):
+    docs = spark.createDataFrame([(i, f"text number {i % 7} of a language", f"l{i % 5}", "own") for i in range(60)], "doc_id bigint, text string, lang string, lang_pred string")
+    filters = language.fit(docs, most_languages=2)
+    assert filters.languages == ["l0", "l1"]
+    got = language.predict(docs, filters)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and {r["lang_pred"] for r in got.collect()} <= {"l0", "l1"}
+
+
+def brute_statistics(text):
+    data = (text or "").encode()
+    if not data:
+        return [0.0] * classifier.STATS
+    out = []
+    for members in classifier._CLASSES:
+        share = sum(c in members for c in data) / len(data)
+        out += [share, share**0.5]
+    words, lines = data.split(), [x for x in data.split(b"\n") if x]
+    size = [len(w) for w in words]
+    mean = sum(size) / max(len(words), 1)
+    fives = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    unlike = lambda xs: 1 - len(set(xs)) / len(xs) if xs else 0.0
+    spread = max(sum(n * n for n in size) / max(len(words), 1) - mean**2, 0) ** 0.5
+    return out + [np.log1p(len(data)), np.log1p(len(words)), mean, spread, sum(n <= 3 for n in size) / max(len(words), 1), unlike(words), unlike(fives), unlike(lines), np.log1p(len(lines))]
+
+
+def test_classifier_by_brute_force(spark):
+    """Statistics word by word, ridge from all rows at once, isotonic rates by the max-min formula."""
+    import zlib
+
+    rng = np.random.default_rng(6)
+    texts = {i: X.documents()[int(rng.integers(0, 40))][1] + (" ##" if i % 3 == 0 else "") + f" {i}" for i in range(120)} | {500: None, 501: ""}
+    label = {i: float(i % 3 != 0) for i in range(100)}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([*((i, int(y)) for i, y in label.items()), (3, 1), (9_999, 1), (4, None)], "doc_id bigint, quality int")  # 3 has two labels: 0 counts
+    model = classifier.fit(docs, labels, "quality", features=32)
+    stats = {i: np.array(brute_statistics(t)) for i, t in texts.items()}
+    assert np.allclose(classifier.statistics(__import__("pyarrow").array(list(texts.values()))), np.array(list(stats.values())))
+    own = [i for i in label if fold[i] in (1, 2, 3)]
+    s = np.array([stats[i] for i in own])
+    scale = s.std(axis=0)
+    brute = classifier.Model(s.mean(axis=0), np.where(scale > 1e-9, scale, 1.0), 32)
+    z, y = brute.cosines(s), np.array([label[i] for i in own])
+    brute.weights = np.linalg.solve(z.T @ z + 1e-3 * len(own) / 32 * np.eye(33), z.T @ y)
+    held = sorted((float(brute.raw(stats[i][None, :])[0]), label[i]) for i in label if fold[i] == 4)
+    ys = [b for _, b in held]
+    rate = [max(min(np.mean(ys[i : j + 1]) for j in range(k, len(ys))) for i in range(k + 1)) for k in range(len(ys))]
+    got = {r["id"]: r["score"] for r in classifier.score(docs, model).collect()}
+    knots, levels = [], []
+    for value in sorted(set(np.round(rate, 12))):
+        block = [k for k in range(len(ys)) if abs(rate[k] - value) < 1e-9]
+        knots.append(np.mean([held[k][0] for k in block]))
+        levels.append((sum(ys[k] for k in block) + 0.5) / (len(block) + 1))
+    want = {i: float(np.interp(brute.raw(stats[i][None, :])[0], knots, np.maximum.accumulate(levels))) for i in texts}
+    assert np.allclose([got[i] for i in texts], [want[i] for i in texts], atol=1e-6)

@@ -1,8 +1,10 @@
 import re
+from collections import Counter
 
 import corpus_pipeline as P
 from tests.llm import fixtures as X
 from tests.llm.test_exact import brute_hits, brute_near
+from tests.llm.test_models import brute_mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +29,8 @@ def test_stages_keep_columns_and_decide(spark):
     hits = {r[0] for r in brute_hits([(r["doc_id"], r["text"]) for r in before], items) if r[2]}
     assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before} - hits
     before, after = rows["mix"]
-    assert {r["doc_id"] for r in after} <= {r["doc_id"] for r in before}
+    copies = brute_mix([(r["doc_id"], r["source"], r["text"]) for r in before])
+    assert Counter(r["doc_id"] for r in after) == {r["doc_id"]: n for r, n in zip(before, copies, strict=True) if n}
     before, after = rows["shard"]
     assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in before)
 
