@@ -26,17 +26,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with one id and text, which are one document, the row whose columns come first stays."""
     found = minhash.near_duplicates(docs)
-    keepers = found.where("keeper").select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("th").alias("__th"))
-    rows = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-1)), "__none": F.col("doc_id").isNull(), "__th": F.xxhash64("text")})
-    return rows.join(keepers, ["__id", "__none", "__th"], "left_semi").dropDuplicates(["__id", "__none", "__th"]).select(*docs.columns)
+    keepers = found.where("keeper").select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none"), "th").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("th"), row.alias("row"))
+    kept = rows.join(keepers, ["id", "none", "th"], "left_semi").groupBy("id", "none", "th").agg(F.min("row").alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    # The whole row travels as the index's document id, so nothing is joined back.
+    # The whole row is the index's document id, so nothing is joined back.
     whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = decontaminate.index_and_search(whole, items, id_col="row")
+    found = decontaminate.decontaminate(whole, items, id_col="row")
     return found.where(F.size("items") == 0).select("id.*")
 
 
