@@ -40,8 +40,9 @@ _LOWER[0x41:0x5B] += 32
 
 _rng = np.random.default_rng(20240229)
 _BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Places of a word with a table of their own; beyond, a table's number is mixed with the place.
-_PLACES = 64
+#: Places of a word with a table of their own; beyond, numbers are multiplied by one of the stretch of 64 places.
+_PLACE_BITS = 6
+_PLACES = 1 << _PLACE_BITS
 _TABLES = _rng.integers(0, 2**64, (2, _PLACES * 256), dtype=np.uint64)
 
 
@@ -136,19 +137,25 @@ class Words:
         #: Words of row r are first[r] to first[r + 1].
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
-        head = np.zeros(len(data), np.int32)
-        head[self.start] = self.start
-        place = np.arange(len(data), dtype=np.int32) - np.maximum.accumulate(head) if len(data) else head
-        self._far = np.flatnonzero(inside & (place >= _PLACES))
-        self._turn = (place[self._far] // _PLACES).astype(np.uint64) * _LENGTH
-        self._cell = ((place % _PLACES) << 8) | (_LOWER[data] if lower else data)
-        self._hash2 = None
+        # Places within the word, byte by byte; what stands between words belongs to none and is not summed.
+        self._cell = np.arange(len(data), dtype=np.int64)
+        if len(self.start):
+            self._cell[self.start[0] :] -= np.repeat(self.start, np.diff(np.append(self.start, len(data))))
+        longest = int((self.end - self.start).max()) if len(self.start) else 0
+        self._turn = np.minimum(self._cell >> _PLACE_BITS, longest >> _PLACE_BITS) if longest > _PLACES else None
+        self._cell &= _PLACES - 1
+        self._cell <<= 8
+        self._cell |= _LOWER[data] if lower else data
+        self._longest, self._hash2 = longest, None
         self.hash = self._hashes(0)
 
     def _hashes(self, table: int) -> np.ndarray:
-        values = _TABLES[table][self._cell]
-        if len(self._far):
-            values[self._far] = mix(values[self._far] + self._turn)
+        values = _TABLES[table].take(self._cell)
+        if self._turn is not None:
+            # Each further stretch of a long word has an odd random multiplier of its own.
+            turns = mix(np.arange((self._longest >> _PLACE_BITS) + 1, dtype=np.uint64) * _LENGTH + np.uint64(table)) | np.uint64(1)
+            turns[0] = 1
+            values *= turns.take(self._turn)
         sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values, out=sums[1:])
         return mix(sums[self.end] - sums[self.start] + (self.end - self.start).astype(np.uint64) * _LENGTH)

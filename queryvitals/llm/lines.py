@@ -236,28 +236,43 @@ def candidate_pairs(texts: DataFrame, threshold: int, min_bytes: int, buckets: i
     return texts.mapInArrow(send, _PACK).groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, crowd boolean").distinct()
 
 
-def line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, h1, h2, line) of the lines whose short hash is in ``wanted`` (column s); a fixed-size bitmap spares the shuffle of most others."""
-    key = F.pmod(F.col("s"), F.lit(BITMAP_BITS))
-    words = wanted.select(key.alias("k")).select(F.floor(F.col("k") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(k % 64 AS int))").alias("m"))
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the numbers ``k``, each below BITMAP_BITS."""
+    words = keys.select(F.floor(F.col("k") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(k % 64 AS int))").alias("m"))
     words = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
     bitmap[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
-    sent = texts.sparkSession.sparkContext.broadcast(bitmap)
+    return bitmap
+
+
+def _marked(bitmap: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return (bitmap[k >> 6] >> (k & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
+def line_texts(texts: DataFrame, wanted: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(s, h1, h2, line) of the lines whose short hash is in ``wanted`` (column s).
+
+    Texts are looked at only if they hold the first occurrence of such a line. Two bitmaps of fixed size, of these
+    texts and of the hashes, spare most work and shuffle; what they let through by chance the exact join drops.
+    """
+    homes = firsts.where("f IS NOT NULL").select(F.col("h1").bitwiseAND(F.lit(int(_LINE_MASK))).alias("s"), "f.k", "f.th").join(wanted, "s", "left_semi")
+    home = F.pmod(F.xxhash64("k", "th"), F.lit(BITMAP_BITS))
+    sent = texts.sparkSession.sparkContext.broadcast((_bitmap(homes.select(home.alias("k"))), _bitmap(wanted.select(F.pmod(F.col("s"), F.lit(BITMAP_BITS)).alias("k")))))
 
     def pick(batches):
-        for part in K.chunks(batches, "text"):
-            lines = _Lines(part.column(0))
-            short = (lines.h1 & _LINE_MASK).view(np.int64)
-            k = short % BITMAP_BITS
-            ok = np.flatnonzero((sent.value[k >> 6] >> (k & 63).astype(np.uint64)) & np.uint64(1))
-            _, unique = np.unique(np.stack([lines.h1[ok], lines.h2[ok]]), axis=1, return_index=True)
-            ok = ok[unique]
-            body = lines.words.data
-            out = [body[s : s + n].tobytes() for s, n in zip(lines.start[ok].tolist(), lines.size[ok].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(short[ok]), pa.array(lines.h1[ok].view(np.int64)), pa.array(lines.h2[ok].view(np.int64)), pa.array(out, pa.binary())], names=["s", "h1", "h2", "line"])
-
-    found = texts.select("text").mapInArrow(pick, "s bigint, h1 bigint, h2 bigint, line binary")
+        for batch in batches:
+            batch = batch.filter(pa.array(_marked(sent.value[0], batch.column(0).to_numpy())))
+            for part in K.chunks([batch], "text"):
+                lines = _Lines(part.column(1))
+                short = (lines.h1 & _LINE_MASK).view(np.int64)
+                ok = np.flatnonzero(_marked(sent.value[1], short % BITMAP_BITS))
+                _, unique = np.unique(np.stack([lines.h1[ok], lines.h2[ok]]), axis=1, return_index=True)
+                ok = ok[unique]
+                body = lines.words.data
+                out = [body[s : s + n].tobytes() for s, n in zip(lines.start[ok].tolist(), lines.size[ok].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(short[ok]), pa.array(lines.h1[ok].view(np.int64)), pa.array(lines.h2[ok].view(np.int64)), pa.array(out, pa.binary())], names=["s", "h1", "h2", "line"])
+
+    found = texts.select(home.alias("k"), "text").mapInArrow(pick, "s bigint, h1 bigint, h2 bigint, line binary")
     return found.join(wanted, "s", "left_semi").dropDuplicates(["s", "h1", "h2"])
 
 
@@ -364,20 +379,22 @@ def remove_lines(docs: DataFrame, threshold: int = 2, min_bytes: int = 48, short
 
     every = K.checkpoint(texts.mapInArrow(occur, "k bigint, th bigint, no int, h1 bigint, h2 bigint, again boolean"))
     occurrences = every.where("NOT again")
-    firsts = K.checkpoint(occurrences.groupBy("h1", "h2").agg(F.min(F.struct("k", "no")).alias("f")))
+    firsts = K.checkpoint(occurrences.groupBy("h1", "h2").agg(F.min(F.struct("k", "no", "th")).alias("f")))
     found = K.checkpoint(candidate_pairs(texts, threshold, min_bytes, K.bucket_count(texts), short_bytes, segment_pairs))
     pairs, crowds = found.where("NOT crowd").select("a", "b"), found.where("crowd").select("a", "b")
     wanted = found.select(F.explode(F.when(F.col("crowd"), F.array("b")).otherwise(F.array("a", "b"))).alias("s")).distinct()
-    known = K.checkpoint(line_texts(texts, wanted))
+    known = K.checkpoint(line_texts(texts, wanted, firsts))
     near = near_lines(pairs, known, threshold, min_bytes)
     fa = firsts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("f").alias("fa"))
     fb = firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("f").alias("fb"))
-    later = near.join(fa, ["a1", "a2"]).join(fb, ["b1", "b2"])
-    later = later.select(F.when(F.col("fa") > F.col("fb"), F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).otherwise(F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).alias("l")).select("l.*")
+    # Different lines at one place (of rows that share an id) are none the later.
+    place = lambda c: F.struct(f"{c}.k", f"{c}.no")
+    later = near.join(fa, ["a1", "a2"]).join(fb, ["b1", "b2"]).where(place("fa") != place("fb"))
+    later = later.select(F.when(place("fa") > place("fb"), F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).otherwise(F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).alias("l")).select("l.*")
     later = later.union(late_in_crowds(crowds, known, firsts, threshold, min_bytes)).distinct()
     judged = firsts.join(later.withColumn("late", F.lit(True)), ["h1", "h2"], "left")
     # Only contents that lose an occurrence: those near an earlier one, or with several occurrences.
-    again = occurrences.join(judged, ["h1", "h2"]).where(F.col("late") | (F.struct("k", "no") != F.col("f")))
+    again = occurrences.join(judged, ["h1", "h2"]).where(F.col("late") | (F.struct("k", "no") != place("f")))
     # By document and text, each line number once: rows without an id, and equal rows, are no hot key.
     removed = again.select("k", "th", "no").union(every.where("again").select("k", "th", "no")).groupBy("k", "th").agg(F.collect_set("no").alias("gone"))
 
