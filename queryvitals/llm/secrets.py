@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from queryvitals.llm import kernel as K
@@ -159,9 +159,16 @@ class Dictionary:
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 20_000) -> list[str]:
-    """The ``most`` frequent words of four to sixteen letters a to z, counted over all texts; a list of bounded size."""
+    """The most frequent words of four to sixteen letters a to z, counted over all texts: those at least as frequent as
+    the smallest count that no more than ``most`` words reach, and seen twice. Nothing else comes to the driver."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(rf"(?<![a-z0-9])[a-z]{{{SHORTEST},{LONGEST}}}(?![a-z0-9])"), F.lit(0))).alias("w"))
-    return [r["w"] for r in words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()]
+    counted = K.checkpoint(words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"))
+    # One row for each count that occurs.
+    reached = counted.groupBy("n").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy(F.desc("n"))))
+    cut = reached.where(F.col("upto") <= most).agg(F.min("n").alias("n")).first()["n"]
+    if cut is None:
+        return []
+    return [r["w"] for r in sorted(counted.where(F.col("n") >= cut).collect(), key=lambda r: (-r["n"], r["w"]))]
 
 
 def features(value: bytes, before: bytes, after: bytes, path: str, kind: int, dictionary: Dictionary) -> list[float]:
