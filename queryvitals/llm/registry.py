@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, for the driver's entry file."""
 
-from queryvitals.llm import classifier, decontaminate, language, lines, minhash, mixing, quality_rules, secrets, sharding, substring
+from queryvitals.llm import classifier, decontaminate, fim, language, lines, minhash, mixing, quality_rules, secrets, sharding, substring
 
 QUERIES = {
     "op6_secret_scan": secrets.op6_secret_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_near_dedup": minhash.op5_near_dedup,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_near_dedup": minhash.OP5_SQL,
     "op4_substring_dedup": substring.OP4_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
 }
