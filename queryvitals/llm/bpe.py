@@ -24,6 +24,8 @@ like the output are replaced. Null, unknown or broken ids decode to null; bytes
 from __future__ import annotations
 
 import base64
+import gc
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -42,6 +44,7 @@ MOST_TRANSITIONS = 1 << 19
 MOST_WORDS = 1 << 18
 #: Longer matches are not kept.
 LONG_WORD = 64
+_NEVER = 1 << 60
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -55,14 +58,30 @@ def _shared(docs: DataFrame, vocabulary: str) -> tuple:
     return docs.sparkSession.sparkContext.broadcast(ranks), zlib.crc32(repr(sorted(ranks.items())).encode())
 
 
-class _State:
-    __slots__ = ("next", "walks", "last", "final")
+class _Table:
+    """States and transitions made so far."""
 
-    def __init__(self, walks: tuple, last: int):
-        self.next: dict[int, tuple[_State, tuple]] = {}
-        self.walks, self.last = walks, last
-        #: What is left to emit if the input ends here: the one walk at the root has written it.
-        self.final = next((written for written, node in walks if node == 0), ())
+    __slots__ = ("walks", "last", "final", "number", "after", "certain")
+
+    def __init__(self):
+        #: Of each state the walks, longest first, the last token common to them, and what is left to emit if the input ends there.
+        self.walks: list[tuple] = []
+        self.last: list[int] = []
+        self.final: list[tuple] = []
+        self.number: dict[tuple, int] = {}
+        #: state << 8 | byte -> state after it << 1 | whether tokens are certain by then, which are in ``certain``.
+        self.after: dict[int, int] = {}
+        self.certain: dict[int, tuple] = {}
+        self.state(-1, (((), 0),))
+
+    def state(self, last: int, walks: tuple) -> int:
+        number = self.number.setdefault((last, walks), len(self.walks))
+        if number == len(self.walks):
+            self.walks.append(walks)
+            self.last.append(last)
+            # The one walk at the root is the shortest.
+            self.final.append(walks[-1][0])
+        return number
 
 
 class Transducer:
@@ -83,79 +102,107 @@ class Transducer:
                 if node == len(self._token):
                     self._token.append(-1)
             self._token[node] = rank
-        self._whole: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._restart()
-
-    def _restart(self) -> None:
-        self._states: dict[tuple, _State] = {}
-        self._made = 0
-        self.start = self._state(-1, (((), 0),))
-
-    def _state(self, last: int, walks: tuple) -> _State:
-        found = self._states.get((last, walks))
-        if found is None:
-            found = self._states[(last, walks)] = _State(walks, last)
-        return found
+        #: Nodes with children.
+        self._inner = {key >> 8 for key in self._child}
+        self._own: dict[int, tuple | None] = {}
+        self._pairs: dict[int, bool] = {}
+        self._table = _Table()
 
     def merged(self, data: bytes) -> list[bytes]:
         """What the merges make of some bytes, by their definition: the neighbours of lowest rank first, leftmost of equals."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            ranks = [self.ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == 1 << 60:
-                break
+        return self._history(data)[-1][1]
+
+    def _history(self, data: bytes) -> list[tuple[int, list[bytes]]]:
+        """The parts before each merge with the merge's rank, and what is left in the end."""
+        parts, out = [data[i : i + 1] for i in range(len(data))], []
+        while True:
+            ranks = [self.ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+            best = min(ranks, default=_NEVER)
+            out.append((best, parts))
+            if best == _NEVER:
+                return out
             i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+            parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+
+    def _edges(self, token: int) -> tuple | None:
+        """Ranks of a token's own merges in their order, and its first and last part before each; None if its bytes do not become it."""
+        if token not in self._own:
+            history = self._history(self.bytes_of[token])
+            reached = len(history[-1][1]) == 1
+            self._own[token] = ([r for r, _ in history], [p[0] for _, p in history], [p[-1] for _, p in history]) if reached else None
+        return self._own[token]
 
     def _may_follow(self, last: int, token: int) -> bool:
-        whole = self._whole.get(token)
-        if whole is None:
-            own = self.bytes_of[token]
-            whole = self._whole[token] = self.merged(own) == [own]
-        if last < 0 or not whole:
-            return whole
-        known = self._pairs.get((last, token))
-        if known is None:
-            a, b = self.bytes_of[last], self.bytes_of[token]
-            if len(self._pairs) >= self.most:
-                self._pairs.clear()
-            known = self._pairs[(last, token)] = self.merged(a + b) == [a, b]
-        return known
-
-    def _step(self, state: _State, byte: int) -> tuple[_State, tuple]:
-        """The state after one more byte, and the tokens that are certain by then."""
-        walks = []
-        for written, node in state.walks:
-            node = self._child.get(node << 8 | byte)
+        """Whether the merges leave two tokens side by side: both go through their own merges, lower rank first and the
+        left one first of equals, and at no time may the parts at the border be the next to merge."""
+        right = self._edges(token)
+        if last < 0 or right is None:
+            return right is not None
+        (ranks_a, _, edge_a), (ranks_b, edge_b, _) = self._edges(last), right
+        i = j = 0
+        while True:
+            across, a, b = self.ranks.get(edge_a[i] + edge_b[j], _NEVER), ranks_a[i], ranks_b[j]
+            if across < a and across <= b:
+                return False
+            if a == b == _NEVER:
+                return True
+            if a <= b:
+                i += 1
+            else:
+                j += 1
+
+    def _step(self, table: _Table, state: int, byte: int) -> None:
+        """Add the transition of a state with a byte to its table."""
+        child, token_at, inner, pairs, last = self._child, self._token, self._inner, self._pairs, table.last[state]
+        walks, root = [], None
+        for written, node in table.walks[state]:
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            walks.append((written, node))
-            token = self._token[node]
-            if token >= 0 and self._may_follow(written[-1] if written else state.last, token):
-                walks.append((written + (token,), 0))
-        common = 0
-        first = walks[0][0]
-        while all(len(w) > common and w[common] == first[common] for w, _ in walks) and common < len(first):
-            common += 1
-        emitted = first[:common]
-        left = tuple(sorted((w[common:], node) for w, node in walks))
-        if self._made >= self.most:
-            self._restart()
-        self._made += 1
-        after = self._state(emitted[-1] if emitted else state.last, left)
-        state.next[byte] = (after, emitted)
-        return after, emitted
+            token = token_at[node]
+            if token >= 0 and root is None:
+                before = written[-1] if written else last
+                known = pairs.get(before << 32 | token)
+                if known is None:
+                    if len(pairs) >= self.most:
+                        pairs.clear()
+                    known = pairs[before << 32 | token] = self._may_follow(before, token)
+                if known:
+                    root = (*written, token)
+            if node in inner:
+                walks.append((written, node))
+        walks.append((root, 0))
+        certain = walks[0][0]
+        if certain and len(walks) > 1:
+            common = 0
+            while common < len(certain) and all(len(w) > common and w[common] == certain[common] for w, _ in walks):
+                common += 1
+            certain = certain[:common]
+        if certain:
+            last = certain[-1]
+            walks = [(w[len(certain) :], node) for w, node in walks]
+            table.certain[state << 8 | byte] = certain
+        table.after[state << 8 | byte] = table.state(last, tuple(walks)) << 1 | bool(certain)
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Ids of one match, each as soon as it is certain."""
-        state = self.start
+        table, state = self._table, 0
         for byte in data:
-            state, emitted = state.next.get(byte) or self._step(state, byte)
-            yield from emitted
-        yield from state.final
+            key = state << 8 | byte
+            after = table.after.get(key)
+            if after is None:
+                if len(table.after) >= self.most:
+                    # A new table; who still reads by the old one keeps it until then.
+                    last, walks = table.last[state], table.walks[state]
+                    table = self._table = _Table()
+                    state = table.state(last, walks)
+                    key = state << 8 | byte
+                self._step(table, state, byte)
+                after = table.after[key]
+            if after & 1:
+                yield from table.certain[key]
+            state = after >> 1
+        yield from table.final[state]
 
     def encode(self, match: bytes) -> list[int]:
         """Ids of one match of the pattern."""
@@ -171,15 +218,20 @@ class Encoder:
 
         self.transducer = Transducer(ranks)
         self._matches = regex.compile(pattern)
+        #: Matches met lately, and those met before them that may come back.
         self._kept: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
 
     def _packed(self, word: str) -> bytes:
         found = self._kept.get(word)
         if found is None:
-            found = np.array(self.transducer.encode(word.encode()), "<u4").tobytes()
+            found = self._before.get(word)
+            if found is None:
+                ids = self.transducer.encode(word.encode())
+                found = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) <= LONG_WORD:
                 if len(self._kept) >= MOST_WORDS:
-                    self._kept.clear()
+                    self._before, self._kept = self._kept, {}
                 self._kept[word] = found
         return found
 
@@ -192,6 +244,16 @@ class Encoder:
             out += self._packed(m.group())
         return bytes(out)
 
+    def encode_all(self, texts: Iterable[str]) -> list[bytes]:
+        """The tables grow by many small objects that form no cycles, so Python's search for cycles waits meanwhile."""
+        searched = gc.isenabled()
+        gc.disable()
+        try:
+            return [self.encode(t) for t in texts]
+        finally:
+            if searched:
+                gc.enable()
+
 
 #: Fixed values, from the definition of UTF-8: for each lead byte, the following bytes that are wanted and the range of the first one.
 _LEADS = [(0x00, 0x7F, 0, 0, 0), (0xC2, 0xDF, 1, 0x80, 0xBF), (0xE0, 0xE0, 2, 0xA0, 0xBF), (0xE1, 0xEC, 2, 0x80, 0xBF), (0xED, 0xED, 2, 0x80, 0x9F), (0xEE, 0xEF, 2, 0x80, 0xBF), (0xF0, 0xF0, 3, 0x90, 0xBF), (0xF1, 0xF3, 3, 0x80, 0xBF), (0xF4, 0xF4, 3, 0x80, 0x8F)]
@@ -282,7 +344,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
 
     def kernel(column: pa.Array) -> pa.Array:
         encoder = _built(("encode", mark, pattern), lambda: Encoder(ranks.value, pattern))
-        return pa.array((encoder.encode(t.as_py() or "") for t in column), pa.binary(), size=len(column))
+        return pa.array(encoder.encode_all(t.as_py() or "" for t in column), pa.binary())
 
     return _with_column(docs, kernel, text_col, "ids", T.BinaryType())
 
@@ -302,7 +364,7 @@ def decode(docs: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "ids")
 
     def kernel(column: pa.Array) -> pa.Array:
         tokens = _built(("decode", mark), lambda: token_table(ranks.value))
-        return pa.array((text(x.as_py(), tokens) for x in column), pa.string(), size=len(column))
+        return pa.array([text(x.as_py(), tokens) for x in column], pa.string())
 
     return _with_column(docs, kernel, ids_col, "decoded", T.StringType())
 
