@@ -210,12 +210,12 @@ def small_batches(spark, size: int = 4 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def checkpoint(df):
-    """A reliable checkpoint in the folder of spark.checkpoint.dir. A local session without one gets a folder of its
-    own; on a cluster that is an error, since executors do not share a local folder."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The folder of this session's checkpoints, in that of spark.checkpoint.dir. A local session without one gets a
+    folder of its own; on a cluster that is an error, since executors do not share a local folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
@@ -223,4 +223,10 @@ def checkpoint(df):
 
             folder = tempfile.mkdtemp(prefix="queryvitals-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df):
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

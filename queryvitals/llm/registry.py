@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, for the driver's entry file."""
 
-from queryvitals.llm import bpe, classifier, decontaminate, fim, language, lines, minhash, mixing, quality_rules, secrets, sharding, substring
+from queryvitals.llm import bpe, classifier, decontaminate, fim, language, lexical, lines, minhash, mixing, quality_rules, secrets, sharding, substring
 
 QUERIES = {
     "op6_secret_scan": secrets.op6_secret_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_lexical_search": lexical.op12_lexical_search,
     "op13_byte_bpe": bpe.op13_byte_bpe,
 }
 
@@ -25,4 +26,5 @@ ORACLES = {
     "op4_substring_dedup": substring.OP4_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op11_fill_in_middle": fim.OP11_SQL,
+    "op12_lexical_search": lexical.OP12_SQL,
 }
