@@ -4,7 +4,7 @@ Units are runs of ASCII letters and single other characters. A text is matched i
 ``posexplode`` turns into rows; a window sums the pieces' lengths, so that every piece knows where it begins. The two cut
 requests of a document name unit ordinals; they are joined to the pieces that hold those units, only these are opened into
 single units, whose lengths are summed up to the cut, and an aggregate leaves both offsets of each document. The
-text itself is shuffled once, to meet its offsets; a piece's text travels only if a cut falls into it.
+text itself is shuffled once, to meet its offsets; of the units, numbers alone are shuffled.
 
 Documents are keyed by two hashes of (id, text); equal rows have equal cuts and share their offsets. Choices come from
 sha256 of ``<seed>:<id>``, so a rerun gives the same output.
@@ -51,25 +51,24 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, seed: int, plain: int,
 def offsets(planned: DataFrame, piece: int) -> DataFrame:
     """(__k1, __k2, __o1, __o2): code points before each cut of every document that is not plain."""
     key = ["__k1", "__k2"]
-    cut = planned.where(F.col("__form") != "plain").select(*key, "__t", "__lo", "__hi")
-    # A cut request names the last unit before the cut; a cut before the first unit asks for nothing.
-    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), (F.col(c) - 1).alias("unit")) for i, c in ((1, "__lo"), (2, "__hi"))]))
-    requests = cut.select(*key, asked.alias("r")).where("r.unit >= 0")
-    requests = requests.groupBy(*key, F.col("r.cut").alias("cut")).agg(F.max("r.unit").alias("unit")).withColumn("piece", F.floor(F.col("unit") / piece))
+    cut = planned.where(F.col("__form") != "plain").select(*key, "__t", "__lo", "__hi", F.monotonically_increasing_id().alias("row"))
     # Pieces: matches of ``piece`` units (the last one of fewer). Copies of a document stay apart by row until they are summed.
-    found = F.posexplode(F.regexp_extract_all("__t", F.lit(f"(?:{_UNIT}){{1,{piece}}}+"), F.lit(0))).alias("piece", "body")
-    rows = cut.withColumn("row", F.monotonically_increasing_id()).select(*key, "row", "__lo", "__hi", found)
-    wanted = (F.col("piece") == F.floor((F.col("__lo") - 1) / piece)) | (F.col("piece") == F.floor((F.col("__hi") - 1) / piece))
-    rows = rows.select(*key, "row", "piece", F.length("body").alias("chars"), F.when(wanted, F.col("body")).alias("body"))
+    matches = F.posexplode(F.regexp_extract_all("__t", F.lit(f"(?:{_UNIT}){{1,{piece}}}+"), F.lit(0))).alias("piece", "body")
     before = Window.partitionBy(*key, "row").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("start", F.coalesce(F.sum(F.col("chars").cast("bigint")).over(before), F.lit(0))).where(F.col("body").isNotNull())
-    placed = placed.groupBy(*key, "piece").agg(F.max("start").alias("start"), F.max("body").alias("body"))
-    opened = requests.join(placed, [*key, "piece"]).select(*key, "cut", "start", (F.col("unit") % piece).alias("last"), F.posexplode(F.regexp_extract_all("body", F.lit(_UNIT), F.lit(0))).alias("at", "unit"))
-    ends = opened.where(F.col("at") <= F.col("last")).groupBy(*key, "cut", "start").agg((F.col("start") + F.sum(F.length("unit"))).alias("end"))
-    return ends.groupBy(*key).agg(*[F.max(F.when(F.col("cut") == i, F.col("end"))).alias(f"__o{i}") for i in (1, 2)])
-
-
-def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, plain: int = 10, spm: int = 20, piece: int = 64) -> DataFrame:
+    placed = cut.select(*key, "row", matches).select(*key, "row", "piece", F.length("body").cast("bigint").alias("chars"))
+    placed = placed.withColumn("start", F.coalesce(F.sum("chars").over(before), F.lit(0))).groupBy(*key, "piece").agg(F.max("start").alias("start"))
+    # A cut request names the last unit before the cut; a cut before the first unit asks for nothing. The piece that
+    # holds that unit is opened where it was matched, and only the sum of its units up to it leaves the task.
+    asked = F.filter(F.array(*[F.struct(F.lit(i).alias("cut"), (F.col(c) - 1).alias("unit")) for i, c in ((1, "__lo"), (2, "__hi"))]), lambda r: (r["unit"] >= 0) & (F.floor(r["unit"] / piece) == F.col("piece")))
+    requests = cut.select(*key, "row", "__lo", "__hi", matches).select(*key, "row", "piece", "body", F.explode(asked).alias("r"))
+    opened = requests.select(*key, "row", "piece", "r.cut", (F.col("r.unit") % piece).alias("last"), F.posexplode(F.regexp_extract_all("body", F.lit(_UNIT), F.lit(0))).alias("at", "unit"))
+    within = opened.where(F.col("at") <= F.col("last")).groupBy(*key, "row", "piece", "cut").agg(F.sum(F.length("unit")).alias("chars"))
+    within = within.groupBy(*key, "piece", "cut").agg(F.max("chars").alias("chars"))
+    ends = within.join(placed, [*key, "piece"])
+    return ends.groupBy(*key).agg(*[F.max(F.when(F.col("cut") == i, F.col("start") + F.col("chars"))).alias(f"__o{i}") for i in (1, 2)])
+
+
+def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, plain: int = 10, spm: int = 20, piece: int = 256) -> DataFrame:
     """All columns of ``docs`` with n (units), form (plain, psm, spm), prefix_chars, middle_chars and output.
 
     ``plain`` percent of the documents stay as they are; of the others, ``spm`` percent begin with their suffix."""
