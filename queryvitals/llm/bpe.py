@@ -3,11 +3,12 @@
 A sequence of tokens is what the merges make of its bytes exactly if each token is reached by the merges of its own bytes
 and no merge would cross the border of any two neighbours, which is a question about these two tokens alone. So the
 encodings are the paths of a nondeterministic transducer: it walks the trie of the tokens and, where a token ends that
-may follow the last one, may write it and start at the root again. ``Transducer`` determinises it while it reads: a
-state is the set of walks still possible, each with the tokens that it has written and that are not yet common to all; what
-is common is emitted. Only one encoding ends at each byte, so states stay small, and as a walk is at most one token
-long, a token is emitted at most a bounded number of bytes behind the input, however long the input is. States and
-transitions are kept, up to a limit, after which the table starts anew.
+may follow the last one, may write it and start at the root again. ``Transducer`` determinises it while it reads: a state is
+the set of walks that are under way, named by the longest, as all others are its suffixes; transitions and the tokens that
+end in a state are made when first met. Only one encoding ends at each byte, so one token for each place is all that a
+walk's start must remember. What the encodings through all walks' starts have in common is certain and is emitted; as a
+walk is at most one token long, that is a bounded number of bytes behind the input, however long the input is. Which
+neighbours may stand side by side is found out once for each pair that is met, and kept, up to a limit.
 
 Decoding looks ids up and sends their bytes through an incremental UTF-8 automaton, which holds back the bytes of a
 character that has not ended yet: any cut of the ids gives the same text.
@@ -40,7 +41,7 @@ from queryvitals.llm import kernel as K
 #: Fixed value: the pattern of the vocabulary, as its publisher gives it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MOST_TRANSITIONS = 1 << 19
+MOST_PAIRS = 1 << 19
 MOST_WORDS = 1 << 18
 #: Longer matches are not kept.
 LONG_WORD = 64
@@ -58,55 +59,58 @@ def _shared(docs: DataFrame, vocabulary: str) -> tuple:
     return docs.sparkSession.sparkContext.broadcast(ranks), zlib.crc32(repr(sorted(ranks.items())).encode())
 
 
-class _Table:
-    """States and transitions made so far."""
-
-    __slots__ = ("walks", "last", "final", "number", "after", "certain")
-
-    def __init__(self):
-        #: Of each state the walks, longest first, the last token common to them, and what is left to emit if the input ends there.
-        self.walks: list[tuple] = []
-        self.last: list[int] = []
-        self.final: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        #: state << 8 | byte -> state after it << 1 | whether tokens are certain by then, which are in ``certain``.
-        self.after: dict[int, int] = {}
-        self.certain: dict[int, tuple] = {}
-        self.state(-1, (((), 0),))
-
-    def state(self, last: int, walks: tuple) -> int:
-        number = self.number.setdefault((last, walks), len(self.walks))
-        if number == len(self.walks):
-            self.walks.append(walks)
-            self.last.append(last)
-            # The one walk at the root is the shortest.
-            self.final.append(walks[-1][0])
-        return number
-
-
 class Transducer:
     """Bytes to token ids for one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = MOST_TRANSITIONS):
+    def __init__(self, ranks: dict[bytes, int], most: int = MOST_PAIRS):
         if not all(bytes([b]) in ranks for b in range(256)):
             raise ValueError("the vocabulary must hold every single byte")
         self.ranks, self.most = ranks, most
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        # The trie of the tokens: (node, byte) -> node, and the token that ends at a node.
+        # The trie of the tokens: (node, byte) -> node, and of each node its parent with the byte, its depth and the token that ends there.
         self._child: dict[int, int] = {}
-        self._token: list[int] = [-1]
+        self._above, self._depth, self._token = [0], [0], [-1]
         for token, rank in ranks.items():
             node = 0
             for b in token:
-                node = self._child.setdefault(node << 8 | b, len(self._token))
-                if node == len(self._token):
+                above = node << 8 | b
+                node = self._child.setdefault(above, len(self._above))
+                if node == len(self._above):
+                    self._above.append(above)
+                    self._depth.append(self._depth[above >> 8] + 1)
                     self._token.append(-1)
             self._token[node] = rank
-        #: Nodes with children.
         self._inner = {key >> 8 for key in self._child}
+        # Made when first needed: the state after a byte, the next shorter walk of a state, and the tokens that end in it.
+        self._after: dict[int, int] = {}
+        self._shorter: list[int | None] = [0, *[None] * (len(self._above) - 1)]
+        self._ends: list[tuple | None] = [(), *[None] * (len(self._above) - 1)]
         self._own: dict[int, tuple | None] = {}
         self._pairs: dict[int, bool] = {}
-        self._table = _Table()
+
+    def _next(self, state: int, byte: int) -> int:
+        """The state after one more byte: the longest walk of ``state`` that goes on with it."""
+        known = self._after.get(state << 8 | byte)
+        if known is None:
+            walk = state
+            while (known := self._child.get(walk << 8 | byte)) is None:
+                walk = self._shorter_of(walk)
+            self._after[state << 8 | byte] = known
+        return known
+
+    def _shorter_of(self, state: int) -> int:
+        if self._shorter[state] is None:
+            above, byte = self._above[state] >> 8, self._above[state] & 255
+            self._shorter[state] = self._next(self._shorter_of(above), byte) if above else 0
+        return self._shorter[state]
+
+    def _ends_of(self, state: int) -> tuple:
+        """(token, length) of the tokens that may end here, the longest first."""
+        if self._ends[state] is None:
+            token = self._token[state]
+            own = ((token, self._depth[state]),) if token >= 0 and self._edges(token) else ()
+            self._ends[state] = own + self._ends_of(self._shorter_of(state))
+        return self._ends[state]
 
     def merged(self, data: bytes) -> list[bytes]:
         """What the merges make of some bytes, by their definition: the neighbours of lowest rank first, leftmost of equals."""
@@ -135,10 +139,9 @@ class Transducer:
     def _may_follow(self, last: int, token: int) -> bool:
         """Whether the merges leave two tokens side by side: both go through their own merges, lower rank first and the
         left one first of equals, and at no time may the parts at the border be the next to merge."""
-        right = self._edges(token)
-        if last < 0 or right is None:
-            return right is not None
-        (ranks_a, _, edge_a), (ranks_b, edge_b, _) = self._edges(last), right
+        if last < 0:
+            return True
+        (ranks_a, _, edge_a), (ranks_b, edge_b, _) = self._edges(last), self._edges(token)
         i = j = 0
         while True:
             across, a, b = self.ranks.get(edge_a[i] + edge_b[j], _NEVER), ranks_a[i], ranks_b[j]
@@ -151,63 +154,62 @@ class Transducer:
             else:
                 j += 1
 
-    def _step(self, table: _Table, state: int, byte: int) -> None:
-        """Add the transition of a state with a byte to its table."""
-        child, token_at, inner, pairs, last = self._child, self._token, self._inner, self._pairs, table.last[state]
-        walks, root = [], None
-        for written, node in table.walks[state]:
-            node = child.get(node << 8 | byte)
-            if node is None:
-                continue
-            token = token_at[node]
-            if token >= 0 and root is None:
-                before = written[-1] if written else last
-                known = pairs.get(before << 32 | token)
+    def _read(self, state: int, data: bytes, last: list[int]) -> int:
+        """The state after some bytes. ``last`` holds the token that ends at each place so far, and grows by one a byte."""
+        after, ends, pairs = self._after, self._ends, self._pairs
+        for byte in data:
+            state = after.get(state << 8 | byte) or self._next(state, byte)
+            for token, length in ends[state] or self._ends_of(state):
+                pair = last[-length] << 32 | token
+                known = pairs.get(pair)
                 if known is None:
                     if len(pairs) >= self.most:
                         pairs.clear()
-                    known = pairs[before << 32 | token] = self._may_follow(before, token)
+                    known = pairs[pair] = self._may_follow(last[-length], token)
                 if known:
-                    root = (*written, token)
-            if node in inner:
-                walks.append((written, node))
-        walks.append((root, 0))
-        certain = walks[0][0]
-        if certain and len(walks) > 1:
-            common = 0
-            while common < len(certain) and all(len(w) > common and w[common] == certain[common] for w, _ in walks):
-                common += 1
-            certain = certain[:common]
-        if certain:
-            last = certain[-1]
-            walks = [(w[len(certain) :], node) for w, node in walks]
-            table.certain[state << 8 | byte] = certain
-        table.after[state << 8 | byte] = table.state(last, tuple(walks)) << 1 | bool(certain)
-
-    def stream(self, data: Iterable[int]) -> Iterator[int]:
-        """Ids of one match, each as soon as it is certain."""
-        table, state = self._table, 0
-        for byte in data:
-            key = state << 8 | byte
-            after = table.after.get(key)
-            if after is None:
-                if len(table.after) >= self.most:
-                    # A new table; who still reads by the old one keeps it until then.
-                    last, walks = table.last[state], table.walks[state]
-                    table = self._table = _Table()
-                    state = table.state(last, walks)
-                    key = state << 8 | byte
-                self._step(table, state, byte)
-                after = table.after[key]
-            if after & 1:
-                yield from table.certain[key]
-            state = after >> 1
-        yield from table.final[state]
-
-    def encode(self, match: bytes) -> list[int]:
+                    last.append(token)
+                    break
+        return state
+
+    def _path(self, place: int, last: list[int]) -> list[int]:
+        """Places from ``place`` back to 0, token by token."""
+        path = [place]
+        while place > 0:
+            place -= len(self.bytes_of[last[place]])
+            path.append(place)
+        return path
+
+    def stream(self, data: Iterable[bytes]) -> Iterator[list[int]]:
+        """Ids of one match that comes in parts, after each part as far as they are certain."""
+        state, last = 0, [-1]
+        for part in data:
+            state = self._read(state, part, last)
+            # Every encoding that is still possible goes through the start of one of the walks, or through this place.
+            common = self._path(len(last) - 1, last)
+            walk = state
+            while walk:
+                if walk in self._inner:
+                    other = set(self._path(len(last) - 1 - self._depth[walk], last))
+                    common = [place for place in common if place in other]
+                walk = self._shorter_of(walk)
+            yield [last[place] for place in reversed(common[:-1])]
+            del last[: common[0]]
+        yield [last[place] for place in reversed(self._path(len(last) - 1, last)[:-1])]
+
+    def encode(self, match: bytes, part: int = 256) -> list[int]:
         """Ids of one match of the pattern."""
         known = self.ranks.get(match)
-        return [known] if known is not None else list(self.stream(match))
+        if known is not None:
+            return [known]
+        if len(match) > part:
+            return [token for ids in self.stream(match[i : i + part] for i in range(0, len(match), part)) for token in ids]
+        last = [-1]
+        self._read(0, match, last)
+        out, place = [], len(match)
+        while place:
+            out.append(last[place])
+            place -= len(self.bytes_of[last[place]])
+        return out[::-1]
 
 
 class Encoder:
