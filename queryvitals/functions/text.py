@@ -1,12 +1,12 @@
 """Text folding and string similarity as native columns.
 
-``normalize`` stays in the JVM. Compatibility composition (NFKC) and full case folding, which no built-in function
-gives, are translations by tables that are made by rule from the Unicode data; only strings that hold a letter which
-they change are sent through them.
+``normalize`` stays in the JVM: compatibility composition and full case folding, which no built-in function gives, are
+methods of the Unicode library that Spark brings along, called through ``java_method``.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -28,75 +28,61 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-#: Code points that are looked at: the basic plane, and the blocks of mathematical, enclosed and compatibility letters.
-_BLOCKS = [(0x80, 0xD800), (0xE000, 0x10000), (0x1D400, 0x1D800), (0x1EE00, 0x1EF00), (0x1F100, 0x1F300), (0x2F800, 0x2FA20)]
+#: Dropped and folded letters all lie in this block, so texts without a letter of it are left alone.
+_ARABIC_BLOCK = "[\u0600-\u06ff]"
+_DROPPED_LETTERS = "".join(c for c in map(chr, range(0x600, 0x700)) if re.match(DROPPED, c))
 
 
-def _fold_tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
-    """Letters that become one letter, letters that become several, and pairs of letter and mark that become one, under
-    compatibility composition and full case folding."""
-    one, many, pairs = {}, {}, {}
-    for low, high in _BLOCKS:
-        for c in map(chr, range(low, high)):
-            composed = unicodedata.normalize("NFKC", c)
-            folded = composed if composed.lower() == composed.casefold() else composed.casefold()
-            if folded != c:
-                (one if len(folded) == 1 else many)[c] = folded
-            parts = unicodedata.decomposition(c).split()
-            if len(parts) == 2 and composed == c and unicodedata.combining(chr(int(parts[1], 16))):
-                pairs["".join(chr(int(x, 16)) for x in parts)] = folded
-    return one, many, pairs
-
-
-def _pattern(letters) -> str:
-    """A regular expression class of the letters, in ranges."""
-    out, codes = [], sorted(ord(c) for c in letters)
-    for x in codes:
+def _ranges(inside) -> str:
+    """The code points, in ranges of a regular expression's class."""
+    out: list[list[int]] = []
+    for x in filter(inside, range(0x80, 0x110000)):
         if out and out[-1][1] == x - 1:
             out[-1][1] = x
         else:
             out.append([x, x])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
 
 
-_ONE, _MANY, _PAIRS = _fold_tables()
-_MARK = _pattern({k[1] for k in _PAIRS})
-_MANY_PATTERN, _ODD = _pattern(_MANY), _pattern({*_ONE, *_MANY, *(k[1] for k in _PAIRS)})
+#: What is no letter, digit or underscore, within ASCII and at all. The runtime's classes may be older than the Unicode data at
+#: hand, whose ranges are looked at only for what these classes do not know.
+_ASCII_GAP = "[\\x00-/:-@\\[-^`{-\\x7f]+"
+_GAP = "[[^ 0-9A-Za-z_\\p{L}\\p{N}]&&[^" + _ranges(lambda x: chr(x).isalnum()) + "]]+"
 
 
-def _literal_map(table: dict[str, str]) -> Column:
-    return F.str_to_map(F.lit("\u0002".join(f"{k}\u0003{v}" for k, v in table.items())), F.lit("\u0002"), F.lit("\u0003"))
+def compose(text: Column | str) -> Column:
+    """Compatibility composition (NFKC), by the Unicode library that ships with Spark."""
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(_col(text), F.lit("")), F.lit(True))
 
 
-def compose(text: Column | str) -> Column:
-    """Compatibility composition and case folding of the letters that ``lower`` alone does not fold."""
-    t = F.translate(_col(text), "".join(_ONE), "".join(_ONE.values()))
-    letters = lambda x: F.split(x, "")
-    spread = F.array_join(F.transform(letters(t), lambda c: F.coalesce(_literal_map(_MANY)[c], c)), "")
-    t = F.when(t.rlike(_MANY_PATTERN), spread).otherwise(t)
+def casefold(text: Column | str) -> Column:
+    """Full case folding, which does not look at neighbours (``lower`` knows a final sigma)."""
+    return F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.coalesce(_col(text), F.lit("")), F.lit(True))
 
-    def joined(done, c):
-        last = F.right(done, F.lit(1))
-        pair = _literal_map(_PAIRS)[F.concat(last, c)]
-        return F.when(pair.isNotNull(), F.concat(F.substr(done, F.lit(1), F.length(done) - 1), pair)).otherwise(F.concat(done, c))
 
-    return F.when(t.rlike(_MARK), F.aggregate(letters(t), F.lit(""), joined)).otherwise(t)
+def fold_letters(text: Column) -> Column:
+    """Arabic marks dropped, letter forms and digits unified."""
+    return F.when(text.rlike(_ARABIC_BLOCK), F.translate(text, FOLDED_FROM + _DROPPED_LETTERS, FOLDED_TO)).otherwise(text)
 
 
 def normalize(text: Column | str) -> Column:
-    """Folded text: compatibility forms composed, marks dropped, letter forms and digits unified, lower case,
-    punctuation to blanks; null is ''."""
-    t = F.coalesce(_col(text), F.lit(""))
-    t = F.when(t.rlike(_ODD), compose(t)).otherwise(t)
-    t = F.regexp_replace(t, DROPPED, "")
-    t = F.translate(t, FOLDED_FROM, FOLDED_TO)
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    """Folded text: compatibility forms composed, marks dropped, letter forms and digits unified, case folded, punctuation
+    to blanks; null is ''. Linear in the text.
+
+    Spark takes calls of Java methods for nondeterministic, so it neither merges two equal ones nor moves filters past
+    them: fold once, where a row is loaded, and filter before. One-element arrays hold what is used twice."""
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    return once(casefold(once(compose(text), fold_letters)), _words_only)
+
+
+def _words_only(text: Column) -> Column:
+    t = F.regexp_replace(text, _ASCII_GAP, " ")
+    t = F.when(t.rlike("[^\\x00-\\x7f]"), F.regexp_replace(t, _GAP, " ")).otherwise(t)
+    return F.trim(F.regexp_replace(t, " {2,}", " "))
 
 
 def fold_string(text: str | None) -> str:
     """The same folding for one string on the driver."""
-    import re
-
     t = unicodedata.normalize("NFKC", text or "")
     t = re.sub(DROPPED, "", t).translate(str.maketrans(FOLDED_FROM, FOLDED_TO)).casefold()
     return " ".join(re.sub(r"[^\w\s]", " ", t).split())

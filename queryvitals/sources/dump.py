@@ -1,19 +1,25 @@
-"""A mysqldump file as a Spark data source: rows (table, cols), every value text or null.
+"""mysqldump files as a table: rows (table, cols), every value text or null.
 
-A dump's statements span lines and quotes, so a file cannot be split; each file is one partition, and statements of
-tables that are not asked for are passed over without being parsed. Parsing follows one published grammar: bare NULL
-is null, quoted values are text with backslash escapes, other values are trimmed text.
+Statements span lines, and whether a semicolon ends one depends on the quotes before it, back to the file's beginning. Still
+every file is read in ranges by as many tasks as Spark's text reader makes. A range is scanned from each of the three
+states in which it may begin (outside a statement, inside one, inside one and in quotes), which gives a function from
+state to state; composing these in the order of the ranges tells where each one really begins. Then the ranges are
+parsed side by side. A statement belongs to the range where it starts: one that ends in a later range is put together from the
+pieces, which are shuffled by owner. What the driver broadcasts is one small row for each range that it has planned.
+
+Statements of tables that are not asked for are passed over without being parsed. Parsing follows one published grammar:
+bare NULL is null, quoted values are text with backslash escapes, other values are trimmed text.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
 # What a backslash and a letter stand for; of any other letter, the letter itself.
 ESCAPES = {"0": "\0", "'": "'", '"': '"', "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a", "\\": "\\", "%": "\\%", "_": "\\_"}
@@ -42,7 +48,7 @@ def statements(lines: Iterator[str]) -> Iterator[str]:
 
 def _scan(line: str, open_quote: bool) -> tuple[bool, bool]:
     """Whether a quote is open after the line, and whether a statement ends in it."""
-    at = 0
+    at, stop = 0, -1
     while at < len(line):
         if open_quote:
             m = _INSIDE.match(line, at)
@@ -52,8 +58,10 @@ def _scan(line: str, open_quote: bool) -> tuple[bool, bool]:
             open_quote = False
             at += 1
         else:
-            quote, stop = line.find("'", at), line.find(";", at)
-            if stop >= 0 and (quote < 0 or stop < quote):
+            quote = line.find("'", at)
+            if stop < at:  # the one found last lies behind
+                stop = line.find(";", at) % (len(line) + 1)
+            if stop < len(line) and (quote < 0 or stop < quote):
                 return False, True
             if quote < 0:
                 return False, False
@@ -107,70 +115,157 @@ def rows(lines: Iterator[str], tables: set[str] | None) -> Iterator[tuple[str, l
                 yield head.group(1), row
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: States between two lines: outside a statement, inside one, inside one and in quotes.
+_OUTSIDE, _INSIDE_STATEMENT, _QUOTED = range(3)
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, tables: set[str] | None):
-        self.path, self.tables = path, tables
+def _after(state: int, line: str) -> int:
+    if state == _OUTSIDE and not line.startswith("INSERT INTO "):
+        return _OUTSIDE
+    open_quote, ended = _scan(line, state == _QUOTED)
+    return _OUTSIDE if ended else _QUOTED if open_quote else _INSIDE_STATEMENT
 
-    def partitions(self):
-        found = sorted(glob.glob(self.path)) if glob.has_magic(self.path) else sorted(glob.glob(os.path.join(self.path, "*.sql"))) if os.path.isdir(self.path) else [self.path]
-        return [_File(p) for p in found]
 
-    def read(self, partition):
-        with open(partition.path, encoding="utf-8", errors="replace", newline="") as lines:
-            yield from rows(lines, self.tables)
+def transitions(lines: Iterable[str]) -> list[tuple[int, bool]]:
+    """For each state before the lines: the state after them, and whether the statement that is open then began in them.
+    Runs that meet go on as one."""
+    runs = [(s, False) for s in range(3)]
+    for line in lines:
+        step = {s: _after(s, line) for s in {s for s, _ in runs}}
+        runs = [(step[s], step[s] != _OUTSIDE and (own or s == _OUTSIDE)) for s, own in runs]
+    return runs
 
 
-class DumpSource(DataSource):
-    """``spark.read.format("mysqldump").option("tables", "a,b").load(path)``; path is a file, a folder or a pattern."""
+def beginnings(ranges: list[tuple[int, list[tuple[int, bool]]]]) -> list[tuple[int, int, int | None]]:
+    """(range, state before it, range where the statement that is open then began) of one file's ranges, in order."""
+    state, owner, out = _OUTSIDE, None, []
+    for place, runs in sorted(ranges):
+        out.append((place, state, owner))
+        state, own = runs[state]
+        owner = None if state == _OUTSIDE else place if own else owner
+    return out
 
-    @classmethod
-    def name(cls) -> str:
-        return "mysqldump"
 
-    def schema(self) -> str:
-        return "table string, cols array<string>"
+def pieces(lines: Iterable[str], state: int) -> Iterator[tuple[str, list[str]]]:
+    """("head", lines) of a statement that began before, ("whole", lines) of each that begins and ends here, and
+    ("tail", lines) of one that does not end here."""
+    held: list[str] = []
+    kind = "head" if state != _OUTSIDE else "whole"
+    for line in lines:
+        before, state = state, _after(state, line)
+        if before == state == _OUTSIDE and not line.startswith("INSERT INTO "):
+            continue
+        held.append(line)
+        if state == _OUTSIDE:
+            yield kind, held
+            held, kind = [], "whole"
+    if held:
+        yield ("head" if kind == "head" else "tail"), held
 
-    def reader(self, schema):
-        tables = self.options.get("tables")
-        return _Reader(self.options["path"], set(tables.split(",")) if tables else None)
 
+_BREAK = re.compile(r"[^\r\n]*(?:\r\n?|\n)|[^\r\n]+")
 
-def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -> DataFrame:
-    """Rows of a dump that every executor can open at ``path``; a missing file is a FileNotFoundError. Paths of other
-    file systems than the local one are read by Spark, as ``read_dump_text`` does."""
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    elif "://" in path:
-        return read_dump_text(spark, path, tables)
-    if not glob.has_magic(path) and not os.path.exists(path):
-        raise FileNotFoundError(path)
-    spark.dataSource.register(DumpSource)
-    reader = spark.read.format("mysqldump")
-    if tables:
-        reader = reader.option("tables", ",".join(tables))
-    return reader.load(path)
-
-
-def read_dump_text(spark: SparkSession, path: str, tables: list[str] | None = None) -> DataFrame:
-    """The same rows for dumps in a store that only Spark reads: whole files as rows, parsed by the executors."""
-    wanted = set(tables) if tables else None
 
-    def parse(batches):
-        import io
+def _lines(values: Iterable[bytes]) -> Iterator[str]:
+    """Text lines with their ends; a carriage return ends one, too."""
+    for value in values:
+        text = value.decode("utf-8", "replace") + "\n"
+        if "\r" in text:
+            yield from _BREAK.findall(text)
+        else:
+            yield text
 
-        import pyarrow as pa
 
+def _by_range(batches) -> Iterator[tuple[tuple, Iterator[bytes]]]:
+    """The lines of each range of a task: the other columns' values, and the lines, which must be read before going on."""
+    from itertools import groupby
+
+    def each():
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                found = list(rows(io.StringIO(content.decode("utf-8", "replace"), newline=""), wanted))
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([c for _, c in found], pa.list_(pa.string()))], names=["table", "cols"])
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            yield from zip(zip(*columns[:-1], strict=True), columns[-1], strict=True)
+
+    for key, group in groupby(each(), key=lambda x: x[0]):
+        yield key, (value for _, value in group)
+
+
+def _batches(found: Iterator[tuple[str, list[str | None]]], most: int = 1 << 22):
+    """Rows as Arrow batches of about ``most`` characters."""
+    import pyarrow as pa
+
+    names, cols, size = [], [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cols, pa.list_(pa.string()))], names=["table", "cols"])
+    for table, row in found:
+        names.append(table)
+        cols.append(row)
+        size += 64 + sum(len(x or "") for x in row)
+        if size >= most:
+            yield batch()
+            names, cols, size = [], [], 0
+    if names:
+        yield batch()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "table string, cols array<string>")
+
+def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -> DataFrame:
+    """Rows of a dump: a file, a pattern or a folder (of ``*.sql`` files, on the local file system), in any store that
+    Spark reads. A missing path is a FileNotFoundError. ``spark.sql.files.maxPartitionBytes`` sets the ranges' size."""
+    import pyarrow as pa
+
+    wanted = set(tables) if tables else None
+    reader = spark.read.option("lineSep", "\n")
+    if os.path.isdir(path.removeprefix("file:")):
+        reader = reader.option("pathGlobFilter", "*.sql")
+    try:
+        text = reader.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from e
+        raise
+    text = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+
+    def scan(batches):
+        for (file, start), lines in _by_range(batches):
+            runs = transitions(_lines(lines))
+            yield pa.RecordBatch.from_pydict({"path": [file], "start": [start], "after": [[s for s, _ in runs]], "own": [[o for _, o in runs]]})
+
+    def compose(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        found = beginnings([(r["start"], list(zip(r["after"], r["own"], strict=True))) for r in rows])
+        start, state, owner = zip(*found, strict=True)
+        return pa.table({"path": [rows[0]["path"]] * len(rows), "start": pa.array(start, pa.int64()), "state": pa.array(state, pa.int32()), "owner": pa.array(owner, pa.int64())})
+
+    ranges = text.mapInArrow(scan, "path string, start bigint, after array<bigint>, own array<boolean>")
+    ranges = ranges.groupBy("path").applyInArrow(compose, "path string, start bigint, state int, owner bigint")
+    # One row for each range that the driver has planned; the lines keep their order.
+    known = text.join(F.broadcast(ranges), ["path", "start"]).select("path", "start", "state", "owner", "line")
+
+    def whole(batches):
+        def found():
+            for (_, _, state, _), lines in _by_range(batches):
+                for kind, held in pieces(_lines(lines), state):
+                    if kind == "whole":
+                        yield from rows(iter(held), wanted)
+
+        yield from _batches(found())
+
+    def cut(batches, most: int = 1 << 20):
+        for (file, start, state, owner), lines in _by_range(batches):
+            for kind, held in pieces(_lines(lines), state):
+                if kind == "whole":
+                    continue
+                piece = "".join(held)
+                parts = [piece[i : i + most] for i in range(0, len(piece), most)]
+                n = len(parts)
+                yield pa.RecordBatch.from_pydict({"path": [file] * n, "owner": pa.array([owner if kind == "head" else start] * n, pa.int64()), "start": pa.array([start] * n, pa.int64()), "part": pa.array(range(n), pa.int32()), "piece": parts})
+
+    def together(table: pa.Table) -> pa.Table:
+        text = "".join(table.sort_by([("start", "ascending"), ("part", "ascending")]).column("piece").to_pylist())
+        found = list(rows(iter(_BREAK.findall(text)), wanted))
+        return pa.table({"table": pa.array([t for t, _ in found], pa.string()), "cols": pa.array([c for _, c in found], pa.list_(pa.string()))})
+
+    schema = "table string, cols array<string>"
+    across = known.mapInArrow(cut, "path string, owner bigint, start bigint, part int, piece string").groupBy("path", "owner").applyInArrow(together, schema)
+    return known.mapInArrow(whole, schema).unionByName(across)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict, partition_column: str | None = None, lower: int = 0, upper: int = 0, partitions: int = 8) -> DataFrame:
