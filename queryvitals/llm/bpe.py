@@ -325,34 +325,36 @@ def _built(key: tuple, make):
     return _BUILT[key]
 
 
-def _with_column(docs: DataFrame, kernel, source: str, name: str, kind: T.DataType) -> DataFrame:
-    """``docs`` with a column computed by ``kernel(array) -> array`` from ``source``, in slices of bounded bytes."""
-    names = [c for c in docs.columns if c != name]
-    place = names.index(source)
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(name, kind)])
+def _with_columns(docs: DataFrame, made: list[tuple]) -> DataFrame:
+    """``docs`` with columns (kernel, source, name, type), each computed by ``kernel(array) -> array`` from an earlier
+    one, in one pass over slices of bounded bytes."""
+    names = [c for c in docs.columns if c not in {name for _, _, name, _ in made}]
+    schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(name, kind) for _, _, name, kind in made)])
+    first = made[0][1]
 
     def run(batches):
         for batch in batches:
-            for part in K.chunks([batch], batch.schema.names[place]):
-                yield pa.RecordBatch.from_arrays([*part.columns, kernel(part.column(place))], names=[*part.schema.names, name])
+            for part in K.chunks([batch.rename_columns(names)], first):
+                columns = dict(zip(names, part.columns, strict=True))
+                for kernel, source, name, _ in made:
+                    columns[name] = kernel(columns[source])
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     K.small_batches(docs.sparkSession)
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``ids``: binary, little-endian unsigned 32-bit integers."""
+def _encoding(docs: DataFrame, vocabulary: str, pattern: str, text_col: str) -> tuple:
     ranks, mark = _shared(docs, vocabulary)
 
     def kernel(column: pa.Array) -> pa.Array:
         encoder = _built(("encode", mark, pattern), lambda: Encoder(ranks.value, pattern))
         return pa.array(encoder.encode_all(t.as_py() or "" for t in column), pa.binary())
 
-    return _with_column(docs, kernel, text_col, "ids", T.BinaryType())
+    return kernel, text_col, "ids", T.BinaryType()
 
 
-def decode(docs: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "ids") -> DataFrame:
-    """All columns of ``docs`` with ``decoded``, the text of the ids."""
+def _decoding(docs: DataFrame, vocabulary: str, ids_col: str) -> tuple:
     ranks, mark = _shared(docs, vocabulary)
 
     def text(packed: bytes | None, tokens: list) -> str | None:
@@ -368,13 +370,27 @@ def decode(docs: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "ids")
         tokens = _built(("decode", mark), lambda: token_table(ranks.value))
         return pa.array([text(x.as_py(), tokens) for x in column], pa.string())
 
-    return _with_column(docs, kernel, ids_col, "decoded", T.StringType())
+    return kernel, ids_col, "decoded", T.StringType()
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``ids``: binary, little-endian unsigned 32-bit integers."""
+    return _with_columns(docs, [_encoding(docs, vocabulary, pattern, text_col)])
+
+
+def decode(docs: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "ids") -> DataFrame:
+    """All columns of ``docs`` with ``decoded``, the text of the ids."""
+    return _with_columns(docs, [_decoding(docs, vocabulary, ids_col)])
+
+
+def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass, so that a task has one Python worker and not two with their tables."""
+    return _with_columns(docs, [_encoding(docs, vocabulary, pattern, text_col), _decoding(docs, vocabulary, "ids")])
 
 
 def op13_byte_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ids = encode(docs).select("doc_id", "ids")
-    return decode(ids).select(
+    return round_trip(docs).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

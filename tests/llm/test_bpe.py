@@ -109,7 +109,9 @@ def test_documents(spark, both):
     vocabulary = next(v for v in VOCABULARIES if bpe.read_vocabulary(v) == dict(library._mergeable_ranks))
     made = bpe.decode(bpe.encode(X.frame(spark, rows), vocabulary), vocabulary).collect()
     assert sorted(((r["doc_id"], ids(r["ids"]), r["decoded"], r["k"]) for r in made), key=repr) == sorted(((r[0], library.encode_ordinary(r[1] or ""), r[1] or "", r[7]) for r in rows), key=repr)
-    assert bpe.decode(bpe.encode(X.empty(spark))).count() == 0
+    again = bpe.round_trip(X.frame(spark, rows), vocabulary).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, made), key=repr)
+    assert bpe.decode(bpe.encode(X.empty(spark))).count() == bpe.round_trip(X.empty(spark)).count() == 0
 
 
 def test_broken_ids(spark):
