@@ -33,6 +33,11 @@ _ARABIC_BLOCK = "[\u0600-\u06ff]"
 _DROPPED_LETTERS = "".join(c for c in map(chr, range(0x600, 0x700)) if re.match(DROPPED, c))
 
 
+def _once(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _ranges(inside) -> str:
     """The code points, in ranges of a regular expression's class."""
     out: list[list[int]] = []
@@ -71,8 +76,7 @@ def normalize(text: Column | str) -> Column:
 
     Spark takes calls of Java methods for nondeterministic, so it neither merges two equal ones nor moves filters past
     them: fold once, where a row is loaded, and filter before. One-element arrays hold what is used twice."""
-    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-    return once(casefold(once(compose(text), fold_letters)), _words_only)
+    return _once(casefold(_once(compose(text), fold_letters)), _words_only)
 
 
 def _words_only(text: Column) -> Column:
@@ -141,9 +145,58 @@ def _characters(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
+#: Characters of the shorter string that the bit vectors hold: their sums must stay below the sign bit of a long.
+OSA_BITS = 62
+
+
 def osa_distance(a: Column | str, b: Column | str) -> Column:
-    """Restricted Damerau-Levenshtein distance (neighbours may swap once), as one fold over the rows of the table."""
-    x, y = _characters(_col(a)), _characters(_col(b))
+    """Restricted Damerau-Levenshtein distance (neighbours may swap once).
+
+    The shorter string's characters are bits of a long, and one step for each character of the other one updates the
+    vertical differences of a whole column of the table, transpositions included. Where both strings have more than
+    ``OSA_BITS`` characters, the table is folded row by row instead."""
+    x, y = _col(a), _col(b)
+    swap = F.length(x) > F.length(y)
+    short, long_ = F.when(swap, y).otherwise(x), F.when(swap, x).otherwise(y)
+    m = F.length(short)
+    return F.when(m == 0, F.length(long_)).when(m <= OSA_BITS, _osa_by_bits(short, long_, m)).when(m > OSA_BITS, _osa_by_rows(short, long_))
+
+
+def _osa_by_bits(short: Column, long_: Column, m: Column) -> Column:
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    bit = lambda i: F.call_function("shiftleft", one, i)
+    # For each character of the longer string, the places where the shorter one has it.
+    place = lambda c, s, d: F.struct(F.when(d == c, s["mask"].bitwiseOR(s["bit"])).otherwise(s["mask"]).alias("mask"), F.shiftleft(s["bit"], 1).alias("bit"))
+    places = lambda c, t: F.aggregate(t["short"], F.struct(zero.alias("mask"), one.alias("bit")), lambda s, d: place(c, s, d), lambda s: s["mask"])
+    masks = _once(F.struct(_characters(short).alias("short"), _characters(long_).alias("long")), lambda t: F.transform(t["long"], lambda c: places(c, t)))
+    full = bit(m) - 1
+    start = F.struct(full.alias("vp"), zero.alias("vn"), zero.alias("d"), zero.alias("pm"), m.alias("n"), full.alias("full"), bit(m - 1).alias("top"))
+
+    def crossed(s, pm):
+        """Which diagonal steps cost nothing, swaps included."""
+        swapped = F.shiftleft(F.bitwise_not(s["d"]).bitwiseAND(pm), 1).bitwiseAND(s["pm"])
+        d = (pm.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(pm).bitwiseOR(s["vn"]).bitwiseOR(swapped)
+        return F.struct(s.alias("s"), d.bitwiseAND(s["full"]).alias("d"))
+
+    def across(t):
+        """Where the table rises and falls along the row."""
+        s, d = t["s"], t["d"]
+        rises = s["vn"].bitwiseOR(F.bitwise_not(d.bitwiseOR(s["vp"])).bitwiseAND(s["full"]))
+        falls = d.bitwiseAND(s["vp"])
+        n = s["n"] + F.when(rises.bitwiseAND(s["top"]) != 0, 1).when(falls.bitwiseAND(s["top"]) != 0, -1).otherwise(0)
+        return F.struct(s["full"].alias("full"), s["top"].alias("top"), d.alias("d"), n.alias("n"), F.shiftleft(rises, 1).bitwiseOR(one).alias("rises"), F.shiftleft(falls, 1).alias("falls"))
+
+    def down(t, pm):
+        """Where it rises and falls along the next column."""
+        full = t["full"]
+        vp = t["falls"].bitwiseOR(F.bitwise_not(t["d"].bitwiseOR(t["rises"]))).bitwiseAND(full)
+        return F.struct(vp.alias("vp"), t["rises"].bitwiseAND(t["d"]).alias("vn"), t["d"].alias("d"), pm.alias("pm"), t["n"].alias("n"), full.alias("full"), t["top"].alias("top"))
+
+    return F.aggregate(masks, start, lambda s, pm: _once(_once(crossed(s, pm), across), lambda t: down(t, pm)), lambda s: s["n"])
+
+
+def _osa_by_rows(short: Column, long_: Column) -> Column:
+    x, y = _characters(short), _characters(long_)
     n = F.size(y)
     row0 = F.sequence(F.lit(0), n)
     start = F.struct(row0.alias("back"), row0.alias("last"), F.lit("").alias("seen"))
