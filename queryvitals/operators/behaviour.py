@@ -10,30 +10,43 @@ from queryvitals.functions import text as T
 REWORD_SECONDS = 300
 RAPID_SECONDS = 2.0
 TYPO_DISTANCE = 2
+#: Width of the time buckets in which followers are looked for.
+BUCKET_SECONDS = 900
 
 
-def follow_ups(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def follow_ups(events: DataFrame, by: tuple[str, ...] = (), bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """``events`` with follow_up, reformulation, next_norm_query, seconds_to_next, results_unchanged, rapid_repeat, dissatisfied.
 
     A period filter belongs before this: the last search of a cut has no follower. ``by`` adds keys that cut sessions
     further (a calendar day), which scores all periods in one pass.
+
+    Searches without a session are one session, which may hold most of the log. So windows run inside buckets of time;
+    the last search of a bucket is followed by the first one of the session's next bucket, and only sessions that
+    have several buckets need to look there. No task has more of a session than ``bucket_seconds`` of it.
     """
-    w = Window.partitionBy(*by, F.coalesce("session_id", F.lit("s0000"))).orderBy("occurred_at", "id")
-    nxt = lambda c: F.lead(c).over(w)
-    out = events.withColumn("next_norm_query", nxt("norm_query")).withColumn("_at", nxt("occurred_at")).withColumn("_sig", nxt("result_signature"))
-    gap = (F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col("occurred_at").cast("timestamp"))) / 1e6
+    key = [*by, "_session"]
+    moment = F.unix_micros(F.col("occurred_at").cast("timestamp"))
+    rows = events.withColumn("_session", F.coalesce("session_id", F.lit("s0000"))).withColumn("_bucket", F.floor(moment / (bucket_seconds * 1_000_000)))
+    shown = F.struct(F.col("occurred_at").alias("at"), F.col("norm_query").alias("query"), F.col("result_signature").alias("signature"))
+    firsts = rows.groupBy(*key, "_bucket").agg(F.min_by(shown, F.struct("occurred_at", "id")).alias("_first"))
+    later = firsts.withColumn("_later", F.lead("_first").over(Window.partitionBy(*key).orderBy("_bucket"))).where(F.col("_later").isNotNull()).drop("_first")
+    inside = Window.partitionBy(*key, "_bucket").orderBy("occurred_at", "id")
+    out = rows.withColumn("_next", F.lead(shown).over(inside))
+    out = out.join(later, [*key, "_bucket"], "left").withColumn("_next", F.coalesce("_next", "_later")).withColumn("next_norm_query", F.col("_next.query"))
+    gap = (F.unix_micros(F.col("_next.at").cast("timestamp")) - moment) / 1e6
     out = out.withColumn("seconds_to_next", gap)
     follow = (
-        F.when(F.col("_at").isNull(), "none")
+        F.when(F.col("_next").isNull(), "none")
         .when(F.col("seconds_to_next") > REWORD_SECONDS, "new_intent")
         .when(F.col("next_norm_query") == F.col("norm_query"), "repeat")
         .otherwise("reformulation")
     )
     out = out.withColumn("follow_up", follow)
-    out = out.withColumn("results_unchanged", F.coalesce(F.col("_sig") == F.col("result_signature"), F.lit(False)))
+    out = out.withColumn("results_unchanged", F.coalesce(F.col("_next.signature") == F.col("result_signature"), F.lit(False)))
     out = out.withColumn("rapid_repeat", (F.col("follow_up") == "repeat") & F.col("results_unchanged") & (F.col("seconds_to_next") < RAPID_SECONDS))
     out = out.withColumn("dissatisfied", ~F.col("rapid_repeat") & F.col("follow_up").isin("repeat", "reformulation"))
-    return out.withColumn("rapid_repeat", F.coalesce("rapid_repeat", F.lit(False))).drop("_at", "_sig")
+    names = [*events.columns, "next_norm_query", "seconds_to_next", "follow_up", "results_unchanged", "rapid_repeat", "dissatisfied"]
+    return out.withColumn("rapid_repeat", F.coalesce("rapid_repeat", F.lit(False))).select(*dict.fromkeys(names))
 
 
 def reformulation_kinds(followed: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +18,35 @@ PROBLEM = 0.30
 AUTOMATED = 0.02
 
 
+def _moment(text: str) -> datetime | None:
+    """The time that a full date or timestamp names; None for other text, which is compared as text only."""
+    try:
+        return datetime.strptime(text, "%Y-%m-%d %H:%M:%S" if len(text) == 19 else "%Y-%m-%d") if len(text) in (10, 19) else None
+    except ValueError:
+        return None
+
+
 def in_period(events: DataFrame, since: str | None = None, until: str | None = None, inclusive_day: bool = False) -> DataFrame:
     """Searches between two text bounds, both included, compared as text: a bare date as ``until`` ends at its first
-    second, unless ``inclusive_day`` extends it to its last. Only bounds on the plain column reach the scan, so full
-    timestamps are also compared as such."""
+    second, unless ``inclusive_day`` extends it to its last. What follows from a bound for the plain time is added, since it
+    reaches the files' statistics, and what follows for the day, if ``events`` still has the store's partitions."""
     stamp = F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss")
+    day = F.col("day").cast("string") if "day" in events.columns else None
+    if until and inclusive_day and len(until) == 10:
+        until = f"{until} 23:59:59"
     out = events
     if since:
-        out = out.where(stamp >= since).where(F.col("occurred_at") >= F.try_to_timestamp(F.lit(since)).cast("timestamp_ntz")) if len(since) in (10, 19) else out.where(stamp >= since)
+        if day is not None:
+            out = out.where(day >= since[:10])
+        if _moment(since):
+            out = out.where(F.col("occurred_at") >= F.lit(str(_moment(since))).cast("timestamp_ntz"))
+        out = out.where(stamp >= since)
     if until:
-        if inclusive_day and len(until) == 10:
-            until = f"{until} 23:59:59"
+        if day is not None:
+            out = out.where(day <= until[:10])
+        if _moment(until):
+            # The text has whole seconds, so the time may be up to a second later.
+            out = out.where(F.col("occurred_at") < F.lit(str(_moment(until) + timedelta(seconds=1))).cast("timestamp_ntz"))
         out = out.where(stamp <= until)
     return out
 

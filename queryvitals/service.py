@@ -59,7 +59,8 @@ class Service:
         return self._shop[1]
 
     def events(self, since: str | None = None, until: str | None = None) -> DataFrame:
-        return M.in_period(self.store.read("search_event"), since, until)
+        """The log, without the days by which the store keeps it."""
+        return M.in_period(self.store.read("search_event"), since, until).drop("day")
 
     def quality(self, since: str | None = None, until: str | None = None) -> DataFrame:
         return M.query_quality(self.events(since, until), self.shop(), self.settings.result_cap)
