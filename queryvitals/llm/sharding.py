@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from queryvitals.llm import kernel as K
 
@@ -29,12 +30,13 @@ BUCKET_BYTES = 16 << 20
 def shard(docs: DataFrame, shards: int = 16, seed: int = 0, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with shard (int) and slot (long), shuffled."""
     names = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__h"), F.monotonically_increasing_id().alias("__row"))
+    # The row travels as one column, so that no name can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__of"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("__h"), F.monotonically_increasing_id().alias("__row"), (F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0)) + 64).alias("__size"))
     buckets = K.bucket_count(docs, bucket_bytes, text_col)
     rows = rows.withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
     # Sizes of the buckets; the few that are far too large get sub-buckets by row number.
-    weight = F.coalesce(F.octet_length(text_col), F.lit(0)) + 64
-    sizes = K.checkpoint(rows.groupBy("__bucket").agg(F.count("*").alias("__n"), F.sum(weight).alias("__bytes")))
+    sizes = K.checkpoint(rows.groupBy("__bucket").agg(F.count("*").alias("__n"), F.sum("__size").alias("__bytes")))
+    rows = rows.drop("__size")
     large = {r["__bucket"]: int(r["__bytes"] // (8 * bucket_bytes)) + 1 for r in sizes.where(F.col("__bytes") > 8 * bucket_bytes).collect()}
     if large:
         # Written once: the row numbers that split a bucket must be those that are counted.
@@ -52,19 +54,18 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0, bucket_bytes: int =
     inside = Window.partitionBy(run).orderBy("__bucket", "__part")
     starts = sizes.withColumn("__run", run).withColumn("__in", F.sum("__n").over(inside) - F.col("__n"))
     starts = K.checkpoint(starts.join(runs, "__run").select("__bucket", "__part", (F.col("__base") + F.col("__in")).alias("__start")))
-    schema = rows.select(*names).schema
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def permute(table: pa.Table) -> pa.Table:
         bucket, part, start = (table.column(c)[0].as_py() for c in ("__bucket", "__part", "__start"))
         order = pc.sort_indices(table, sort_keys=[("__h", "ascending"), ("__row", "ascending")]).to_numpy()
         order = np.random.default_rng([seed, bucket, part]).permutation(order)  # Fisher-Yates
         place = start + np.arange(len(order))
-        out = table.select(names).take(pa.array(order))
-        return out.append_column("shard", pa.array((place % shards).astype(np.int32))).append_column("slot", pa.array(place // shards))
+        kept = table.column("__of").take(pa.array(order)).combine_chunks()
+        return pa.table([*kept.flatten(), pa.array((place % shards).astype(np.int32)), pa.array(place // shards)], names=[*names, "shard", "slot"])
 
     joined = rows.join(F.broadcast(starts), ["__bucket", "__part"]) if buckets <= 1 << 16 else rows.join(starts, ["__bucket", "__part"])
-    return joined.groupBy("__bucket", "__part").applyInArrow(permute, f"{fields}, shard int, slot bigint")
+    return joined.groupBy("__bucket", "__part").applyInArrow(permute, schema)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
