@@ -51,10 +51,11 @@ def water_fill(sizes: DataFrame, weights: list[int], most: int = 3) -> DataFrame
     everything = Window.partitionBy(F.lit(0))
     ranked = ranked.withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0)))
     ranked = ranked.withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    ranked = ranked.withColumn("full", F.col("limit") * F.col("w_left") <= F.col("w") * F.col("left"))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  products of two longs
+    ranked = ranked.withColumn("full", wide("limit") * wide("w_left") <= wide("w") * wide("left"))
     rest = F.sum("source_size").over(everything) - F.coalesce(F.sum(F.when(F.col("full"), F.col("limit"))).over(everything), F.lit(0))
     w_rest = F.sum(F.when(~F.col("full"), F.col("w"))).over(everything)
-    share = F.try_divide((F.col("w") * rest).cast("double"), w_rest.cast("double"))
+    share = F.try_divide((wide("w") * rest.cast("decimal(19,0)")).cast("double"), w_rest.cast("double"))
     return ranked.select("source", "source_size", F.when(F.col("full"), F.col("limit").cast("double")).otherwise(F.coalesce(share, F.lit(0.0))).alias("target"))
 
 
@@ -147,7 +148,9 @@ def _cut_cell(ranked: DataFrame, cell: str) -> DataFrame:
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The rows of a mix, each as often as it is taken."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("_copy")
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("row.copies")))
+    rows = mixed.where("copies > 0").select(F.struct(*[F.col(f"`{c}`") for c in mixed.columns]).alias("row")).select("row", again)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in mixed.columns])
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
