@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from queryvitals.llm import kernel as K
 
@@ -48,7 +49,7 @@ def _index(column: pa.Array) -> tuple[np.ndarray, ...]:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Rows (ids, words, terms, starts, postings): one for each segment. ``words`` are the documents' word counts."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    schema = T.StructType([T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), *(T.StructField(c, T.BinaryType()) for c in ("words", "terms", "starts", "postings"))])
 
     def build(batches):
         for part in K.chunks(batches, "text", segment_bytes):
@@ -59,7 +60,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     K.small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(build, f"ids array<{id_type}>, words binary, terms binary, starts binary, postings binary")
+    return source.mapInArrow(build, schema)
 
 
 class Segment:
@@ -201,7 +202,7 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_te
             for r in range(batch.num_rows):
                 yield columns["ids"][r].values, Segment(*(columns[n][r].as_py() for n in ("words", "terms", "starts", "postings")))
 
-    return _search(index, index.schema["ids"].dataType.elementType.simpleString(), opened, items, item_id, item_text, window, block_bytes, slop)
+    return _search(index, index.schema["ids"].dataType.elementType, opened, items, item_id, item_text, window, block_bytes, slop)
 
 
 def index_and_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4 << 20, slop: int | None = None) -> DataFrame:
@@ -213,11 +214,12 @@ def index_and_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
             yield part.column(0), Segment(*map(_pack, _index(part.column(1))))
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return _search(source, docs.schema[id_col].dataType.simpleString(), opened, items, item_id, item_text, window, block_bytes, slop)
+    return _search(source, docs.schema[id_col].dataType, opened, items, item_id, item_text, window, block_bytes, slop)
 
 
-def _search(index: DataFrame, id_type: str, opened, items: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int, slop: int | None) -> DataFrame:
-    schema = f"id {id_type}, n_words bigint, spans array<struct<from:bigint,to:bigint>>, items array<string>, near array<string>"
+def _search(index: DataFrame, id_type: T.DataType, opened, items: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int, slop: int | None) -> DataFrame:
+    spans = T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("n_words", T.LongType()), T.StructField("spans", spans), *(T.StructField(c, T.ArrayType(T.StringType())) for c in ("items", "near"))])
     context = index.sparkSession.sparkContext
     # One block at a time passes through the driver; its size is bounded by block_bytes of text.
     blocks = [context.broadcast(_opened_block(row)) for row in item_blocks(items, item_id, item_text, window, block_bytes).toLocalIterator()]

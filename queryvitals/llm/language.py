@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from queryvitals.llm import kernel as K
 
@@ -164,7 +165,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
     sent = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table, filters.hashes))
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
     place = docs.columns.index(text_col)
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         f = Filters(*sent.value)
@@ -181,7 +182,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(named, pa.string()), pa.array(np.where(letters, score, 0.0))], names=[*part.schema.names, "lang_pred", "score"])
 
     docs_text = text_col
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, schema)
 
 
 def _has_letter(text: str) -> bool:

@@ -48,6 +48,28 @@ def test_stages_take_every_awkward_row(spark, tmp_path):
     assert none.count() == 0
 
 
+CLASHING = {"size": 777, "source_size": -1, "target": "t", "copies": 888, "_copy": 5, "a.b": "dot", "row": "r", "id": "i", "lang_pred": "xx", "score": -2.5, "others": None, "items": [1], "m": {"k": 1}, "key space": 1, "shard": 99}
+CLASHING_SCHEMA = "doc_id bigint, text string, lang string, source string, size int, source_size int, target string, copies int, _copy int, `a.b` string, row string, id string, lang_pred string, score double, others string, items array<int>, m map<string,int>, `key space` int, shard int"
+
+
+def test_every_column_keeps_its_name_type_and_value(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(r[0], r[1], r[2] or "en", r[3]) for r in X.documents() if r[0] is not None]
+    docs = spark.createDataFrame([(*t, *CLASHING.values()) for t in texts], CLASHING_SCHEMA)
+    for name, stage in P.STAGES:
+        before = {r["doc_id"]: r.asDict() for r in docs.collect()}
+        made = stage(spark, docs, str(tmp_path))
+        if name != "shard":
+            assert [(f.name, f.dataType) for f in made.schema] == [(f.name, f.dataType) for f in docs.schema]
+        rows = made.collect()
+        assert rows
+        for r in rows:
+            own = {k: v for k, v in r.asDict().items() if k not in ("shard", "slot")}
+            assert own == {k: v for k, v in before[r["doc_id"]].items() if k != "shard"}
+            assert name == "shard" or r["shard"] == 99
+        docs = spark.createDataFrame(rows, made.schema)
+
+
 def test_language_stage_rejects_only_what_has_no_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     gone = docs.select("doc_id", "text").exceptAll(P.language_stage(spark, docs, SF).select("doc_id", "text")).collect()
