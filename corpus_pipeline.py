@@ -8,7 +8,7 @@ adds shard and slot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queryvitals.llm import decontaminate, kernel, language, minhash, mixing, sharding
@@ -19,32 +19,41 @@ MIX_WEIGHTS = [5, 2, 1]
 SHARDS = 16
 
 
+def _whole(docs: DataFrame) -> Column:
+    """The row as one column, so that a caller's columns keep their values under any name."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def _opened(rows: DataFrame, docs: DataFrame, row: str = "row") -> DataFrame:
+    return rows.select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = language.fit(docs.where(language.fold_of() != 0))
-    judged = language.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), filters)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
+    judged = language.predict(docs.select(_whole(docs), "text"), filters)
+    return _opened(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with one id and text, which are one document, the row whose columns come first stays."""
+    """Of rows with one id and text, which are one document, the row whose other columns come first as JSON stays."""
     found = minhash.near_duplicates(docs)
     keepers = found.where("keeper").select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none"), "th").distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("th"), row.alias("row"))
-    kept = rows.join(keepers, ["id", "none", "th"], "left_semi").groupBy("id", "none", "th").agg(F.min("row").alias("row"))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"})
+    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("th"), _whole(docs), others.alias("others"))
+    kept = rows.join(keepers, ["id", "none", "th"], "left_semi").groupBy("id", "none", "th").agg(F.min_by("row", "others").alias("row"))
+    return _opened(kept, docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     # The whole row is the index's document id, so nothing is joined back.
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = decontaminate.index_and_search(whole, items, id_col="row")
-    return found.where(F.size("items") == 0).select("id.*")
+    found = decontaminate.index_and_search(docs.select(_whole(docs), "text"), items, id_col="row")
+    return _opened(found.where(F.size("items") == 0), docs, "id")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeated(mixing.mix(docs, MIX_WEIGHTS)).select(*docs.columns)
+    mixed = mixing.mix(docs.select(_whole(docs), "doc_id", "source", "text"), MIX_WEIGHTS, columns=["row"])
+    return _opened(mixing.repeated(mixed), docs)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
