@@ -1,8 +1,9 @@
 """Secret scans: candidates from byte patterns, false positives removed by a random forest.
 
 Candidates are the values after a credential word and ``=`` or ``:``, long runs of token characters that hold a digit,
-letters of both cases or a known prefix, and private-key blocks. Values and blocks run to their real end, whatever their
-length. Each is described by its length, character transitions (how often neighbouring characters change class, and how
+letters of both cases or a known prefix, and private-key blocks. A value that a quote opens runs to the matching quote of
+its line (escapes counted), any other one to a blank, quote, comma or semicolon; a run is cut where a value begins in it. A
+block runs to its END line, or without one to its last line of key characters. None has a longest length. Each is described by its length, character transitions (how often neighbouring characters change class, and how
 likely they are in ordinary words), the share of its letters that dictionary words cover, its path, and its neighbouring words. A forest
 trained from labelled findings gives the share of trees that call it a secret.
 
@@ -17,18 +18,20 @@ empty one; positions are bytes of the UTF-8 text; overlapping candidates become
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from queryvitals.llm import kernel as K
 from queryvitals.llm.findings import ANNOUNCE, example_findings
 
 MASK = "[SECRET]"
-MIN_RUN, MIN_VALUE, CONTEXT = 16, 8, 48
+MIN_RUN, MIN_VALUE, CONTEXT = 16, 6, 48
 
 # Words that announce something else, path marks, and words that placeholders are made of, which count
 # as dictionary words whatever the corpus.
@@ -41,44 +44,66 @@ _DIGIT, _UPPER, _LOWER = (K._byte_mask(x) for x in (b"0123456789", b"ABCDEFGHIJK
 _PREFIXES = (b"AKIA", b"ghp_", b"xoxb", b"xoxp", b"sk_l", b"glpa", b"AIza", b"eyJh")
 _PREFIX = re.compile(rb"(?<![A-Za-z0-9])(?:" + b"|".join(_PREFIXES) + rb")")
 _CREDENTIAL = re.compile(rb"(?:" + b"|".join(re.escape(w.encode()) for w in ANNOUNCE) + rb")[\"'\]]?[ \t]{0,4}$", re.IGNORECASE)
-_VALUE = re.compile(rb"[=:>]?[ \t]{0,4}(?:[\"'`])?([^\s\"'`,;]{8})")
+_OPENS = re.compile(rb"[=:>]?[ \t]{0,4}([\"'`]?)")
 _VALUE_END = re.compile(rb"[\s\"'`,;]")
+#: From behind an opening quote to the matching one, in one line.
+_QUOTED = {q: re.compile(rb"(?:[^\\\n" + q + rb"]|\\[^\n])*+" + q) for q in (b'"', b"'", b"`")}
 _KEY_BEGIN = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+_KEY_LINES = re.compile(rb"(?:[ \t]*\r?\n(?:[A-Za-z-]+: [^\n]*|[A-Za-z0-9+/=]*)(?=[ \t]*\r?(?:\n|\Z)))*")
 _KEY_END = re.compile(rb"-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
 _KINDS = ["assigned", "run", "block"]
 _WORD = re.compile(r"[a-z0-9_-]+")
-_LETTERS = re.compile(r"[a-z]{4,}")
-FEATURES = 22
 
 
 def key_blocks(text: bytes) -> list[tuple[int, int, int]]:
-    """Private-key blocks of any length: each BEGIN line outside the last block, with the next END line."""
-    out = []
+    """Private-key blocks of any length: each BEGIN line outside the last block, with the next END line, or else with the
+    lines of key characters that follow it."""
+    out, last = [], False
     for begin in _KEY_BEGIN.finditer(text):
         if out and begin.start() < out[-1][1]:
             continue
-        end = _KEY_END.search(text, begin.end())
-        if not end:
-            break
-        out.append((begin.start(), end.end(), 2))
+        end = None if last else _KEY_END.search(text, begin.end())
+        last = end is None  # then no later block has one
+        stop = end.end() if end else begin.end() + len(_KEY_LINES.match(text, begin.end()).group().rstrip())
+        if stop > begin.end():
+            out.append((begin.start(), stop, 2))
     return out
 
 
+def _likely(run: bytes) -> bool:
+    b = np.frombuffer(run, np.uint8)
+    return bool(_DIGIT[b].any() or (_UPPER[b].any() and _LOWER[b].any()) or _PREFIX.search(run))
+
+
 def candidates(text: bytes, runs: list[tuple[int, int]], marks: list[int]) -> list[tuple[int, int, int]]:
     """(start, end, kind) of one text: ``runs`` are its long token runs, ``marks`` its ``=`` and ``:``."""
-    found = []
+    found, begun = [], {}
     stop = -1
     for at in marks:
         # The longest credential word with its quote and blanks has fewer bytes.
         if _CREDENTIAL.search(text[max(0, at - 28) : at]):
-            m = _VALUE.match(text, at + 1)
-            if m:
+            opens = _OPENS.match(text, at + 1)
+            start = opens.end()
+            quoted = _QUOTED[opens.group(1)].match(text, start) if opens.group(1) else None
+            if quoted:
+                end = quoted.end() - 1
+            else:
                 # A value that starts inside the last one ends where that does: each byte is looked at once.
-                if m.start(1) > stop:
-                    end = _VALUE_END.search(text, m.end(1))
-                    stop = end.start() if end else len(text)
-                found.append((m.start(1), stop, 0))
-    found += [(a, b, 1) for a, b in runs]
+                if start > stop:
+                    m = _VALUE_END.search(text, start)
+                    stop = m.start() if m else len(text)
+                end = stop
+            if end - start >= MIN_VALUE:
+                found.append((start, end, 0))
+                begun[start] = at
+    starts = sorted(begun)
+    for a, b in runs:
+        i = bisect.bisect_right(starts, a)
+        if i < len(starts) and starts[i] < b:
+            b = begun[starts[i]]
+            if b - a < MIN_RUN or not _likely(text[a:b]):
+                continue
+        found.append((a, b, 1))
     if b"-----BEGIN " in text:
         found += key_blocks(text)
     found.sort(key=lambda x: (x[0], -x[1]))
@@ -127,35 +152,63 @@ def scan_bytes(column: pa.Array) -> list[tuple[bytes, list[tuple[int, int, int]]
     return out
 
 
-def _classes(value: bytes) -> np.ndarray:
-    b = np.frombuffer(value, np.uint8)
-    kind = np.full(len(b), 3)
-    kind[(b >= 0x61) & (b <= 0x7A)] = 0
-    kind[(b >= 0x41) & (b <= 0x5A)] = 1
-    kind[(b >= 0x30) & (b <= 0x39)] = 2
-    return kind
+_CLASS = np.full(256, 3, np.int64)
+_CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A] = 0, 1, 2
+_HEX = K._byte_mask(b"0123456789abcdefABCDEF-")
+SHORTEST, LONGEST = 4, 16
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-SHORTEST, LONGEST = 4, 16
+class Words:
+    """A set of words of four to sixteen letters a to z, by length and hash."""
+
+    def __init__(self, words):
+        self.hashes: dict[int, np.ndarray] = {}
+        for n in range(SHORTEST, LONGEST + 1):
+            own = [w.encode() for w in words if len(w) == n]
+            if own:
+                letters = np.frombuffer(b"".join(own), np.uint8).reshape(-1, n)
+                h = np.zeros(len(own), np.uint64)
+                for i in range(n):
+                    h = h * _BASE + letters[:, i]
+                self.hashes[n] = np.unique(h)
+
+    def covered(self, low: np.ndarray) -> np.ndarray:
+        """Which bytes of a value in lower case belong to a word: one pass for each length of word."""
+        n = len(low)
+        letter = (low >= 0x61) & (low <= 0x7A)
+        # How many letters follow, from each byte on.
+        stops = np.append(np.flatnonzero(~letter), n)
+        follow = stops[np.searchsorted(stops, np.arange(n))] - np.arange(n)
+        edge = np.zeros(n + 1, np.int64)
+        at = np.flatnonzero(follow >= SHORTEST)
+        h = np.zeros(len(at), np.uint64)
+        for size in range(1, LONGEST + 1):
+            keep = follow[at] >= size
+            at, h = at[keep], h[keep]
+            if not len(at):
+                break
+            h = h * _BASE + low[at + size - 1]
+            known = self.hashes.get(size)
+            if known is not None:
+                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = at[known[place] == h]
+                edge[hit] += 1
+                edge[hit + size] -= 1
+        return np.cumsum(edge[:-1]) > 0
 
 
 class Dictionary:
-    """Words by which a candidate's letters are judged, and the pairs of letters that are usual in them."""
+    """Words by which a candidate's letters are judged, those that placeholders are made of among them, and the pairs of
+    letters that are usual in them."""
 
     def __init__(self, words):
-        self.words = {w for w in {*words, *_PLACEHOLDER} if SHORTEST <= len(w) <= LONGEST}
-        self.pairs = {w.encode()[i : i + 2] for w in self.words for i in range(len(w) - 1)}
-
-    def covered(self, low: bytes) -> np.ndarray:
-        """Which bytes of a value in lower case belong to a word."""
-        text, out = low.decode("latin-1"), np.zeros(len(low), bool)
-        for run in _LETTERS.finditer(text):
-            for at in range(run.start(), run.end() - SHORTEST + 1):
-                for end in range(min(at + LONGEST, run.end()), at + SHORTEST - 1, -1):
-                    if text[at:end] in self.words:
-                        out[at:end] = True
-                        break
-        return out
+        self.words = {w for w in {*words, *_PLACEHOLDER} if SHORTEST <= len(w) <= LONGEST and w.isascii() and w.isalpha() and w.islower()}
+        self.every, self.placeholders = Words(self.words), Words(_PLACEHOLDER)
+        self.pairs = np.zeros(26 * 26, bool)
+        for w in self.words:
+            letters = np.frombuffer(w.encode(), np.uint8).astype(np.int64) - 0x61
+            self.pairs[letters[:-1] * 26 + letters[1:]] = True
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 20_000) -> list[str]:
@@ -172,34 +225,38 @@ def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 20_000) ->
 
 
 def features(value: bytes, before: bytes, after: bytes, path: str, kind: int, dictionary: Dictionary) -> list[float]:
+    """A candidate's numbers; all that looks at its bytes does so in a few passes, whatever its length."""
     b = np.frombuffer(value, np.uint8)
     n = len(b)
-    kinds = _classes(value)
+    kinds = _CLASS[b]
     share = np.bincount(kinds, minlength=4) / n
     counts = np.bincount(b, minlength=256)
     p = counts[counts > 0] / n
-    low = value.lower()
-    pairs = [low[i : i + 2] for i in range(n - 1) if 0x61 <= low[i] <= 0x7A and 0x61 <= low[i + 1] <= 0x7A]
-    covered = dictionary.covered(low)
+    low = K._LOWER[b]
     letters = kinds < 2
+    code = low.astype(np.int64) - 0x61
+    both = letters[1:] & letters[:-1]
+    pairs = dictionary.pairs[(code[:-1] * 26 + code[1:])[both]]
+    covered, placeholder = dictionary.every.covered(low), dictionary.placeholders.covered(low)
     left = _WORD.findall(before.decode("utf-8", "ignore").lower())[-3:]
     right = _WORD.findall(after.decode("utf-8", "ignore").lower())[:2]
     near = [re.sub(r"[_-]", "", w) for w in left]
     lone = path.lower()
-    runs = max((m.end() - m.start() for m in re.finditer(rb"(.)\1*", value, re.DOTALL)), default=0)
-    hexa = all(c in b"0123456789abcdefABCDEF-" for c in value)
+    changes = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [n]])
     tail = before.rstrip(b" \t\"'`")[-1:]
     return [
         float(n),
         *share.tolist(),
         float(-(p * np.log2(p)).sum()),
         float((kinds[1:] != kinds[:-1]).mean()) if n > 1 else 0.0,
-        sum(x in dictionary.pairs for x in pairs) / len(pairs) if pairs else 0.5,
+        float(pairs.mean()) if len(pairs) else 0.5,
         float((covered & letters).sum() / max(letters.sum(), 1)),
-        float(hexa),
-        runs / n,
+        float((placeholder & letters).sum() / max(letters.sum(), 1)),
+        float(_HEX[b].all()),
+        float(np.diff(changes).max()) / n,
         len(p) / n,
-        float(value.count(b"/") + value.count(b".")) / n,
+        float(counts[0x2F] + counts[0x2E]) / n,
+        float(counts[0x20] + counts[0x09]) / n,
         float(any(a.replace("_", "").replace("-", "") in w for w in near[-2:] for a in ANNOUNCE)),
         float(any(w in _DENY or w.rstrip("0123456789") in _DENY for w in left + right)),
         float(tail in (b"=", b":")),
@@ -308,8 +365,8 @@ def find_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_c
     keep = [c for c in docs.columns if c not in ("findings", "redacted")]
     path = F.lit("") if path_col is None else F.coalesce(F.col(path_col).cast("string"), F.lit(""))
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"), path.alias("__path"))
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields)
-    schema = f"{fields}, findings array<struct<start:bigint,end:bigint,kind:string,score:double,secret:boolean>>, redacted string"
+    finding = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("secret", T.BooleanType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("findings", T.ArrayType(finding)), T.StructField("redacted", T.StringType())])
 
     def run(batches):
         for part in K.chunks(batches, "__text"):
