@@ -79,7 +79,7 @@ def handle(service: Service, method: str, target: str, body: dict | None = None)
         if m := re.fullmatch(r"/api/bi/(\w+)", path):
             found = service.tables(_int(given, "days", 90, 1, 730))
             if m[1] not in found:
-                raise HttpError(404, "no such table")
+                raise HttpError(404, f"no such table; there are {', '.join(found)}")
             if found[m[1]].limit(BI_ROWS + 1).count() > BI_ROWS:
                 raise HttpError(413, f"more than {BI_ROWS} rows: use the export of reporting tables")
             return _rows(found[m[1]], BI_ROWS)

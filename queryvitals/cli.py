@@ -27,7 +27,11 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="queryvitals", description=__doc__)
     p.add_argument("--store", help="folder of the store")
     sub = p.add_subparsers(dest="command")
-    sub.add_parser("etl", help="load a dump").add_argument("dump")
+    etl = sub.add_parser("etl", help="load a dump, or a live database")
+    etl.add_argument("dump", nargs="?")
+    etl.add_argument("--source", choices=("dump", "database"), default="dump")
+    etl.add_argument("--url", help="JDBC address of the database")
+    etl.add_argument("--driver", help="class of its JDBC driver")
     mock = sub.add_parser("sample-data", help="write a mock dump, and load it")
     mock.add_argument("out")
     mock.add_argument("--days", type=int, default=28)
@@ -87,7 +91,12 @@ def run(args: argparse.Namespace, spark=None) -> None:
     service = Service(spark, replace(settings, store=args.store) if args.store else settings)
     c = args.command
     if c == "etl":
-        say(json.dumps(service.load_dump(args.dump)))
+        if args.source == "database":
+            say(json.dumps(service.load_database(args.url, {"driver": args.driver} if args.driver else None)))
+        elif args.dump:
+            say(json.dumps(service.load_dump(args.dump)))
+        else:
+            raise FileNotFoundError("a dump is needed")
     elif c == "sample-data":
         from queryvitals.sources.sample import generate
 
@@ -126,8 +135,6 @@ def run(args: argparse.Namespace, spark=None) -> None:
 
 def site(service, folder: str) -> None:
     """A static snapshot: measures and lists as JSON files, whole, and every query's detail."""
-    import os
-
     quality = M.reason_texts(service.quality())
     queue = service.queue()
     R.export_json(
@@ -140,11 +147,8 @@ def site(service, folder: str) -> None:
             **{f"suggestions-{s}": V.listed(queue, s, limit=None) for s in ("pending", "approved", "rejected")},
         },
         folder,
+        {"rules-export": service.export(), "status": service.status(), **{f"digest-{d}": service.digest(d) for d in (7, 14, 30)}},
     )
-    more = {"rules-export": service.export(), "status": service.status(), **{f"digest-{d}": service.digest(d) for d in (7, 14, 30)}}
-    for name, value in more.items():
-        with open(os.path.join(folder, f"{name}.json"), "w", encoding="utf-8") as f:
-            json.dump(value, f, ensure_ascii=False, default=str)
 
 
 if __name__ == "__main__":

@@ -39,12 +39,13 @@ def _typed(source: DataFrame, name: str) -> DataFrame:
 
 
 def build(source: DataFrame, gap_seconds: int = S.GAP_SECONDS) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Store tables, and the report (table, emitted, skipped, reasons) of a load. ``source``: rows (table, cols).
+    """Store tables, and the report (table, emitted, skipped, reasons) of a load. ``source``: rows (table, cols), and their
+    place, by which the last row of a key wins.
 
-    The parsed rows are written once: their numbers, by which the last row of a key wins, are then the same for all
-    tables. ``reasons`` counts the skipped rows by what was wrong with them first.
+    The parsed rows are written once; without a place they are numbered as they come, and the numbers are then the
+    same for all tables. ``reasons`` counts the skipped rows by what was wrong with them first.
     """
-    source = stage(source.withColumn("ordinal", F.monotonically_increasing_id()))
+    source = stage(source.withColumnRenamed("place", "ordinal") if "place" in source.columns else source.withColumn("ordinal", F.monotonically_increasing_id()))
     number = lambda c, kind="bigint": F.expr(f"try_cast({c} AS {kind})")
     product = _typed(source, "catalog_product").select("ordinal", number("id").alias("id"), "sku", "url_key", number("price", "double").alias("default_price"), (F.col("price").isNotNull() & number("price", "double").isNull()).alias("_bad"))
     names = _typed(source, "catalog_productname").select("ordinal", number("product_id").alias("product_id"), language_code(F.col("language")).alias("lang"), "name", T.normalize("name").alias("norm_name"))

@@ -6,7 +6,7 @@ import json
 import os
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from queryvitals.operators import metrics as M
@@ -127,46 +127,105 @@ def tables(events: DataFrame, shop, queue: DataFrame, days: int = 90) -> dict[st
     }
 
 
-def write_csv(df: DataFrame, path: str) -> int:
-    """One CSV file with a byte-order mark and CRLF, streamed row by row; a table without rows is the header ``(empty)``."""
-    import csv
-
-    n = 0
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        w = csv.writer(f, dialect="excel")
-        for n, row in enumerate(df.toLocalIterator(), 1):
+def _written(df: DataFrame, folder: str, name: str, ending: str, lines, line_end: str) -> dict:
+    """Write ``lines(rows of one task)`` as part files of ``folder/name`` from the executors; the files and the rows."""
+    import pyarrow as pa
+
+    spark = df.sparkSession
+    seen = Observation()
+
+    def run(batches):
+        rows = (row for batch in batches for row in batch.to_pylist())
+        held: list[str] = []
+        for line in lines(rows):
+            held.append(line)
+            if len(held) == 4096:
+                yield pa.RecordBatch.from_pydict({"value": held})
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": held})
+
+    target = f"{folder.rstrip('/')}/{name}"
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).mapInArrow(run, "value string").write.option("lineSep", line_end).mode("overwrite").text(target)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    at = path(target)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(f.getPath().getName() for f in files.listStatus(at) if f.getPath().getName().startswith("part-"))
+    named = [f"part-{i:05d}.{ending}" for i in range(len(found))]
+    for old, new in zip(found, named, strict=True):
+        files.rename(path(f"{target}/{old}"), path(f"{target}/{new}"))
+    return {"files": [f"{name}/{n}" for n in named], "rows": seen.get["rows"]}
+
+
+def write_csv(df: DataFrame, folder: str, name: str) -> dict:
+    """CSV part files, each with a byte-order mark, its header and CRLF; a part without rows is the header ``(empty)``."""
+    columns = df.columns
+
+    def lines(rows):
+        import csv
+        import io
+
+        def line(values):
+            out = io.StringIO()
+            csv.writer(out, dialect="excel", lineterminator="").writerow(values)
+            return out.getvalue()
+
+        n = 0
+        for n, row in enumerate(rows, 1):
             if n == 1:
-                w.writerow(df.columns)
-            w.writerow(["" if v is None else v for v in row])
+                yield "\ufeff" + line(columns)
+            yield line(["" if v is None else v for v in row.values()])
         if not n:
-            w.writerow(["(empty)"])
-    return n
+            yield "\ufeff(empty)"
+
+    # Few files for what is small, as many as there are tasks for what is not.
+    return _written(df.hint("rebalance"), folder, name, "csv", lines, "\r\n")
+
+
+def _save(spark, path: str, text: str) -> None:
+    """A small text file in any store that Spark writes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
 
 def export_tables(found: dict[str, DataFrame], folder: str, base_url: str = "") -> dict[str, int]:
-    """CSV files, a manifest, a README and a connection file in a folder of the driver."""
-    os.makedirs(folder, exist_ok=True)
-    counts = {name: write_csv(df, os.path.join(folder, f"{name}.csv")) for name, df in found.items()}
-    base = base_url.rstrip("/")
-    manifest = {"tables": [{"name": n, "file": f"{n}.csv", "rows": k, "url": f"{base}/{n}.csv" if base else f"{n}.csv", "columns": found[n].columns} for n, k in counts.items()]}
-    with open(os.path.join(folder, "manifest.json"), "w", encoding="utf-8") as f:
-        json.dump(manifest, f, ensure_ascii=False, indent=1)
-    with open(os.path.join(folder, "queryvitals.pbids"), "w", encoding="utf-8") as f:
-        json.dump({"version": "0.1", "connections": [{"details": {"protocol": "folder", "address": {"path": os.path.abspath(folder)}}, "mode": "Import"}]}, f, indent=1)
-    with open(os.path.join(folder, "README.md"), "w", encoding="utf-8") as f:
-        f.write("# Reporting tables\n\n" + "".join(f"- `{n}.csv`: {k} rows\n" for n, k in counts.items()))
-    return counts
-
-
-def export_json(documents: dict[str, DataFrame], folder: str) -> None:
-    """Result tables as JSON arrays, whole, streamed row by row."""
-    os.makedirs(folder, exist_ok=True)
-    for name, df in documents.items():
-        with open(os.path.join(folder, f"{name}.json"), "w", encoding="utf-8") as f:
-            f.write("[")
-            for n, row in enumerate(df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
-                f.write((",\n" if n else "") + row["j"])
-            f.write("]")
+    """CSV part files of each table, written by the executors, and a manifest and a README that name them. With a
+    ``base_url`` under which the folder is served, also a connection file that points there."""
+    spark = next(iter(found.values())).sparkSession
+    folder, base = folder.rstrip("/"), base_url.rstrip("/")
+    made = {name: write_csv(df, folder, name) for name, df in found.items()}
+    url = lambda file: f"{base}/{file}" if base else file
+    tables_ = [{"name": n, "files": m["files"], "urls": [url(f) for f in m["files"]], "rows": m["rows"], "columns": found[n].columns} for n, m in made.items()]
+    _save(spark, f"{folder}/manifest.json", json.dumps({"tables": tables_}, ensure_ascii=False, indent=1))
+    if base:
+        connection = {"details": {"protocol": "http", "address": {"url": f"{base}/manifest.json"}}, "mode": "Import"}
+        _save(spark, f"{folder}/queryvitals.pbids", json.dumps({"version": "0.1", "connections": [connection]}, indent=1))
+    _save(spark, f"{folder}/README.md", "# Reporting tables\n\n" + "".join(f"- `{n}/`: {m['rows']} rows in {len(m['files'])} files\n" for n, m in made.items()))
+    return {n: m["rows"] for n, m in made.items()}
+
+
+def export_json(documents: dict[str, DataFrame], folder: str, more: dict | None = None) -> dict:
+    """Result tables, whole, as part files that are JSON arrays, written by the executors; ``more`` are small values, one
+    file each. ``index.json`` names all files."""
+    spark = next(iter(documents.values())).sparkSession
+    folder = folder.rstrip("/")
+
+    def lines(rows):
+        n = 0
+        for n, row in enumerate(rows, 1):
+            yield ("[" if n == 1 else ",") + row["j"]
+        yield "]" if n else "[]"
+
+    index = {name: _written(df.select(F.to_json(F.struct("*")).alias("j")), folder, name, "json", lines, "\n") for name, df in documents.items()}
+    for name, value in (more or {}).items():
+        _save(spark, f"{folder}/{name}.json", json.dumps(value, ensure_ascii=False, default=str))
+        index[name] = {"files": [f"{name}.json"]}
+    _save(spark, f"{folder}/index.json", json.dumps(index, indent=1))
+    return index
 
 
 def delta_label(name: str, before, after) -> str:

@@ -44,6 +44,8 @@ TOOLS = {
     "profile": ("What the log covers: searches, sessions, times, products.", {}),
 }
 PREVIEW = 400
+#: What is asked back when a comparison names no dates.
+ASK_DATES = "Which periods? Two dates (YYYY-MM-DD) name one, which is set against the one before it; four name both."
 #: Rows of one answer; an answer that had more says so.
 MOST_ROWS = 500
 
@@ -130,7 +132,8 @@ class Planner:
             periods = date_ranges(dates)
             if periods:
                 return "compare", {"first": periods[0], "second": periods[1]}
-            intent = None if intent == "compare" else intent
+            if intent == "compare":
+                return "compare", {}
         if intent == "coverage":
             term = self.named_query(question) or T.fold_string(question).split(" ")[-1]
             return "coverage", {"term": term}
@@ -155,6 +158,8 @@ class Planner:
         if not question.strip():
             raise ValueError("a question is needed")
         tool, arguments = self.plan(question)
+        if tool == "compare" and not arguments:
+            return tool, json.dumps({"question": ASK_DATES})
         return tool, json.dumps(self.run(tool, **arguments), ensure_ascii=False, sort_keys=True)
 
 

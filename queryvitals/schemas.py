@@ -31,6 +31,16 @@ SOURCES = {
     "catalog_categoryname": {"name": 1, "language": 2, "category_id": 3},
     "catalog_product_categories": {"product_id": 1, "category_id": 2},
 }
+#: The columns of the source tables, in the order in which a dump writes them; the first is the key.
+DATABASE = {
+    "recommendations_searches": ["id", "query", "ar_results", "en_results", "num_results", "created_at"],
+    "recommendations_querycount": ["id", "query", "count"],
+    "catalog_product": ["id", "created_at", "sku", "image", "updated_at", "url_key", "default_price", "default_special_price"],
+    "catalog_productname": ["id", "name", "language", "created_at", "product_id"],
+    "catalog_category": ["id", "parent_category_id", "created_at", "integration_id", "updated_at"],
+    "catalog_categoryname": ["id", "name", "language", "category_id"],
+    "catalog_product_categories": ["id", "product_id", "category_id"],
+}
 
 
 @dataclass(frozen=True)
@@ -40,6 +50,9 @@ class Settings:
     store: str = "store"
     result_cap: int = 5
     session_gap_seconds: int = 1800
+    #: The live database; its password is read when it is needed and kept nowhere.
+    database_url: str = ""
+    database_user: str = ""
 
     @classmethod
     def from_environment(cls, environment=os.environ) -> Settings:
@@ -52,4 +65,4 @@ class Settings:
             except ValueError:
                 raise ValueError(f"{name} must be a whole number, not {text!r}") from None
 
-        return cls(environment.get("QUERYVITALS_STORE", cls.store), whole("QUERYVITALS_RESULT_CAP", cls.result_cap), whole("QUERYVITALS_SESSION_GAP_SECONDS", cls.session_gap_seconds))
+        return cls(environment.get("QUERYVITALS_STORE", cls.store), whole("QUERYVITALS_RESULT_CAP", cls.result_cap), whole("QUERYVITALS_SESSION_GAP_SECONDS", cls.session_gap_seconds), environment.get("QUERYVITALS_DATABASE_URL", ""), environment.get("QUERYVITALS_DATABASE_USER", ""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from queryvitals.operators import terms as D
 from queryvitals.operators.shop import Shop
 from queryvitals.plans.planner import Planner
 from queryvitals.schemas import SOURCES, TABLES, Settings
-from queryvitals.sources.dump import read_dump
+from queryvitals.sources.dump import read_database, read_dump
 from queryvitals.sources.store import Store
 
 
@@ -48,6 +49,15 @@ class Service:
     def load_dump(self, path: str) -> list[dict]:
         return self.load(read_dump(self.spark, path, list(SOURCES)), path)
 
+    def load_database(self, url: str | None = None, properties: dict | None = None) -> list[dict]:
+        """The same from a live database, of which the settings name the address and the user."""
+        url = url or self.settings.database_url
+        if not url:
+            raise ValueError("QUERYVITALS_DATABASE_URL must name the database")
+        user = self.settings.database_user
+        given = {"user": user, "password": os.environ.get("QUERYVITALS_DATABASE_PASSWORD", "")} if user else {}
+        return self.load(read_database(self.spark, url, given | (properties or {})), f"database: {user + ' at ' if user else ''}{url.split('?')[0].split(';')[0]}")
+
     # Reading.
 
     def shop(self) -> Shop:

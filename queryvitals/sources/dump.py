@@ -21,6 +21,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from queryvitals.schemas import DATABASE, SOURCES
+
 # What a backslash and a letter stand for; of any other letter, the letter itself.
 ESCAPES = {"0": "\0", "'": "'", '"': '"', "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a", "\\": "\\", "%": "\\%", "_": "\\_"}
 
@@ -189,25 +191,31 @@ def _by_range(batches) -> Iterator[tuple[tuple, Iterator[bytes]]]:
         yield key, (value for _, value in group)
 
 
-def _batches(found: Iterator[tuple[str, list[str | None]]], most: int = 1 << 22):
-    """Rows as Arrow batches of about ``most`` characters."""
+#: Places of the rows of a range's last statement, if that ends in a later range, start here.
+_TAIL = 1 << 40
+_SCHEMA = "table string, cols array<string>, path string, start bigint, nth bigint"
+
+
+def _batches(found: Iterator[tuple], most: int = 1 << 22):
+    """Rows (table, cols, path, start, nth) as Arrow batches of about ``most`` characters."""
     import pyarrow as pa
 
-    names, cols, size = [], [], 0
-    batch = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cols, pa.list_(pa.string()))], names=["table", "cols"])
-    for table, row in found:
-        names.append(table)
-        cols.append(row)
-        size += 64 + sum(len(x or "") for x in row)
+    kinds = [pa.string(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64()]
+    names = ["table", "cols", "path", "start", "nth"]
+    held, size = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+    for row in found:
+        held.append(row)
+        size += 64 + sum(len(x or "") for x in row[1])
         if size >= most:
             yield batch()
-            names, cols, size = [], [], 0
-    if names:
+            held, size = [], 0
+    if held:
         yield batch()
 
 
 def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -> DataFrame:
-    """Rows of a dump: a file, a pattern or a folder (of ``*.sql`` files, on the local file system), in any store that
+    """Rows of a dump, with their place in it: a file, a pattern or a folder (of ``*.sql`` files, on the local file system), in any store that
     Spark reads. A missing path is a FileNotFoundError. ``spark.sql.files.maxPartitionBytes`` sets the ranges' size."""
     import pyarrow as pa
 
@@ -241,10 +249,13 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -
 
     def whole(batches):
         def found():
-            for (_, _, state, _), lines in _by_range(batches):
+            for (file, start, state, _), lines in _by_range(batches):
+                nth = 0
                 for kind, held in pieces(_lines(lines), state):
                     if kind == "whole":
-                        yield from rows(iter(held), wanted)
+                        for table, row in rows(iter(held), wanted):
+                            yield table, row, file, start, nth
+                            nth += 1
 
         yield from _batches(found())
 
@@ -260,19 +271,55 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -
 
     def together(table: pa.Table) -> pa.Table:
         text = "".join(table.sort_by([("start", "ascending"), ("part", "ascending")]).column("piece").to_pylist())
-        found = list(rows(iter(_BREAK.findall(text)), wanted))
-        return pa.table({"table": pa.array([t for t, _ in found], pa.string()), "cols": pa.array([c for _, c in found], pa.list_(pa.string()))})
-
-    schema = "table string, cols array<string>"
-    across = known.mapInArrow(cut, "path string, owner bigint, start bigint, part int, piece string").groupBy("path", "owner").applyInArrow(together, schema)
-    return known.mapInArrow(whole, schema).unionByName(across)
-
-
-def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict, partition_column: str | None = None, lower: int = 0, upper: int = 0, partitions: int = 8) -> DataFrame:
-    """A live table over JDBC, split by a numeric column where one is named."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    for k, v in properties.items():
-        reader = reader.option(k, v)
-    if partition_column:
-        reader = reader.option("partitionColumn", partition_column).option("lowerBound", lower).option("upperBound", upper).option("numPartitions", partitions)
-    return reader.load()
+        file, start = table.column("path")[0].as_py(), table.column("owner")[0].as_py()
+        found = [(t, r, file, start, _TAIL + i) for i, (t, r) in enumerate(rows(iter(_BREAK.findall(text)), wanted))]
+        kept = list(_batches(iter(found), 1 << 62))
+        return pa.Table.from_batches(kept) if kept else pa.table({"table": pa.array([], pa.string()), "cols": pa.array([], pa.list_(pa.string())), "path": pa.array([], pa.string()), "start": pa.array([], pa.int64()), "nth": pa.array([], pa.int64())})
+
+    across = known.mapInArrow(cut, "path string, owner bigint, start bigint, part int, piece string").groupBy("path", "owner").applyInArrow(together, _SCHEMA)
+    found = known.mapInArrow(whole, _SCHEMA).unionByName(across)
+    return found.select("table", "cols", F.struct("path", "start", "nth").alias("place"))
+
+
+def read_database(spark: SparkSession, url: str, properties: dict | None = None, tables: list[str] | None = None, partitions: int = 8) -> DataFrame:
+    """The rows of a live database, shaped as those of its dump: columns that nobody reads are null, and are not asked for.
+
+    Every table is read in ranges of its key that hold about as many rows each, whatever the gaps in the keys: the keys
+    alone are read first, for their quantiles."""
+    parts = []
+    for table in tables or list(SOURCES):
+        columns = DATABASE[table]
+        used = {i: columns[i] for i in {0, *SOURCES[table].values()}}
+        key = columns[0]
+        source = lambda only, predicates=None, table=table: _jdbc(spark, url, table, properties or {}, only, predicates)
+        bounds = quantiles(source([key]), key, partitions)
+        read = source(list(used.values()), key_ranges(key, bounds))
+        # A label of the database may come back in another case.
+        named = {c.lower(): c for c in read.columns}
+        cols = F.array(*[F.col(f"`{named[used[i].lower()]}`").cast("string") if i in used else F.lit(None).cast("string") for i in range(len(columns))])
+        place = F.struct(F.lit("").alias("path"), F.col(f"`{named[key.lower()]}`").cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("nth"))
+        parts.append(read.select(F.lit(table).alias("table"), cols.alias("cols"), place.alias("place")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _jdbc(spark: SparkSession, url: str, table: str, properties: dict, columns: list[str], predicates: list[str] | None) -> DataFrame:
+    asked = f"(SELECT {', '.join(columns)} FROM {table}) t"
+    return spark.read.jdbc(url, asked, predicates=predicates, properties=properties) if predicates else spark.read.jdbc(url, asked, properties=properties)
+
+
+def quantiles(keys: DataFrame, key: str, parts: int) -> list[int]:
+    """The keys that cut a table into ``parts`` ranges of about as many rows."""
+    name = next(c for c in keys.columns if c.lower() == key.lower())
+    found = keys.select(F.col(f"`{name}`").cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.01 / parts)
+    return sorted({int(x) for x in found})
+
+
+def key_ranges(key: str, bounds: list[int]) -> list[str]:
+    """Conditions of which every row meets exactly one; a row without a key meets the first."""
+    if not bounds:
+        return [f"{key} IS NULL OR {key} IS NOT NULL"]
+    inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [f"{key} < {bounds[0]} OR {key} IS NULL", *inner, f"{key} >= {bounds[-1]}"]

@@ -1,5 +1,7 @@
 """The whole engine over a mock dump: loading, scores, discovery, the queue, reports, the service's three faces."""
 
+import csv
+import io
 import json
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from queryvitals import api, cli
 from queryvitals.operators import behaviour as B
 from queryvitals.operators import metrics as M
+from queryvitals.operators import reports as R
 from queryvitals.operators import review as V
 from queryvitals.operators import sessions as S
 from queryvitals.schemas import Settings
@@ -210,18 +213,29 @@ def test_reports(service, tmp_path):
     assert cli.main(["--store", service.settings.store, "export-bi", str(tmp_path / "bi")], service.spark) == 0
     manifest = json.loads((tmp_path / "bi" / "manifest.json").read_text())
     assert {t["name"] for t in manifest["tables"]} == {"fact_search", "dim_query", "dim_term", "fact_daily", "fact_suggestion", "dim_overview"}
-    raw = (tmp_path / "bi" / "fact_search.csv").read_bytes()
-    assert raw.startswith(b"\xef\xbb\xbf") and b"\r\n" in raw and b"true" not in raw
-    from queryvitals.operators import reports as R
-
-    R.write_csv(service.events().limit(0), str(tmp_path / "none.csv"))
-    assert (tmp_path / "none.csv").read_bytes() == b"\xef\xbb\xbf(empty)\r\n"
+    for t in manifest["tables"]:
+        rows = []
+        for file in t["files"]:
+            raw = (tmp_path / "bi" / file).read_bytes()
+            assert raw.startswith(b"\xef\xbb\xbf") and raw.endswith(b"\r\n") and b"true" not in raw
+            header, *own = csv.reader(io.StringIO(raw.decode("utf-8-sig"), newline=""))
+            assert header == t["columns"] or (header == ["(empty)"] and not own)
+            rows += own
+        assert len(rows) == t["rows"]
+    assert next(t for t in manifest["tables"] if t["name"] == "fact_search")["rows"] == service.events().count()
+    assert not (tmp_path / "bi" / "queryvitals.pbids").exists()
+    few = {"fact_suggestion": service.tables()["fact_suggestion"].limit(0)}
+    assert R.export_tables(few, f"file://{tmp_path}/served", "https://host/bi/") == {"fact_suggestion": 0}
+    assert (tmp_path / "served" / "fact_suggestion" / "part-00000.csv").read_bytes() == b"\xef\xbb\xbf(empty)\r\n"
+    assert json.loads((tmp_path / "served" / "queryvitals.pbids").read_text())["connections"][0]["details"]["address"]["url"] == "https://host/bi/manifest.json"
     d = service.digest(3)
     assert "health stands at" in d["body_md"] and "| health_score |" in d["body_md"] and service.store.read("digest").count() == 1
     service.digest(3)
     assert service.store.read("digest").count() == 1
     cli.site(service, str(tmp_path / "site"))
-    details = json.loads((tmp_path / "site" / "query-details.json").read_text(encoding="utf-8"))
+    index = json.loads((tmp_path / "site" / "index.json").read_text())
+    details = [x for f in index["query-details"]["files"] for x in json.loads((tmp_path / "site" / f).read_text(encoding="utf-8"))]
+    assert index["query-details"]["rows"] == len(details) and (tmp_path / "site" / "digest-7.json").exists()
     assert len(details) == service.quality().count() and "results_en" in details[0]
 
 
