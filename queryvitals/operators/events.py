@@ -24,10 +24,11 @@ def lexical_hits(titles: DataFrame) -> DataFrame:
     Each distinct (query, title pair) is compared once and joined back, since popular answers repeat.
     """
     distinct = titles.select("norm_query", "title_en", "title_ar").distinct()
+    # Folded once, before the words of the query are looked for one by one.
+    folded = distinct.withColumns({f"_{c}": T.raw_tokens(T.normalize(c)) for c in ("title_en", "title_ar")})
     terms = T.raw_tokens("norm_query")
-    words = lambda c: T.raw_tokens(T.normalize(c))
-    hit = T.mentions(terms, words("title_en")) | T.mentions(terms, words("title_ar"))
-    judged = distinct.withColumn("hit", hit)
+    hit = T.mentions(terms, F.col("_title_en")) | T.mentions(terms, F.col("_title_ar"))
+    judged = folded.select(*distinct.columns, hit.alias("hit"))
     return titles.join(judged, ["norm_query", "title_en", "title_ar"]).groupBy("id").agg(F.avg(F.col("hit").cast("int")).alias("lexical_hit_rate"))
 
 

@@ -16,6 +16,8 @@ MIN_ALIGNMENT, MIN_SUPPORT = 0.25, 8
 MIN_CONFIDENCE = 0.45
 SIGNALS = {"reworded_by_shopper": 0.40, "shared_translation": 0.62, "result_overlap": 0.60, "catalogue_alignment": 0.58}
 BONUS = 0.12
+#: Queries of one product that meet in one task.
+MEETING_BLOCK = 4096
 
 
 def searched_terms(events: DataFrame, query_count: DataFrame) -> DataFrame:
@@ -33,27 +35,36 @@ def query_products(events: DataFrame, shop) -> DataFrame:
     return folded.join(shop.title_map, "norm_name").select("norm_query", "product_id").distinct().join(relevant, "norm_query", "left_semi")
 
 
-def result_overlap(products: DataFrame, min_shared: int = MIN_SHARED, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+def result_overlap(products: DataFrame, min_shared: int = MIN_SHARED, min_overlap: float = MIN_OVERLAP, block: int = MEETING_BLOCK) -> DataFrame:
     """(source, target, shared, overlap) of queries whose products coincide.
 
-    Two sets of sizes n and m with Jaccard overlap t share one of the rarest n - ceil(t n) + 1 products of the first and
-    of the rarest m - ceil(t m) + 1 of the second, and m >= t n. Only these prefixes meet, so a product that very many
-    queries find joins few of them; the shared products of each pair that met are then counted exactly.
+    Each query's products are put in one order, the rarest first. Two sets of n and m products with Jaccard overlap t share at
+    least need = max(min_shared, t (n + m) / (1 + t)) of them, so they meet in the first n - max(min_shared, t n) + 1 of
+    the one and in as many of the other, and where they meet at places i and j, what can lie before and after must
+    reach need. A product that more than ``block`` queries bring to the meeting is dealt to pairs of blocks of its queries, so
+    no task has all of them. The sets of each pair that met are then intersected.
     """
     products = stage(products)
     found_by = products.groupBy("product_id").agg(F.count("*").alias("_df"))
-    ranked = products.join(found_by, "product_id").withColumn("_r", F.row_number().over(Window.partitionBy("norm_query").orderBy("_df", "product_id")))
-    size = products.groupBy("norm_query").agg(F.count("*").alias("_n"))
-    prefix = ranked.join(size, "norm_query").where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * min_overlap - 1e-9) + 1)
-    prefix = stage(prefix.select("product_id", "norm_query", "_n"))
-    a = prefix.select("product_id", F.col("norm_query").alias("source"), F.col("_n").alias("_na"))
-    b = prefix.select("product_id", F.col("norm_query").alias("target"), F.col("_n").alias("_nb"))
-    near = (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * min_overlap - 1e-9) & (F.least("_na", "_nb") >= min_shared)
-    met = a.join(b, "product_id").where((F.col("source") < F.col("target")) & near).select("source", "target", "_na", "_nb").distinct()
-    left = met.join(products.select(F.col("norm_query").alias("source"), "product_id"), "source")
-    both = left.join(products.select(F.col("norm_query").alias("target"), "product_id"), ["target", "product_id"])
-    shared = both.groupBy("source", "target", "_na", "_nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
-    out = shared.withColumn("x_overlap", F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared"))).where(F.col("x_overlap") >= min_overlap)
+    sets = products.join(found_by, "product_id").groupBy("norm_query").agg(F.array_sort(F.collect_set(F.struct("_df", "product_id"))).alias("_s"))
+    sets = stage(sets.select("norm_query", F.transform("_s", lambda x: x["product_id"]).alias("_p")).where(F.size("_p") >= min_shared))
+    n = F.size("_p")
+    own_need = F.greatest(F.lit(min_shared), F.ceil(n * min_overlap - 1e-9).cast("int"))
+    prefix = sets.select("norm_query", n.alias("_n"), F.posexplode(F.slice("_p", F.lit(1), n - own_need + 1)).alias("_i", "product_id"))
+    # A product that one query alone brings meets nothing.
+    brought = prefix.groupBy("product_id").agg(F.count("*").alias("_w")).where("_w > 1")
+    dealt = prefix.join(brought.select("product_id", F.ceil(F.col("_w") / block).alias("_k")), "product_id")
+    own, every = F.pmod(F.xxhash64("norm_query"), F.col("_k")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1))
+    a = dealt.select("product_id", own.alias("_x"), every.alias("_y"), F.col("norm_query").alias("source"), F.col("_n").alias("_na"), F.col("_i").alias("_ia"))
+    b = dealt.select("product_id", every.alias("_x"), own.alias("_y"), F.col("norm_query").alias("target"), F.col("_n").alias("_nb"), F.col("_i").alias("_ib"))
+    need = F.greatest(F.lit(float(min_shared)), F.lit(min_overlap / (1 + min_overlap)) * (F.col("_na") + F.col("_nb")) - 1e-9)
+    possible = F.least("_ia", "_ib") + 1 + F.least(F.col("_na") - 1 - F.col("_ia"), F.col("_nb") - 1 - F.col("_ib"))
+    near = (F.least("_na", "_nb") >= need) & (possible >= need)
+    met = a.join(b, ["product_id", "_x", "_y"]).where((F.col("source") < F.col("target")) & near).select("source", "target").distinct()
+    named = lambda name, out: sets.select(F.col("norm_query").alias(name), F.col("_p").alias(out))
+    both = met.join(named("source", "_a"), "source").join(named("target", "_b"), "target")
+    counted = both.select("source", "target", F.size(F.array_intersect("_a", "_b")).cast("bigint").alias("shared"), (F.size("_a") + F.size("_b")).alias("_sum")).where(F.col("shared") >= min_shared)
+    out = counted.withColumn("x_overlap", F.col("shared") / (F.col("_sum") - F.col("shared"))).where(F.col("x_overlap") >= min_overlap)
     return out.select("source", "target", "shared", T.round_even(F.col("x_overlap"), 3).alias("overlap"))
 
 
