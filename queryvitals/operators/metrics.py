@@ -98,6 +98,11 @@ def roll_up(scored: DataFrame, cap: int = E.RESULT_CAP, by: tuple[str, ...] = ()
         F.count_if("under_filled").alias("under_filled_searches"),
         F.count_if("rapid_repeat").alias("rapid_repeats"),
     )
+    return finished(q, by)
+
+
+def finished(q: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Scores from the totals of each query: what rates and counts amount to."""
     q = q.withColumn("x_instability", F.when(F.col("searches") > 1, (F.col("_signatures") - 1) / (F.col("searches") - 1)).otherwise(F.lit(0.0)))
     q = q.withColumn("x_dissatisfaction_rate", F.when(F.col("scored") > 0, F.col("dissatisfied") / F.col("scored")))
     q = q.withColumn("x_engagement_rate", F.when(F.col("_clicked") > 0, F.col("_clicked") / F.col("searches")))
@@ -193,6 +198,12 @@ def overview(quality: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return agg.withColumn("engagement_source", source).withColumn("notes", notes).drop("_clicks")
 
 
+def newest_days(dated: DataFrame, days: int) -> DataFrame:
+    """Rows of the newest ``days`` calendar days up to the last ``day``."""
+    last = dated.agg(F.max("day").alias("_last"))
+    return dated.join(F.broadcast(last)).where(F.date_diff("_last", "day") < days).drop("_last")
+
+
 def daily_health(events: DataFrame, shop, days: int = 90, cap: int = E.RESULT_CAP) -> DataFrame:
     """The overview of each calendar day with searches, the newest ``days`` up to the last one, in one pass: the day is
     a key of the session window and of the roll-up."""

@@ -102,8 +102,9 @@ def dim_term(drivers: DataFrame, limit: int = TERM_ROWS) -> DataFrame:
     return _flags(out.drop("x_severity"))
 
 
-def fact_daily(events: DataFrame, shop, days: int = 90) -> DataFrame:
-    return _flags(M.daily_health(events, shop, days).withColumn("notes", F.array_join("notes", " | ")).withColumn("day", F.date_format("day", "yyyy-MM-dd")))
+def fact_daily(events: DataFrame, shop, days: int = 90, daily: DataFrame | None = None) -> DataFrame:
+    daily = M.daily_health(events, shop, days) if daily is None else daily
+    return _flags(daily.withColumn("notes", F.array_join("notes", " | ")).withColumn("day", F.date_format("day", "yyyy-MM-dd")))
 
 
 def fact_suggestion(queue: DataFrame) -> DataFrame:
@@ -114,14 +115,14 @@ def dim_overview(quality: DataFrame) -> DataFrame:
     return _flags(M.overview(quality).withColumn("notes", F.array_join("notes", " | ")))
 
 
-def tables(events: DataFrame, shop, queue: DataFrame, days: int = 90) -> dict[str, DataFrame]:
-    """All reporting tables over one scored log, which is computed once."""
-    quality = M.query_quality(events, shop)
+def tables(events: DataFrame, shop, queue: DataFrame, days: int = 90, quality: DataFrame | None = None, daily: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All reporting tables over one scored log: ``quality`` and ``daily`` if the caller has them, else computed once."""
+    quality = M.query_quality(events, shop) if quality is None else quality
     return {
         "fact_search": fact_search(events, quality),
         "dim_query": dim_query(quality),
         "dim_term": dim_term(D.term_drivers(quality, shop)),
-        "fact_daily": fact_daily(events, shop, days),
+        "fact_daily": fact_daily(events, shop, days, daily),
         "fact_suggestion": fact_suggestion(queue),
         "dim_overview": dim_overview(quality),
     }
@@ -151,10 +152,17 @@ def _written(df: DataFrame, folder: str, name: str, ending: str, lines, line_end
     at = path(target)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     found = sorted(f.getPath().getName() for f in files.listStatus(at) if f.getPath().getName().startswith("part-"))
+    rows = int(seen.get["rows"])
+    if not rows:
+        # Spark need not run a task for a table without rows.
+        for old in found:
+            files.delete(path(f"{target}/{old}"), False)
+        _save(spark, f"{target}/part-00000.{ending}", line_end.join([*lines(iter(())), ""]))
+        return {"files": [f"{name}/part-00000.{ending}"], "rows": 0}
     named = [f"part-{i:05d}.{ending}" for i in range(len(found))]
     for old, new in zip(found, named, strict=True):
         files.rename(path(f"{target}/{old}"), path(f"{target}/{new}"))
-    return {"files": [f"{name}/{n}" for n in named], "rows": seen.get["rows"]}
+    return {"files": [f"{name}/{n}" for n in named], "rows": rows}
 
 
 def write_csv(df: DataFrame, folder: str, name: str) -> dict:

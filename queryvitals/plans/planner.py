@@ -58,8 +58,10 @@ def preview(text: str, most: int = PREVIEW) -> str:
 class Planner:
     """Tools over one scored log. Every answer is a bounded number of rows."""
 
-    def __init__(self, events: DataFrame, shop, queue: DataFrame):
+    def __init__(self, events: DataFrame, shop, queue: DataFrame, quality: Callable[..., DataFrame] | None = None):
+        """``quality(since, until)`` scores a period, if the caller has a shorter way than the log."""
         self.events, self.shop, self.queue = events, shop, queue
+        self._scored = quality or (lambda since=None, until=None: M.query_quality(M.in_period(events, since, until), shop))
         self._quality: DataFrame | None = None
         self.tools: dict[str, Callable] = {
             "health": self.health, "problems": self.problems, "detail": self.detail, "suggestions": self.suggestions,
@@ -78,7 +80,7 @@ class Planner:
     @property
     def quality(self) -> DataFrame:
         if self._quality is None:
-            self._quality = M.query_quality(self.events, self.shop)
+            self._quality = self._scored()
         return self._quality
 
     def health(self) -> DataFrame:
@@ -104,7 +106,7 @@ class Planner:
         return covered.join(F.broadcast(sample))
 
     def compare(self, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
-        one = lambda p: M.overview(M.query_quality(M.in_period(self.events, *p), self.shop))
+        one = lambda p: M.overview(self._scored(*p))
         return M.compare_periods(one(first), one(second))
 
     def recent(self, limit: int = 10) -> DataFrame:

@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 
 from queryvitals.functions import text as T
 from queryvitals.operators import behaviour as B
+from queryvitals.operators import events as E
 from queryvitals.operators import ingest as I
 from queryvitals.operators import metrics as M
 from queryvitals.operators import reports as R
 from queryvitals.operators import review as V
 from queryvitals.operators import spelling as P
+from queryvitals.operators import states
 from queryvitals.operators import synonyms as Y
 from queryvitals.operators import terms as D
 from queryvitals.operators.shop import Shop
 from queryvitals.plans.planner import Planner
+from queryvitals.plans.stage import stage
 from queryvitals.schemas import SOURCES, TABLES, Settings
 from queryvitals.sources.dump import read_database, read_dump
 from queryvitals.sources.store import Store
@@ -43,6 +46,7 @@ class Service:
         found = [r.asDict() for r in report.collect()]
         self.store.reload(tables)
         I.check_references({k: self.store.read(k) for k in tables})
+        self.score()
         self.store.write_meta({"loaded_at": _now(), "origin": origin})
         return found
 
@@ -58,6 +62,11 @@ class Service:
         given = {"user": user, "password": os.environ.get("QUERYVITALS_DATABASE_PASSWORD", "")} if user else {}
         return self.load(read_database(self.spark, url, given | (properties or {})), f"database: {user + ' at ' if user else ''}{url.split('?')[0].split(';')[0]}")
 
+    def score(self) -> None:
+        """Score the log once and keep its daily states, from which periods of whole days are read."""
+        scored = stage(E.event_quality(B.follow_ups(self.events()), self.shop(), self.settings.result_cap))
+        self.store.write({"query_state": states.states(scored, self.settings.result_cap), "query_tail": states.tails(scored)})
+
     # Reading.
 
     def shop(self) -> Shop:
@@ -73,7 +82,16 @@ class Service:
         return M.in_period(self.store.read("search_event"), since, until).drop("day")
 
     def quality(self, since: str | None = None, until: str | None = None) -> DataFrame:
-        return M.query_quality(self.events(since, until), self.shop(), self.settings.result_cap)
+        """Scores of a period: merged from the daily states if the bounds cut no day, else computed from the log."""
+        days = states.whole_days(since, until)
+        if days is None:
+            return M.query_quality(self.events(since, until), self.shop(), self.settings.result_cap)
+        return stage(states.query_quality(self.store.read("query_state"), self.store.read("query_tail"), *days, cap=self.settings.result_cap))
+
+    def daily_health(self, days: int = 90) -> DataFrame:
+        """The overview of each of the newest ``days`` days, from the daily states."""
+        kept, cut = (self.store.read(t) for t in ("query_state", "query_tail"))
+        return M.overview(states.query_quality(M.newest_days(kept, days), cut, by_day=True, cap=self.settings.result_cap), ("day",))
 
     def overview(self, since: str | None = None, until: str | None = None) -> DataFrame:
         return M.overview(self.quality(since, until))
@@ -84,7 +102,7 @@ class Service:
 
     def query(self, text: str) -> dict:
         """One query with its newest answer; KeyError where it was never searched."""
-        rows = Planner(self.events(), self.shop(), self.queue()).run("detail", query=text)["rows"]
+        rows = self.planner().run("detail", query=text)["rows"]
         if not rows:
             raise KeyError(text)
         return rows[0]
@@ -101,10 +119,10 @@ class Service:
         return (None, None) if last is None else (str(last - timedelta(days=days)), str(last))
 
     def planner(self) -> Planner:
-        return Planner(self.events(), self.shop(), self.queue())
+        return Planner(self.events(), self.shop(), self.queue(), self.quality)
 
     def tables(self, days: int = 90) -> dict[str, DataFrame]:
-        return R.tables(self.events(), self.shop(), self.queue(), days)
+        return R.tables(self.events(), self.shop(), self.queue(), days, self.quality(), self.daily_health(days))
 
     def status(self) -> dict:
         return {"store": self.settings.store, "ready": self.store.exists(), "meta": self.store.meta()}

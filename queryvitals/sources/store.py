@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queryvitals.schemas import KEPT, TABLES
+from queryvitals.schemas import DAILY, KEPT, TABLES
 
 
 class Store:
@@ -68,8 +68,10 @@ class Store:
         for table, df in tables.items():
             made[table] = f"{table}/{uuid.uuid4().hex}"
             writer = df.write
-            if table == "search_event":
-                writer = df.withColumn("day", F.to_date("occurred_at")).write.partitionBy("day")
+            if table in DAILY:
+                dated = df if "day" in df.columns else df.withColumn("day", F.to_date("occurred_at"))
+                # One task writes a day's files, or a few for a large day.
+                writer = dated.hint("rebalance", "day").write.partitionBy("day")
             writer.parquet(f"{self.root}/{made[table]}")
         return self._publish(made)
 
