@@ -18,9 +18,11 @@ from queryvitals.operators import reports as R
 from queryvitals.operators import review as V
 from queryvitals.operators import sessions as S
 from queryvitals.operators import spelling as P
+from queryvitals.operators import states as A
 from queryvitals.operators import synonyms as Y
 from queryvitals.operators import terms as D
 from queryvitals.plans.oracles import compose
+from queryvitals.plans.stage import stage
 from queryvitals.sources.surrogate import Surrogate
 
 QUERIES: dict[str, Callable] = {}
@@ -84,6 +86,13 @@ def compatibility_forms(s: Surrogate) -> DataFrame:
     return s.table("part").select("p_partkey", T.normalize(F.concat(wide, F.lit(" \ufb01 \ufefb \u00b9\u00b2 "), "p_type")).alias("norm"))
 
 
+@query("folded_marks", "SELECT p_partkey, concat(lower(p_name), ' ậ ậ 한 οδοσ x2 strasse ', lower(p_type)) AS norm FROM part")
+def folded_marks(s: Surrogate) -> DataFrame:
+    """Marks in both orders, a syllable in parts, a final sigma in capitals, a superscript and a sharp s fold as one string does."""
+    odd = " a\u0302\u0323 a\u0323\u0302 \u1112\u1161\u11ab ΟΔΟΣ X² STRAẞE "
+    return s.table("part").select("p_partkey", T.normalize(F.concat(F.upper("p_name"), F.lit(odd), F.upper("p_type"))).alias("norm"))
+
+
 @query("token_counts", f"SELECT term, count(*) AS uses FROM (SELECT unnest(string_split({_NORM}, ' ')) AS term FROM conversations) WHERE length(term) >= 2 GROUP BY 1")
 def token_counts(s: Surrogate) -> DataFrame:
     return s.table("conversations").select(F.explode(T.tokenize(T.normalize("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("uses"))
@@ -190,6 +199,12 @@ def follow_up(s: Surrogate) -> DataFrame:
     return _followed(s).select("id", "session_id", "follow_up", "next_norm_query", "seconds_to_next", "dissatisfied")
 
 
+@query("follow_up_without_sessions", "SELECT id, next_norm_query, CASE WHEN gap IS NULL THEN 'none' WHEN gap > 300 THEN 'new_intent' WHEN next_norm_query = norm_query THEN 'repeat' ELSE 'reformulation' END AS follow_up FROM (SELECT id, norm_query, lead(norm_query) OVER o AS next_norm_query, epoch(lead(occurred_at) OVER o) - epoch(occurred_at) AS gap FROM {log} WINDOW o AS (ORDER BY occurred_at, id))")
+def follow_up_without_sessions(s: Surrogate) -> DataFrame:
+    """All searches in the one session of those without a session."""
+    return B.follow_ups(s.log().withColumn("session_id", F.lit(None).cast("string"))).select("id", "next_norm_query", "follow_up")
+
+
 @query("reformulation_kind", "SELECT reformulation, count(*) AS searches FROM {kind} WHERE reformulation IS NOT NULL GROUP BY 1")
 def reformulation_kind(s: Surrogate) -> DataFrame:
     return _kinds(s).where("reformulation IS NOT NULL").groupBy("reformulation").agg(F.count("*").alias("searches"))
@@ -314,6 +329,21 @@ def daily_health(s: Surrogate) -> DataFrame:
     return _noted(M.daily_health(s.events(), s.shop())).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+def _states(s: Surrogate) -> tuple[DataFrame, DataFrame]:
+    scored = stage(E.event_quality(B.follow_ups(s.events()), s.shop()))
+    return A.states(scored), A.tails(scored)
+
+
+@query("quality_from_states", f"SELECT {_QUALITY_SQL} FROM {{qq}}")
+def quality_from_states(s: Surrogate) -> DataFrame:
+    return A.query_quality(*_states(s)).select(*_QUALITY)
+
+
+@query("daily_health_from_states", f"SELECT day, {_OVERVIEW} FROM {{qq_day}} GROUP BY day")
+def daily_health_from_states(s: Surrogate) -> DataFrame:
+    return _noted(M.overview(A.query_quality(*_states(s), by_day=True), ("day",))).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 _METRICS = ["health_score", "total_searches", "lexical_miss_rate", "dissatisfaction_rate", "zero_result_rate"]
 
 
