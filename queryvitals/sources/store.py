@@ -54,7 +54,12 @@ class Store:
         folder = self._manifest(number).get(table) if number else None
         if folder is None:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.parquet(f"{self.root}/{folder}")
+        reader = self.spark.read
+        if table in DAILY:
+            # Without rows there is no day, and so no file that would have the schema.
+            kinds = TABLES[table] if "day date" in TABLES[table] else TABLES[table] + ", day date"
+            reader = reader.schema(kinds)
+        return reader.parquet(f"{self.root}/{folder}")
 
     def versions(self, *tables: str) -> tuple:
         """The folders of the current versions of some tables: equal as long as none of them has changed."""
