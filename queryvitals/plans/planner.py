@@ -16,6 +16,7 @@ from queryvitals.operators import ingest as I
 from queryvitals.operators import metrics as M
 from queryvitals.operators import reports as R
 from queryvitals.operators import review as V
+from queryvitals.operators import substrings as G
 
 #: The first intent whose pattern matches wins.
 INTENTS = [
@@ -58,11 +59,13 @@ def preview(text: str, most: int = PREVIEW) -> str:
 class Planner:
     """Tools over one scored log. Every answer is a bounded number of rows."""
 
-    def __init__(self, events: DataFrame, shop, queue: DataFrame, quality: Callable[..., DataFrame] | None = None):
-        """``quality(since, until)`` scores a period, if the caller has a shorter way than the log."""
+    def __init__(self, events: DataFrame, shop, queue: DataFrame, quality: Callable[..., DataFrame] | None = None, grams: DataFrame | None = None):
+        """``quality(since, until)`` scores a period, if the caller has a shorter way than the log; ``grams`` is a stored
+        index of the product names."""
         self.events, self.shop, self.queue = events, shop, queue
         self._scored = quality or (lambda since=None, until=None: M.query_quality(M.in_period(events, since, until), shop))
         self._quality: DataFrame | None = None
+        self._grams = G.postings(shop.product_name, ["product_id", "lang"]) if grams is None else grams
         self.tools: dict[str, Callable] = {
             "health": self.health, "problems": self.problems, "detail": self.detail, "suggestions": self.suggestions,
             "coverage": self.coverage, "compare": self.compare, "recent": self.recent, "profile": self.profile,
@@ -102,7 +105,8 @@ class Planner:
         spark = self.events.sparkSession
         asked = spark.createDataFrame([(norm,)], "term string")
         covered = C.coverage(asked, self.shop.vocabulary).join(C.nearest_terms(asked, self.shop.vocabulary), "term", "left")
-        sample = self.shop.product_name.where(F.contains("norm_name", F.lit(norm))).orderBy("product_id", "lang").limit(5).agg(F.collect_list("name").alias("examples"))
+        named = G.lookup([norm], self._grams, self.shop.product_name, ["product_id", "lang"]).join(self.shop.product_name, ["product_id", "lang"])
+        sample = named.orderBy("product_id", "lang").limit(5).agg(F.collect_list("name").alias("examples"))
         return covered.join(F.broadcast(sample))
 
     def compare(self, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
@@ -120,9 +124,12 @@ class Planner:
         quoted = _QUOTED.search(question)
         if quoted:
             return T.fold_string(quoted.group(1))
-        folded = f" {T.fold_string(question)} "
-        hit = self.events.select("norm_query").distinct().where((F.length("norm_query") >= 3) & F.contains(F.lit(folded), F.concat(F.lit(" "), "norm_query", F.lit(" "))))
-        row = hit.orderBy(F.desc(F.length("norm_query")), "norm_query").first()
+        runs = [x for x in G.word_sequences(T.fold_string(question)) if len(x) >= 3]
+        if not runs:
+            return None
+        # A query that the question contains is a run of its words, so runs are looked up and no query is searched.
+        asked = self.events.sparkSession.createDataFrame([(x,) for x in runs], "norm_query string")
+        row = self.events.select("norm_query").join(F.broadcast(asked), "norm_query", "left_semi").distinct().orderBy(F.desc(F.length("norm_query")), "norm_query").first()
         return row[0] if row else None
 
     def plan(self, question: str) -> tuple[str, dict]:

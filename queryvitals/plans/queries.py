@@ -19,6 +19,7 @@ from queryvitals.operators import review as V
 from queryvitals.operators import sessions as S
 from queryvitals.operators import spelling as P
 from queryvitals.operators import states as A
+from queryvitals.operators import substrings as G
 from queryvitals.operators import synonyms as Y
 from queryvitals.operators import terms as D
 from queryvitals.plans.oracles import compose
@@ -170,6 +171,14 @@ def example_products(s: Surrogate) -> DataFrame:
     return names.where(F.contains("norm_name", F.lit("gear"))).orderBy("product_id", "lang").limit(8).select("product_id", "name")
 
 
+@query("names_by_substring", "SELECT needle, p_partkey AS product_id FROM (SELECT DISTINCT substr(p_name, 2, length(p_name) % 5 + 2) AS needle FROM part) n JOIN part p ON contains(p.p_name, n.needle)")
+def names_by_substring(s: Surrogate) -> DataFrame:
+    """The English names that contain any of many pieces of names, by their grams."""
+    names = s.product_name().where("lang = 'en'")
+    needles = s.table("part").select(F.expr("substr(p_name, 2, length(p_name) % 5 + 2)").alias("needle"))
+    return G.containing(needles, G.postings(names, ["product_id"]), names, ["product_id"]).select("needle", "product_id")
+
+
 # Sessions and behaviour.
 
 

@@ -18,6 +18,7 @@ from queryvitals.operators import reports as R
 from queryvitals.operators import review as V
 from queryvitals.operators import spelling as P
 from queryvitals.operators import states
+from queryvitals.operators import substrings as G
 from queryvitals.operators import synonyms as Y
 from queryvitals.operators import terms as D
 from queryvitals.operators.shop import Shop
@@ -63,9 +64,10 @@ class Service:
         return self.load(read_database(self.spark, url, given | (properties or {})), f"database: {user + ' at ' if user else ''}{url.split('?')[0].split(';')[0]}")
 
     def score(self) -> None:
-        """Score the log once and keep its daily states, from which periods of whole days are read."""
+        """Score the log once and keep its daily states, from which periods of whole days are read; and index the names."""
         scored = stage(E.event_quality(B.follow_ups(self.events()), self.shop(), self.settings.result_cap))
         self.store.write({"query_state": states.states(scored, self.settings.result_cap), "query_tail": states.tails(scored)})
+        self.store.write({"name_gram": G.ordered(G.postings(self.store.read("product_name"), ["product_id", "lang"]))})
 
     # Reading.
 
@@ -119,7 +121,7 @@ class Service:
         return (None, None) if last is None else (str(last - timedelta(days=days)), str(last))
 
     def planner(self) -> Planner:
-        return Planner(self.events(), self.shop(), self.queue(), self.quality)
+        return Planner(self.events(), self.shop(), self.queue(), self.quality, self.store.read("name_gram"))
 
     def tables(self, days: int = 90) -> dict[str, DataFrame]:
         return R.tables(self.events(), self.shop(), self.queue(), days, self.quality(), self.daily_health(days))
