@@ -389,8 +389,10 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PAT
 
 
 def op13_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return round_trip(docs).select(
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
