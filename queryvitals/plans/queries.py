@@ -301,7 +301,31 @@ def query_reasons(s: Surrogate) -> DataFrame:
     return _quality(s).select("norm_query", F.array_join("reason_codes", "|").alias("reasons"))
 
 
-@query("query_reason_texts")
+def _percent(x: str) -> str:
+    return f"concat(CAST(CAST(round_even({x} * 100, 0) AS BIGINT) AS VARCHAR), '%')"
+
+
+def _isolated(x: str) -> str:
+    return f"concat(chr(8296), {x}, chr(8297))"
+
+
+_REASON_TEXTS = ", ".join(
+    f"CASE WHEN {condition} THEN concat({said}) END"
+    for condition, said in [
+        ("retrieval_gap AND misspelled AND intended_term IS NOT NULL", f"'Retrieval gap: a likely misspelling of ', {_isolated('intended_term')}, ', which ', format('{{:,}}', intended_coverage), ' products use; none came back.'"),
+        ("retrieval_gap AND NOT (misspelled AND intended_term IS NOT NULL)", "'Retrieval gap: the catalogue has ', format('{:,}', intended_coverage), ' matching products; none came back.'"),
+        ("xlex > 0", f"{_percent('xlex')}, ' of searches returned nothing that mentions the query.'"),
+        ("xinc >= 0.5", f"'Results are scattered over categories (', {_percent('(1 - xinc)')}, ' share one).'"),
+        ("xunder > 0", "'On average ', format('{:.1f}', xmean), ' of 5 result places were filled.'"),
+        ("xinst > 0", f"'Ranking is unstable: ', {_percent('xinst')}, ' of repeats returned other products.'"),
+        ("xdis > 0", f"{_percent('xdis')}, ' of these searches were retried or reworded at once.'"),
+        ("xrapid > 0", f"{_percent('xrapid')}, ' were fired again within two seconds with equal results; these look automated and are left out.'"),
+        ("coverage = 0 AND intended_coverage = 0", "'No product uses this word or one close to it: possibly an assortment gap.'"),
+    ]
+)
+
+
+@query("query_reason_texts", f"SELECT norm_query, concat_ws(' ', {_REASON_TEXTS}) AS reasons FROM {{qq}}")
 def query_reason_texts(s: Surrogate) -> DataFrame:
     return M.reason_texts(_quality(s)).select("norm_query", F.array_join("reasons", " ").alias("reasons"))
 
@@ -462,11 +486,32 @@ def synonym_candidates(s: Surrogate) -> DataFrame:
     return _synonyms(s).withColumn("signals", F.array_join("signals", "|")).fillna(0, ["observations", "shared_products"])
 
 
+_SPELLING_WHY = f"concat(CASE WHEN kind = 'partial_query' THEN concat({_isolated('source_term')}, ' is no catalogue word but begins ', {_isolated('target_term')}, ', which ', format('{{:,}}', target_product_count), ' products use.') ELSE concat({_isolated('source_term')}, ' names no product; ', {_isolated('target_term')}, ' is ', CAST(edit_distance AS VARCHAR), ' edits away and names ', format('{{:,}}', target_product_count), ' products.') END, CASE WHEN self_corrections > 0 THEN concat(' Shoppers re-typed it so ', CAST(self_corrections AS VARCHAR), ' times.') ELSE '' END)"
+_SPELLING_JSON = "concat(chr(123), '\"searches\":', searches, ',\"edit_distance\":', edit_distance, ',\"target_product_count\":', target_product_count, ',\"source_product_count\":0,\"self_corrections_observed\":', self_corrections, chr(125))"
+
+
+@query("spelling_evidence", f"SELECT kind, source_term, target_term, lang, confidence, {_SPELLING_WHY} AS rationale, {_SPELLING_JSON} AS evidence FROM {{spell}} WHERE confidence >= 0.45")
+def spelling_evidence(s: Surrogate) -> DataFrame:
+    """Corrections as the queue takes them."""
+    return P.as_candidates(_spelling(s))
+
+
 @query("ordered_corrections", "SELECT source_term, target_term, confidence FROM {spell} WHERE confidence >= 0.45 ORDER BY confidence DESC, searches DESC, source_term, target_term LIMIT 25")
 def ordered_corrections(s: Surrogate) -> DataFrame:
     return P.ordered(_spelling(s)).limit(25).select("source_term", "target_term", "confidence")
 
 
+_SYNONYM_WHY = f"concat('Treat ', {_isolated('source_term')}, ' and ', {_isolated('target_term')}, ' as equal: ', concat_ws('; ', CASE WHEN contains(signals, 'reworded_by_shopper') THEN concat('shoppers reworded one as the other ', observations, ' times') END, CASE WHEN contains(signals, 'result_overlap') THEN concat('their results share ', {_percent('overlap')}, ' of products') END, CASE WHEN contains(signals, 'catalogue_alignment') THEN 'product names use them for each other across languages' END, CASE WHEN contains(signals, 'shared_translation') THEN concat('both translate to ', {_isolated('translation')}) END), '.')"
+_known = lambda name, c, mark="": f"CASE WHEN {c} IS NOT NULL THEN concat(',\"{name}\":{mark}', {c}, '{mark}') ELSE '' END"
+_SYNONYM_JSON = f"concat(chr(123), '\"signals\":[\"', replace(signals, '|', '\",\"'), '\"]', {_known('observations', 'observations')}, {_known('shared_products', 'shared_products')}, {_known('result_overlap', 'overlap')}, {_known('alignment', 'alignment')}, " + _known("shared_translation", "translation", '"') + ", chr(125))"
+
+
+@query("synonym_evidence", f"SELECT 'synonym' AS kind, source_term, target_term, lang, confidence, {_SYNONYM_WHY} AS rationale, {_SYNONYM_JSON} AS evidence FROM {{syn}}")
+def synonym_evidence(s: Surrogate) -> DataFrame:
+    """Pairs as the queue takes them."""
+    return Y.as_candidates(_synonyms(s))
+
+
 @query("ordered_synonyms", "SELECT source_term, target_term, confidence FROM {syn} ORDER BY confidence DESC, source_term, target_term LIMIT 25")
 def ordered_synonyms(s: Surrogate) -> DataFrame:
     return Y.ordered(_synonyms(s)).limit(25).select("source_term", "target_term", "confidence")
