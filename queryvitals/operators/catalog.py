@@ -69,21 +69,31 @@ def within_edits(left: DataFrame, right: DataFrame, a: str, b: str, most: int =
     return met.where(F.levenshtein(a, b) <= 2 * most).withColumn("distance", T.osa_distance(a, b)).where(F.col("distance") <= most)
 
 
-def nearest_terms(terms: DataFrame, vocab: DataFrame, term: str = "term") -> DataFrame:
+def _stocked(vocab: DataFrame) -> DataFrame:
+    return vocab.where(F.col("product_count") >= CORRECTION_SUPPORT).select(F.col("term").alias("match"), F.col("lang").alias("match_lang"), F.col("product_count").alias("support"))
+
+
+def reach(vocab: DataFrame) -> DataFrame:
+    """(short, match): what is left of each stocked term after up to ``MOST_EDITS`` deletions."""
+    return _stocked(vocab).select("match").distinct().select(F.explode(T.deletions("match", MOST_EDITS)).alias("short"), "match")
+
+
+def nearest_terms(terms: DataFrame, vocab: DataFrame, term: str = "term", near_by: DataFrame | None = None) -> DataFrame:
     """(term, match, match_lang, distance, support) of the terms that have a vocabulary term in reach.
 
     Exact variants win (the term before its stem, Arabic before English). Only what is left is compared: two strings
     within k edits share a string that both reach by at most k deletions, so both sides are joined on their deletions,
-    and the distance is computed once for each pair that meets. Ties: nearest, best stocked, shortest, then by code point.
+    and the distance is computed once for each pair that meets. ``near_by`` is ``reach(vocab)``, if the caller has it.
+    Ties: nearest, best stocked, shortest, then by code point.
     """
     distinct = terms.select(F.col(term).alias("term")).where("term <> ''").distinct()
     each = distinct.select("term", F.posexplode(T.term_variants("term")).alias("_p", "_v"))
     exact = each.join(vocab.select(F.col("term").alias("_v"), "lang", "product_count"), "_v")
     exact = exact.groupBy("term").agg(F.min_by(F.struct(F.col("_v").alias("match"), F.col("lang").alias("match_lang"), F.lit(0).alias("distance"), F.col("product_count").alias("support")), F.struct("_p", "lang")).alias("m"))
     rest = distinct.join(exact, "term", "left_anti").withColumn("budget", T.edit_budget("term")).where("budget > 0")
-    stocked = vocab.where(F.col("product_count") >= CORRECTION_SUPPORT).select(F.col("term").alias("match"), F.col("lang").alias("match_lang"), F.col("product_count").alias("support"))
+    stocked = _stocked(vocab)
     left = rest.select("term", "budget", F.explode(F.when(F.col("budget") == 1, T.deletions("term", 1)).otherwise(T.deletions("term", MOST_EDITS))).alias("_k"))
-    right = stocked.select("match").distinct().select("match", F.explode(T.deletions("match", MOST_EDITS)).alias("_k"))
+    right = (reach(vocab) if near_by is None else near_by).select("match", F.col("short").alias("_k"))
     met = left.join(right, "_k").where(F.abs(F.length("term") - F.length("match")) <= F.col("budget")).select("term", "match", "budget").distinct()
     near = met.where(F.levenshtein("term", "match") <= 2 * F.col("budget")).withColumn("distance", T.osa_distance("term", "match")).where("distance <= budget")
     near = near.join(stocked, "match").groupBy("term").agg(
@@ -92,24 +102,27 @@ def nearest_terms(terms: DataFrame, vocab: DataFrame, term: str = "term") -> Dat
     return exact.select("term", "m.*").unionByName(near.select("term", "m.*"))
 
 
-def query_matches(queries: DataFrame, vocab: DataFrame) -> DataFrame:
+def query_matches(queries: DataFrame, vocab: DataFrame, near_by: DataFrame | None = None) -> DataFrame:
     """(norm_query, intended_term, intended_lang, correction_distance, intended_coverage): the best match of any word."""
     words = queries.select("norm_query").distinct().select("norm_query", F.posexplode(T.tokenize("norm_query")).alias("_p", "term"))
-    near = nearest_terms(words, vocab)
+    near = nearest_terms(words, vocab, near_by=near_by)
     best = F.min_by(F.struct("match", "match_lang", "distance", "support"), F.struct("distance", -F.col("support"), "_p"))
     out = words.join(near, "term").groupBy("norm_query").agg(best.alias("m"))
     return out.select("norm_query", F.col("m.match").alias("intended_term"), F.col("m.match_lang").alias("intended_lang"), F.col("m.distance").alias("correction_distance"), F.col("m.support").alias("intended_coverage"))
 
 
-def completions(terms: DataFrame, vocab: DataFrame, term: str = "term") -> DataFrame:
-    """(term, completion, completion_lang, completion_support): the best stocked longer term that starts with it.
-
-    The best completion of every prefix of the vocabulary is a partial aggregate, so a prefix that begins very many
-    terms is one row when it meets the terms.
-    """
-    short = terms.select(F.col(term).alias("term")).distinct().where(F.length("term") >= COMPLETION_PREFIX)
+def best_completions(vocab: DataFrame) -> DataFrame:
+    """(prefix, completion, completion_lang, completion_support): for each prefix of the vocabulary the best stocked longer
+    term; a partial aggregate, so a prefix that begins very many terms is one row when it meets what is asked."""
     words = vocab.where(F.length("term") > COMPLETION_PREFIX)
     prefixes = F.transform(F.sequence(F.lit(COMPLETION_PREFIX), F.length("term") - 1), lambda n: F.substring("term", F.lit(1), n))
-    each = words.select(F.explode(prefixes).alias("_p"), F.col("term").alias("completion"), F.col("lang").alias("completion_lang"), F.col("product_count").alias("completion_support"))
+    each = words.select(F.explode(prefixes).alias("prefix"), F.col("term").alias("completion"), F.col("lang").alias("completion_lang"), F.col("product_count").alias("completion_support"))
     best = F.min_by(F.struct("completion", "completion_lang", "completion_support"), F.struct(-F.col("completion_support"), "completion", "completion_lang"))
-    return short.join(each.groupBy(F.col("_p").alias("term")).agg(best.alias("m")), "term").select("term", "m.*")
+    return each.groupBy("prefix").agg(best.alias("m")).select("prefix", "m.*")
+
+
+def completions(terms: DataFrame, vocab: DataFrame, term: str = "term", best: DataFrame | None = None) -> DataFrame:
+    """(term, completion, completion_lang, completion_support): the best stocked longer term that starts with it. ``best``
+    is ``best_completions(vocab)``, if the caller has it."""
+    short = terms.select(F.col(term).alias("term")).distinct().where(F.length("term") >= COMPLETION_PREFIX)
+    return short.join((best_completions(vocab) if best is None else best).withColumnRenamed("prefix", "term"), "term")

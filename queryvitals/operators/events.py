@@ -58,7 +58,7 @@ def event_quality(events: DataFrame, shop, cap: int = RESULT_CAP) -> DataFrame:
         events.join(lexical_hits(titles), "id", "left")
         .join(coherence(resolved(titles, shop.title_map), shop.product_category, shop.usable_categories, shop.category_labels), "id", "left")
         .join(C.query_coverage(queries, shop.vocabulary), "norm_query", "left")
-        .join(C.query_matches(queries, shop.vocabulary), "norm_query", "left")
+        .join(C.query_matches(queries, shop.vocabulary, shop.reach), "norm_query", "left")
     )
     out = out.withColumns(
         {

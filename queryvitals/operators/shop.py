@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from queryvitals.operators import catalog as C
 from queryvitals.plans.stage import stage
 
+#: What is derived from the catalogue: its table in the store, and the column by which that is ordered.
+DERIVED = {"vocabulary": ("catalog_term", "term"), "title_map": ("title_map", "norm_name"), "reach": ("term_reach", "short"), "best_completions": ("term_completion", "prefix")}
+
 
 @dataclass(frozen=True)
 class Shop:
@@ -17,14 +20,24 @@ class Shop:
     product_name: DataFrame
     product_category: DataFrame
     category_name: DataFrame
+    #: Stored tables of what would be derived, by name; see ``DERIVED``.
+    derived: dict[str, DataFrame] = field(default_factory=dict)
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return C.vocabulary(self.product_name)
+        return self.derived.get("vocabulary", C.vocabulary(self.product_name))
 
     @cached_property
     def title_map(self) -> DataFrame:
-        return C.title_map(self.product_name)
+        return self.derived.get("title_map", C.title_map(self.product_name))
+
+    @cached_property
+    def reach(self) -> DataFrame:
+        return self.derived.get("reach", C.reach(self.vocabulary))
+
+    @cached_property
+    def best_completions(self) -> DataFrame:
+        return self.derived.get("best_completions", C.best_completions(self.vocabulary))
 
     @cached_property
     def usable_categories(self) -> DataFrame:
@@ -37,5 +50,6 @@ class Shop:
     def staged(self) -> Shop:
         """The same catalogue with its vocabulary and titles written once, for several measures over one snapshot."""
         for name in ("vocabulary", "title_map"):
-            self.__dict__[name] = stage(getattr(self, name))
+            if name not in self.derived:
+                self.__dict__[name] = stage(getattr(self, name))
         return self

@@ -32,7 +32,7 @@ def spelling_candidates(frequencies: DataFrame, corrections: DataFrame, shop, mi
     """(kind, source_term, target_term, lang, confidence, searches, edit_distance, target_product_count, self_corrections)."""
     single = frequencies.where((F.col("norm_query") != "") & ~F.contains("norm_query", F.lit(" ")))
     unknown = C.coverage(single.withColumnRenamed("norm_query", "term").select("term"), shop.vocabulary).where("coverage = 0").drop("coverage")
-    near = C.nearest_terms(unknown, shop.vocabulary).where("distance > 0")
+    near = C.nearest_terms(unknown, shop.vocabulary, near_by=shop.reach).where("distance > 0")
     out = near.join(single.withColumnRenamed("norm_query", "term"), "term")
     seen = corrections.select(F.col("source").alias("term"), F.col("target").alias("match"), F.col("observations").alias("_seen"))
     out = out.join(seen, ["term", "match"], "left").withColumn("self_corrections", F.coalesce("_seen", F.lit(0)))

@@ -18,7 +18,7 @@ def term_drivers(quality: DataFrame, shop) -> DataFrame:
     A query with two words that fold onto one term counts twice there, once for each word.
     """
     words = quality.select("norm_query", "display_query", "searches", "is_problem", "severity", "impact", "retrieval_gap", F.explode(F.array_distinct(T.tokenize("norm_query"))).alias("token"))
-    near = C.nearest_terms(words, shop.vocabulary, "token").select(F.col("term").alias("token"), F.col("match").alias("_canonical"))
+    near = C.nearest_terms(words, shop.vocabulary, "token", shop.reach).select(F.col("term").alias("token"), F.col("match").alias("_canonical"))
     members = words.join(near, "token", "left").withColumn("term", F.coalesce("_canonical", "token"))
     n = F.sum("searches")
     out = members.groupBy("term").agg(
@@ -33,7 +33,7 @@ def term_drivers(quality: DataFrame, shop) -> DataFrame:
     )
     out = stage(out)  # one row per term, read by three lookups
     out = C.coverage(out.select("term"), shop.vocabulary).join(out, "term")
-    ends = C.completions(out.where("coverage = 0"), shop.vocabulary)
+    ends = C.completions(out.where("coverage = 0"), shop.vocabulary, best=shop.best_completions)
     out = out.join(ends, "term", "left").withColumn("mean_severity", T.round_even(F.col("x_severity"), 3))
     verdict = (
         F.when((F.col("coverage") == 0) & F.col("completion").isNotNull(), "partial query")

@@ -104,7 +104,7 @@ class Planner:
         norm = T.fold_string(term)
         spark = self.events.sparkSession
         asked = spark.createDataFrame([(norm,)], "term string")
-        covered = C.coverage(asked, self.shop.vocabulary).join(C.nearest_terms(asked, self.shop.vocabulary), "term", "left")
+        covered = C.coverage(asked, self.shop.vocabulary).join(C.nearest_terms(asked, self.shop.vocabulary, near_by=self.shop.reach), "term", "left")
         named = G.lookup([norm], self._grams, self.shop.product_name, ["product_id", "lang"]).join(self.shop.product_name, ["product_id", "lang"])
         sample = named.orderBy("product_id", "lang").limit(5).agg(F.collect_list("name").alias("examples"))
         return covered.join(F.broadcast(sample))

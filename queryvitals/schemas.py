@@ -17,6 +17,9 @@ TABLES = {
     "query_count": "query string, norm_query string, count bigint",
     "query_state": "day date, norm_query string, display_query struct<occurred_at:timestamp_ntz,id:bigint,v:string>, script struct<occurred_at:timestamp_ntz,id:bigint,v:string>, intended_term struct<occurred_at:timestamp_ntz,id:bigint,v:string>, dominant_category struct<occurred_at:timestamp_ntz,id:bigint,v:string>, searches bigint, results bigint, results_n bigint, zero bigint, zero_n bigint, unfilled bigint, miss bigint, miss_n bigint, coherence double, coherence_n bigint, scored bigint, dissatisfied bigint, rapid bigint, clicked bigint, under_filled bigint, coverage bigint, intended_coverage bigint, correction_distance int, signatures array<string>, sessions array<string>, retrieval_gap boolean, min_results int, first_seen timestamp_ntz, last_seen timestamp_ntz",
     "query_tail": "day date, next_day date, norm_query string, scored int, dissatisfied int, rapid int",
+    "title_map": "norm_name string, product_id bigint",
+    "term_reach": "short string, match string",
+    "term_completion": "prefix string, completion string, completion_lang string, completion_support bigint",
     "name_gram": "gram string, product_id bigint, lang string",
     "suggestion": "id bigint, kind string, source_term string, target_term string, lang string, confidence double, rationale string, evidence string, status string, created_at string, updated_at string, reviewer string, review_note string",
     "digest": "id bigint, period_start string, period_end string, generated_at string, narrative_source string, body_md string, metrics string",

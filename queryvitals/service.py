@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from dataclasses import replace
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from queryvitals.operators import states
 from queryvitals.operators import substrings as G
 from queryvitals.operators import synonyms as Y
 from queryvitals.operators import terms as D
-from queryvitals.operators.shop import Shop
+from queryvitals.operators.shop import DERIVED, Shop
 from queryvitals.plans.planner import Planner
 from queryvitals.plans.stage import stage
 from queryvitals.schemas import SOURCES, TABLES, Settings
@@ -72,13 +73,24 @@ class Service:
     # Reading.
 
     def shop(self) -> Shop:
-        """The catalogue with its vocabulary and titles, derived once for each version of its tables."""
+        """The catalogue with what is derived from it, which is kept in the store: derived once for each version of its
+        tables, by whoever needs it first."""
         version = self.store.versions("product", "product_name", "product_category", "category_name")
         if self._shop is None or self._shop[0] != version:
-            r = self.store.read
-            self._shop = (version, Shop(r("product"), r("product_name"), r("product_category"), r("category_name")).staged())
+            self._shop = (version, self._catalogue(version))
         return self._shop[1]
 
+    def _catalogue(self, version: tuple) -> Shop:
+        r, mark = self.store.read, json.dumps(version)
+        plain = Shop(r("product"), r("product_name"), r("product_category"), r("category_name"))
+        if not self.store.exists():
+            return plain
+        if self.store.meta().get("catalogue_of") != mark:
+            made = {table: getattr(plain, name).repartitionByRange(key).sortWithinPartitions(key) for name, (table, key) in DERIVED.items()}
+            self.store.write(made)
+            self.store.write_meta({"catalogue_of": mark})
+        return replace(plain, derived={name: r(table) for name, (table, _) in DERIVED.items()})
+
     def events(self, since: str | None = None, until: str | None = None) -> DataFrame:
         """The log, without the days by which the store keeps it."""
         return M.in_period(self.store.read("search_event"), since, until).drop("day")

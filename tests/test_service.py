@@ -239,6 +239,28 @@ def test_reports(service, tmp_path):
     assert len(details) == service.quality().count() and "results_en" in details[0]
 
 
+def test_what_is_derived_from_the_catalogue_outlives_the_process(spark, service):
+    from queryvitals.operators import catalog as C
+    from queryvitals.operators.shop import DERIVED
+
+    tables = [table for table, _ in DERIVED.values()]
+    service.shop()
+    before = service.store.versions(*tables)
+    other = Service(spark, service.settings)
+    shop = other.shop()
+    assert other.store.versions(*tables) == before and set(shop.derived) == set(DERIVED)
+    asked = spark.createDataFrame([("hony",), ("sesamme",), ("lentils",), ("wal",), ("zzzz",)], "term string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    fresh = C.vocabulary(shop.product_name)
+    assert rows(C.nearest_terms(asked, shop.vocabulary, near_by=shop.reach)) == rows(C.nearest_terms(asked, fresh)) != []
+    assert rows(C.completions(asked, shop.vocabulary, best=shop.best_completions)) == rows(C.completions(asked, fresh)) != []
+    assert rows(shop.title_map) == rows(C.title_map(shop.product_name))
+    # Other names make other tables, which the first process then sees as well.
+    other.store.write({"product_name": other.store.read("product_name").where("product_id > 20")})
+    assert service.shop().vocabulary.where("term = 'lentils'").count() == 0 and service.store.versions(*tables) != before
+    assert Service(spark, service.settings).shop() is not None
+
+
 def test_cli(service, tmp_path, capsys):
     assert cli.main([]) == 1
     assert cli.main(["--store", str(tmp_path / "s"), "etl", str(tmp_path / "no.sql")], service.spark) == 2
