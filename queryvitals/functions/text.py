@@ -133,7 +133,7 @@ def split_lines(block: Column | str) -> Column:
 def result_signature(en: Column | str, ar: Column | str) -> Column:
     """16 hex digits that do not depend on the order of the titles; Arabic titles where there are no English ones."""
     used = F.when(F.size(_col(en)) > 0, _col(en)).otherwise(_col(ar))
-    return F.substring(F.sha1(F.array_join(F.array_sort(F.coalesce(used, F.array().cast("array<string>"))), "\n")), 1, 16)
+    return F.substring(F.sha1(F.array_join(F.sort_array(F.coalesce(used, F.array().cast("array<string>"))), "\n")), 1, 16)
 
 
 def is_prefix_of(short: Column | str, long: Column | str) -> Column:
@@ -237,6 +237,11 @@ def mentions(terms: Column, title_tokens: Column, min_prefix: int = 3) -> Column
     return F.exists(terms, lambda t: F.exists(title_tokens, lambda k: (k == t) | ((F.length(t) >= min_prefix) & F.startswith(k, t))))
 
 
+def needles(terms: Column, min_prefix: int = 3) -> Column:
+    """What a folded title, with a blank before and behind it, contains if it mentions one of the terms (see ``mentions``)."""
+    return F.transform(terms, lambda t: F.concat(F.lit(" "), t, F.when(F.length(t) < min_prefix, " ").otherwise("")))
+
+
 def deletions(term: Column | str, most: int) -> Column:
     """The term and everything left of it after up to ``most`` deletions."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from queryvitals.functions.text import isolate, round_even
 from queryvitals.operators import behaviour as B
 from queryvitals.operators import events as E
-from queryvitals.plans.stage import stage
+from queryvitals.plans.stage import written
 
 # Signal weights and the rounded severity from which a query is a problem.
 WEIGHTS = {"lexical_miss_rate": 0.30, "dissatisfaction_rate": 0.25, "incoherence": 0.20, "under_fill": 0.15, "instability": 0.10}
@@ -63,44 +63,82 @@ def query_quality(events: DataFrame, shop, cap: int = E.RESULT_CAP, by: tuple[st
     columns that start with ``x_``; the others are rounded as reported."""
     scored = E.event_quality(B.follow_ups(events, by), shop, cap)
     # One row per distinct query, which every summary reads more than once.
-    return stage(roll_up(scored, cap, by))
+    return written(roll_up(scored, cap, by))
 
 
 def roll_up(scored: DataFrame, cap: int = E.RESULT_CAP, by: tuple[str, ...] = ()) -> DataFrame:
-    order = F.struct("occurred_at", "id")
-    first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), order))
-    n = F.count("*")
-    q = scored.groupBy(*by, "norm_query").agg(
-        F.min_by("raw_query", order).alias("display_query"),
-        F.min_by("script", order).alias("script"),
-        n.alias("searches"),
-        F.count_distinct("session_id").alias("sessions"),
+    """Totals of each query. What is text is first a key, and the order of searches one number, so that tasks add up in
+    hash tables instead of sorting their searches; the first values are then sought among few rows."""
+    keys = [*by, "norm_query"]
+    texts = ["raw_query", "script", "intended_term", "dominant_category"]
+    parts = scored.groupBy(*keys, *texts).agg(
+        F.min(_place()).alias("_place"),
+        F.count("*").alias("searches"),
         F.min("occurred_at").alias("first_seen"),
         F.max("occurred_at").alias("last_seen"),
-        F.avg("result_count").alias("x_mean_results"),
+        F.sum(F.col("result_count").cast("bigint")).alias("_results"),
+        F.count("result_count").alias("_counted"),
         F.min("result_count").alias("min_results"),
-        F.avg(F.col("zero_results").cast("int")).alias("x_zero_result_rate"),
-        (F.sum(F.greatest(F.lit(0), cap - F.col("result_count"))) / (cap * F.count("*"))).alias("x_under_fill"),
-        F.avg(F.col("lexical_miss").cast("int")).alias("x_lexical_miss_rate"),
-        (1 - F.avg("coherence")).alias("x_incoherence"),
-        F.count_distinct("result_signature").alias("_signatures"),
+        F.count("zero_results").alias("_zeros_known"),
+        F.count_if("zero_results").alias("zero_result_searches"),
+        F.sum(F.greatest(F.lit(0), cap - F.col("result_count")).cast("bigint")).alias("_unfilled"),
+        F.count("lexical_miss").alias("_misses_known"),
+        F.count_if("lexical_miss").alias("_misses"),
+        F.sum("coherence").alias("_coherence"),
+        F.count("coherence").alias("_coherent"),
         F.count_if((F.col("follow_up") != "none") & ~F.col("rapid_repeat")).alias("scored"),
         F.count_if("dissatisfied").alias("dissatisfied"),
-        F.avg(F.col("rapid_repeat").cast("int")).alias("x_rapid_repeat_rate"),
+        F.count("rapid_repeat").alias("_rapid_known"),
+        F.count_if("rapid_repeat").alias("rapid_repeats"),
         F.count("clicked_rank").alias("_clicked"),
         F.max("coverage").alias("coverage"),
-        F.bool_or("retrieval_gap").alias("retrieval_gap"),
+        F.max(F.col("retrieval_gap").cast("int")).alias("_gap"),
+        F.max("intended_coverage").alias("intended_coverage"),
+        F.max("correction_distance").alias("correction_distance"),
+        F.count_if("under_filled").alias("under_filled_searches"),
+    )
+    first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("_place")))
+    total = lambda *names: [F.sum(c).alias(c) for c in names]
+    share = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b))
+    q = parts.groupBy(*keys).agg(
+        F.min_by("raw_query", "_place").alias("display_query"),
+        F.min_by("script", "_place").alias("script"),
+        *total("searches"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        share("_results", "_counted").alias("x_mean_results"),
+        F.min("min_results").alias("min_results"),
+        share("zero_result_searches", "_zeros_known").alias("x_zero_result_rate"),
+        (F.sum("_unfilled") / (cap * F.sum("searches"))).alias("x_under_fill"),
+        share("_misses", "_misses_known").alias("x_lexical_miss_rate"),
+        (1 - share("_coherence", "_coherent")).alias("x_incoherence"),
+        *total("scored", "dissatisfied"),
+        share("rapid_repeats", "_rapid_known").alias("x_rapid_repeat_rate"),
+        *total("_clicked"),
+        F.max("coverage").alias("coverage"),
+        (F.max("_gap") > 0).alias("retrieval_gap"),
         first("intended_term").alias("intended_term"),
         F.max("intended_coverage").alias("intended_coverage"),
         F.max("correction_distance").alias("correction_distance"),
         first("dominant_category").alias("dominant_category"),
-        F.count_if("zero_results").alias("zero_result_searches"),
-        F.count_if("under_filled").alias("under_filled_searches"),
-        F.count_if("rapid_repeat").alias("rapid_repeats"),
+        *total("zero_result_searches", "under_filled_searches", "rapid_repeats"),
     )
+    # A distinct count beside other sums would make each search three rows; these read two columns of the log.
+    for name, of in (("sessions", "session_id"), ("_signatures", "result_signature")):
+        several = scored.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], of).distinct()
+        counted = several.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.count(of).alias(name))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        q = q.join(counted, same).drop(*[f"_k{i}" for i in range(len(keys))])
     return finished(q, by)
 
 
+def _place() -> Column:
+    """Time and id of a search as one number, in their order (a missing time first), of which tasks keep the least in place."""
+    whole = lambda c: c.cast("decimal(19,0)")
+    micros = (F.col("occurred_at") - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second").cast("decimal(20,6)") * 1_000_000
+    return F.coalesce(whole(micros), whole(F.lit(-(2**62)))) * F.lit("20000000000000000000").cast("decimal(20,0)") + whole(F.col("id"))
+
+
 def finished(q: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Scores from the totals of each query: what rates and counts amount to."""
     q = q.withColumn("x_instability", F.when(F.col("searches") > 1, (F.col("_signatures") - 1) / (F.col("searches") - 1)).otherwise(F.lit(0.0)))

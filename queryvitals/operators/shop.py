@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from queryvitals.operators import catalog as C
-from queryvitals.plans.stage import stage
+from queryvitals.plans.stage import written
 
 #: What is derived from the catalogue: its table in the store, and the column by which that is ordered.
 DERIVED = {"vocabulary": ("catalog_term", "term"), "title_map": ("title_map", "norm_name"), "reach": ("term_reach", "short"), "best_completions": ("term_completion", "prefix")}
@@ -51,5 +51,5 @@ class Shop:
         """The same catalogue with its vocabulary and titles written once, for several measures over one snapshot."""
         for name in ("vocabulary", "title_map"):
             if name not in self.derived:
-                self.__dict__[name] = stage(getattr(self, name))
+                self.__dict__[name] = written(getattr(self, name))
         return self

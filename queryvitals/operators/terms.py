@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from queryvitals.functions import text as T
 from queryvitals.operators import catalog as C
-from queryvitals.plans.stage import stage
+from queryvitals.plans.stage import written
 
 TERM_LIMIT = 25
 
@@ -31,7 +31,7 @@ def term_drivers(quality: DataFrame, shop) -> DataFrame:
         T.round_even(F.sum("impact"), 4).alias("total_impact"),
         F.bool_or("retrieval_gap").alias("has_gap"),
     )
-    out = stage(out)  # one row per term, read by three lookups
+    out = written(out)  # one row per term, read by three lookups
     out = C.coverage(out.select("term"), shop.vocabulary).join(out, "term")
     ends = C.completions(out.where("coverage = 0"), shop.vocabulary, best=shop.best_completions)
     out = out.join(ends, "term", "left").withColumn("mean_severity", T.round_even(F.col("x_severity"), 3))

@@ -6,6 +6,7 @@ A cached table repeats its whole plan in every plan above it, and is lost with i
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,14 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from files by column in the same folder: who reads a few columns of a wide table reads no others, and
+    the files' sizes tell what is small enough to be broadcast."""
+    folder = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """``df`` with ``name``: 1, 2, ... in the given order. Rows are sorted over all tasks; only the counts of the tasks
     meet in one."""
