@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from queryvitals.functions import text as T
+from queryvitals.plans.stage import written
 
 REWORD_SECONDS = 300
 RAPID_SECONDS = 2.0
@@ -50,11 +51,12 @@ def follow_ups(events: DataFrame, by: tuple[str, ...] = (), bucket_seconds: int
 
 
 def reformulation_kinds(followed: DataFrame) -> DataFrame:
-    """``followed`` with reformulation: refinement, typo_fix or switch. Distances are computed once per distinct pair."""
+    """``followed`` with reformulation: refinement, typo_fix or switch. Distances are computed once per distinct pair,
+    which are written, since a filter on the kind would else be moved to the searches, distances and all."""
     pairs = followed.where("follow_up = 'reformulation'").select("norm_query", "next_norm_query").distinct()
     prefix = T.is_prefix_of("norm_query", "next_norm_query") | T.is_prefix_of("next_norm_query", "norm_query")
     kind = F.when(prefix, "refinement").when(T.within_osa("norm_query", "next_norm_query", TYPO_DISTANCE), "typo_fix").otherwise("switch")
-    known = pairs.select(F.col("norm_query").alias("_a"), F.col("next_norm_query").alias("_b"), kind.alias("_kind"))
+    known = written(written(pairs).select(F.col("norm_query").alias("_a"), F.col("next_norm_query").alias("_b"), kind.alias("_kind")))
     joined = followed.join(known, (F.col("norm_query") == F.col("_a")) & (F.col("next_norm_query") == F.col("_b")), "left")
     return joined.withColumn("reformulation", F.when(F.col("follow_up") == "reformulation", F.col("_kind"))).drop("_a", "_b", "_kind")
 

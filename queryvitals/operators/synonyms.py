@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from queryvitals.functions import text as T
 from queryvitals.operators import catalog as C
 from queryvitals.operators import events as E
-from queryvitals.plans.stage import stage
+from queryvitals.plans.stage import written
 
 # Thresholds and what each signal is worth.
 MIN_OVERLAP, MIN_SHARED = 0.30, 2
@@ -44,10 +44,10 @@ def result_overlap(products: DataFrame, min_shared: int = MIN_SHARED, min_overla
     reach need. A product that more than ``block`` queries bring to the meeting is dealt to pairs of blocks of its queries, so
     no task has all of them. The sets of each pair that met are then intersected.
     """
-    products = stage(products)
+    products = written(products)
     found_by = products.groupBy("product_id").agg(F.count("*").alias("_df"))
     sets = products.join(found_by, "product_id").groupBy("norm_query").agg(F.array_sort(F.collect_set(F.struct("_df", "product_id"))).alias("_s"))
-    sets = stage(sets.select("norm_query", F.transform("_s", lambda x: x["product_id"]).alias("_p")).where(F.size("_p") >= min_shared))
+    sets = written(sets.select("norm_query", F.transform("_s", lambda x: x["product_id"]).alias("_p")).where(F.size("_p") >= min_shared))
     n = F.size("_p")
     own_need = F.greatest(F.lit(min_shared), F.ceil(n * min_overlap - 1e-9).cast("int"))
     prefix = sets.select("norm_query", n.alias("_n"), F.posexplode(F.slice("_p", F.lit(1), n - own_need + 1)).alias("_i", "product_id"))
@@ -71,7 +71,7 @@ def result_overlap(products: DataFrame, min_shared: int = MIN_SHARED, min_overla
 def dice_alignment(product_name: DataFrame, terms: DataFrame, min_support: int = MIN_SUPPORT, min_dice: float = MIN_ALIGNMENT) -> DataFrame:
     """(source, target, source_lang, shared, alignment): searched terms and the other language's terms that name the same
     products. Terms meet through one product's names, which hold a few words each, so no product makes many pairs."""
-    names = stage(C.name_terms(product_name))
+    names = written(C.name_terms(product_name))
     frequency = names.groupBy(F.col("term").alias("target"), F.col("lang").alias("target_lang")).agg(F.count("*").alias("_df"))
     asked = names.join(terms, "term", "left_semi").select("product_id", F.col("term").alias("source"), F.col("lang").alias("source_lang"))
     totals = asked.groupBy("source", "source_lang").agg(F.count("*").alias("_total"))
@@ -105,7 +105,7 @@ def synonym_candidates(reworded: DataFrame, overlap: DataFrame, aligned: DataFra
     """(source_term, target_term, lang, confidence, signals, observations, shared_products, overlap, alignment, translation).
 
     Pairs are unordered; observations of both directions add up; the language is that of the first signal in order."""
-    aligned = stage(aligned)
+    aligned = written(aligned)
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     rows = [
         reworded.select("source", "target", F.lit(0).alias("_o"), F.lit("reworded_by_shopper").alias("signal"), F.lit("ar").alias("lang"), "observations", none("bigint", "shared_products"), none("double", "overlap"), none("double", "alignment"), none("string", "translation")),

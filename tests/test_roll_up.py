@@ -64,3 +64,9 @@ def test_folded_titles_mention_as_their_words_do(spark):
     terms, padded = T.raw_tokens("query"), F.concat(F.lit(" "), "title", F.lit(" "))
     got = df.select(T.mentions(terms, T.raw_tokens("title")).alias("a"), F.exists(T.needles(terms), lambda w: F.contains(padded, w)).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got) and any(r["a"] for r in got) and not all(r["a"] for r in got)
+
+
+def test_distances_are_not_computed_for_each_search(spark):
+    kinds = B.reformulation_kinds(B.follow_ups(Surrogate(spark, SF).events()))
+    for tally in (B.reworded_pairs(kinds), B.self_corrections(kinds)):
+        assert "levenshtein" not in plan(tally).lower() and tally.count() > 0
