@@ -155,11 +155,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
     classes = signed.where("n > 0").groupBy("s").agg(first.alias("r"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("x1").alias("x1"), F.first("x2").alias("x2"))
     classes = K.checkpoint(classes.select("s", "r.id", "r.th", "n", "mins", "x1", "x2"))
-    total = classes.count() * trees
+    distinct = classes.count()
+    classes, total = K.packed(classes, distinct), distinct * trees
     roots = classes.select("s", "n", "x1", "x2", F.posexplode(F.slice("mins", 1, trees)).alias("tree", "m")).select("s", "n", "x1", "x2", "tree", F.xxhash64("tree", "m").alias("path"))
     # The hub of a node is its smallest class in every second tree and its largest in the others.
     hubs = K.checkpoint(roots.groupBy("path").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("members")).where("lo <> hi"))
     shared_nodes = K.checkpoint(_with_node(roots, hubs, total).select("path", "s", "n", "x1", "x2", F.when(F.col("tree") % 2 == 0, F.col("lo")).otherwise(F.col("hi")).alias("hub")))
+    shared_nodes = K.packed(shared_nodes, total)
     hub = classes.select(F.col("s").alias("hub"), F.col("n").alias("hn"), F.col("x1").alias("h1"), F.col("x2").alias("h2"))
     spokes = shared_nodes.where("s <> hub").select("s", "n", "x1", "x2", "hub").distinct().join(hub, "hub")
     edges = spokes.select(
@@ -182,7 +184,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     for level in range(depth + 1):
         nodes = K.checkpoint(nodes)
         total = nodes.count()
-        here = K.checkpoint(_with_node(nodes, _unsettled(nodes, total, spread, last=level == depth), total))
+        nodes = K.packed(nodes, total)
+        here = K.packed(K.checkpoint(_with_node(nodes, _unsettled(nodes, total, spread, last=level == depth), total)), total)
         pairs.append(_across(here.where("way = 'pairs'"), percent))
         dense.append(here.where("way = 'blocks'").select("path", "s", "label", "members", "tokens"))
         rest = here.where("way = 'branch'")

@@ -1,7 +1,11 @@
 """Operators with a brute-force result, over every awkward case at once."""
 
+import glob
 import hashlib
+import os
 import re
+import tempfile
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -114,6 +118,52 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(X.empty(spark)).count() == 0
 
 
+def shuffle_files(spark):
+    local = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", tempfile.gettempdir())
+    return {f for d in local.split(",") for f in glob.glob(f"{d}/blockmgr-*/*/shuffle_*")}
+
+
+def test_checkpoint_leaves_no_shuffle_files(spark):
+    grouped = spark.range(1000).groupBy((F.col("id") % 7).alias("a.b")).count()
+    want = sorted(map(tuple, grouped.collect()))
+    for setting in ("false", "true"):
+        spark.conf.set(kernel.FREE_SHUFFLES, setting)
+        try:
+            before = shuffle_files(spark)
+            made = kernel.checkpoint(spark.range(1000).groupBy((F.col("id") % 7).alias("a.b")).count())
+            assert spark.conf.get(kernel.FREE_SHUFFLES) == setting
+        finally:
+            spark.conf.unset(kernel.FREE_SHUFFLES)
+        deadline = time.time() + 20
+        while shuffle_files(spark) - before and time.time() < deadline:
+            time.sleep(0.2)
+        assert not shuffle_files(spark) - before
+        assert sorted(map(tuple, made.collect())) == want and made.columns == ["a.b", "count"]
+    # The caller's own frame may still run again.
+    kernel.checkpoint(grouped)
+    assert sorted(map(tuple, grouped.collect())) == want
+
+
+def test_near_duplicates_levels_have_partitions_by_rows(spark, monkeypatch):
+    """A small table in many partitions is read by few tasks at each level of branching."""
+    monkeypatch.setattr(kernel, "PACKED_ROWS", 1000)
+    assert kernel.packed(spark.range(0, 2500, 1, 40), 2500).rdd.getNumPartitions() == 3
+    assert kernel.packed(spark.range(0, 0, 1, 40), 0).rdd.getNumPartitions() == 1
+    assert kernel.packed(spark.range(0, 10, 1, 2), 5000).rdd.getNumPartitions() == 2
+    seen, inner = [], minhash._unsettled
+    monkeypatch.setattr(minhash, "_unsettled", lambda nodes, *a, **b: seen.append((nodes.rdd.getNumPartitions(), nodes.count())) or inner(nodes, *a, **b))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [r for r in X.documents() if r[0] is not None]
+        assert near_rows(minhash.near_duplicates(X.frame(spark, rows), size=4)) == brute_near(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen and all(n <= max(1, -(-rows // 1000)) for n, rows in seen)
+
+
 def test_near_duplicates_one_of_each_group_stays(spark):
     rows = X.documents()
     found = minhash.near_duplicates(X.frame(spark, rows), size=4).where("n_shingles > 0 AND keeper").select("doc_id", "component_id", "th").distinct().collect()
